@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from entitylink.llm import exact_dedup, language_id, mixing, quality, substring_dedup, tokenize_sp, topk, url_filter
+from entitylink.llm import exact_dedup, language_id, minhash_dedup, mixing, quality, substring_dedup, tokenize_sp, topk, url_filter
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_language_id": language_id.query,
         "op5_quality": quality.query,
         "op6_substring_dedup": substring_dedup.query,
+        "op7_minhash_dedup": minhash_dedup.query,
         "op8_sentencepiece": tokenize_sp.query,
         "op9_topk": topk.query,
         "op10_mixing": mixing.query,
