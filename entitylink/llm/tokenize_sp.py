@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from entitylink.llm.common import extended
 
 SPACE = "▁"
-CACHE = 200_000
+CACHE = 800_000
 
 
 class PrefixTable:
@@ -52,76 +53,132 @@ class PrefixTable:
         probe = sp.encode(" a  b ", out_type=str)
         if "".join(probe) != f"{SPACE}{SPACE}a{SPACE}{SPACE}b{SPACE}" or len(self.byte_id) != 256:
             raise ValueError("the model must keep all spaces, add a leading one and have byte pieces")
-        if any(SPACE in p.lstrip(SPACE) for p in self.id):
+        if any(SPACE in p.lstrip(SPACE) for p in self.id if p):
             raise ValueError("a piece holds the space mark after another character")
         self.automaton = ahocorasick.Automaton()
         for piece, i in self.id.items():
             self.automaton.add_word(piece, (i, len(piece)))
         self.automaton.make_automaton()
         self.chars = {p for p in self.id if len(p) == 1}
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.cache: dict[str, tuple[list[int], str, str]] = {}
+        known = "".join(map(re.escape, sorted(self.chars)))
+        self.runs = re.compile(f"(?P<k>[{known}]+)|[^{known}]+", re.S)
+        # line ends outside the vocabulary never merge, so texts are cut there too
+        line = "" if "\n" in self.chars else "\n"
+        self.cut = re.compile(f"{SPACE}+[^{SPACE}{line}]*|[^{SPACE}{line}]+" + (f"|{line}" if line else "")).findall
+        # merge order: pieces of better score merge first; single characters are given
+        order = {s: r for r, s in enumerate(sorted(set(self.score.values()), reverse=True))}
+        often = Counter(self.score[p] for p in self.id if len(p) > 1)
+        self.rank = {i: order[self.score[p]] if len(p) > 1 else -1 for p, i in self.id.items()}
+        self.tied = {i for p, i in self.id.items() if len(p) > 1 and often[self.score[p]] > 1}
+        self.split: dict[int, tuple[int, int] | None] = {}
+        self.fits: dict[int, bool] = {}
+        self.cache: dict[str, str | tuple[str, str]] = {}
 
     def merged(self, text: str) -> list[str]:
         """Pieces by the merge rule itself (best score first, then leftmost); for short texts in the tests of pairs."""
-        parts = list(text)
-        while True:
+        return self._merge(list(text), 1)
+
+    def _merge(self, parts: list[str], down_to: int) -> list[str]:
+        while len(parts) > down_to:
             best = max(((self.score[a + b], -i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in self.score), default=None)
             if best is None:
-                return parts
+                break
             i = -best[1]
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return parts
+
+    def last_merge(self, i: int) -> tuple[int, int] | None:
+        """The two pieces whose merge makes piece i; None for characters and pieces that no merge makes."""
+        if i not in self.split:
+            parts = self._merge(list(self.pieces[i]), 2)
+            self.split[i] = tuple(self.id[p] for p in parts) if len(parts) == 2 else None
+        return self.split[i]
 
     def compatible(self, left: int, right: int) -> bool:
-        """left -1: the piece stands at the start, so it has only to encode to itself."""
-        if (known := self.fits.get((left, right))) is None:
-            b = self.pieces[right]
-            want = [b] if left < 0 else [self.pieces[left], b]
-            if len(self.fits) > 4 * CACHE:
-                self.fits.clear()
-            known = self.fits[left, right] = self.merged("".join(want)) == want
+        """Do two pieces stay as they are next to each other? left -1: is the piece its own encoding?
+
+        Undo the merges at the common edge, latest first. The pair breaks if, in any such state, the two
+        edge pieces would have merged with each other before the merge undone last.
+        """
+        key = (left + 1) << 20 | right
+        if (known := self.fits.get(key)) is None:
+            known = self.fits[key] = self._compatible(left, right)
         return known
 
+    def _compatible(self, left: int, right: int) -> bool:
+        if left < 0 or left in self.tied or right in self.tied:
+            want = [self.pieces[i] for i in (left, right) if i >= 0]
+            return self.merged("".join(want)) == want
+        a, b, limit = left, right, 1 << 30
+        while True:
+            joined = self.id.get(self.pieces[a] + self.pieces[b])
+            if joined is not None and self.rank[joined] < limit:
+                return False
+            if self.rank[a] > self.rank[b]:
+                limit, a = self.rank[a], self.last_merge(a)[1]
+            elif self.rank[b] >= 0:  # of equal merges the left one comes first
+                limit, b = self.rank[b] + 1, self.last_merge(b)[0]
+            else:
+                return True
+
     def known_run(self, text: str) -> list[int]:
         """Ids of a text of known characters."""
-        last: list[tuple[int, int]] = [(-1, 0)] + [(-2, 0)] * len(text)
+        n = len(text) + 1
+        last, begin = [-2] * n, [0] * n
+        last[0] = -1
+        fits = self.fits
         for end, (i, size) in self.automaton.iter(text):
-            start = end + 1 - size
-            if last[end + 1][0] == -2 and (before := last[start][0]) != -2 and self.compatible(before, i):
-                last[end + 1] = (i, start)
-        ids, at = [], len(text)
+            end += 1
+            if last[end] == -2 and (before := last[end - size]) != -2:
+                if (good := fits.get((before + 1) << 20 | i)) is None:
+                    good = self.compatible(before, i)
+                if good:
+                    last[end], begin[end] = i, end - size
+        ids, at = [], n - 1
         while at:
-            i, at = last[at]
-            if i < 0:
+            if (i := last[at]) < 0:
                 raise RuntimeError("a prefix without a last token")
             ids.append(i)
-        return ids[::-1]
-
-    def word(self, unit: str) -> tuple[list[int], str, str]:
-        """Ids of a word, the ids as text, and the word decoded again."""
-        if (found := self.cache.get(unit)) is None:
-            ids: list[int] = []
-            for known, run in ((m.lastgroup == "k", m[0]) for m in self.runs.finditer(unit)):
-                ids += self.known_run(run) if known else [self.byte_id[b] for b in run.encode()]
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            found = self.cache[unit] = (ids, ",".join(map(str, ids)), self.plain(ids))
+            at = begin[at]
+        ids.reverse()
+        return ids
+
+    def word_ids(self, unit: str) -> list[int]:
+        if self.chars.issuperset(unit):
+            return self.known_run(unit)
+        ids: list[int] = []
+        for m in self.runs.finditer(unit):
+            ids += self.known_run(m[0]) if m.lastgroup else [self.byte_id[b] for b in m[0].encode()]
+        return ids
+
+    def word(self, unit: str) -> str | tuple[str, str]:
+        """A word's ids as text; with the word decoded again, where that is not the word with spaces."""
+        ids = self.word_ids(unit)
+        text, plain = ",".join(map(str, ids)), self.plain(ids)
+        if len(self.cache) >= CACHE:
+            self.cache.clear()
+        found = self.cache[unit] = text if plain == unit.replace(SPACE, " ") else (text, plain)
         return found
 
-    @property
-    def runs(self) -> re.Pattern:
-        if "_runs" not in self.__dict__:
-            known = "".join(map(re.escape, sorted(self.chars)))
-            self._runs = re.compile(f"(?P<k>[{known}]+)|[^{known}]+", re.S)
-        return self._runs
-
     def units(self, text: str) -> list[str]:
         if not text:
             return []
-        return re.findall(f"{SPACE}+[^{SPACE}]*", SPACE + text.replace(" ", SPACE))
+        return self.cut(SPACE + text.replace(" ", SPACE))
+
+    def encoded(self, text: str | None) -> tuple[str, str]:
+        """The ids as text, and the text decoded from them."""
+        units, get = self.units(text or ""), self.cache.get
+        words = [get(u) or self.word(u) for u in units]
+        if tuple in set(map(type, words)):
+            plain = "".join(u.replace(SPACE, " ") if isinstance(w, str) else w[1] for u, w in zip(units, words, strict=True))
+            words = [w if isinstance(w, str) else w[0] for w in words]
+        else:
+            plain = "".join(units).replace(SPACE, " ")
+        return ",".join(words), plain[1:]
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for u in self.units(text or "") for i in self.word(u)[0]]
+        ids = self.encoded(text)[0]
+        return list(map(int, ids.split(","))) if ids else []
 
     def plain(self, ids: list[int]) -> str:
         """Text of ids with every space, the leading one too; broken bytes become U+FFFD, one each."""
@@ -178,9 +235,8 @@ def encode_texts(df: DataFrame, model_file: str, text_col: str = "text", keep_id
         for b in batches:
             rows = []
             for text in b.column(text_col).to_pylist():
-                words = [t.word(u) for u in t.units(text or "")]
-                plain = "".join(w[2] for w in words)[1:]
-                rows.append((sum(len(w[0]) for w in words), sha(",".join(w[1] for w in words)), sha(plain), *[[i for w in words for i in w[0]]] * keep_ids))
+                ids, plain = t.encoded(text)
+                rows.append((ids.count(",") + 1 if ids else 0, sha(ids), sha(plain), *[list(map(int, ids.split(","))) if ids else []] * keep_ids))
             cols = list(zip(*rows, strict=True)) if rows else [[] for _ in added]
             kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in others] + [pa.array(c, k) for c, k in zip(cols, kinds, strict=False)], [*others, *added])
