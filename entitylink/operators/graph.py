@@ -34,3 +34,45 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             break
         before = state
     return nodes.join(now.withColumnRenamed("u", "node").hint("merge"), "node", "left").select("node", F.coalesce("v", "node").alias("component"))
+
+
+def cluster_variants(pairs: DataFrame, id_col: str = "variant_id", name_col: str = "hgvs") -> DataFrame:
+    """Ids that share a name collapse; components are numbered 1..n by their smallest id: ``(name, variant_id)``."""
+    from entitylink.operators.row_ids import row_ids
+
+    given = pairs.select(F.col(id_col).alias("id"), F.col(name_col).alias("name")).where("id is not null and name is not null").distinct()
+    first = given.groupBy("name").agg(F.min("id").alias("head"))
+    # every id is tied to the smallest id of each of its names: a star per name instead of all pairs
+    parts = connected_components(given.join(first.hint("merge"), "name").select("id", "head"), "id", "head")
+    numbers = row_ids(parts.select("component").distinct(), "variant_id", ["component"])
+    named = first.join(parts, F.col("head") == F.col("node")).select("name", "component")
+    return named.join(numbers, "component").select("name", "variant_id")
+
+
+def merge_variant_sets(sets: list[DataFrame], id_col: str = "variant_id", name_col: str = "hgvs") -> DataFrame:
+    """Id sets of several sources: each is shifted past the ones before it, then all are clustered at once."""
+    shift, moved = 0, []
+    for df in sets:
+        top = df.agg(F.max(id_col)).first()[0] or 0
+        moved.append(df.select((F.col(id_col) + shift).alias(id_col), name_col))
+        shift += top
+    out = moved[0]
+    for df in moved[1:]:
+        out = out.unionByName(df)
+    return cluster_variants(out, id_col, name_col)
+
+
+def closure(edges: DataFrame, child: str = "child", parent: str = "parent", root=None) -> DataFrame:
+    """All ``(descendant, ancestor)`` pairs of a hierarchy; with a root, only its descendants.
+
+    A frontier grows by one edge a round; seen pairs are dropped before they go on, so cycles end.
+    """
+    given = materialize(edges.select(F.col(child).alias("c"), F.col(parent).alias("p")).where("c is not null and p is not null").distinct(), "edges")
+    seen = frontier = materialize((given if root is None else given.where(F.col("p") == root)).select(F.col("c").alias("descendant"), F.col("p").alias("ancestor")), "closure")
+    parts = [seen]
+    while not frontier.isEmpty():
+        step = frontier.join(given, F.col("descendant") == F.col("p")).select(F.col("c").alias("descendant"), "ancestor").distinct()
+        frontier = materialize(step.join(seen, ["descendant", "ancestor"], "left_anti"), "closure")
+        parts.append(frontier)
+        seen = seen.union(frontier)
+    return seen
