@@ -97,6 +97,8 @@ def _two(codes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _run_hashes(codes: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """128-bit hash of each packed string (its words in order, and their number)."""
+    if not len(size):
+        return (np.zeros(0, np.int64),) * 2
     out = []
     for base in (_B1, _B2):
         step = np.full(int(size.max(initial=0)) + 1, base, np.uint64)
