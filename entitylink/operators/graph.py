@@ -12,27 +12,26 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """Smallest node of each node's component: ``(node, component)``.
 
     Large-star / small-star rounds on an edge table that never grows beyond twice its size; every
-    round is written to the shared folder, and the loop ends when no edge changes. Minima are combined
-    before each shuffle; the joins back carry plain shuffles, so that hubs can be split at run time.
+    round is written to the shared folder, and the loop ends when all that is left is stars. Minima are
+    combined before each shuffle.
     Edges with a null end are ignored; a self edge makes a component of one.
     """
     given = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
     nodes = materialize(given.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "cc-nodes")
     now = materialize(given.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc-edges")
-    before = None
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "cc-min")
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = materialize(large.where("u <> v").distinct(), "cc-large")
-        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "cc-min")
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low.hint("merge"), "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         now = materialize(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc-edges")
-        state = tuple(now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
-        if state == before:
+        heads = now.groupBy("u").agg(F.min("v").alias("v"), F.max("v").alias("w"))
+        left = heads.where("v <> w").select("v").union(heads.join(now.select(F.col("u").alias("v")), "v", "left_semi").select("v"))
+        if left.isEmpty():  # every node hangs on one head, and no head on another
             break
-        before = state
     return nodes.join(now.withColumnRenamed("u", "node").hint("merge"), "node", "left").select("node", F.coalesce("v", "node").alias("component"))
 
 
