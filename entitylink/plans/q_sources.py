@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from entitylink.functions.columns import normalize_columns
 from entitylink.functions.storage import scratch
 from entitylink.operators.row_ids import row_ids
 from entitylink.sources import files as S
@@ -121,6 +122,14 @@ def _(spark, d):
     return terms.select(kind("term"), "id", F.col("name").alias("value"), F.lit("").alias("more")).union(synonyms.select(kind("synonym"), "id", "text", "scope")).union(edges.select(kind("edge"), "child", "parent", F.lit("")))
 
 
+@query("read_jdbc_table", "SELECT s_suppkey, s_name FROM supplier")
+def _(spark, d):
+    """Through a database in the driver's memory, so on a local master only; real ones are named by their url."""
+    url, driver = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true", "org.apache.derby.jdbc.EmbeddedDriver"
+    Tables(spark, d).supplier.select("s_suppkey", "s_name").write.jdbc(url, "supplier", properties={"driver": driver})
+    return normalize_columns(S.read_jdbc(spark, url, "supplier", "s_suppkey", 0, 1000, 4, driver=driver))
+
+
 @query("read_write_parquet", "SELECT o_orderkey, o_custkey FROM orders UNION ALL SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'P'")
 def _(spark, d):
     path, o = _folder(spark, "parquet"), Tables(spark, d).orders.select("o_orderkey", "o_custkey", "o_orderstatus")
