@@ -17,13 +17,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Edges with a null end are ignored; a self edge makes a component of one.
     """
     given = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
-    nodes = materialize(given.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "cc-nodes")
+    nodes = given.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     now = materialize(given.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc-edges")
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = materialize(large.where("u <> v").distinct(), "cc-large")
+        large = large.where("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low.hint("merge"), "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
@@ -54,7 +54,7 @@ def merge_variant_sets(sets: list[DataFrame], id_col: str = "variant_id", name_c
     for df in sets:
         top = df.agg(F.max(id_col)).first()[0] or 0
         moved.append(df.select((F.col(id_col) + shift).alias(id_col), name_col))
-        shift += top
+        shift += top + 1  # ids may start at 0
     out = moved[0]
     for df in moved[1:]:
         out = out.unionByName(df)

@@ -60,16 +60,22 @@ def word_ngrams(col: Column, most: int = 1, sep: str = " ") -> Column:
     words = F.split(col, sep, -1)
 
     def runs(n: int) -> Column:
-        each = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), sep))
-        return F.when(F.size(words) >= n, each).otherwise(F.array().cast("array<string>"))
+        if n == 1:
+            return words
+        size = F.greatest(F.size(words) - (n - 1), F.lit(0))
+        out = F.slice(words, F.lit(1), size)
+        for k in range(1, n):
+            out = F.zip_with(out, F.slice(words, F.lit(k + 1), size), lambda x, y: F.concat(x, F.lit(sep), y))
+        return out
 
     return F.concat(*[runs(n) for n in range(1, most + 1)])
 
 
 def match_substring(queries: DataFrame, names: DataFrame, n_grams: int = 1, sep: str = " ") -> DataFrame:
     """Every word (or run of words) of the raw query that is a name."""
-    tokens = queries.select("query", F.explode(F.array_distinct(word_ngrams(F.col("query"), n_grams, sep))).alias("t"))
-    tokens = tokens.select("query", normalize_name(F.col("t")).alias("norm")).where("norm <> ''").distinct()
+    # queries are distinct, so distinct tokens within a row are enough and long texts do not shuffle
+    each = F.array_distinct(F.transform(word_ngrams(F.col("query"), n_grams, sep), normalize_name))
+    tokens = queries.select("query", F.explode(each).alias("norm")).where("norm <> ''")
     return _result(tokens.join(small(names.select("norm", "target")), "norm"), "substring", F.col("norm"))
 
 
