@@ -14,47 +14,29 @@ other columns, whatever their names, are kept as they are.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from entitylink.llm.common import materialize
-
-FILTER_BITS = 2**27
-CELLS_PER_BITMAP = 32768
-
-
-def _cells(sha: Column, filter_bits: int) -> list[Column]:
-    """Two cells (from 1) for a text's hash."""
-    return [1 + F.pmod(F.xxhash64(F.lit(seed), sha), F.lit(filter_bits)) for seed in (11, 23)]
+from entitylink.functions.storage import materialize
+from entitylink.llm import bloom
+from entitylink.llm.bloom import FILTER_BITS
 
 
 def repeated_cells(hashed: DataFrame, sha: str, filter_bits: int = FILTER_BITS) -> DataFrame:
     """The second filter: bitmaps ``(bucket, bits)`` of cells reached by two rows or more."""
-    cells = hashed.select(F.explode(F.array(*_cells(F.col(sha), filter_bits))).alias("cell"))
+    cells = hashed.select(F.explode(F.array(*bloom.cells(F.col(sha), filter_bits))).alias("cell"))
     often = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return often.groupBy(F.expr("bitmap_bucket_number(cell)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(cell))").alias("bits"))
-
-
-def _maybe_repeated(hashed: DataFrame, sha: str, bitmaps: DataFrame, filter_bits: int) -> DataFrame:
-    """Adds ``__maybe``: both cells are in the filter."""
-    tests, out = [], hashed
-    for i, cell in enumerate(_cells(F.col(sha), filter_bits)):
-        side = F.broadcast(bitmaps.select(F.col("bucket").alias(f"__b{i}"), F.col("bits").alias(f"__bits{i}")))
-        out = out.withColumn(f"__cell{i}", cell).withColumn(f"__at{i}", F.expr(f"bitmap_bucket_number(__cell{i})"))
-        out = out.join(side, F.col(f"__at{i}") == F.col(f"__b{i}"), "left")
-        byte = f"conv(hex(substring(__bits{i}, int(bitmap_bit_position(__cell{i}) div 8) + 1, 1)), 16, 10)"
-        tests.append(F.expr(f"__bits{i} is not null and (shiftright(cast({byte} as int), cast(bitmap_bit_position(__cell{i}) % 8 as int)) & 1) = 1"))
-    return out.withColumn("__maybe", tests[0] & tests[1]).drop(*[f"{p}{i}" for p in ("__cell", "__at", "__b", "__bits") for i in (0, 1)])
+    return bloom.bitmaps(often)
 
 
 def _parts(df: DataFrame, id_col: str, text_col: str, filter_bits: int, carry: bool) -> tuple[DataFrame, DataFrame]:
     """Rows that are certainly unique, and the others with their group's figures."""
     row = [F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row")] if carry else []
     hashed = df.select(F.col(f"`{id_col}`").alias("__id"), F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), 256).alias("__sha"), *row)
-    bitmaps = materialize(repeated_cells(hashed.select("__sha"), "__sha", filter_bits), "bloom")
-    tested = _maybe_repeated(hashed, "__sha", bitmaps, filter_bits)
+    tested = bloom.maybe(hashed, "__sha", repeated_cells(hashed.select("__sha"), "__sha", filter_bits), filter_bits)
     unique, rest = tested.where("not __maybe").drop("__maybe"), tested.where("__maybe").drop("__maybe")
-    groups = rest.groupBy("__sha").agg(F.max("__id").alias("__keep"), F.count(F.lit(1)).alias("__size"))
+    # written, so that the join's two sides come straight from shuffles and a hot group can be split
+    groups = materialize(rest.groupBy("__sha").agg(F.max("__id").alias("__keep"), F.count(F.lit(1)).alias("__size")), "groups")
     return unique, rest.join(groups.hint("merge"), "__sha")
 
 
