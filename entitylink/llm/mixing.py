@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 BLOCK = 8
 RESOLUTION = 1000
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 #: Production weights: the largest source is held to a tenth, the others follow a fixed ladder.
 WEIGHTS = {"src0": 0.10, **{f"src{i}": 0.03 + 0.01 * (i % 3) for i in range(1, 20)}}
 REST = 0.05
