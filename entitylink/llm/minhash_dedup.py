@@ -10,9 +10,10 @@ shingle sets of their texts.
 
 Documents with equal sets are one class from the start, so copies never meet in pairs. Classes that share
 a band's bucket are not paired with each other: each is compared with one head of the bucket, links merge
-classes into components, and buckets inside one component are done. Further rounds use other heads for
-what is left, and the last round compares all pairs across components in the remaining buckets, so no
-candidate is left out. Components come from large-star / small-star rounds on the links.
+classes into components, and buckets inside one component are done. A further round uses other heads for
+what is left. The last round compares the sketches of all pairs across components in the remaining
+buckets, in blocks of at most ``MEMBERS`` members, and gives out only the likely pairs, each in the first
+band that it shares, so no candidate is left out and no group is unbounded. Components come from large-star / small-star rounds on the links.
 
 With 50 bands of 5 registers a pair at similarity 0.8 is missed with a probability below 1e-8. Classes
 are identified by a 64-bit sum of shingle hashes.
@@ -46,7 +47,8 @@ BASE = 1.05
 LARGEST = 20.0
 TOP = 2**15 - 1
 SIGMAS = 6.0
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
+MEMBERS = 512
 
 
 def shingle_sets(texts: list[str | None], words: int = SHINGLE) -> list[np.ndarray]:
@@ -130,15 +132,38 @@ class Scan:
                 n = pa.array([len(s) for s in sets], pa.int64())
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in range(3)), n, *sums, regs], ["id", "k1", "k2", "n", "s1", "s2", "regs"])
 
+    def floor(self) -> float:
+        """Estimates below this are ``SIGMAS`` standard errors under the threshold."""
+        t = self.threshold / 100
+        return t - SIGMAS * np.sqrt(t * (1 - t) / REGISTERS)
+
+    def across(self, block: pa.Table) -> pa.Table:
+        """Likely pairs across components in two blocks of one bucket (or inside one block)."""
+        node, c, n, side, band = (block.column(x).to_numpy() for x in ("node", "c", "n", "side", "band"))
+        regs, pairs = _regs(block.column("regs").combine_chunks()), []
+        first, last = side.min(), side.max()
+        right = np.flatnonzero(side == last)
+        for i in np.flatnonzero(side == first):
+            j = right[(c[right] != c[i]) & ((node[right] > node[i]) if first == last else True)]
+            j = j[100 * np.minimum(n[j], n[i]) >= self.threshold * np.maximum(n[j], n[i])]
+            if not len(j):
+                continue
+            before = regs[j, : band[i] * ROWS] == regs[i, : band[i] * ROWS]
+            same = ~before.reshape(len(j), band[i], ROWS).all(2).any(1)  # no earlier band is shared
+            if len(j := j[same]):
+                pairs.append(np.stack([np.full(len(j), i), j, (regs[i] > regs[j]).sum(1), (regs[i] < regs[j]).sum(1)]))
+        x, y, more, less = np.concatenate(pairs, 1) if pairs else np.zeros((4, 0), np.int64)
+        good = joint_estimate(n[x].astype(float), n[y].astype(float), more, less) >= self.floor() if len(x) else np.zeros(0, bool)
+        a, b = node[x[good]], node[y[good]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
     def likely(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pairs whose estimate is not far below the threshold."""
-        t = self.threshold / 100
-        floor = t - SIGMAS * np.sqrt(t * (1 - t) / REGISTERS)
         for b in batches:
             if b.num_rows:
                 x, y = _regs(b.column("regs_a")), _regs(b.column("regs_b"))
                 j = joint_estimate(b.column("n_a").to_numpy().astype(float), b.column("n_b").to_numpy().astype(float), (x > y).sum(1), (x < y).sum(1))
-                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(j >= floor))
+                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(j >= self.floor()))
 
     def verify(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pairs whose full shingle sets reach the threshold."""
@@ -164,49 +189,57 @@ def links(sketched: DataFrame, keyed: DataFrame, scan: Scan) -> DataFrame | None
     classes = sketched.where("n > 0").groupBy("s1", "s2").agg(F.first("n").alias("n"), F.first("regs").alias("regs"), F.min(F.struct("k1", "k2")).alias("key"))
     classes = materialize(classes.select(F.col("s1").alias("node"), "n", "regs", "key.k1", "key.k2"), "classes")
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.slice("regs", i * ROWS + 1, ROWS)))
-    buckets = classes.select("node", F.explode(band).alias("bh"))
+    buckets = classes.select("node", F.posexplode(band).alias("band", "bh"))
     shared = materialize(buckets.groupBy("bh").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("bh"), "buckets")
-    maybe = bloom.maybe(buckets, "bh", bloom.filter_of(shared, "bh")).where("__maybe").select("bh", "node")
+    maybe = bloom.maybe(buckets, "bh", bloom.filter_of(shared, "bh")).where("__maybe").select("bh", "band", "node")
     live = materialize(maybe.join(shared.hint("merge"), "bh"), "members")
-    nodes = materialize(live.select("node").distinct(), "nodes")
-    known = materialize(classes.join(nodes.hint("merge"), "node"), "sketches")
+    known = materialize(classes.join(live.select("node").distinct().hint("merge"), "node"), "sketches")
     found = bloom.maybe(keyed, "k1", bloom.filter_of(known, "k1")).where("__maybe").select("k1", "k2", "text")
     texts = materialize(found.join(known.select("node", "k1", "k2").hint("merge"), ["k1", "k2"]).select("node", "text").dropDuplicates(["node"]), "texts")
 
-    def confirm(pairs: DataFrame) -> DataFrame:
+    def likely(pairs: DataFrame) -> DataFrame:
         close = pairs.join(_side(known, "b", "n", "regs").hint("merge"), "b").join(_side(known, "a", "n", "regs").hint("merge"), "a")
         close = close.where(f"100 * least(n_a, n_b) >= {scan.threshold} * greatest(n_a, n_b)")
-        close = materialize(close.select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(scan.likely, "a long, b long"), "likely")
+        return close.select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(scan.likely, "a long, b long")
+
+    def confirm(close: DataFrame) -> DataFrame:
         both = close.join(_side(texts, "b", "text").hint("merge"), "b").join(_side(texts, "a", "text").hint("merge"), "a")
         return materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(scan.verify, "a long, b long"), "links")
 
     edges = tested = component = None
     for turn in range(STAR_ROUNDS + 1):
-        labelled = live.withColumn("c", F.col("node")) if component is None else live.join(component.hint("merge"), "node", "left").select("bh", "node", F.coalesce("component", "node").alias("c"))
+        labelled = live.withColumn("c", F.col("node")) if component is None else live.join(component.hint("merge"), "node", "left").select("bh", "band", "node", F.coalesce("component", "node").alias("c"))
         order = F.xxhash64(F.lit(turn), "node", *["bh"] * (turn > 0))
-        heads = labelled.groupBy("bh").agg(F.min(F.struct(order, "node", "c")).alias("h"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
-        heads = materialize(heads.select("bh", F.col("h.node").alias("head"), F.col("h.c").alias("hc")), "heads")
-        live = materialize(labelled.join(heads.hint("merge"), "bh"), "members")
+        heads = labelled.groupBy("bh").agg(F.min(F.struct(order, "node", "c")).alias("h"), F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("k")).where("low <> high")
+        heads = materialize(heads.select("bh", F.col("h.node").alias("head"), F.col("h.c").alias("hc"), "k"), "heads")
+        members = materialize(labelled.join(heads.hint("merge"), "bh"), "members")
         if turn < STAR_ROUNDS:
-            pairs = live.where("c <> hc").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"))
+            pairs = members.where("c <> hc").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
+            pairs = materialize(pairs if tested is None else pairs.join(tested.hint("merge"), ["a", "b"], "left_anti"), "pairs")
+            tested = pairs if tested is None else tested.union(pairs)
+            close = likely(pairs)
         else:
-            left, right = live.select("bh", F.col("node").alias("x"), F.col("c").alias("cx")), live.select("bh", F.col("node").alias("y"), F.col("c").alias("cy"))
-            pairs = left.join(right.hint("merge"), "bh").where("cx < cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        pairs = pairs.distinct()
-        pairs = materialize(pairs if tested is None else pairs.join(tested.hint("merge"), ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            if turn >= STAR_ROUNDS or live.isEmpty():
-                break
-            live = live.select("bh", "node")
+            close = across(members, known, scan).join(tested.hint("merge"), ["a", "b"], "left_anti")
+        live = members.select("bh", "band", "node")
+        close = materialize(close, "likely")
+        if close.isEmpty():
             continue
-        new = confirm(pairs)
-        tested = pairs if tested is None else tested.union(pairs)
+        new = confirm(close)
         edges = new if edges is None else edges.union(new)
         component = materialize(connected_components(edges), "components")
-        live = live.select("bh", "node")
     return component
 
 
+def across(members: DataFrame, known: DataFrame, scan: Scan) -> DataFrame:
+    """Likely pairs across components: every bucket's members in blocks, each pair of blocks in one group."""
+    rows = members.join(known.select("node", "n", "regs").hint("merge"), "node")
+    blocks = F.ceil(F.col("k") / MEMBERS).cast("int")
+    mine = F.pmod(F.xxhash64(F.lit(7), "node"), blocks).cast("int")
+    rows = rows.withColumn("side", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select("bh", F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q"), "side", "band", "node", "c", "n", "regs")
+    return rows.groupBy("bh", "p", "q").applyInArrow(lambda block: scan.across(block), "a long, b long")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """One row per input row: id, ``n_shingles``, ``component_id``, ``kept`` (and the row's key k1, k2)."""
     scan = Scan(words, threshold)
