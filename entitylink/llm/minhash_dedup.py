@@ -10,10 +10,11 @@ shingle sets of their texts.
 
 Documents with equal sets are one class from the start, so copies never meet in pairs. Classes that share
 a band's bucket are not paired with each other: each is compared with one head of the bucket, links merge
-classes into components, and buckets inside one component are done. A further round uses other heads for
-what is left. The last round compares the sketches of all pairs across components in the remaining
-buckets, in blocks of at most ``MEMBERS`` members, and gives out only the likely pairs, each in the first
-band that it shares, so no candidate is left out and no group is unbounded. Components come from large-star / small-star rounds on the links.
+classes into components, and buckets inside one component are done. What is left is compared by sketch, in
+blocks of at most ``MEMBERS`` members, each pair in the first band that it shares; counts of shingles in
+``PARTS`` parts bound the overlap of a pair from above and rule out most of those just below the threshold
+for certain. Only likely pairs leave a block: first each member's best partners in other components, then, when those have merged, all
+likely partners still in other components. So no candidate is left out and no group is unbounded. Components come from large-star / small-star rounds on the links.
 
 With 50 bands of 5 registers a pair at similarity 0.8 is missed with a probability below 1e-8. Classes
 are identified by a 64-bit sum of shingle hashes.
@@ -47,7 +48,9 @@ BASE = 1.05
 LARGEST = 20.0
 TOP = 2**15 - 1
 SIGMAS = 6.0
-STAR_ROUNDS = 2
+PARTS = 512
+#: After the round of heads: which of a member's likely partners, by estimate, each round verifies.
+WINDOWS = ((0, 2), (2, 2**40))
 MEMBERS = 512
 
 
@@ -115,9 +118,14 @@ def _regs(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, REGISTERS)
 
 
+def part_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many of a set's elements fall in each of ``PARTS`` parts; the smaller counts of two sets add up to at least their overlap."""
+    return np.stack([np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=PARTS) for s in sets]).astype(np.int16) if sets else np.zeros((0, PARTS), np.int16)
+
+
 class Scan:
-    def __init__(self, words: int, threshold: int) -> None:
-        self.words, self.threshold = words, threshold
+    def __init__(self, words: int, threshold: int, low: int = 0, high: int = 2**40) -> None:
+        self.words, self.threshold, self.low, self.high = words, threshold, low, high
 
     def sketch(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """id, k1, k2, text -> id, k1, k2, n, s1, s2, regs."""
@@ -130,7 +138,8 @@ class Scan:
                 sums = [pa.array(np.array(s, np.uint64).view(np.int64)) for s in (s1, s2)]
                 regs = pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * REGISTERS, pa.array(registers(sets).ravel()))
                 n = pa.array([len(s) for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in range(3)), n, *sums, regs], ["id", "k1", "k2", "n", "s1", "s2", "regs"])
+                parts = pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * PARTS, pa.array(part_counts(sets).ravel()))
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in range(3)), n, *sums, regs, parts], ["id", "k1", "k2", "n", "s1", "s2", "regs", "parts"])
 
     def floor(self) -> float:
         """Estimates below this are ``SIGMAS`` standard errors under the threshold."""
@@ -141,20 +150,30 @@ class Scan:
         """Likely pairs across components in two blocks of one bucket (or inside one block)."""
         node, c, n, side, band = (block.column(x).to_numpy() for x in ("node", "c", "n", "side", "band"))
         regs, pairs = _regs(block.column("regs").combine_chunks()), []
+        parts = block.column("parts").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, PARTS)
         first, last = side.min(), side.max()
         right = np.flatnonzero(side == last)
         for i in np.flatnonzero(side == first):
-            j = right[(c[right] != c[i]) & ((node[right] > node[i]) if first == last else True)]
+            j = right[node[right] > node[i]] if first == last else right
+            if not (c[j] != c[i]).any():
+                continue
             j = j[100 * np.minimum(n[j], n[i]) >= self.threshold * np.maximum(n[j], n[i])]
             if not len(j):
                 continue
             before = regs[j, : band[i] * ROWS] == regs[i, : band[i] * ROWS]
             same = ~before.reshape(len(j), band[i], ROWS).all(2).any(1)  # no earlier band is shared
-            if len(j := j[same]):
+            j = j[same]
+            overlap = np.minimum(parts[j], parts[i]).sum(1, dtype=np.int64)  # at most this many are shared
+            if len(j := j[100 * overlap >= self.threshold * (n[j] + n[i] - overlap)]):
                 pairs.append(np.stack([np.full(len(j), i), j, (regs[i] > regs[j]).sum(1), (regs[i] < regs[j]).sum(1)]))
         x, y, more, less = np.concatenate(pairs, 1) if pairs else np.zeros((4, 0), np.int64)
-        good = joint_estimate(n[x].astype(float), n[y].astype(float), more, less) >= self.floor() if len(x) else np.zeros(0, bool)
-        a, b = node[x[good]], node[y[good]]
+        guess = joint_estimate(n[x].astype(float), n[y].astype(float), more, less) if len(x) else np.zeros(0)
+        x, y, guess = (v[guess >= self.floor()] for v in (x, y, guess))
+        order = np.lexsort((node[y], -guess, x))
+        x, y = x[order], y[order]
+        rank = np.arange(len(x)) - np.searchsorted(x, x)  # of a partner among all of a member's likely ones
+        take = (rank >= self.low) & (rank < self.high) & (c[x] != c[y])
+        a, b = node[x[take]], node[y[take]]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     def likely(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,10 +203,10 @@ def _side(df: DataFrame, name: str, *cols: str) -> DataFrame:
 def links(sketched: DataFrame, keyed: DataFrame, scan: Scan) -> DataFrame | None:
     """Components ``(node, component)`` of classes with at least one link; None if there is none.
 
-    ``sketched``: id, k1, k2, n, s1, s2, regs. ``keyed``: k1, k2, text.
+    ``sketched``: id, k1, k2, n, s1, s2, regs, parts. ``keyed``: k1, k2, text.
     """
-    classes = sketched.where("n > 0").groupBy("s1", "s2").agg(F.first("n").alias("n"), F.first("regs").alias("regs"), F.min(F.struct("k1", "k2")).alias("key"))
-    classes = materialize(classes.select(F.col("s1").alias("node"), "n", "regs", "key.k1", "key.k2"), "classes")
+    classes = sketched.where("n > 0").groupBy("s1", "s2").agg(F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("parts").alias("parts"), F.min(F.struct("k1", "k2")).alias("key"))
+    classes = materialize(classes.select(F.col("s1").alias("node"), "n", "regs", "parts", "key.k1", "key.k2"), "classes")
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.slice("regs", i * ROWS + 1, ROWS)))
     buckets = classes.select("node", F.posexplode(band).alias("band", "bh"))
     shared = materialize(buckets.groupBy("bh").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("bh"), "buckets")
@@ -207,19 +226,17 @@ def links(sketched: DataFrame, keyed: DataFrame, scan: Scan) -> DataFrame | None
         return materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(scan.verify, "a long, b long"), "links")
 
     edges = tested = component = None
-    for turn in range(STAR_ROUNDS + 1):
+    for turn in range(1 + len(WINDOWS)):
         labelled = live.withColumn("c", F.col("node")) if component is None else live.join(component.hint("merge"), "node", "left").select("bh", "band", "node", F.coalesce("component", "node").alias("c"))
-        order = F.xxhash64(F.lit(turn), "node", *["bh"] * (turn > 0))
+        order = F.xxhash64(F.lit(turn), "node")
         heads = labelled.groupBy("bh").agg(F.min(F.struct(order, "node", "c")).alias("h"), F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("k")).where("low <> high")
         heads = materialize(heads.select("bh", F.col("h.node").alias("head"), F.col("h.c").alias("hc"), "k"), "heads")
         members = materialize(labelled.join(heads.hint("merge"), "bh"), "members")
-        if turn < STAR_ROUNDS:
-            pairs = members.where("c <> hc").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
-            pairs = materialize(pairs if tested is None else pairs.join(tested.hint("merge"), ["a", "b"], "left_anti"), "pairs")
-            tested = pairs if tested is None else tested.union(pairs)
-            close = likely(pairs)
+        if not turn:
+            tested = materialize(members.where("c <> hc").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct(), "pairs")
+            close = likely(tested)
         else:
-            close = across(members, known, scan).join(tested.hint("merge"), ["a", "b"], "left_anti")
+            close = across(members, known, Scan(scan.words, scan.threshold, *WINDOWS[turn - 1])).join(tested.hint("merge"), ["a", "b"], "left_anti")
         live = members.select("bh", "band", "node")
         close = materialize(close, "likely")
         if close.isEmpty():
@@ -232,11 +249,11 @@ def links(sketched: DataFrame, keyed: DataFrame, scan: Scan) -> DataFrame | None
 
 def across(members: DataFrame, known: DataFrame, scan: Scan) -> DataFrame:
     """Likely pairs across components: every bucket's members in blocks, each pair of blocks in one group."""
-    rows = members.join(known.select("node", "n", "regs").hint("merge"), "node")
+    rows = members.join(known.select("node", "n", "regs", "parts").hint("merge"), "node")
     blocks = F.ceil(F.col("k") / MEMBERS).cast("int")
     mine = F.pmod(F.xxhash64(F.lit(7), "node"), blocks).cast("int")
     rows = rows.withColumn("side", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("bh", F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q"), "side", "band", "node", "c", "n", "regs")
+    rows = rows.select("bh", F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q"), "side", "band", "node", "c", "n", "regs", "parts")
     return rows.groupBy("bh", "p", "q").applyInArrow(lambda block: scan.across(block), "a long, b long")
 
 
@@ -245,7 +262,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     scan = Scan(words, threshold)
     keyed = df.select(F.col(f"`{id_col}`").alias("id"), *[c.alias(f"k{i + 1}") for i, c in enumerate(row_key(f"`{id_col}`", f"`{text_col}`"))], F.col(f"`{text_col}`").alias("text"))
     kind = keyed.schema["id"].dataType.simpleString()
-    sketched = materialize(keyed.mapInArrow(scan.sketch, f"id {kind}, k1 long, k2 long, n long, s1 long, s2 long, regs array<short>"), "sketched")
+    sketched = materialize(keyed.mapInArrow(scan.sketch, f"id {kind}, k1 long, k2 long, n long, s1 long, s2 long, regs array<short>, parts array<short>"), "sketched")
     component = links(sketched, keyed.select("k1", "k2", "text"), scan)
     rows = sketched.where("n > 0").select("id", "k1", "k2", "n", F.col("s1").alias("node"))
     if component is not None:
