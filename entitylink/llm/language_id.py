@@ -2,9 +2,10 @@
 
 Training counts hashed letter trigrams per language over all training rows (partial counts by task,
 summed by key in a shuffle). A document is a mixture: its trigram counts come from proportions of the
-learned languages. Expectation-maximisation estimates the proportions; languages enter greedily, best
-first, as long as the log likelihood gains more than ``PENALTY * log(trigrams)``. The prediction is
-the language with the largest proportion, the score that proportion.
+learned languages. Expectation-maximisation estimates the proportions. Starting from the likeliest
+language, the set takes the best of all additions, removals and exchanges of one language, until none
+raises the log likelihood less ``PENALTY * log(trigrams)`` a language. The prediction is the language
+with the largest proportion, the score that proportion.
 
 Only the table of ``2**BITS`` trigram probabilities per language is broadcast; its size is fixed by
 the number of languages, which must not exceed ``MAX_LANGUAGES``.
@@ -31,6 +32,7 @@ MAX_LANGUAGES = 500
 SMOOTH = 0.1
 PENALTY = 3.0
 STEPS = 25
+MARGIN = 1e-6
 
 
 @lru_cache(1)
@@ -101,14 +103,29 @@ def infer(grams: np.ndarray, p: np.ndarray) -> np.ndarray:
     counts = np.bincount(grams, minlength=len(p))
     at = np.flatnonzero(counts)
     n, q = counts[at].astype(float), p[at]
-    alone = n @ np.log(q)
-    order = np.argsort(-alone, kind="stable")
-    chosen, share, best = [order[0]], np.ones(1), alone[order[0]]
-    for lang in order[1:]:
-        trial, value = em(q[:, [*chosen, lang]], n)
-        if value - best <= PENALTY * np.log(n.sum() + 1):
+    cost, total, langs = PENALTY * np.log(n.sum() + 1), n.sum(), range(p.shape[1])
+    chosen = [int(np.argmax(n @ np.log(q)))]
+    share, best = em(q[:, chosen], n)
+    while True:
+        # the likelihood is concave in the proportions, so its slopes bound what a changed set can gain
+        slope = q.T @ (n / (q[:, chosen] @ share)) - total
+        rest, inner = [i for i in langs if i not in chosen], max(0.0, slope[chosen].max())
+        moves = [([*chosen, i], max(inner, slope[i]) - cost) for i in rest]
+        if len(chosen) > 1:
+            for i in chosen:
+                less = [j for j in chosen if j != i]
+                moves += [(less, inner + cost)] + [([*less, j], max(inner, slope[j])) for j in rest]
+        gain, found = MARGIN, None
+        for trial, bound in sorted(moves, key=lambda m: -m[1]):
+            if bound <= gain:
+                break
+            trial = sorted(trial)
+            parts, value = em(q[:, trial], n)
+            if (more := value - best - cost * (len(trial) - len(chosen))) > gain:
+                gain, found = more, (trial, parts, value)
+        if found is None:
             break
-        chosen, share, best = [*chosen, lang], trial, value
+        chosen, share, best = found
     out = np.zeros(p.shape[1])
     out[chosen] = share
     return out

@@ -148,6 +148,29 @@ def test_language_id(spark, docs, empty):
     assert np.allclose(language_id.infer(g, model[1]), share, atol=1e-3)
 
 
+def test_language_sets_beside_siblings(spark):
+    """A second language is found behind the main language's sibling, however little that was trained on."""
+    rnd = random.Random(3)
+    pool = lambda n, alphabet: ["".join(rnd.choice(alphabet) for _ in range(5)) for _ in range(n)]
+    both, far = pool(200, "abcdefghij"), pool(200, "uvwxyz")
+    words_of = {"es": both + pool(40, "abcdefghij"), "pt": both + pool(40, "abcdefghij"), "zh": far, "zz": pool(200, "klmno")}
+    make = lambda lang, n: [rnd.choice(words_of[lang]) for _ in range(n)]
+    for rows in ({"es": 20, "pt": 20, "zh": 20, "zz": 20}, {"es": 20, "pt": 3, "zh": 20, "zz": 20}):
+        model = language_id.train(spark.createDataFrame([(k, " ".join(make(k, 150))) for k, n in rows.items() for _ in range(n)], "lang string, text string"))
+        for share in (0.55, 0.7):
+            text = make("es", int(300 * share)) + make("zh", 300 - int(300 * share))
+            got = language_id.identify(spark.createDataFrame([(0, " ".join(text))], "doc_id long, text string"), model).first()
+            assert got["lang_pred"] == "es" and got["lang_set"] == ["es", "zh"] and abs(got["score"] - share) < 0.08
+        # the chosen set is the best of all sets by the penalised likelihood
+        g = language_id.trigrams(" ".join(make("es", 80) + make("zh", 40) + make("zz", 60)))
+        n = np.bincount(g, minlength=len(model[1]))
+        at = np.flatnonzero(n)
+        cost = language_id.PENALTY * np.log(n.sum() + 1)
+        sets = [[i for i in range(4) if k >> i & 1] for k in range(1, 16)]
+        best = max(sets, key=lambda c: language_id.em(model[1][at][:, c], n[at].astype(float))[1] - cost * len(c))
+        assert np.flatnonzero(language_id.infer(g, model[1])).tolist() == best
+
+
 def test_lm_score(docs, empty):
     out = lm_score.score_texts(docs).collect()
     assert len(out) == len(ROWS)
