@@ -126,6 +126,25 @@ def test_url_filter(spark):
         assert abs(odds - r["log_odds"]) < 1e-9
 
 
+def test_url_filter_knows_all_words(spark):
+    """Rare, one-letter and long words of a large vocabulary split hosts; the total counts all words."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    many = [f"q{letters[i // 17576]}{letters[i // 676 % 26]}{letters[i // 26 % 26]}{letters[i % 26]}" for i in range(52_000)]
+    long = "rindfleischetikettierungsgesetz"
+    html = " ".join(many * 2) + f" zebra tiger {long} y zebra"
+    urls = ["http://zebratiger.example.org/x", f"http://tiger{long}.a-b.net/", "http://yzebray.com/", "http://yzebray.zebra.com/7", "http://zzz/", None]
+    pages = spark.createDataFrame([(i, u, None if i else html) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["tokens"] for r in url_filter.judge_urls(pages).collect()}
+    host = lambda i: [t[2:] for t in got[i] if t.startswith("h:")]
+    count = Counter(html.split())
+    logp = {w: math.log(n / sum(count.values())) for w, n in count.items()}
+    split = lambda *parts: [w for p in parts for w in url_filter.segment(p, logp)]
+    assert host(0) == ["zebra", "tiger", *split("example")]
+    assert host(1) == ["tiger", long, "a", "b"]
+    assert host(2) == ["y", "zebra", "y"] == host(3)[:3] and host(3)[3:] == ["zebra"]
+    assert host(4) == host(5) == [] and len(got) == len(urls)
+
+
 def test_language_id(spark, docs, empty):
     rnd = random.Random(2)
     make = lambda alphabet: " ".join("".join(rnd.choice(alphabet) for _ in range(5)) for _ in range(80))
