@@ -1,24 +1,25 @@
 """Language-model scores by online logistic context mixing.
 
-Tokens are words (A-Z lower-cased) and one end per text. A word is coded byte by byte, closed by a
-space, and each byte bit by bit. For every bit, one predictor per context order in ``ORDERS`` reads the
-counts of zeros and ones seen after the hash of the last bytes and the bits so far. The stretched
-probabilities are combined by weights from a set that a gate selects: the longest context seen so far
-and how often. The weights are learned online, predict first and then correct, over the stream of
-training words; each word's own occurrence is taken out of the counts it is predicted with. An adaptive
-table, indexed by the mixed prediction and the bit's place, refines the result.
-
-A token's probability mixes two experts: its own count in the training texts, less a discount, and the
-spelling model, which gets the discounted mass. That is the bitwise mixture of the two with weights
-updated by Bayes' rule after each bit, summed up over a whole word. In the same way a text mixes experts
-that learned from different training texts (all, and those of each frequent value of ``expert_col``):
-their weights start from their shares and follow Bayes' rule from token to token. A text's probability is
-therefore a sum over experts of products over tokens, so everything about a word is computed once per
-distinct word and joined to the texts; words in sorted order share the work on their common beginnings.
-
-Work: token counts are summed by key in a shuffle and grow with the corpus; so do the counts of bits,
-gathered in a hashed table of ``len(ORDERS) * 2**SLOT_BITS`` slots, a fixed size that may be broadcast.
-Weights and refinements, learned on about ``SHARD`` words each, are averaged. Words with at least a ``HEAVY``-th of all
+Tokens are words (A-Z lower-cased) and one end per text. A text is coded as its words in their order,
+each closed by a space, byte by byte and each byte bit by bit. For every bit, one predictor per context
+reads the counts of zeros and ones seen after the hash of the context and the bits so far: the last bytes
+by ``ORDERS``, across spaces, and the word so far with the whole word before it. The stretched
+probabilities are combined by weights from a set that a gate selects: how many contexts were seen so far
+and how often. An adaptive table, indexed by the mixed prediction and the bit's place in its word, refines
+the result. Bits are counted over all running training texts, as often as they occur; the weights are
+learned online over the same texts, predict first and then correct, with each bit's own occurrence taken
+out of the counts it is predicted with.
+
+This expert starts with half the weight of a text's probability. The other half mixes experts on single
+words that learned from different training texts (all, and those of each frequent value of
+``expert_col``), by their shares: a word's count, less a discount, and for the discounted mass a spelling
+model, which is built like the above over the distinct words. Weights follow Bayes' rule from token to
+token, so a text's probability is a sum over experts of products over tokens.
+
+Work: every task keeps a table of ``CONTEXTS * 2**SLOT_BITS`` slots, summed by slot in a shuffle; it is a
+fixed size that may be broadcast. Running text is passed three times, to count, to learn and to score.
+Weights and refinements are averaged over tasks. Word counts are summed by key and grow with the corpus;
+what the word experts need is computed once per distinct word. Words with at least a ``HEAVY``-th of all
 tokens, of which there can be no more than ``HEAVY``, are broadcast with their figures; other words
 travel as 64-bit hashes to their figures and the parts are summed per document.
 
@@ -42,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from entitylink.functions.storage import materialize
-from entitylink.llm.common import Words, crc_mod, mix64
+from entitylink.llm.common import _BYTE, Words, _powers, crc_mod, mix64
 from entitylink.llm.substring_dedup import pieces
 
 ORDERS = (1, 2, 3, 4, 6)
@@ -56,7 +57,9 @@ DELTA = 0.1
 STEPS = 4  # confidence steps of the gate
 BINS = 33
 FLUSH = 300_000
-GATES = (len(ORDERS) + 1) * STEPS
+CONTEXTS = len(ORDERS) + 1
+GATES = (CONTEXTS + 1) * STEPS
+PIECE = 16_384  # bytes of running text that are coded at once
 _LOG = np.log(np.arange(65536) + DELTA).astype(np.float32)
 _STEP = np.minimum(np.log2(1 + np.arange(131072)) / 2, STEPS - 1).astype(np.uint8)
 
@@ -84,7 +87,10 @@ class Bits:
         broken = np.where(same, np.int64(1) << 40, place)
         self.shared = np.minimum(np.minimum.reduceat(broken, begin), size - 1) if len(words) else size
         self.size = size
-        new = np.flatnonzero(place >= np.repeat(self.shared, size))
+        self.contexts(data, place, np.flatnonzero(place >= np.repeat(self.shared, size)))
+
+    def contexts(self, data: np.ndarray, place: np.ndarray, new: np.ndarray) -> None:
+        """Hashes of what is before each byte ``new``; ``place``: bytes of the same text before it."""
         code, self.before = np.zeros(len(new), np.uint64), []
         at, where = data[new], place[new]
         for k in range(1, max(ORDERS) + 1):
@@ -93,7 +99,14 @@ class Bits:
             code ^= code >> np.uint64(29)
             if k in ORDERS:
                 self.before.append(mix64(code))
-        self.data, self.place = at, np.minimum(where, 7)
+        # the word so far together with the whole word before it
+        i = np.arange(len(data))
+        first = np.maximum.accumulate(np.where((place == 0) | (np.concatenate([[0], data[:-1]]) == 32), i, 0)) if len(data) else i
+        back = np.where(place[first] > 0, first[np.maximum(first - 1, 0)], first)[new]
+        p, q = _powers(len(data) + 1)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * p[: len(data)])])
+        self.before.append(mix64((total[new] - total[back]) * q[back] + (new - back).astype(np.uint64)))
+        self.data, self.place = at, np.minimum(new - first[new], 7)
 
     def planes(self) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
         """For bit 0 to 7 the bits, and per order the slots."""
@@ -136,6 +149,50 @@ class Bits:
         return out
 
 
+class Running(Bits):
+    """The bits of running texts; of each text the first ``skip`` bytes are only context."""
+
+    def __init__(self, texts: list[bytes], skip: list[int]) -> None:
+        data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+        size, skip = np.array([len(t) + 1 for t in texts]), np.array(skip)
+        place = np.arange(len(data)) - np.repeat(np.cumsum(size) - size, size)
+        self.size = size - skip
+        self.contexts(data, place, np.flatnonzero(place >= np.repeat(skip, size)))
+
+    def times(self) -> np.ndarray:
+        return np.ones(len(self.data), np.int64)
+
+    def total(self, found: np.ndarray) -> np.ndarray:
+        return np.bincount(np.repeat(np.arange(len(self.size)), self.size), found, len(self.size))
+
+
+def running(texts: list[str | None], size: int | None = None) -> Iterator[tuple[Running, list[int]]]:
+    """All words of the texts in order, in pieces, with the place of each piece's text.
+
+    A piece within a text begins with the three words before it as context, which every predictor's reach
+    is within.
+    """
+    size = size or PIECE
+    held, skip, owner, n = [], [], [], 0
+    for k, text in enumerate(texts):
+        words, begin = (text or "").encode().lower().split(), 0
+        while begin < len(words):
+            end, m = begin, 0
+            while end < len(words) and m < size:
+                m += len(words[end]) + 1
+                end += 1
+            past = words[max(0, begin - 3) : begin]
+            held.append(b" ".join(past + words[begin:end]))
+            skip.append(sum(len(w) + 1 for w in past))
+            owner.append(k)
+            begin, n = end, n + m
+            if n >= size:
+                yield Running(held, skip), owner
+                held, skip, owner, n = [], [], [], 0
+    if held:
+        yield Running(held, skip), owner
+
+
 @dataclass
 class Model:
     """Bit counts by slot (zeros << 16 | ones), gated weights, refinement table, and token totals.
@@ -185,7 +242,16 @@ class Model:
 
     def spelling(self, words: list[bytes]) -> np.ndarray:
         """Natural log probability of each word by its bits."""
-        bits = Bits(words)
+        return self.coded(Bits(words))
+
+    def running(self, texts: list[str | None]) -> np.ndarray:
+        """Natural log probability of each text's words in their order."""
+        out = np.zeros(len(texts))
+        for bits, owner in running(texts):
+            np.add.at(out, owner, self.coded(bits))
+        return out
+
+    def coded(self, bits: Bits) -> np.ndarray:
         found = np.zeros(len(bits.data))
         for i, (bit, slots) in enumerate(bits.planes()):
             x, gate = self.inputs(slots)
@@ -255,51 +321,65 @@ def count_tokens(experts: int):
     return run
 
 
-def count_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """token (sorted) -> slot, zeros, ones; each distinct word counts once."""
-    total = np.zeros(len(ORDERS) << SLOT_BITS, np.int64)  # zeros << 32 | ones
+def word_bits(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[Bits]:
+    """The bits of sorted distinct words; ``most``: words at once, then in an order that parts neighbours."""
+    for b in batches:
+        parts = list(_batches(b.column(0).to_pylist(), most or 20_000))
+        order = np.random.Generator(np.random.PCG64(len(parts))).permutation(len(parts)) if most else range(len(parts))
+        for at in order:  # neighbours are alike
+            yield Bits(parts[at])
+
+
+def text_bits(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[Bits]:
+    """The bits of running texts."""
     for b in batches:
-        for words in _batches(b.column(0).to_pylist(), 20_000):
-            bits = Bits(words)
+        for bits, _ in running(b.column(0).to_pylist()):
+            yield bits
+
+
+def count_bits(each):
+    """What ``each`` codes -> slot, zeros, ones; a byte counts as often as it occurs there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CONTEXTS << SLOT_BITS, np.int64)  # zeros << 32 | ones
+        for bits in each(batches):
             times = bits.times()
             for bit, slots in bits.planes():
                 add = np.where(bit, times, times << 32)
                 for at in slots:
                     np.add.at(total, at, add)
-    at = np.flatnonzero(total)
-    for i in range(0, len(at), 100_000):
-        part = at[i : i + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part] >> 32), pa.array(total[part] & 0xFFFFFFFF)], ["slot", "zeros", "ones"])
+        at = np.flatnonzero(total)
+        for i in range(0, len(at), 100_000):
+            part = at[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part] >> 32), pa.array(total[part] & 0xFFFFFFFF)], ["slot", "zeros", "ones"])
+
+    return run
 
 
-def learn_online(shared):
-    """token (sorted) -> what a shard learns: (kind, place, sum, weight) of weights and refinements."""
+def learn_online(shared, each):
+    """What ``each`` codes -> what a shard learns: (kind, place, sum, weight) of weights and refinements."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = shared.value
         model = Model(start.counts, start.weights.copy(), start.refine)
         hits, tries, used, mean = np.zeros(64 * BINS), np.zeros(64 * BINS), np.zeros(GATES), np.zeros(start.weights.shape)
-        for b in batches:
-            parts = list(_batches(b.column(0).to_pylist(), BATCH))
-            for at in np.random.Generator(np.random.PCG64(len(parts))).permutation(len(parts)):  # neighbours are alike
-                words = parts[at]
-                bits = Bits(words)
-                times = bits.times()
-                for i, (bit, slots) in enumerate(bits.planes()):
-                    x, gate = model.inputs(slots, bit)
-                    z = model.mixed(x, gate)
-                    error = (bit - 1 / (1 + np.exp(-z))) * times
-                    n = np.bincount(gate, times, GATES)
-                    step = np.stack([np.bincount(gate, error * row, GATES) for row in x], 1)
-                    model.weights += RATE * step / (n + 100)[:, None]
-                    mean += model.weights * n[:, None]
-                    used += n
-                    cell = (i * 8 + bits.place) * BINS + np.rint((z + 11) * np.float32((BINS - 1) / 22)).astype(np.int64)
-                    hits += np.bincount(cell, bit * times, 64 * BINS)
-                    tries += np.bincount(cell, times, 64 * BINS)
+        for bits in each(batches, BATCH):
+            times = bits.times()
+            for i, (bit, slots) in enumerate(bits.planes()):
+                x, gate = model.inputs(slots, bit)
+                z = model.mixed(x, gate)
+                error = (bit - 1 / (1 + np.exp(-z))) * times
+                n = np.bincount(gate, times, GATES)
+                step = np.stack([np.bincount(gate, error * row, GATES) for row in x], 1)
+                model.weights += RATE * step / (n + 100)[:, None]
+                mean += model.weights * n[:, None]
+                used += n
+                cell = (i * 8 + bits.place) * BINS + np.rint((z + 11) * np.float32((BINS - 1) / 22)).astype(np.int64)
+                hits += np.bincount(cell, bit * times, 64 * BINS)
+                tries += np.bincount(cell, times, 64 * BINS)
         kind = ["w"] * model.weights.size + ["r"] * hits.size
-        each = np.repeat(used, len(ORDERS))
-        cols = [kind, np.concatenate([np.arange(model.weights.size), np.arange(hits.size)]), np.concatenate([mean.ravel(), hits]), np.concatenate([each, tries])]
+        seen = np.repeat(used, CONTEXTS)
+        cols = [kind, np.concatenate([np.arange(model.weights.size), np.arange(hits.size)]), np.concatenate([mean.ravel(), hits]), np.concatenate([seen, tries])]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["kind", "place", "total", "n"])
 
     return run
@@ -308,11 +388,11 @@ def learn_online(shared):
 def fresh() -> Model:
     """Before any training: even weights, and a refinement that changes nothing."""
     grid = 1 / (1 + np.exp(-np.linspace(-11, 11, BINS)))
-    return Model(np.zeros(len(ORDERS) << SLOT_BITS, np.uint32), np.full((GATES, len(ORDERS)), 0.25), np.tile(grid, (64, 1)))
+    return Model(np.zeros(CONTEXTS << SLOT_BITS, np.uint32), np.full((GATES, CONTEXTS), 0.25), np.tile(grid, (64, 1)))
 
 
 def train(types: DataFrame, prior: list[int]) -> Model:
-    """Learn from the sorted counts ``(token, n_all, c)`` and the number of training texts by expert."""
+    """The figures and the spelling model of words, from the sorted counts ``(token, n_all, c)`` and the number of training texts by expert."""
     model, texts = fresh(), sum(prior)
     known, total = types.where("c[0] > 0"), F.coalesce(F.sum("c0"), F.lit(0))
     cs = [F.col("c")[k].alias(f"c{k}") for k in range(len(prior) + 1)]
@@ -324,14 +404,18 @@ def train(types: DataFrame, prior: list[int]) -> Model:
     model.prior = tuple((p + 0.5) / (texts + 0.5 * (len(prior) + 1)) for p in [0, *prior])
     if not s[1]:
         return model
-    words = known.select("token")
-    table = words.mapInArrow(count_bits, "slot int, zeros long, ones long").groupBy("slot").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
+    return learn(model, known.select("token"), word_bits)
+
+
+def learn(model: Model, rows: DataFrame, each) -> Model:
+    """Bit counts, then weights and refinements, of what ``each`` codes in the rows."""
+    table = rows.mapInArrow(count_bits(each), "slot int, zeros long, ones long").groupBy("slot").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
     most = F.greatest("zeros", "ones", F.lit(65535))
     table = table.select("slot", *[F.ceil(F.col(c) * 65535 / most).cast("int").alias(c) for c in ("zeros", "ones")])
-    got = materialize(table, "bits").toArrow().to_pandas()  # at most len(ORDERS) * 2**SLOT_BITS rows of 12 bytes
+    got = materialize(table, "bits").toArrow().to_pandas()  # at most CONTEXTS * 2**SLOT_BITS rows of 12 bytes
     model.counts[got["slot"].to_numpy()] = got["zeros"].to_numpy().astype(np.uint32) << 16 | got["ones"].to_numpy().astype(np.uint32)
     del got
-    learned = words.mapInArrow(learn_online(types.sparkSession.sparkContext.broadcast(model)), "kind string, place long, total double, n double")
+    learned = rows.mapInArrow(learn_online(rows.sparkSession.sparkContext.broadcast(model), each), "kind string, place long, total double, n double")
     learned = learned.groupBy("kind", "place").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).toArrow().to_pandas()
     for kind, place, amount, n in learned.itertuples(index=False):
         if kind == "w" and n:
@@ -383,17 +467,21 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", e
     shards = max(1, -(-types.count() // SHARD))
     types = materialize(types.repartitionByRange(shards, "token").sortWithinPartitions("token"), "sorted")
     model = train(types, prior)
+    flow = fresh()
+    if model.n:
+        learn(flow, docs.where("train").select("text"), text_bits)
+    flow = spark.sparkContext.broadcast(flow)
     figures = materialize(word_figures(types, model), "words")
     every = figures.agg(F.coalesce(F.sum("n_all"), F.lit(0))).first()[0]
     top = figures.where(F.col("n_all") * HEAVY >= every).select("h", "c", "lp").toArrow().combine_chunks()  # at most HEAVY rows
     hs, first = np.unique(top.column("h").to_numpy(), return_index=True)
     cs, lps = top.column("c").to_numpy()[first], np.concatenate([np.zeros((0, experts), np.float32), *[x.flatten().to_numpy().reshape(-1, experts) for x in top.column("lp").chunks]])[first]
-    heavy = spark.sparkContext.broadcast((hs, cs, lps, model.base(cs), model.ends, model.end(), float(model.base(model.ends))))
+    heavy = spark.sparkContext.broadcast((hs, cs, lps, model.base(cs), model.ends, model.end(), float(model.base(model.ends)), log10((model.n - model.ends + 1) / (model.n + 2))))
     kind = docs.schema["id"].dataType.simpleString()
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One row per text with the sums over its frequent words, and one per rare word of a text."""
-        hs, cs, lps, bases, ends, end, end_base = heavy.value
+        hs, cs, lps, bases, ends, end, end_base, goes_on = heavy.value
         for b in batches:
             texts, ids, keys, trains = (b.column(c) for c in ("text", "id", "key", "train"))
             texts = texts.to_pylist()
@@ -418,12 +506,13 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", e
                     "tf": pa.array(np.concatenate([np.zeros(n, np.int64), np.diff(np.concatenate([first, [len(rd)]]))])),
                     "id": pa.concat_arrays([ids.slice(i, n), blank(none, ids.type)]), "train": pa.concat_arrays([trains.slice(i, n), blank(none, pa.bool_())]),
                     "n_bytes": own(np.diff(w.offset) - 1, pa.int64()), "n_tokens": own(sizes + 1, pa.int64()), "known": own(total(cs > 0) + (ends > 0), pa.int64()), "base": own(total(bases) + end_base, pa.float64()),
+                    "flow": own(flow.value.running(texts[i:j]) / log(10) + sizes * goes_on + end, pa.float64()),
                     **{f"lp{k}": own(total(lps[:, k]) + end, pa.float64()) for k in range(experts)},
                 }
                 yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
     names = [f"lp{k}" for k in range(experts)]
-    parts = docs.select("id", "key", "train", "text").mapInArrow(split, f"key long, word long, tf long, id {kind}, train boolean, n_bytes long, n_tokens long, known long, base double, " + ", ".join(f"{c} double" for c in names))
+    parts = docs.select("id", "key", "train", "text").mapInArrow(split, f"key long, word long, tf long, id {kind}, train boolean, n_bytes long, n_tokens long, known long, base double, flow double, " + ", ".join(f"{c} double" for c in names))
     # a text's own row takes its key for a word, so these rows spread over all tasks
     rare = parts.withColumn("own", F.col("word").isNull()).withColumn("word", F.coalesce("word", "key"))
     rare_figures = figures.where(F.col("n_all") * HEAVY < every).select(F.col("h").alias("word"), F.col("c").alias("word_c"), F.col("lp").alias("word_lp"))
@@ -433,14 +522,14 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", e
         "key", "own", "id", "train", "n_bytes", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"),
         F.when(F.col("own"), F.col("known")).otherwise(F.when(F.col("word_c") > 0, F.col("tf")).otherwise(0)).alias("known"),
         F.when(F.col("own"), F.col("base")).otherwise(F.col("tf") * F.log10((F.col("word_c") + 0.1) / total)).alias("base"),
-        *[F.when(F.col("own"), F.col(c)).otherwise(F.col("tf") * F.get("word_lp", F.lit(k))).alias(c) for k, c in enumerate(names)],
+        *[F.when(F.col("own"), F.col(c)).otherwise(F.col("tf") * F.get("word_lp", F.lit(k))).alias(c) for k, c in enumerate(names)], F.coalesce("flow", F.lit(0.0)).alias("flow"),
     )
     own = lambda c: F.max(F.when(F.col("own"), F.col(c)))
-    sums = joined.groupBy("key").agg(F.count_if("own").alias("copies"), own("id").alias("id"), own("train").alias("train"), own("n_bytes").alias("n_bytes"), *[F.sum(c).alias(c) for c in ("n_tokens", "known", "base", *names)])
+    sums = joined.groupBy("key").agg(F.count_if("own").alias("copies"), own("id").alias("id"), own("train").alias("train"), own("n_bytes").alias("n_bytes"), *[F.sum(c).alias(c) for c in ("n_tokens", "known", "base", "flow", *names)])
     each = sums.withColumn("copy", F.explode(F.sequence(one, F.col("copies").cast("int"))))
     part = lambda c: F.col(c) / F.col("copies")
     # the experts' weights follow Bayes' rule from token to token; over a whole text that is this sum
-    logs = [part(c) + log10(p) for c, p in zip(names, model.prior, strict=True)]
+    logs = [part(c) + log10(p / 2) for c, p in zip(names, model.prior, strict=True)] + [part("flow") + log10(0.5)]
     best = F.greatest(*logs)
     score = best + F.log10(sum(F.pow(F.lit(10.0), x - best) for x in logs))
     return each.select(

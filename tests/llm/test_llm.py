@@ -207,6 +207,29 @@ def test_lm_score(docs, empty):
     assert all(r["n_known"] == 0 and r["base_score"] == 0 for r in none)
 
 
+def test_lm_score_reads_texts_in_order(spark):
+    """Word order counts, and how a text is cut into pieces does not."""
+    rnd = random.Random(8)
+    ring = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 9))) for _ in range(40)]
+    make = lambda: [ring[(b + k) % 40] for b in [rnd.randrange(40)] for k in range(80)]
+    rows = [(i, " ".join(make())) for i in range(150)]
+    mixed = rows[0][1].split()
+    rnd.shuffle(mixed)
+    df = spark.createDataFrame([*rows, (150, " ".join(mixed))], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in lm_score.score_texts(df, train_on=F.col("doc_id").between(1, 149)).collect()}
+    assert abs(got[0]["base_score"] - got[150]["base_score"]) < 1e-6
+    assert got[0]["score"] / 81 > got[150]["score"] / 81 + 0.3
+    model = lm_score.fresh()
+    model.counts[:] = np.random.default_rng(1).integers(0, 50, model.counts.shape) * 65537
+    texts = [sentence(300), None, "", "a b c d e", "x" * 500 + " y", sentence(40)]
+    whole = [sum(model.coded(lm_score.Running([" ".join(t.split()).encode()], [0]))) if t else 0.0 for t in texts]
+    for size in (1, 50, 10**6):
+        found = np.zeros(len(texts))
+        for bits, owner in lm_score.running(texts, size):
+            np.add.at(found, owner, model.coded(bits))
+        assert np.allclose(found, whole, rtol=1e-5)
+
+
 def test_lm_bits_are_a_distribution():
     """Over all one-byte words the bits of the first byte make a probability distribution."""
     model = lm_score.fresh()
