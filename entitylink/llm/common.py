@@ -1,14 +1,9 @@
-"""Shared helpers: scratch storage, row keys and vectorised word tokenising."""
+"""Shared helpers: row keys and vectorised word tokenising."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,24 +11,6 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
 
-def scratch(spark: SparkSession) -> str:
-    """Shared folder of ``spark.checkpoint.dir``; a local one only where that setting is missing."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="entitylink-")
-        atexit.register(shutil.rmtree, folder, True)
-        spark.conf.set("spark.checkpoint.dir", folder)
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Cut lineage: write to the shared folder and read back, so a lost executor costs no recomputation."""
-    path = f"{scratch(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(col, UPPER, LOWER)
@@ -61,10 +38,9 @@ _BYTE = _MIX.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 2**64)
 _POWERS: dict[str, np.ndarray] = {"p": np.ones(1, np.uint64), "q": np.ones(1, np.uint64)}
-_IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[[32, *range(9, 14)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+_SPACES = bytes([*range(9, 14), 32])
+_IS_SPACE = bytes(b in _SPACES for b in range(256))
+_LOWER = bytes(range(256)).lower()
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,20 +67,22 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class Words:
     """Words ``[^\\x20\\x09-\\x0D]+`` of several texts: 64-bit hash, byte span and owner of each."""
 
-    def __init__(self, texts: list[str | None], lower: bool = False) -> None:
-        raw = [(t or "").encode() for t in texts]
+    def __init__(self, texts: list[str | bytes | None], lower: bool = False) -> None:
+        raw = [t if isinstance(t, bytes) else (t or "").encode() for t in texts]
         self.buffer = b"\n".join(raw) + b"\n"
-        data = np.frombuffer(self.buffer, np.uint8)
-        edges = np.flatnonzero(np.diff(np.concatenate([[True], _IS_SPACE[data], [True]]).astype(np.int8)))
+        space = np.ones(len(self.buffer) + 2, np.uint8)
+        space[1:-1] = np.frombuffer(self.buffer.translate(_IS_SPACE), np.uint8)
+        edges = np.flatnonzero(space[1:] != space[:-1])
         self.start, self.end = edges[0::2], edges[1::2]
         lengths = np.fromiter((len(r) + 1 for r in raw), np.int64, len(raw))
         self.offset = np.concatenate([[0], np.cumsum(lengths)])
         #: words of text i are first[i]:first[i+1]
         self.first = np.searchsorted(self.start, self.offset)
+        data = np.frombuffer(self.buffer.translate(_LOWER) if lower else self.buffer, np.uint8)
         n = len(data)
         p, q = _powers(n + 1)
         total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[_LOWER[data] if lower else data] * p[:n], out=total[1:])
+        np.cumsum(_BYTE[data] * p[:n], out=total[1:])
         spans = (self.end - self.start).astype(np.uint64)
         self.hash = mix64((total[self.end] - total[self.start]) * q[self.start] + spans)
 

@@ -1,40 +1,46 @@
-"""Language-model scores by online logistic context mixing.
-
-Tokens are words (A-Z lower-cased) and one end per text. A text is coded as its words in their order,
-each closed by a space, byte by byte and each byte bit by bit. For every bit, one predictor per context
-reads the counts of zeros and ones seen after the hash of the context and the bits so far: the last bytes
-by ``ORDERS``, across spaces, and the word so far with the whole word before it. The stretched
-probabilities are combined by weights from a set that a gate selects: how many contexts were seen so far
-and how often. An adaptive table, indexed by the mixed prediction and the bit's place in its word, refines
-the result. Bits are counted over all running training texts, as often as they occur; the weights are
-learned online over the same texts, predict first and then correct, with each bit's own occurrence taken
-out of the counts it is predicted with.
-
-This expert starts with half the weight of a text's probability. The other half mixes experts on single
-words that learned from different training texts (all, and those of each frequent value of
-``expert_col``), by their shares: a word's count, less a discount, and for the discounted mass a spelling
-model, which is built like the above over the distinct words. Weights follow Bayes' rule from token to
-token, so a text's probability is a sum over experts of products over tokens.
-
-Work: every task keeps a table of ``CONTEXTS * 2**SLOT_BITS`` slots, summed by slot in a shuffle; it is a
-fixed size that may be broadcast. Running text is passed three times, to count, to learn and to score.
-Weights and refinements are averaged over tasks. Word counts are summed by key and grow with the corpus;
-what the word experts need is computed once per distinct word. Words with at least a ``HEAVY``-th of all
-tokens, of which there can be no more than ``HEAVY``, are broadcast with their figures; other words
-travel as 64-bit hashes to their figures and the parts are summed per document.
+"""Language-model scores by online logistic context mixing along the text.
+
+A text is coded as its words in order (A-Z lower-cased), each closed by a space and the last one by a line
+end, byte by byte and each byte bit by bit; a text without words is its line end. For every bit, one
+predictor per context reads the counts of zeros and ones seen after the hash of the context and the bits so
+far. Contexts are the last bytes by ``ORDERS``, across spaces, and at word level the word so far (its last
+``REACH`` bytes) with the whole word before it, where that one is among the ``FREQUENT`` commonest words and
+the byte is one of the first ``NEAR`` of its word, and once more without that word. The stretched probabilities are combined by
+weights from two sets, one selected by a gate (the longest context seen, how often it was, and how often the
+word so far was), the other by the byte's bits so far. An adaptive table, indexed by the bits so far and the mixed prediction, refines the result.
+The sum of these bits is the text's score; nothing else enters it.
+
+All a byte's prediction depends on fits a 64-bit key, its unit: the byte, the ``REACH`` bytes before it and
+the class of the word before. So the work is done once per distinct unit, exactly:
+
+- Tasks turn their running training texts into units and count them; the counts are summed in a shuffle and
+  grow with the corpus.
+- The bits of the counted units make a table of ``CONTEXTS * 2**SLOT_BITS`` slots, a fixed size that may be
+  broadcast. A slot belongs to the most frequent of the contexts that share it, told apart by a tag; the
+  others count as unseen there, so that they lend no false counts and shorter contexts speak for them.
+- Weights and refinement are learned online over the counted units: a batch, each unit weighing as often as
+  it occurs, is predicted with one occurrence of its own taken out of the counts, then the weights are
+  corrected before the next batch. Tasks start alike and are averaged by the occurrences they saw.
+- Scoring passes the running texts again and looks scored units up in a table of fixed size per worker, which
+  begins with the commonest units; others are scored when they are met.
+
+Token counts, for the base score, are summed by 64-bit hash of the word. Words with at least a ``HEAVY``-th
+of all tokens, of which there can be no more than ``HEAVY``, are broadcast; a text's other words travel to
+their counts, and the parts are summed per document by two 64-bit hashes of its id and text.
 
 Defined results: a null text counts as empty and has one token, its end. Without any training text every
-count is zero, the base score is log10(0.1 / 0.1) per token, and a token's probability is the spelling
-model's with all predictors at one half. Rows equal in id and text are scored once and returned as often
-as they occur. A null id counts as the empty string in the hold-out rule. Words of any length are coded
-whole; every byte counts.
+count is zero, the base score is log10(0.1 / 0.1) per token, and every bit has probability one half. Rows
+equal in id and text are returned as often as they occur. A null id counts as the empty string in the
+hold-out rule. Words of any length are coded whole; long texts are cut between words, each piece with the
+words before it as context, which changes no result. Columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import re
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from math import log, log10
 
 import numpy as np
@@ -43,499 +49,558 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from entitylink.functions.storage import materialize
-from entitylink.llm.common import _BYTE, Words, _powers, crc_mod, mix64
-from entitylink.llm.substring_dedup import pieces
+from entitylink.llm.common import _LOWER, _SPACES, Words, crc_mod, mix64, row_key
 
-ORDERS = (1, 2, 3, 4, 6)
+ORDERS = (2, 3, 4, 6)
+REACH = max(ORDERS)
+CONTEXTS = len(ORDERS) + 2
 SLOT_BITS = 20
+FREQUENT = 255
+NEAR = 4
 HEAVY = 500_000
-EXPERTS = 8
-SHARD = 50_000
-BATCH = 2048
-RATE = 0.05
-DELTA = 0.1
+PIECE = 1 << 20  # bytes of running text that are looked at together
+UNITS = 1_500_000  # distinct units that a task gathers before it learns from them
+TYPES = 1_000_000  # distinct words that a task gathers before it hands them on
+SHARD = 1_500_000  # distinct units whose bits one task adds up
+LESSON = 500_000  # distinct units that one task learns from
+BATCH = 4096
+CHUNK = 1 << 16
+RATE = 0.3
+DELTA = 0.05
 STEPS = 4  # confidence steps of the gate
+GATES = (len(ORDERS) + 1) * STEPS * (STEPS + 1)
 BINS = 33
-FLUSH = 300_000
-CONTEXTS = len(ORDERS) + 1
-GATES = (CONTEXTS + 1) * STEPS
-PIECE = 16_384  # bytes of running text that are coded at once
+LIMIT = 11.0
+MEMO_BITS = 21
+
+_ODD = 0x9E3779B97F4A7C15
+_END, _SPACE = 10, 32
+_BLANK = re.compile(b"[\x20\x09-\x0d]")
+_FLAT = _LOWER.translate(bytes(_SPACE if b in _SPACES else b for b in range(256)))
 _LOG = np.log(np.arange(65536) + DELTA).astype(np.float32)
-_STEP = np.minimum(np.log2(1 + np.arange(131072)) / 2, STEPS - 1).astype(np.uint8)
 
 
-class Bits:
-    """The bits of some sorted words with the table slots of every predictor, one bit plane at a time.
+# ---- running text as units ---------------------------------------------------------------------
 
-    Bytes that a word shares with the beginning of the word before it are predicted alike, so only the
-    others are coded, each for as many words as ``times`` says; ``total`` adds up what was found for the
-    bytes of each word.
-    """
 
-    def __init__(self, words: list[bytes]) -> None:
-        data = np.frombuffer(b" ".join(words) + b" ", np.uint8)
-        size = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
-        begin = np.cumsum(size) - size
-        place = np.arange(len(data)) - np.repeat(begin, size)
-        # length shared with the word before
-        same = np.zeros(len(data), bool)
-        if len(words) > 1:
-            back = np.repeat(np.concatenate([[0], begin[:-1]]), size)
-            limit = np.repeat(np.concatenate([[0], size[:-1]]), size)
-            inside = place < limit
-            same[inside] = data[inside] == data[back[inside] + place[inside]]
-        broken = np.where(same, np.int64(1) << 40, place)
-        self.shared = np.minimum(np.minimum.reduceat(broken, begin), size - 1) if len(words) else size
-        self.size = size
-        self.contexts(data, place, np.flatnonzero(place >= np.repeat(self.shared, size)))
-
-    def contexts(self, data: np.ndarray, place: np.ndarray, new: np.ndarray) -> None:
-        """Hashes of what is before each byte ``new``; ``place``: bytes of the same text before it."""
-        code, self.before = np.zeros(len(new), np.uint64), []
-        at, where = data[new], place[new]
-        for k in range(1, max(ORDERS) + 1):
-            past = np.where(where >= k, data[np.maximum(new - k, 0)].astype(np.uint64) + np.uint64(1), np.uint64(0))
-            code = (code + past + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)
-            code ^= code >> np.uint64(29)
-            if k in ORDERS:
-                self.before.append(mix64(code))
-        # the word so far together with the whole word before it
-        i = np.arange(len(data))
-        first = np.maximum.accumulate(np.where((place == 0) | (np.concatenate([[0], data[:-1]]) == 32), i, 0)) if len(data) else i
-        back = np.where(place[first] > 0, first[np.maximum(first - 1, 0)], first)[new]
-        p, q = _powers(len(data) + 1)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * p[: len(data)])])
-        self.before.append(mix64((total[new] - total[back]) * q[back] + (new - back).astype(np.uint64)))
-        self.data, self.place = at, np.minimum(new - first[new], 7)
-
-    def planes(self) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-        """For bit 0 to 7 the bits, and per order the slots."""
-        node = np.ones(len(self.data), np.uint64)
-        for i in range(8):
-            bit = (self.data >> (7 - i)) & 1
-            step = node * np.uint64(0xD1B54A32D192ED03)
-            slots = []
-            for order, code in enumerate(self.before):
-                h = (code + step) * np.uint64(0x9E3779B97F4A7C15)
-                h >>= np.uint64(64 - SLOT_BITS)
-                slots.append(h.astype(np.int32) + np.int32(order << SLOT_BITS))
-            yield bit, slots
-            node = node * np.uint64(2) + bit
-
-    def times(self) -> np.ndarray:
-        """For each coded byte the number of words it stands for."""
-        sizes, shared, out, after = self.size.tolist(), self.shared.tolist(), [], []
-        for i in range(len(sizes) - 1, -1, -1):
-            now = [1] * sizes[i]
-            if after:
-                for p in range(shared[i + 1]):
-                    now[p] += after[p]
-            out.append(now[: shared[i] - 1 if shared[i] else None : -1])
-            after = now
-        return np.array([x for row in out for x in row][::-1], np.int64)
-
-    def total(self, found: np.ndarray) -> np.ndarray:
-        """Sum over the bytes of each word of what was found for the coded bytes."""
-        out, sums, at = np.empty(len(self.size)), [0.0], 0
-        found = found.tolist()
-        for i, (size, shared) in enumerate(zip(self.size.tolist(), self.shared.tolist(), strict=True)):
-            del sums[shared + 1 :]
-            s = sums[shared]
-            for v in found[at : at + size - shared]:
-                s += v
-                sums.append(s)
-            at += size - shared
-            out[i] = s
+@dataclass
+class Piece:
+    """Some consecutive texts or parts of one long text: words, and the units of all bytes in order."""
+
+    words: Words
+    own: np.ndarray  # words that are no mere context
+    word_text: np.ndarray  # text number of each word
+    units: np.ndarray
+    ends: np.ndarray  # places in units where the segments end
+    texts: np.ndarray  # text number of each segment
+
+
+def cut_texts(texts: list[str | None], most: int) -> Iterator[list[tuple[int, bytes, int, bool]]]:
+    """Groups of segments: text number, bytes, how many words are only context, does the text end here."""
+    held, n = [], 0
+    for k, text in enumerate(texts):
+        raw, begin, lead = (text or "").encode().rstrip(_SPACES), 0, []
+        while begin is not None:
+            gap = _BLANK.search(raw, begin + most)
+            end = gap.start() if gap else len(raw)
+            segment = b" ".join([*lead, raw[begin:end]])
+            held.append((k, segment, len(lead), gap is None))
+            n += end - begin + 1
+            if n >= most:
+                yield held
+                held, n = [], 0
+            lead = segment.rsplit(None, 3)[-3:] if gap else []
+            begin = end if gap else None
+    if held:
+        yield held
+
+
+def pieces_of(texts: list[str | None], classes: np.ndarray, most: int = PIECE) -> Iterator[Piece]:
+    """``classes``: sorted hashes of the words that make a context for the next word."""
+    for segments in cut_texts(texts, most):
+        number, raw, lead, last = (np.array(x) if i != 1 else x for i, x in enumerate(zip(*segments, strict=True)))
+        w = Words(raw, lower=True)
+        data = np.frombuffer(w.buffer.translate(_FLAT), np.uint8).copy()
+        keep = data != _SPACE
+        keep[w.end] = True
+        size, count = w.end - w.start + 1, np.diff(w.first)
+        closing = w.end[w.first[1:][last & (count > 0)] - 1]
+        lone = w.offset[1:][last & (count == 0)] - 1
+        data[closing], data[lone], keep[lone] = _END, _END, True
+        stream = data[keep]
+        until = np.concatenate([[0], np.cumsum(size)])
+        sizes = np.where(last & (count == 0), 1, until[w.first[1:]] - until[w.first[:-1]])
+        ends = np.cumsum(sizes)
+        units = stream.astype(np.uint64)
+        for k in range(1, REACH + 1):
+            units[k:] |= stream[:-k].astype(np.uint64) << np.uint64(8 * k) if k < len(stream) else np.uint64(0)
+        # before a text's start all bytes count as line ends
+        tens = np.uint64(int.from_bytes(bytes([_END] * (REACH + 1)), "big"))
+        for k in range(REACH):
+            at = (ends - sizes + k)[sizes > k]
+            inside = np.uint64((1 << 8 * (k + 1)) - 1)
+            units[at] = units[at] & inside | tens & ~inside
+        if len(classes):
+            at = np.minimum(np.searchsorted(classes, w.hash), len(classes) - 1)
+            cls = np.where(classes[at] == w.hash, at + 1, 0).astype(np.uint64) << np.uint64(8 * (REACH + 1))
+            cls[1:] = cls[:-1]
+            cls[w.first[:-1][count > 0]] = 0
+            begin = until[:-1] + np.repeat(np.cumsum(sizes - (until[w.first[1:]] - until[w.first[:-1]])), count)
+            for k in range(NEAR):
+                near = size > k
+                units[begin[near] + k] |= cls[near]
+        own = np.ones(len(size), bool)
+        if lead.any():
+            skip = np.zeros(len(units), bool)
+            for s in np.flatnonzero(lead):
+                a, b = w.first[s], w.first[s] + lead[s]
+                own[a:b] = False
+                skip[ends[s] - sizes[s] : ends[s] - sizes[s] + until[b] - until[a]] = True
+            ends = np.cumsum(np.concatenate([[0], ~skip]))[ends]
+            units = units[~skip]
+        yield Piece(w, own, np.repeat(number, count), units, ends, number)
+
+
+class Tally:
+    """How often each 64-bit value occurs; sorted runs that are merged as they grow."""
+
+    def __init__(self) -> None:
+        self.runs: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, values: np.ndarray) -> None:
+        if len(values):
+            v = np.sort(values)
+            self._keep(v, np.ones(len(v), np.int64))
+
+    def _keep(self, v: np.ndarray, n: np.ndarray) -> None:
+        first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+        self.runs.append((v[first], np.add.reduceat(n, first)))
+        self.size += len(first)
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.runs) > 1:
+            v, n = (np.concatenate(x) for x in zip(*self.runs, strict=True))
+            order = np.argsort(v, kind="stable")
+            self.runs, self.size = [], 0
+            self._keep(v[order], n[order])
+        return self.runs[0] if self.runs else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+    def full(self, most: int) -> bool:
+        if self.size > 2 * most:
+            self.merged()
+        return self.size > most and len(self.runs) == 1
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        out = self.merged()
+        self.runs, self.size = [], 0
         return out
 
 
-class Running(Bits):
-    """The bits of running texts; of each text the first ``skip`` bytes are only context."""
+# ---- the model ---------------------------------------------------------------------------------
 
-    def __init__(self, texts: list[bytes], skip: list[int]) -> None:
-        data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-        size, skip = np.array([len(t) + 1 for t in texts]), np.array(skip)
-        place = np.arange(len(data)) - np.repeat(np.cumsum(size) - size, size)
-        self.size = size - skip
-        self.contexts(data, place, np.flatnonzero(place >= np.repeat(skip, size)))
 
-    def times(self) -> np.ndarray:
-        return np.ones(len(self.data), np.int64)
+def contexts(units: np.ndarray) -> list[np.ndarray]:
+    """Hash of every context of each unit's byte."""
+    before = units >> np.uint64(8) & np.uint64((1 << 8 * REACH) - 1)
+    low = lambda k: before & np.uint64((1 << 8 * k) - 1)
+    out = [low(k) | np.uint64(k << 56) for k in ORDERS]
+    word, inside, length = np.zeros_like(units), np.ones(len(units), bool), np.zeros_like(units)
+    for k in range(1, REACH + 1):
+        b = units >> np.uint64(8 * k) & np.uint64(255)
+        inside &= (b != _SPACE) & (b != _END)
+        word = np.where(inside, low(k), word)
+        length += inside
+    cls = units >> np.uint64(8 * (REACH + 1))
+    word |= length << np.uint64(8 * REACH)
+    return [mix64(c) for c in [*out, word | np.uint64(1 << 60), word | cls << np.uint64(8 * REACH + 3)]]
 
-    def total(self, found: np.ndarray) -> np.ndarray:
-        return np.bincount(np.repeat(np.arange(len(self.size)), self.size), found, len(self.size))
 
+def planes(units: np.ndarray) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
+    """For bit 0 to 7: the bits, the hashes by context of what precedes them, and the bits so far after a one."""
+    codes, byte = contexts(units), (units & np.uint64(255)).astype(np.int32)
+    seen = np.ones(len(units), np.int32)
+    for i in range(8):
+        step, bit = seen.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03), byte >> (7 - i) & 1
+        yield bit, [(code + step) * np.uint64(_ODD) for code in codes], seen
+        seen = seen * 2 + bit
 
-def running(texts: list[str | None], size: int | None = None) -> Iterator[tuple[Running, list[int]]]:
-    """All words of the texts in order, in pieces, with the place of each piece's text.
 
-    A piece within a text begins with the three words before it as context, which every predictor's reach
-    is within.
-    """
-    size = size or PIECE
-    held, skip, owner, n = [], [], [], 0
-    for k, text in enumerate(texts):
-        words, begin = (text or "").encode().lower().split(), 0
-        while begin < len(words):
-            end, m = begin, 0
-            while end < len(words) and m < size:
-                m += len(words[end]) + 1
-                end += 1
-            past = words[max(0, begin - 3) : begin]
-            held.append(b" ".join(past + words[begin:end]))
-            skip.append(sum(len(w) + 1 for w in past))
-            owner.append(k)
-            begin, n = end, n + m
-            if n >= size:
-                yield Running(held, skip), owner
-                held, skip, owner, n = [], [], [], 0
-    if held:
-        yield Running(held, skip), owner
+def slot(h: np.ndarray, k: int) -> np.ndarray:
+    return (h >> np.uint64(64 - SLOT_BITS)).astype(np.int32) + np.int32(k << SLOT_BITS)
+
+
+def tag(h: np.ndarray) -> np.ndarray:
+    """What tells contexts in one slot apart."""
+    return (h >> np.uint64(48 - SLOT_BITS)).astype(np.uint16)
+
+
+def steps(n: np.ndarray) -> np.ndarray:
+    """0 for an unseen context, or 1 to ``STEPS`` by how often it was seen."""
+    return (n > 0).view(np.uint8) + (n > 2) + (n > 14) + (n > 62)
+
+
+def gates(often: list[np.ndarray]) -> np.ndarray:
+    out = np.zeros(len(often[0]), np.uint8)
+    for k, o in enumerate(often[: len(ORDERS)]):
+        out = np.where(o > 0, np.uint8((k + 1) * STEPS - 1) + o, out)
+    return out * np.uint8(STEPS + 1) + often[len(ORDERS)]
+
+
+def mixed(weights: tuple[np.ndarray, np.ndarray], x: list[np.ndarray], gate: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Every gate and every sequence of bits so far has its weights; both are added."""
+    z = np.zeros(len(gate), np.float32)
+    for k, row in enumerate(x):
+        z += (weights[0][k][gate] + weights[1][k][seen]) * row
+    return np.clip(z, -LIMIT, LIMIT)
+
+
+class Table:
+    """Tag, zeros and ones in 16 bits each by slot, each slot for the context with its tag."""
+
+    def __init__(self) -> None:
+        self.packed = np.zeros(CONTEXTS << SLOT_BITS, np.uint64)
+
+    def put(self, at: np.ndarray, tags: np.ndarray, zeros: np.ndarray, ones: np.ndarray) -> None:
+        self.packed[at] = tags.astype(np.uint64) << np.uint64(32) | zeros.astype(np.uint64) << np.uint64(16) | ones.astype(np.uint64)
+
+    def counts(self, h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Zeros and ones after contexts with these hashes; none for a context that is not held."""
+        got = self.packed[slot(h, k)]
+        both = got.astype(np.uint32) * ((got >> np.uint64(32)).astype(np.uint16) == tag(h))
+        return (both >> np.uint32(16)).astype(np.int32), (both & np.uint32(65535)).astype(np.int32)
 
 
 @dataclass
 class Model:
-    """Bit counts by slot (zeros << 16 | ones), gated weights, refinement table, and token totals.
-
-    ``known``: per expert its number of word tokens and of distinct words, the first for all texts.
-    """
+    """Bit counts, gated weights and refinement table."""
 
-    counts: np.ndarray
-    weights: np.ndarray
+    table: Table
+    weights: tuple[np.ndarray, np.ndarray]
     refine: np.ndarray
-    n: int = 0
-    v: int = 0
-    ends: int = 0
-    discount: float = 0.5
-    known: tuple[tuple[int, int], ...] = ((0, 0),)
-    prior: tuple[float, ...] = (1.0,)
-
-    def inputs(self, slots: list[np.ndarray], bit: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
-        """Stretched predictions per order, and the gate of each byte. bit: leave this one out."""
-        x, longest, often = [], np.zeros(len(slots[0]), np.uint8), np.zeros(len(slots[0]), np.uint8)
-        for at in slots:
-            got = self.counts[at]
-            zero, one = (got >> 16).astype(np.int32), (got & 65535).astype(np.int32)
-            if bit is not None:
-                zero -= (bit == 0) & (zero > 0)
-                one -= (bit == 1) & (one > 0)
-            x.append(_LOG[one] - _LOG[zero])
-            total = zero + one
-            seen = total > 0
-            longest += seen
-            often = np.where(seen, _STEP[total], often)
-        return x, longest * np.uint8(STEPS) + often
-
-    def mixed(self, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
-        z = np.zeros(len(gate), np.float32)
-        for w, row in zip(self.weights.T.astype(np.float32), x, strict=True):
-            z += w[gate] * row
-        return np.clip(z, -11, 11)
-
-    def refined(self, z: np.ndarray, row: np.ndarray) -> np.ndarray:
-        at = (z + 11) * np.float32((BINS - 1) / 22)
+    classes: np.ndarray
+    common: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64), np.zeros(0))  # units with their scores
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
+
+    def refined(self, z: np.ndarray, seen: np.ndarray) -> np.ndarray:
+        at = (z + np.float32(LIMIT)) * np.float32((BINS - 1) / (2 * LIMIT))
         low = np.minimum(at.astype(np.int32), BINS - 2)
         part = at - low
-        flat, cell = self.refine.astype(np.float32).ravel(), row * BINS + low
+        flat, cell = self.refine.ravel(), seen * BINS + low
         p = flat[cell] * (1 - part) + flat[cell + 1] * part
-        return np.clip((p + 1 / (1 + np.exp(-z))) / 2, 1e-6, 1 - 1e-6)
+        return np.clip((p + 1 / (1 + np.exp(-z.astype(np.float64)))) / 2, 1e-6, 1 - 1e-6)
+
+    def coded(self, units: np.ndarray) -> np.ndarray:
+        """Natural log probability of each unit's byte."""
+        out, weights = np.zeros(len(units)), tuple(np.ascontiguousarray(w.T.astype(np.float32)) for w in self.weights)
+        for i in range(0, len(units), CHUNK):
+            for bit, hashes, seen in planes(units[i : i + CHUNK]):
+                x, often = [], []
+                for k, h in enumerate(hashes):
+                    zeros, ones = self.table.counts(h, k)
+                    x.append(_LOG[ones] - _LOG[zeros])
+                    often.append(steps(zeros + ones))
+                p = self.refined(mixed(weights, x, gates(often), seen), seen)
+                out[i : i + CHUNK] += np.log(np.where(bit, p, 1 - p))
+        return out
 
-    def spelling(self, words: list[bytes]) -> np.ndarray:
-        """Natural log probability of each word by its bits."""
-        return self.coded(Bits(words))
 
-    def running(self, texts: list[str | None]) -> np.ndarray:
-        """Natural log probability of each text's words in their order."""
-        out = np.zeros(len(texts))
-        for bits, owner in running(texts):
-            np.add.at(out, owner, self.coded(bits))
-        return out
+def memo_place(units: np.ndarray) -> np.ndarray:
+    return (units * np.uint64(_ODD) >> np.uint64(64 - MEMO_BITS)).astype(np.int64)
 
-    def coded(self, bits: Bits) -> np.ndarray:
-        found = np.zeros(len(bits.data))
-        for i, (bit, slots) in enumerate(bits.planes()):
-            x, gate = self.inputs(slots)
-            p = self.refined(self.mixed(x, gate), i * 8 + bits.place)
-            found += np.log(np.where(bit, p, 1 - p))
-        return bits.total(found)
-
-    def token(self, counts: np.ndarray, spelled: np.ndarray) -> np.ndarray:
-        """log10 probability of words (rows) by every expert (columns).
-
-        An expert's discounted mass goes to the counts of all texts (a fifth) and to the spelling.
-        """
-        everything, out = np.log(1e-300), []
-        if self.known[0][0]:
-            everything = np.log(np.maximum(counts[:, 0] / self.known[0][0], 1e-300))
-        for k, (total, distinct) in enumerate(self.known):
-            if not total:
-                out.append(spelled + log((self.n - self.ends + 1) / (self.n + 2)))
-                continue
-            free, share = self.discount * distinct / total, 0.2 if k else 0.0
-            own = np.log(np.maximum((counts[:, k] - self.discount) / total, 1e-300))
-            rest = np.logaddexp(everything + log(share), spelled + log(1 - share)) if share else spelled
-            out.append(np.logaddexp(own, rest + log(free)) + log((self.n - self.ends + 1) / (self.n + 2)))
-        return np.stack(out, 1) / log(10)
-
-    def end(self) -> float:
-        return log10((self.ends + 1) / (self.n + 2))
-
-    def base(self, count):
-        return np.log10((count + 0.1) / (self.n + 0.1 * (self.v + 1)))
-
-
-def _batches(words: list[bytes], most: int, size: int = 400_000) -> Iterator[list[bytes]]:
-    held, n = [], 0
-    for w in words:
-        held.append(w)
-        n += len(w) + 1
-        if len(held) >= most or n >= size:
-            yield held
-            held, n = [], 0
-    if held:
-        yield held
+
+class Memo:
+    """Scores of units, in a table of fixed size that begins with the commonest ones and keeps the last."""
+
+    def __init__(self, model: Model) -> None:
+        self.model = model
+        self.held, self.found = np.zeros(1 << MEMO_BITS, np.uint64), np.zeros(1 << MEMO_BITS)
+        self.held[0] = 1  # no unit's place is 0 but that of unit 0
+        self.put(*model.common)
+
+    def put(self, units: np.ndarray, found: np.ndarray) -> None:
+        place, first = np.unique(memo_place(units), return_index=True)
+        self.held[place], self.found[place] = units[first], found[first]
+
+    def coded(self, units: np.ndarray) -> np.ndarray:
+        at = memo_place(units)
+        out, new = self.found[at], np.flatnonzero(self.held[at] != units)
+        if len(new):
+            each, back = np.unique(units[new], return_inverse=True)
+            found = self.model.coded(each)
+            out[new] = found[back]
+            self.put(each, found)
+        return out
 
 
-def count_tokens(experts: int):
-    """text, train, expert -> token, n_all, and the training counts ``c`` (all, then by expert); partial."""
+_MEMO: list[Memo] = []
+
+
+def memo(model: Model) -> Memo:
+    """The table of this worker process; it lives as long as the model stays the same."""
+    if not _MEMO or _MEMO[0].model.name != model.name:
+        _MEMO[:] = [Memo(model)]
+    return _MEMO[0]
+
+
+def fresh() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Even weights by gate and by the bits so far, and a refinement that changes nothing."""
+    grid = 1 / (1 + np.exp(-np.linspace(-LIMIT, LIMIT, BINS)))
+    return np.full((GATES, CONTEXTS), 0.3), np.zeros((256, CONTEXTS)), np.tile(grid, (256, 1))
+
+
+class Learner:
+    """Weights and refinement counts that one task learns online."""
+
+    def __init__(self, table: Table) -> None:
+        self.table, self.weights = table, fresh()[:2]
+        self.sums, self.used = [np.zeros_like(w) for w in self.weights], [np.zeros(len(w)) for w in self.weights]
+        self.hits, self.tries = np.zeros(256 * BINS), np.zeros(256 * BINS)
+
+    def learn(self, units: np.ndarray, times: np.ndarray) -> None:
+        """Predict a batch with one occurrence of each unit taken out of the counts, then correct the weights."""
+        for i in range(0, len(units), BATCH):
+            n = times[i : i + BATCH].astype(np.float64)
+            for bit, hashes, seen in planes(units[i : i + BATCH]):
+                x, often = [], []
+                for k, h in enumerate(hashes):
+                    zeros, ones = self.table.counts(h, k)
+                    zeros, ones = np.maximum(zeros - 1 + bit, 0), np.maximum(ones - bit, 0)
+                    x.append(_LOG[ones] - _LOG[zeros])
+                    often.append(steps(zeros + ones))
+                gate = gates(often)
+                z = mixed(tuple(w.T.astype(np.float32) for w in self.weights), x, gate, seen)
+                error = (bit - 1 / (1 + np.exp(-z))) * n
+                step = [error * row for row in x]
+                for w, total, used, at in zip(self.weights, self.sums, self.used, (gate, seen), strict=True):
+                    size = np.bincount(at, n, len(w))
+                    w += RATE * np.stack([np.bincount(at, e, len(w)) for e in step], 1) / (size + 200)[:, None]
+                    total += w * size[:, None]
+                    used += size
+                cell = seen * BINS + np.rint((z + LIMIT) * ((BINS - 1) / (2 * LIMIT))).astype(np.int64)
+                self.hits += np.bincount(cell, bit * n, 256 * BINS)
+                self.tries += np.bincount(cell, n, 256 * BINS)
+
+    def result(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sums and occurrences of the weights, then of the refinement."""
+        seen = [np.repeat(n, CONTEXTS) for n in self.used]
+        return np.concatenate([*(s.ravel() for s in self.sums), self.hits]), np.concatenate([*seen, self.tries])
+
+
+def averaged(place: np.ndarray, total: np.ndarray, n: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """Weights and refinement from the sums of all tasks."""
+    *weights, refine = fresh()
+    flat = np.concatenate([w.ravel() for w in weights])
+    w = place < len(flat)
+    flat[place[w]] = total[w] / n[w]
+    r = place[~w] - len(flat)
+    refine.ravel()[r] = (total[~w] + 20 * refine.ravel()[r]) / (n[~w] + 20)
+    cut = weights[0].size
+    return (flat[:cut].reshape(-1, CONTEXTS), flat[cut:].reshape(-1, CONTEXTS)), refine
+
+
+def best_slots(units: np.ndarray, times: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Slot, tag, zeros and ones of the most frequent context in every slot, one kind of context after another."""
+    codes, byte = contexts(units), units & np.uint64(255)
+    for k in range(CONTEXTS):
+        order = np.argsort(codes[k] << np.uint64(8) | byte, kind="stable")
+        code, b, n = codes[k][order] & np.uint64((1 << 56) - 1), byte[order].astype(np.int32), times[order]
+        # how many bits of the byte a unit shares with the one before it in the same context
+        shared = 8 - np.ceil(np.log2((b[1:] ^ b[:-1]) + 1)).astype(np.int8)
+        shared = np.concatenate([[-1], np.where(code[1:] == code[:-1], shared, -1)]).astype(np.int8)
+        found = []
+        for i in range(8):
+            first = np.flatnonzero(shared < i)
+            bit = b >> (7 - i) & 1
+            ones = np.add.reduceat(n * bit, first)
+            total = np.add.reduceat(n, first)
+            seen = (1 << i | b[first] >> (8 - i)).astype(np.uint64)
+            found.append(((codes[k][order[first]] + seen * np.uint64(0xD1B54A32D192ED03)) * np.uint64(_ODD), total - ones, ones))
+        h, zeros, ones = (np.concatenate(c) for c in zip(*found, strict=True))
+        at, tags = slot(h, k), tag(h)
+        rank = np.minimum(zeros + ones, 1 << 40) << 16 | tags
+        best = np.full(1 << SLOT_BITS, -1, np.int64)
+        np.maximum.at(best, at - (k << SLOT_BITS), rank)
+        won = best[at - (k << SLOT_BITS)] == rank
+        yield at[won], tags[won], zeros[won], ones[won]
+
+
+def gather(classes):
+    """Training texts -> unit, n: how often each unit occurs; partial."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[Counter] = [Counter() for _ in range(experts + 1)]  # by expert; the last for texts not trained on
+        found = Tally()
 
         def out() -> pa.RecordBatch:
-            tokens = sorted(set().union(*held))
-            each = np.array([[h[t] for t in tokens] for h in held], np.int64).reshape(experts + 1, -1)
-            for h in held:
-                h.clear()
-            counts = np.concatenate([each[:-1].sum(0)[None], each[:-1]]).T
-            lists = pa.ListArray.from_arrays(np.arange(len(tokens) + 1, dtype=np.int32) * (experts + 1), pa.array(np.ascontiguousarray(counts).ravel()))
-            return pa.RecordBatch.from_arrays([pa.array(tokens, pa.binary()), pa.array(each.sum(0)), lists], ["token", "n_all", "c"])
+            units, times = found.take()
+            return pa.RecordBatch.from_arrays([pa.array(units.view(np.int64)), pa.array(times)], ["unit", "n"])
 
         for b in batches:
-            for text, train, expert in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                held[expert if train else experts].update((text or "").encode().lower().split())
-                if sum(map(len, held)) > FLUSH:
+            for piece in pieces_of(b.column(0).to_pylist(), classes.value):
+                found.add(piece.units)
+                if found.full(UNITS):
                     yield out()
         yield out()
 
     return run
 
 
-def word_bits(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[Bits]:
-    """The bits of sorted distinct words; ``most``: words at once, then in an order that parts neighbours."""
-    for b in batches:
-        parts = list(_batches(b.column(0).to_pylist(), most or 20_000))
-        order = np.random.Generator(np.random.PCG64(len(parts))).permutation(len(parts)) if most else range(len(parts))
-        for at in order:  # neighbours are alike
-            yield Bits(parts[at])
-
+def slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Units and their occurrences -> slot, tag, zeros, ones."""
+    held = [(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()) for b in batches]  # one shard
+    if not held:
+        return
+    for cols in best_slots(*(np.concatenate(c) for c in zip(*held, strict=True))):
+        for i in range(0, len(cols[0]), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000].astype(np.int64)) for c in cols], ["slot", "tag", "zeros", "ones"])
 
-def text_bits(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[Bits]:
-    """The bits of running texts."""
-    for b in batches:
-        for bits, _ in running(b.column(0).to_pylist()):
-            yield bits
 
-
-def count_bits(each):
-    """What ``each`` codes -> slot, zeros, ones; a byte counts as often as it occurs there."""
+def learn_online(shared):
+    """Units and their occurrences -> place, total, n: what a task learned."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CONTEXTS << SLOT_BITS, np.int64)  # zeros << 32 | ones
-        for bits in each(batches):
-            times = bits.times()
-            for bit, slots in bits.planes():
-                add = np.where(bit, times, times << 32)
-                for at in slots:
-                    np.add.at(total, at, add)
-        at = np.flatnonzero(total)
-        for i in range(0, len(at), 100_000):
-            part = at[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part] >> 32), pa.array(total[part] & 0xFFFFFFFF)], ["slot", "zeros", "ones"])
+        learner = Learner(shared.value)
+        for b in batches:
+            units = b.column(0).to_numpy().view(np.uint64)
+            order = np.argsort(units * np.uint64(_ODD))  # an order without pattern
+            learner.learn(units[order], b.column(1).to_numpy()[order])
+        total, n = learner.result()
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some]), pa.array(n[some])], ["place", "total", "n"])
 
     return run
 
 
-def learn_online(shared, each):
-    """What ``each`` codes -> what a shard learns: (kind, place, sum, weight) of weights and refinements."""
+def score_units(shared):
+    """Units and their occurrences -> the same with the place in the scorers' tables and the score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start = shared.value
-        model = Model(start.counts, start.weights.copy(), start.refine)
-        hits, tries, used, mean = np.zeros(64 * BINS), np.zeros(64 * BINS), np.zeros(GATES), np.zeros(start.weights.shape)
-        for bits in each(batches, BATCH):
-            times = bits.times()
-            for i, (bit, slots) in enumerate(bits.planes()):
-                x, gate = model.inputs(slots, bit)
-                z = model.mixed(x, gate)
-                error = (bit - 1 / (1 + np.exp(-z))) * times
-                n = np.bincount(gate, times, GATES)
-                step = np.stack([np.bincount(gate, error * row, GATES) for row in x], 1)
-                model.weights += RATE * step / (n + 100)[:, None]
-                mean += model.weights * n[:, None]
-                used += n
-                cell = (i * 8 + bits.place) * BINS + np.rint((z + 11) * np.float32((BINS - 1) / 22)).astype(np.int64)
-                hits += np.bincount(cell, bit * times, 64 * BINS)
-                tries += np.bincount(cell, times, 64 * BINS)
-        kind = ["w"] * model.weights.size + ["r"] * hits.size
-        seen = np.repeat(used, CONTEXTS)
-        cols = [kind, np.concatenate([np.arange(model.weights.size), np.arange(hits.size)]), np.concatenate([mean.ravel(), hits]), np.concatenate([seen, tries])]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["kind", "place", "total", "n"])
+        for b in batches:
+            units = b.column(0).to_numpy().view(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(memo_place(units).astype(np.int32)), *b.columns, pa.array(shared.value.coded(units))], ["place", "unit", "n", "lp"])
 
     return run
 
 
-def fresh() -> Model:
-    """Before any training: even weights, and a refinement that changes nothing."""
-    grid = 1 / (1 + np.exp(-np.linspace(-11, 11, BINS)))
-    return Model(np.zeros(CONTEXTS << SLOT_BITS, np.uint32), np.full((GATES, CONTEXTS), 0.25), np.tile(grid, (64, 1)))
-
-
-def train(types: DataFrame, prior: list[int]) -> Model:
-    """The figures and the spelling model of words, from the sorted counts ``(token, n_all, c)`` and the number of training texts by expert."""
-    model, texts = fresh(), sum(prior)
-    known, total = types.where("c[0] > 0"), F.coalesce(F.sum("c0"), F.lit(0))
-    cs = [F.col("c")[k].alias(f"c{k}") for k in range(len(prior) + 1)]
-    figures = [f(k) for k in range(len(prior) + 1) for f in (lambda k: F.coalesce(F.sum(f"c{k}"), F.lit(0)), lambda k: F.count_if(F.col(f"c{k}") > 0))]
-    s = known.select(*cs).agg(total, F.count(F.lit(1)), F.count_if(F.col("c0") == 1), F.count_if(F.col("c0") == 2), *figures).first()
-    model.n, model.v, model.ends = s[0] + texts, s[1] + (texts > 0), texts
-    model.discount = min(0.95, max(0.05, s[2] / (s[2] + 2 * s[3]))) if s[2] + s[3] else 0.5
-    model.known = tuple((s[i], s[i + 1]) for i in range(4, len(s), 2))
-    model.prior = tuple((p + 0.5) / (texts + 0.5 * (len(prior) + 1)) for p in [0, *prior])
-    if not s[1]:
-        return model
-    return learn(model, known.select("token"), word_bits)
-
-
-def learn(model: Model, rows: DataFrame, each) -> Model:
-    """Bit counts, then weights and refinements, of what ``each`` codes in the rows."""
-    table = rows.mapInArrow(count_bits(each), "slot int, zeros long, ones long").groupBy("slot").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
+def train(texts: DataFrame, classes: np.ndarray) -> Model:
+    """The model of all texts (one column)."""
+    context = texts.sparkSession.sparkContext
+    units = texts.mapInArrow(gather(context.broadcast(classes)), "unit long, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    units = materialize(units, "units")
+    n = units.count()
+    slots = units.repartition(max(1, -(-n // SHARD)), "unit").mapInArrow(slot_counts, "slot long, tag long, zeros long, ones long").groupBy("slot", "tag").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
     most = F.greatest("zeros", "ones", F.lit(65535))
-    table = table.select("slot", *[F.ceil(F.col(c) * 65535 / most).cast("int").alias(c) for c in ("zeros", "ones")])
-    got = materialize(table, "bits").toArrow().to_pandas()  # at most CONTEXTS * 2**SLOT_BITS rows of 12 bytes
-    model.counts[got["slot"].to_numpy()] = got["zeros"].to_numpy().astype(np.uint32) << 16 | got["ones"].to_numpy().astype(np.uint32)
+    slots = slots.groupBy("slot").agg(F.max_by(F.struct("tag", *[F.ceil(F.col(c) * 65535 / most).cast("int").alias(c) for c in ("zeros", "ones")]), F.struct(F.col("zeros") + F.col("ones"), "tag")).alias("c"))
+    got = slots.select(F.col("slot").cast("int").alias("slot"), *[F.col(f"c.{c}").cast("int").alias(c) for c in ("tag", "zeros", "ones")]).toArrow()  # at most CONTEXTS * 2**SLOT_BITS rows of 16 bytes
+    table = Table()
+    for b in got.to_batches():
+        at = b.column(0).to_numpy()
+        table.put(at, *(b.column(i).to_numpy() for i in (1, 2, 3)))
     del got
-    learned = rows.mapInArrow(learn_online(rows.sparkSession.sparkContext.broadcast(model), each), "kind string, place long, total double, n double")
-    learned = learned.groupBy("kind", "place").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).toArrow().to_pandas()
-    for kind, place, amount, n in learned.itertuples(index=False):
-        if kind == "w" and n:
-            model.weights.ravel()[place] = amount / n
-        elif kind == "r":
-            model.refine.ravel()[place] = (amount + 20 * model.refine.ravel()[place]) / (n + 20)
+    units = units.repartition(max(1, -(-n // LESSON)), "unit")
+    learned = units.mapInArrow(learn_online(context.broadcast(table)), "place long, total double, n double").groupBy("place").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).toArrow()
+    model = Model(table, *averaged(*(learned.column(c).to_numpy() for c in ("place", "total", "n"))), classes)
+    scored = units.mapInArrow(score_units(context.broadcast(model)), "place int, unit long, n long, lp double")
+    common = scored.groupBy("place").agg(F.max_by(F.struct("unit", "lp"), F.struct("n", "unit")).alias("c")).select("c.unit", "c.lp").toArrow()  # at most 2**MEMO_BITS rows of 16 bytes
+    model.common = common.column("unit").to_numpy().view(np.uint64), common.column("lp").to_numpy()
     return model
 
 
-def word_figures(types: DataFrame, model: Model) -> DataFrame:
-    """token, n_all, c -> h (64-bit hash of the word), c, n_all, and ``lp`` (log10 probability by expert)."""
-    shared = types.sparkSession.sparkContext.broadcast(model)
-    experts = len(model.known)
+# ---- token counts and the result ---------------------------------------------------------------
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            done, counts = 0, b.column(2).flatten().to_numpy().reshape(-1, experts)
-            for part in _batches(b.column(0).to_pylist(), 8_000):
-                here = slice(done, done + len(part))
-                done += len(part)
-                h = Words([w.decode() for w in part]).hash
-                lp = shared.value.token(counts[here], shared.value.spelling(part)).astype(np.float32)
-                lists = pa.ListArray.from_arrays(np.arange(len(part) + 1, dtype=np.int32) * experts, pa.array(lp.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(counts[here, 0]), b.column(1).slice(here.start, len(part)), lists], ["h", "c", "n_all", "lp"])
 
-    return types.select("token", "n_all", "c").mapInArrow(run, "h long, c long, n_all long, lp array<float>")
+def count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """text, train -> h (64-bit hash of the word), n_all, c (occurrences in training texts); partial."""
+    tallies = [Tally(), Tally()]
 
+    def out(train: bool) -> pa.RecordBatch:
+        h, n = tallies[train].take()
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n), pa.array(n if train else np.zeros_like(n))], ["h", "n_all", "c"])
 
-def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", expert_col: str | None = "lang", train_on=None) -> DataFrame:
+    for b in batches:
+        train = np.array(b.column(1).to_pylist(), bool)
+        for segments in cut_texts(b.column(0).to_pylist(), PIECE):
+            w = Words([raw for _, raw, _, _ in segments], lower=True)
+            count, lead = np.diff(w.first), np.array([n for _, _, n, _ in segments])
+            own = np.arange(len(w.hash)) - np.repeat(w.first[:-1], count) >= np.repeat(lead, count)
+            teaches = np.repeat(train[[k for k, *_ in segments]], count)
+            for t in (False, True):
+                tallies[t].add(w.hash[own & (teaches == t)])
+                if tallies[t].full(TYPES):
+                    yield out(t)
+    for t in (False, True):
+        yield out(t)
+
+
+def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_on=None) -> DataFrame:
     """id, ``held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte`` of every text.
 
-    ``train_on``: a boolean column; by default nine tenths by the id's checksum. ``expert_col``: training
-    texts with one of its ``EXPERTS`` most frequent values teach an expert of their own; it is never read
-    for a text's score.
+    ``train_on``: a boolean column; by default nine tenths by the id's checksum.
     """
     spark = df.sparkSession
     train_on = F.coalesce(crc_mod(id_col, 10) != 0 if train_on is None else train_on, F.lit(False))
-    if expert_col is None or expert_col not in df.columns:
-        df, expert_col = df.withColumn("__expert", F.lit("")), "__expert"
-    shares = df.where(train_on & F.col(expert_col).isNotNull()).groupBy(F.col(expert_col).cast("string").alias("e")).count().orderBy(F.desc("count"), "e").limit(EXPERTS).collect()
-    place = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for i, r in enumerate(shares) for x in (r["e"], i)]), F.col(expert_col).cast("string")), F.lit(len(shares))) if shares else F.lit(0)
-    docs = df.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("key"), train_on.alias("train"), place.alias("expert"), F.col(text_col).alias("text"))
-    by = {r["expert"]: r["n"] for r in docs.where("train").groupBy("expert").agg(F.count(F.lit(1)).alias("n")).collect()}
-    prior = [by.get(i, 0) for i in range(len(shares) + 1)]
-    experts = len(prior) + 1
-    types = docs.select("text", "train", "expert").mapInArrow(count_tokens(len(prior)), "token binary, n_all long, c array<long>")
-    sums = types.select("token", "n_all", *[F.col("c")[k].alias(f"c{k}") for k in range(experts)]).groupBy("token").agg(F.sum("n_all").alias("n_all"), *[F.sum(f"c{k}").alias(f"c{k}") for k in range(experts)])
-    types = materialize(sums.select("token", "n_all", F.array(*[f"c{k}" for k in range(experts)]).alias("c")), "tokens")
-    shards = max(1, -(-types.count() // SHARD))
-    types = materialize(types.repartitionByRange(shards, "token").sortWithinPartitions("token"), "sorted")
-    model = train(types, prior)
-    flow = fresh()
-    if model.n:
-        learn(flow, docs.where("train").select("text"), text_bits)
-    flow = spark.sparkContext.broadcast(flow)
-    figures = materialize(word_figures(types, model), "words")
-    every = figures.agg(F.coalesce(F.sum("n_all"), F.lit(0))).first()[0]
-    top = figures.where(F.col("n_all") * HEAVY >= every).select("h", "c", "lp").toArrow().combine_chunks()  # at most HEAVY rows
-    hs, first = np.unique(top.column("h").to_numpy(), return_index=True)
-    cs, lps = top.column("c").to_numpy()[first], np.concatenate([np.zeros((0, experts), np.float32), *[x.flatten().to_numpy().reshape(-1, experts) for x in top.column("lp").chunks]])[first]
-    heavy = spark.sparkContext.broadcast((hs, cs, lps, model.base(cs), model.ends, model.end(), float(model.base(model.ends)), log10((model.n - model.ends + 1) / (model.n + 2))))
+    keys = [k.alias(c) for k, c in zip(row_key(id_col, text_col), ("k1", "k2"), strict=True)]
+    docs = df.select(F.col(id_col).alias("id"), *keys, train_on.alias("train"), F.col(text_col).alias("text"))
+    figures = docs.select("text", "train").mapInArrow(count_tokens, "h long, n_all long, c long").groupBy("h").agg(F.sum("n_all").alias("n_all"), F.sum("c").alias("c"))
+    figures = materialize(figures, "tokens")
+    texts = docs.where("train").count()
+    every, n, v = figures.agg(F.coalesce(F.sum("n_all"), F.lit(0)), F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    n, v = n + texts, v + (texts > 0)
+    common = figures.where("c > 0").orderBy(F.desc("c"), "h").limit(FREQUENT).toArrow()
+    model = train(docs.where("train").select("text"), np.sort(common.column("h").to_numpy().view(np.uint64)))
+    top = figures.where(F.col("n_all") * HEAVY >= every).select("h", "c").toArrow()  # at most HEAVY rows
+    hs, cs = top.column("h").to_numpy(), top.column("c").to_numpy()
+    order = np.argsort(hs)
+    base = lambda c: np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
+    shared = spark.sparkContext.broadcast((model, hs[order], cs[order] > 0, base(cs[order]), texts > 0, float(base(texts))))
     kind = docs.schema["id"].dataType.simpleString()
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row per text with the sums over its frequent words, and one per rare word of a text."""
-        hs, cs, lps, bases, ends, end, end_base, goes_on = heavy.value
+        """One row per text with its score and the sums over its frequent words, and one per rare word of a text."""
+        model, hs, knows, bases, end_known, end_base = shared.value
+        table = memo(model)
         for b in batches:
-            texts, ids, keys, trains = (b.column(c) for c in ("text", "id", "key", "train"))
-            texts = texts.to_pylist()
-            for i, j in pieces(texts):
-                w = Words(texts[i:j], lower=True)
-                n, sizes = j - i, np.diff(w.first)
-                doc = np.repeat(np.arange(n), sizes)
-                h = w.hash.view(np.int64)
+            texts, k1, k2 = b.column("text").to_pylist(), b.column("k1").to_numpy(), b.column("k2").to_numpy()
+            m = len(texts)
+            tokens, known, summed, score = np.ones(m, np.int64), np.full(m, int(end_known), np.int64), np.full(m, end_base), np.zeros(m)
+            for piece in pieces_of(texts, model.classes):
+                total = np.concatenate([[0.0], np.cumsum(table.coded(piece.units))])[np.concatenate([[0], piece.ends])]
+                np.add.at(score, piece.texts, np.diff(total) / log(10))
+                h, doc = piece.words.hash.view(np.int64)[piece.own], piece.word_text[piece.own]
+                tokens += np.bincount(doc, minlength=m)
                 at = np.minimum(np.searchsorted(hs, h), max(0, len(hs) - 1))
                 hit = hs[at] == h if len(hs) else np.zeros(len(h), bool)
-                d, f = doc[hit], at[hit]
-                total = lambda x: np.bincount(d, x[f], n) if len(f) else np.zeros(n)  # noqa: B023,E731
-                rare = np.lexsort((h[~hit], doc[~hit]))
-                rd, rh = doc[~hit][rare], h[~hit][rare]
-                new = np.ones(len(rd), bool)
-                new[1:] = (rd[1:] != rd[:-1]) | (rh[1:] != rh[:-1])
-                first = np.flatnonzero(new)
-                key, none, blank = keys.to_numpy()[i:j], len(first), pa.nulls
-                own = lambda x, t: pa.concat_arrays([pa.array(x).cast(t), blank(none, t)])  # noqa: B023,E731
-                cols = {
-                    "key": pa.array(np.concatenate([key, key[rd[first]]])), "word": pa.concat_arrays([blank(n, pa.int64()), pa.array(rh[first])]),
-                    "tf": pa.array(np.concatenate([np.zeros(n, np.int64), np.diff(np.concatenate([first, [len(rd)]]))])),
-                    "id": pa.concat_arrays([ids.slice(i, n), blank(none, ids.type)]), "train": pa.concat_arrays([trains.slice(i, n), blank(none, pa.bool_())]),
-                    "n_bytes": own(np.diff(w.offset) - 1, pa.int64()), "n_tokens": own(sizes + 1, pa.int64()), "known": own(total(cs > 0) + (ends > 0), pa.int64()), "base": own(total(bases) + end_base, pa.float64()),
-                    "flow": own(flow.value.running(texts[i:j]) / log(10) + sizes * goes_on + end, pa.float64()),
-                    **{f"lp{k}": own(total(lps[:, k]) + end, pa.float64()) for k in range(experts)},
-                }
-                yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
-
-    names = [f"lp{k}" for k in range(experts)]
-    parts = docs.select("id", "key", "train", "text").mapInArrow(split, f"key long, word long, tf long, id {kind}, train boolean, n_bytes long, n_tokens long, known long, base double, flow double, " + ", ".join(f"{c} double" for c in names))
+                known += np.bincount(doc[hit], knows[at[hit]], m).astype(np.int64)
+                summed += np.bincount(doc[hit], bases[at[hit]], m)
+                doc, h = doc[~hit], h[~hit]
+                order = np.lexsort((h, doc))
+                doc, h = doc[order], h[order]
+                first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])])) if len(h) else np.zeros(0, np.int64)
+                blank, none = pa.nulls, len(first)
+                cols = [pa.array(k1[doc[first]]), pa.array(k2[doc[first]]), pa.array(h[first]), pa.array(np.diff(np.concatenate([first, [len(h)]])))]
+                kinds = [b.column("id").type, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+                yield pa.RecordBatch.from_arrays([*cols, *(blank(none, t) for t in kinds)], names)
+            n_bytes = np.fromiter((len((t or "").encode()) for t in texts), np.int64, m)
+            own = [b.column("k1"), b.column("k2"), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), b.column("id"), b.column("train")]
+            yield pa.RecordBatch.from_arrays([*own, *map(pa.array, (n_bytes, tokens, known, summed, score))], names)
+
+    names = ["k1", "k2", "word", "tf", "id", "train", "n_bytes", "n_tokens", "known", "base", "score"]
+    parts = docs.mapInArrow(split, f"k1 long, k2 long, word long, tf long, id {kind}, train boolean, n_bytes long, n_tokens long, known long, base double, score double")
     # a text's own row takes its key for a word, so these rows spread over all tasks
-    rare = parts.withColumn("own", F.col("word").isNull()).withColumn("word", F.coalesce("word", "key"))
-    rare_figures = figures.where(F.col("n_all") * HEAVY < every).select(F.col("h").alias("word"), F.col("c").alias("word_c"), F.col("lp").alias("word_lp"))
-    joined = rare.join(rare_figures.hint("merge"), "word", "left")
-    total, one = float(model.n + 0.1 * (model.v + 1)), F.lit(1)
-    joined = joined.select(
-        "key", "own", "id", "train", "n_bytes", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"),
+    rare = parts.withColumn("own", F.col("word").isNull()).withColumn("word", F.coalesce("word", "k1"))
+    rare_figures = figures.where(F.col("n_all") * HEAVY < every).select(F.col("h").alias("word"), F.col("c").alias("word_c"))
+    joined = rare.join(rare_figures.hint("merge"), "word", "left").select(
+        "k1", "k2", "own", "id", "train", "n_bytes", "n_tokens", "score",
         F.when(F.col("own"), F.col("known")).otherwise(F.when(F.col("word_c") > 0, F.col("tf")).otherwise(0)).alias("known"),
-        F.when(F.col("own"), F.col("base")).otherwise(F.col("tf") * F.log10((F.col("word_c") + 0.1) / total)).alias("base"),
-        *[F.when(F.col("own"), F.col(c)).otherwise(F.col("tf") * F.get("word_lp", F.lit(k))).alias(c) for k, c in enumerate(names)], F.coalesce("flow", F.lit(0.0)).alias("flow"),
+        F.when(F.col("own"), F.col("base")).otherwise(F.col("tf") * F.log10((F.col("word_c") + 0.1) / float(n + 0.1 * (v + 1)))).alias("base"),
     )
-    own = lambda c: F.max(F.when(F.col("own"), F.col(c)))
-    sums = joined.groupBy("key").agg(F.count_if("own").alias("copies"), own("id").alias("id"), own("train").alias("train"), own("n_bytes").alias("n_bytes"), *[F.sum(c).alias(c) for c in ("n_tokens", "known", "base", "flow", *names)])
-    each = sums.withColumn("copy", F.explode(F.sequence(one, F.col("copies").cast("int"))))
-    part = lambda c: F.col(c) / F.col("copies")
-    # the experts' weights follow Bayes' rule from token to token; over a whole text that is this sum
-    logs = [part(c) + log10(p / 2) for c, p in zip(names, model.prior, strict=True)] + [part("flow") + log10(0.5)]
-    best = F.greatest(*logs)
-    score = best + F.log10(sum(F.pow(F.lit(10.0), x - best) for x in logs))
+    own = [F.max(F.when(F.col("own"), F.col(c))).alias(c) for c in ("id", "train", "n_bytes", "n_tokens", "score")]
+    sums = joined.groupBy("k1", "k2").agg(F.count_if("own").alias("copies"), *own, F.sum("known").alias("known"), F.sum("base").alias("base"))
+    each = sums.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return each.select(
-        F.col("id").alias(id_col), (~F.col("train")).alias("held_out"), part("n_tokens").cast("long").alias("n_tokens"), part("known").cast("long").alias("n_known"),
-        F.lit(model.n).cast("long").alias("train_tokens"), part("base").alias("base_score"), score.alias("score"),
-        (-score * (log(10) / log(2)) / F.greatest("n_bytes", one)).alias("bits_per_byte"),
+        F.col("id").alias(id_col), (~F.col("train")).alias("held_out"), "n_tokens", (F.col("known") / F.col("copies")).cast("long").alias("n_known"),
+        F.lit(n).cast("long").alias("train_tokens"), (F.col("base") / F.col("copies")).alias("base_score"), "score",
+        (-F.col("score") * (log(10) / log(2)) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"),
     )
 
 

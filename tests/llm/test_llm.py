@@ -219,35 +219,75 @@ def test_lm_score_reads_texts_in_order(spark):
     got = {r["doc_id"]: r for r in lm_score.score_texts(df, train_on=F.col("doc_id").between(1, 149)).collect()}
     assert abs(got[0]["base_score"] - got[150]["base_score"]) < 1e-6
     assert got[0]["score"] / 81 > got[150]["score"] / 81 + 0.3
-    model = lm_score.fresh()
-    model.counts[:] = np.random.default_rng(1).integers(0, 50, model.counts.shape) * 65537
-    texts = [sentence(300), None, "", "a b c d e", "x" * 500 + " y", sentence(40)]
-    whole = [sum(model.coded(lm_score.Running([" ".join(t.split()).encode()], [0]))) if t else 0.0 for t in texts]
-    for size in (1, 50, 10**6):
-        found = np.zeros(len(texts))
-        for bits, owner in lm_score.running(texts, size):
-            np.add.at(found, owner, model.coded(bits))
-        assert np.allclose(found, whole, rtol=1e-5)
-
-
-def test_lm_bits_are_a_distribution():
-    """Over all one-byte words the bits of the first byte make a probability distribution."""
-    model = lm_score.fresh()
-    model.counts[:] = np.random.default_rng(0).integers(0, 50, model.counts.shape) * 65537
-    p = 0.0
-    for b in range(256):
-        bits = lm_score.Bits([bytes([b])])
-        found = np.zeros(2)
-        for i, (bit, slots) in enumerate(bits.planes()):
-            q = model.refined(model.mixed(*model.inputs(slots)), i * 8 + bits.place)
-            found += np.log(np.where(bit, q, 1 - q))
-        p += math.exp(found[0])
-    assert abs(p - 1) < 1e-4
-    words_ = sorted({w.encode() for w in VOCABULARY})
-    together, alone = model.spelling(words_), np.concatenate([model.spelling([w]) for w in words_])
-    assert np.allclose(together, alone, atol=1e-4)
-    bits = lm_score.Bits(words_)
-    assert bits.times().sum() == sum(len(w) + 1 for w in words_)
+    # pieces of any size are the same units
+    texts = [sentence(300), None, "", "a b c d e", "x" * 500 + " y", sentence(40), " \t lead and trail \n\n"]
+    classes = np.sort(lm_score.Words(VOCABULARY[:40]).hash)
+    whole = list(lm_score.pieces_of(texts, classes))[0]
+    for most in (1, 50, 700):
+        parts = list(lm_score.pieces_of(texts, classes, most))
+        assert np.array_equal(np.concatenate([p.units for p in parts]), whole.units)
+        assert sum(int(p.own.sum()) for p in parts) == len(whole.words.hash)
+
+
+def brute_force_bits(train, texts, common, model):
+    """Natural log probability of each text, bit by bit from dictionaries of whole contexts."""
+    counts = {}
+
+    def bits(text):
+        ws = [w.decode("latin-1").lower() if w.isascii() else w.lower().decode("latin-1") for w in WORD.findall((text or "").encode())]
+        stream, before, place = "", [], []
+        for i, w in enumerate(ws):
+            stream += w + (" " if i < len(ws) - 1 else "\n")
+            before += [ws[i - 1] if i else None] * (len(w) + 1)
+            place += range(len(w) + 1)
+        stream, before, place = stream or "\n", before or [None], place or [0]
+        for i, c in enumerate(stream):
+            past = ("\n" * 8 + stream[:i])[-max(lm_score.ORDERS) :]
+            word = re.split("[ \n]", past)[-1]
+            seen = before[i] if before[i] in common and place[i] < lm_score.NEAR else None
+            keys = [*(past[-k:] for k in lm_score.ORDERS), word, (word, seen)]
+            code = f"{ord(c):08b}"
+            for j in range(8):
+                yield [(k, key, code[:j]) for k, key in enumerate(keys)], int(code[j]), int("1" + code[:j], 2)
+
+    for t in train:
+        for keys, bit, _ in bits(t):
+            for k in keys:
+                counts.setdefault(k, [0, 0])[bit] += 1
+    out = []
+    for t in texts:
+        total = 0.0
+        for keys, bit, seen in bits(t):
+            got = [counts.get(k, [0, 0]) for k in keys]
+            step = [0 if not n else 1 + (n > 2) + (n > 14) + (n > 62) for n in map(sum, got)]
+            gate = ([0] + [(k + 1) * lm_score.STEPS + s - 1 for k, s in enumerate(step[: len(lm_score.ORDERS)]) if s])[-1] * (lm_score.STEPS + 1) + step[len(lm_score.ORDERS)]
+            z = sum((model.weights[0][gate][k] + model.weights[1][seen][k]) * math.log((o + lm_score.DELTA) / (n + lm_score.DELTA)) for k, (n, o) in enumerate(got))
+            z = max(-lm_score.LIMIT, min(lm_score.LIMIT, z))
+            at = (z + lm_score.LIMIT) / (2 * lm_score.LIMIT) * (lm_score.BINS - 1)
+            low = min(int(at), lm_score.BINS - 2)
+            p = model.refine[seen][low] * (1 - at + low) + model.refine[seen][low + 1] * (at - low)
+            p = (p + 1 / (1 + math.exp(-z))) / 2
+            total += math.log(p if bit else 1 - p)
+        out.append(total)
+    return out
+
+
+def test_lm_score_is_the_sum_of_its_bits(spark):
+    rnd = random.Random(4)
+    texts = [" ".join(rnd.choice(["the", "Ab", "cab", "é", "bad"]) for _ in range(rnd.randint(0, 12))) for _ in range(12)] + [None, "new words here"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    taught = [t for i, t in enumerate(texts) if i % 3]
+    got = {r["doc_id"]: r for r in lm_score.score_texts(df, train_on=F.col("doc_id") % 3 != 0).collect()}
+    common = {"the", "ab", "cab", "é", "bad", "new", "words", "here"}
+    hashes = np.sort(lm_score.Words(sorted({w for t in taught for w in words(t, lower=True)})).hash)
+    model = lm_score.train(df.where("doc_id % 3 != 0").select("text"), hashes)
+    want = brute_force_bits(taught, texts, {w.encode().decode("latin-1") for w in common}, model)
+    for i, w in enumerate(want):
+        assert abs(got[i]["score"] - w / math.log(10)) < 1e-3, i
+        assert abs(got[i]["bits_per_byte"] + w / math.log(2) / max(1, len((texts[i] or "").encode()))) < 1e-2
+    # over all bytes after a context the probabilities add up to one
+    unit = np.uint64(int.from_bytes(b"e the \0", "big")) + np.arange(256, dtype=np.uint64)
+    assert abs(np.exp(model.coded(unit)).sum() - 1) < 1e-6
 
 
 def test_quality(spark, docs, empty):
