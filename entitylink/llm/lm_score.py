@@ -452,7 +452,7 @@ def slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     for cols in best_slots(*(np.concatenate(c) for c in zip(*held, strict=True))):
         for i in range(0, len(cols[0]), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000].astype(np.int64)) for c in cols], ["slot", "tag", "zeros", "ones"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000].astype(t)) for c, t in zip(cols, ("i4", "i4", "i8", "i8"), strict=True)], ["slot", "tag", "zeros", "ones"])
 
 
 def learn_online(shared):
@@ -488,20 +488,22 @@ def train(texts: DataFrame, classes: np.ndarray) -> Model:
     units = texts.mapInArrow(gather(context.broadcast(classes)), "unit long, n long").groupBy("unit").agg(F.sum("n").alias("n"))
     units = materialize(units, "units")
     n = units.count()
-    slots = units.repartition(max(1, -(-n // SHARD)), "unit").mapInArrow(slot_counts, "slot long, tag long, zeros long, ones long").groupBy("slot", "tag").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
+    slots = units.repartition(max(1, -(-n // SHARD)), "unit").mapInArrow(slot_counts, "slot int, tag int, zeros long, ones long").groupBy("slot", "tag").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
     most = F.greatest("zeros", "ones", F.lit(65535))
-    slots = slots.groupBy("slot").agg(F.max_by(F.struct("tag", *[F.ceil(F.col(c) * 65535 / most).cast("int").alias(c) for c in ("zeros", "ones")]), F.struct(F.col("zeros") + F.col("ones"), "tag")).alias("c"))
-    got = slots.select(F.col("slot").cast("int").alias("slot"), *[F.col(f"c.{c}").cast("int").alias(c) for c in ("tag", "zeros", "ones")]).toArrow()  # at most CONTEXTS * 2**SLOT_BITS rows of 16 bytes
+    # one number a slot: 15 bits of the logarithm of its count, the tag, and the counts in 16 bits each
+    parts = [F.floor(F.log2(F.col("zeros") + F.col("ones")) * 512), "tag", *[F.ceil(F.col(c) * 65535 / most) for c in ("zeros", "ones")]]
+    packed = sum(F.shiftleft((F.col(p) if isinstance(p, str) else p).cast("long"), 16 * (3 - i)) for i, p in enumerate(parts))
+    got = slots.groupBy("slot").agg(F.max(packed).alias("c")).toArrow()  # at most CONTEXTS * 2**SLOT_BITS rows of 12 bytes
     table = Table()
     for b in got.to_batches():
-        at = b.column(0).to_numpy()
-        table.put(at, *(b.column(i).to_numpy() for i in (1, 2, 3)))
+        table.packed[b.column(0).to_numpy()] = b.column(1).to_numpy().view(np.uint64) & np.uint64((1 << 48) - 1)
     del got
     units = units.repartition(max(1, -(-n // LESSON)), "unit")
     learned = units.mapInArrow(learn_online(context.broadcast(table)), "place long, total double, n double").groupBy("place").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).toArrow()
     model = Model(table, *averaged(*(learned.column(c).to_numpy() for c in ("place", "total", "n"))), classes)
     scored = units.mapInArrow(score_units(context.broadcast(model)), "place int, unit long, n long, lp double")
-    common = scored.groupBy("place").agg(F.max_by(F.struct("unit", "lp"), F.struct("n", "unit")).alias("c")).select("c.unit", "c.lp").toArrow()  # at most 2**MEMO_BITS rows of 16 bytes
+    often = n // (1 << MEMO_BITS - 1)  # rarer units would not keep a place
+    common = scored.where(F.col("n") > often).groupBy("place").agg(F.max_by("unit", "n").alias("unit"), F.max_by("lp", "n").alias("lp")).select("unit", "lp").toArrow()
     model.common = common.column("unit").to_numpy().view(np.uint64), common.column("lp").to_numpy()
     return model
 
