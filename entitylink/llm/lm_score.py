@@ -69,6 +69,7 @@ RATE = 0.3
 DELTA = 0.05
 STEPS = 4  # confidence steps of the gate
 GATES = (len(ORDERS) + 1) * STEPS * (STEPS + 1)
+MOST = 1023  # larger counts of zeros and ones are scaled down together
 BINS = 33
 LIMIT = 11.0
 MEMO_BITS = 21
@@ -77,7 +78,7 @@ _ODD = 0x9E3779B97F4A7C15
 _END, _SPACE = 10, 32
 _BLANK = re.compile(b"[\x20\x09-\x0d]")
 _FLAT = _LOWER.translate(bytes(_SPACE if b in _SPACES else b for b in range(256)))
-_LOG = np.log(np.arange(65536) + DELTA).astype(np.float32)
+_LOG = np.log(np.arange(MOST + 1) + DELTA).astype(np.float32)
 
 
 # ---- running text as units ---------------------------------------------------------------------
@@ -232,7 +233,7 @@ def slot(h: np.ndarray, k: int) -> np.ndarray:
 
 def tag(h: np.ndarray) -> np.ndarray:
     """What tells contexts in one slot apart."""
-    return (h >> np.uint64(48 - SLOT_BITS)).astype(np.uint16)
+    return (h >> np.uint64(52 - SLOT_BITS)).astype(np.uint32) & np.uint32(4095)
 
 
 def steps(n: np.ndarray) -> np.ndarray:
@@ -256,19 +257,16 @@ def mixed(weights: tuple[np.ndarray, np.ndarray], x: list[np.ndarray], gate: np.
 
 
 class Table:
-    """Tag, zeros and ones in 16 bits each by slot, each slot for the context with its tag."""
+    """Tag (12 bits), zeros and ones (10 bits each) by slot, each slot for the context with its tag."""
 
     def __init__(self) -> None:
-        self.packed = np.zeros(CONTEXTS << SLOT_BITS, np.uint64)
-
-    def put(self, at: np.ndarray, tags: np.ndarray, zeros: np.ndarray, ones: np.ndarray) -> None:
-        self.packed[at] = tags.astype(np.uint64) << np.uint64(32) | zeros.astype(np.uint64) << np.uint64(16) | ones.astype(np.uint64)
+        self.packed = np.zeros(CONTEXTS << SLOT_BITS, np.uint32)
 
     def counts(self, h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Zeros and ones after contexts with these hashes; none for a context that is not held."""
         got = self.packed[slot(h, k)]
-        both = got.astype(np.uint32) * ((got >> np.uint64(32)).astype(np.uint16) == tag(h))
-        return (both >> np.uint32(16)).astype(np.int32), (both & np.uint32(65535)).astype(np.int32)
+        got *= (got >> np.uint32(20)) == tag(h)
+        return (got >> np.uint32(10) & np.uint32(MOST)).astype(np.int32), (got & np.uint32(MOST)).astype(np.int32)
 
 
 @dataclass
@@ -418,7 +416,7 @@ def best_slots(units: np.ndarray, times: np.ndarray) -> Iterator[tuple[np.ndarra
             found.append(((codes[k][order[first]] + seen * np.uint64(0xD1B54A32D192ED03)) * np.uint64(_ODD), total - ones, ones))
         h, zeros, ones = (np.concatenate(c) for c in zip(*found, strict=True))
         at, tags = slot(h, k), tag(h)
-        rank = np.minimum(zeros + ones, 1 << 40) << 16 | tags
+        rank = np.minimum(zeros + ones, 1 << 40) << 12 | tags
         best = np.full(1 << SLOT_BITS, -1, np.int64)
         np.maximum.at(best, at - (k << SLOT_BITS), rank)
         won = best[at - (k << SLOT_BITS)] == rank
@@ -489,21 +487,26 @@ def train(texts: DataFrame, classes: np.ndarray) -> Model:
     units = materialize(units, "units")
     n = units.count()
     slots = units.repartition(max(1, -(-n // SHARD)), "unit").mapInArrow(slot_counts, "slot int, tag int, zeros long, ones long").groupBy("slot", "tag").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
-    most = F.greatest("zeros", "ones", F.lit(65535))
-    # one number a slot: 15 bits of the logarithm of its count, the tag, and the counts in 16 bits each
-    parts = [F.floor(F.log2(F.col("zeros") + F.col("ones")) * 512), "tag", *[F.ceil(F.col(c) * 65535 / most) for c in ("zeros", "ones")]]
-    packed = sum(F.shiftleft((F.col(p) if isinstance(p, str) else p).cast("long"), 16 * (3 - i)) for i, p in enumerate(parts))
+    most = F.greatest("zeros", "ones", F.lit(MOST))
+    zeros, ones = (F.ceil(F.col(c) * MOST / most).cast("long") for c in ("zeros", "ones"))
+    # one number a slot: the logarithm of its count, then what the table holds
+    rank = F.floor(F.log2(F.col("zeros") + F.col("ones")) * 512).cast("long")
+    packed = F.shiftleft(rank, 32) + F.shiftleft(F.col("tag").cast("long"), 20) + F.shiftleft(zeros, 10) + ones
     got = slots.groupBy("slot").agg(F.max(packed).alias("c")).toArrow()  # at most CONTEXTS * 2**SLOT_BITS rows of 12 bytes
     table = Table()
     for b in got.to_batches():
-        table.packed[b.column(0).to_numpy()] = b.column(1).to_numpy().view(np.uint64) & np.uint64((1 << 48) - 1)
+        table.packed[b.column(0).to_numpy()] = b.column(1).to_numpy().astype(np.uint32)
     del got
     units = units.repartition(max(1, -(-n // LESSON)), "unit")
-    learned = units.mapInArrow(learn_online(context.broadcast(table)), "place long, total double, n double").groupBy("place").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).toArrow()
+    shared = context.broadcast(table)
+    learned = units.mapInArrow(learn_online(shared), "place long, total double, n double").groupBy("place").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).toArrow()
     model = Model(table, *averaged(*(learned.column(c).to_numpy() for c in ("place", "total", "n"))), classes)
-    scored = units.mapInArrow(score_units(context.broadcast(model)), "place int, unit long, n long, lp double")
+    shared.destroy()
+    shared = context.broadcast(model)
+    scored = units.mapInArrow(score_units(shared), "place int, unit long, n long, lp double")
     often = n // (1 << MEMO_BITS - 1)  # rarer units would not keep a place
     common = scored.where(F.col("n") > often).groupBy("place").agg(F.max_by("unit", "n").alias("unit"), F.max_by("lp", "n").alias("lp")).select("unit", "lp").toArrow()
+    shared.destroy()
     model.common = common.column("unit").to_numpy().view(np.uint64), common.column("lp").to_numpy()
     return model
 
