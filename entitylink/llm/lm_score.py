@@ -61,7 +61,7 @@ HEAVY = 500_000
 PIECE = 1 << 20  # bytes of running text that are looked at together
 UNITS = 1_500_000  # distinct units that a task gathers before it learns from them
 TYPES = 1_000_000  # distinct words that a task gathers before it hands them on
-SHARD = 1_500_000  # distinct units whose bits one task adds up
+SHARD = 2_000_000  # distinct units whose bits one task adds up
 LESSON = 500_000  # distinct units that one task learns from
 BATCH = 4096
 CHUNK = 1 << 16
@@ -312,7 +312,7 @@ class Memo:
 
     def __init__(self, model: Model) -> None:
         self.model = model
-        self.held, self.found = np.zeros(1 << MEMO_BITS, np.uint64), np.zeros(1 << MEMO_BITS)
+        self.held, self.found = np.zeros(1 << MEMO_BITS, np.uint64), np.zeros(1 << MEMO_BITS, np.float32)
         self.held[0] = 1  # no unit's place is 0 but that of unit 0
         self.put(*model.common)
 
@@ -325,7 +325,7 @@ class Memo:
         out, new = self.found[at], np.flatnonzero(self.held[at] != units)
         if len(new):
             each, back = np.unique(units[new], return_inverse=True)
-            found = self.model.coded(each)
+            found = self.model.coded(each).astype(np.float32)
             out[new] = found[back]
             self.put(each, found)
         return out
@@ -486,7 +486,9 @@ def train(texts: DataFrame, classes: np.ndarray) -> Model:
     units = texts.mapInArrow(gather(context.broadcast(classes)), "unit long, n long").groupBy("unit").agg(F.sum("n").alias("n"))
     units = materialize(units, "units")
     n = units.count()
-    slots = units.repartition(max(1, -(-n // SHARD)), "unit").mapInArrow(slot_counts, "slot int, tag int, zeros long, ones long").groupBy("slot", "tag").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
+    slots = units.repartition(max(1, -(-n // SHARD)), "unit").mapInArrow(slot_counts, "slot int, tag int, zeros long, ones long")
+    # dealt by slot, so that both groupings need no other shuffle
+    slots = slots.repartition("slot").groupBy("slot", "tag").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
     most = F.greatest("zeros", "ones", F.lit(MOST))
     zeros, ones = (F.ceil(F.col(c) * MOST / most).cast("long") for c in ("zeros", "ones"))
     # one number a slot: the logarithm of its count, then what the table holds
@@ -504,8 +506,8 @@ def train(texts: DataFrame, classes: np.ndarray) -> Model:
     shared.destroy()
     shared = context.broadcast(model)
     scored = units.mapInArrow(score_units(shared), "place int, unit long, n long, lp double")
-    often = n // (1 << MEMO_BITS - 1)  # rarer units would not keep a place
-    common = scored.where(F.col("n") > often).groupBy("place").agg(F.max_by("unit", "n").alias("unit"), F.max_by("lp", "n").alias("lp")).select("unit", "lp").toArrow()
+    often = n // (1 << MEMO_BITS - 2)  # rarer units would not keep a place
+    common = scored.where(F.col("n") > often).groupBy("place").agg(F.max_by("unit", "n").alias("unit"), F.max_by("lp", "n").alias("lp")).select("unit", F.col("lp").cast("float").alias("lp")).toArrow()
     shared.destroy()
     model.common = common.column("unit").to_numpy().view(np.uint64), common.column("lp").to_numpy()
     return model
@@ -569,7 +571,7 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
             m = len(texts)
             tokens, known, summed, score = np.ones(m, np.int64), np.full(m, int(end_known), np.int64), np.full(m, end_base), np.zeros(m)
             for piece in pieces_of(texts, model.classes):
-                total = np.concatenate([[0.0], np.cumsum(table.coded(piece.units))])[np.concatenate([[0], piece.ends])]
+                total = np.concatenate([[0.0], np.cumsum(table.coded(piece.units), dtype=np.float64)])[np.concatenate([[0], piece.ends])]
                 np.add.at(score, piece.texts, np.diff(total) / log(10))
                 h, doc = piece.words.hash.view(np.int64)[piece.own], piece.word_text[piece.own]
                 tokens += np.bincount(doc, minlength=m)
