@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from entitylink.functions.storage import materialize
-from entitylink.llm.common import _LOWER, _SPACES, Words, crc_mod, mix64, row_key
+from entitylink.llm.common import _LOWER, _SPACES, Words, crc_mod, mix64, row_key, slices
 
 ORDERS = (2, 3, 4, 6)
 REACH = max(ORDERS)
@@ -58,9 +58,9 @@ SLOT_BITS = 20
 FREQUENT = 255
 NEAR = 4
 HEAVY = 500_000
-PIECE = 1 << 20  # bytes of running text that are looked at together
+PIECE = 1 << 19  # bytes of running text that are looked at together
 UNITS = 1_500_000  # distinct units that a task gathers before it learns from them
-TYPES = 1_000_000  # distinct words that a task gathers before it hands them on
+TYPES = 500_000  # distinct words that a task gathers before it hands them on
 SHARD = 2_000_000  # distinct units whose bits one task adds up
 LESSON = 500_000  # distinct units that one task learns from
 BATCH = 4096
@@ -172,30 +172,40 @@ class Tally:
     def add(self, values: np.ndarray) -> None:
         if len(values):
             v = np.sort(values)
-            self._keep(v, np.ones(len(v), np.int64))
+            first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+            self._keep(v[first], np.diff(np.concatenate([first, [len(v)]])))
 
     def _keep(self, v: np.ndarray, n: np.ndarray) -> None:
-        first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
-        self.runs.append((v[first], np.add.reduceat(n, first)))
-        self.size += len(first)
+        self.runs.append((v, n.astype(np.uint32)))
+        self.size += len(v)
 
     def merged(self) -> tuple[np.ndarray, np.ndarray]:
         if len(self.runs) > 1:
             v, n = (np.concatenate(x) for x in zip(*self.runs, strict=True))
-            order = np.argsort(v, kind="stable")
             self.runs, self.size = [], 0
-            self._keep(v[order], n[order])
-        return self.runs[0] if self.runs else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-
-    def full(self, most: int) -> bool:
-        if self.size > 2 * most:
-            self.merged()
-        return self.size > most and len(self.runs) == 1
+            order = np.argsort(v, kind="stable")
+            v, n = v[order], n[order]
+            del order
+            first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+            self._keep(v[first], np.add.reduceat(n, first))
+        return self.runs[0] if self.runs else (np.zeros(0, np.uint64), np.zeros(0, np.uint32))
+
+    def spill(self, most: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """When there are more than ``most`` values, the rarer of them; the others stay."""
+        if self.size <= 1.5 * most:
+            return None
+        v, n = self.merged()
+        if len(v) <= most:
+            return None
+        rare = n <= np.partition(n, len(n) - most // 2)[len(n) - most // 2]
+        self.runs, self.size = [], 0
+        self._keep(v[~rare], n[~rare])
+        return v[rare], n[rare].astype(np.int64)
 
     def take(self) -> tuple[np.ndarray, np.ndarray]:
-        out = self.merged()
+        v, n = self.merged()
         self.runs, self.size = [], 0
-        return out
+        return v, n.astype(np.int64)
 
 
 # ---- the model ---------------------------------------------------------------------------------
@@ -429,16 +439,16 @@ def gather(classes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = Tally()
 
-        def out() -> pa.RecordBatch:
-            units, times = found.take()
+        def out(units: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(units.view(np.int64)), pa.array(times)], ["unit", "n"])
 
-        for b in batches:
+        _MEMO.clear()  # of a model before this one
+        for b in slices(batches):
             for piece in pieces_of(b.column(0).to_pylist(), classes.value):
                 found.add(piece.units)
-                if found.full(UNITS):
-                    yield out()
-        yield out()
+                if rare := found.spill(UNITS):
+                    yield out(*rare)
+        yield out(*found.take())
 
     return run
 
@@ -520,11 +530,10 @@ def count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """text, train -> h (64-bit hash of the word), n_all, c (occurrences in training texts); partial."""
     tallies = [Tally(), Tally()]
 
-    def out(train: bool) -> pa.RecordBatch:
-        h, n = tallies[train].take()
+    def out(train: bool, h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n), pa.array(n if train else np.zeros_like(n))], ["h", "n_all", "c"])
 
-    for b in batches:
+    for b in slices(batches):
         train = np.array(b.column(1).to_pylist(), bool)
         for segments in cut_texts(b.column(0).to_pylist(), PIECE):
             w = Words([raw for _, raw, _, _ in segments], lower=True)
@@ -533,10 +542,10 @@ def count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             teaches = np.repeat(train[[k for k, *_ in segments]], count)
             for t in (False, True):
                 tallies[t].add(w.hash[own & (teaches == t)])
-                if tallies[t].full(TYPES):
-                    yield out(t)
+                if rare := tallies[t].spill(TYPES):
+                    yield out(t, *rare)
     for t in (False, True):
-        yield out(t)
+        yield out(t, *tallies[t].take())
 
 
 def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_on=None) -> DataFrame:
@@ -566,7 +575,7 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
         """One row per text with its score and the sums over its frequent words, and one per rare word of a text."""
         model, hs, knows, bases, end_known, end_base = shared.value
         table = memo(model)
-        for b in batches:
+        for b in slices(batches):
             texts, k1, k2 = b.column("text").to_pylist(), b.column("k1").to_numpy(), b.column("k2").to_numpy()
             m = len(texts)
             tokens, known, summed, score = np.ones(m, np.int64), np.full(m, int(end_known), np.int64), np.full(m, end_base), np.zeros(m)
