@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from entitylink.functions.storage import materialize
-from entitylink.llm.common import _LOWER, _SPACES, Words, crc_mod, mix64, row_key, slices
+from entitylink.llm.common import _LOWER, _SPACES, Words, crc_mod, mix64, row_key, slices, trimmed
 
 ORDERS = (2, 3, 4, 6)
 REACH = max(ORDERS)
@@ -436,13 +436,14 @@ def best_slots(units: np.ndarray, times: np.ndarray) -> Iterator[tuple[np.ndarra
 def gather(classes):
     """Training texts -> unit, n: how often each unit occurs; partial."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _MEMO.clear()  # of a model before this one
         found = Tally()
 
         def out(units: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(units.view(np.int64)), pa.array(times)], ["unit", "n"])
 
-        _MEMO.clear()  # of a model before this one
         for b in slices(batches):
             for piece in pieces_of(b.column(0).to_pylist(), classes.value):
                 found.add(piece.units)
@@ -453,6 +454,7 @@ def gather(classes):
     return run
 
 
+@trimmed
 def slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Units and their occurrences -> slot, tag, zeros, ones."""
     held = [(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()) for b in batches]  # one shard
@@ -466,6 +468,7 @@ def slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn_online(shared):
     """Units and their occurrences -> place, total, n: what a task learned."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learner = Learner(shared.value)
         for b in batches:
@@ -482,6 +485,7 @@ def learn_online(shared):
 def score_units(shared):
     """Units and their occurrences -> the same with the place in the scorers' tables and the score."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             units = b.column(0).to_numpy().view(np.uint64)
@@ -526,8 +530,10 @@ def train(texts: DataFrame, classes: np.ndarray) -> Model:
 # ---- token counts and the result ---------------------------------------------------------------
 
 
+@trimmed
 def count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """text, train -> h (64-bit hash of the word), n_all, c (occurrences in training texts); partial."""
+    _MEMO.clear()  # of a model before this one
     tallies = [Tally(), Tally()]
 
     def out(train: bool, h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -571,6 +577,7 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     shared = spark.sparkContext.broadcast((model, hs[order], cs[order] > 0, base(cs[order]), texts > 0, float(base(texts))))
     kind = docs.schema["id"].dataType.simpleString()
 
+    @trimmed
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One row per text with its score and the sums over its frequent words, and one per rare word of a text."""
         model, hs, knows, bases, end_known, end_base = shared.value
