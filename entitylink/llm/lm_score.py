@@ -60,6 +60,7 @@ NEAR = 4
 HEAVY = 500_000
 PIECE = 1 << 19  # bytes of running text that are looked at together
 UNITS = 1_500_000  # distinct units that a task gathers before it learns from them
+TASK = 2_000_000  # words of running text that one task gathers units from, at least
 TYPES = 500_000  # distinct words that a task gathers before it hands them on
 SHARD = 2_000_000  # distinct units whose bits one task adds up
 LESSON = 500_000  # distinct units that one task learns from
@@ -325,6 +326,7 @@ class Memo:
         self.held, self.found = np.zeros(1 << MEMO_BITS, np.uint64), np.zeros(1 << MEMO_BITS, np.float32)
         self.held[0] = 1  # no unit's place is 0 but that of unit 0
         self.put(*model.common)
+        model.common = model.common[0][:0], model.common[1][:0]
 
     def put(self, units: np.ndarray, found: np.ndarray) -> None:
         place, first = np.unique(memo_place(units), return_index=True)
@@ -569,7 +571,9 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     every, n, v = figures.agg(F.coalesce(F.sum("n_all"), F.lit(0)), F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     n, v = n + texts, v + (texts > 0)
     common = figures.where("c > 0").orderBy(F.desc("c"), "h").limit(FREQUENT).toArrow()
-    model = train(docs.where("train").select("text"), np.sort(common.column("h").to_numpy().view(np.uint64)))
+    # small partitions are joined, so that a task meets the same units more often
+    texts_of_task = docs.where("train").select("text").coalesce(max(spark.sparkContext.defaultParallelism, every // TASK))
+    model = train(texts_of_task, np.sort(common.column("h").to_numpy().view(np.uint64)))
     top = figures.where(F.col("n_all") * HEAVY >= every).select("h", "c").toArrow()  # at most HEAVY rows
     hs, cs = top.column("h").to_numpy(), top.column("c").to_numpy()
     order = np.argsort(hs)

@@ -9,6 +9,9 @@ The model is fitted on a bounded sample of labelled rows: the ``SAMPLE`` trainin
 in the order of their id's hash (all of them, if fewer). Only those ids are broadcast and only their
 ``FEATURES`` numbers reach the driver. Every document is scored over its whole text.
 
+A text longer than ``PIECE`` characters is looked at alone and whole. Of repeated ids the row with the least
+features teaches.
+
 Defined results: a null or empty text has all features zero and gets a score as any other. Without
 labelled rows every score is 0.5; with one class only it is the smoothed share of that class. Null labels
 and labels of unknown documents teach nothing. A null id counts as the empty string in the hold-out rule.
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from entitylink.llm.common import Words, crc_mod, extended
+from entitylink.llm.common import Words, crc_mod, extended, slices, trimmed
 
 SAMPLE = 20_000
 BINS = 32
@@ -34,6 +37,7 @@ PAIRS = 8
 ROUNDS = 120
 RATE = 0.1
 LEAVES = 3
+PIECE = 500_000  # characters whose features are computed together
 THRESHOLD = 0.3
 FEATURES = ["log_bytes", "log_words", "word_bytes", "upper", "digit", "punctuation", "symbol", "bang", "bar", "non_ascii", "distinct", "repeats", "top_word", "odd_end", "words_per_line", "same_lines"]
 
@@ -52,7 +56,7 @@ def features(texts: list[str | None]) -> np.ndarray:
     out, begin, size = [], 0, 0
     for i, t in enumerate(texts):
         size += len(t or "")
-        if size > 4_000_000:
+        if size > PIECE:
             out.append(_features(texts[begin : i + 1]))
             begin, size = i + 1, 0
     out.append(_features(texts[begin:]))
@@ -190,13 +194,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (crc_mod(id_col, 5) != 0))
     ids = known.groupBy(id_col).agg(F.max(label_col).cast("double").alias("__y")).withColumn("__h", F.xxhash64(id_col)).orderBy("__h", id_col).limit(sample)
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = features(b.column(2).to_pylist()) if b.num_rows else np.zeros((0, len(FEATURES)))
+        for b in slices(batches):
+            x = features(b.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(x), pa.list_(pa.float64()))], ["h", "y", "x"])
 
     rows = docs.select(id_col, F.col(text_col).alias("__t")).join(F.broadcast(ids), id_col).select("__h", "__y", "__t")
-    table = rows.mapInArrow(run, "h long, y double, x array<double>").toPandas().sort_values(["h", "y"], kind="stable")
+    # one row per id, the least of equal ids, so that no more than the sample reaches the driver
+    rows = rows.mapInArrow(run, "h long, y double, x array<double>").groupBy("h", "y").agg(F.min("x").alias("x"))
+    table = rows.toPandas().sort_values(["h", "y"], kind="stable")
     if not len(table):
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0))
     x, y = np.stack(table["x"].to_list()), table["y"].to_numpy()
@@ -209,9 +216,10 @@ def score_quality(docs: DataFrame, model: AdditiveModel, text_col: str = "text",
     shared = docs.sparkSession.sparkContext.broadcast(model)
     others = [c for c in docs.columns if c != out and (keep_text or c != text_col)]
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            s = shared.value.score(features(b.column(text_col).to_pylist())) if b.num_rows else np.zeros(0)
+        for b in slices(batches):
+            s = shared.value.score(features(b.column(text_col).to_pylist()))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in others), pa.array(s, pa.float64())], [*others, out])
 
     return docs.mapInArrow(run, extended(docs.select(*[f"`{c}`" for c in others]).schema, f"`{out}` double"))

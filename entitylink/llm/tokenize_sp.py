@@ -9,10 +9,11 @@ never merge and become byte pieces.
 
 No piece of the vocabulary holds the space mark after another character (checked when the model is
 loaded), so no merge crosses a word's start: texts are cut there, and each distinct word of a task is
-encoded once and kept in a bounded cache.
+encoded once. What a worker keeps of words and pairs is bounded in bytes and dropped at the end of a task.
 
 Defined results: a null text counts as empty, which has no ids and decodes to the empty text. Very long
-texts are encoded whole. Other columns are kept; columns named like the results are replaced.
+texts are encoded whole: their digests are taken in parts of ``PART`` words, and words longer than
+``LONG`` characters are not kept. Other columns are kept; columns named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -21,14 +22,20 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from entitylink.llm.common import extended
+from entitylink.llm.common import extended, slices, trimmed
 
 SPACE = "▁"
-CACHE = 800_000
+CACHE = 24_000_000  # bytes of encoded words
+PAIRS = 200_000  # tested pairs
+LONG = 64
+PART = 50_000
+ENTRY = 190  # bytes of a kept word beside its characters and ids
 
 
 class PrefixTable:
@@ -64,7 +71,7 @@ class PrefixTable:
         self.runs = re.compile(f"(?P<k>[{known}]+)|[^{known}]+", re.S)
         # line ends outside the vocabulary never merge, so texts are cut there too
         line = "" if "\n" in self.chars else "\n"
-        self.cut = re.compile(f"{SPACE}+[^{SPACE}{line}]*|[^{SPACE}{line}]+" + (f"|{line}" if line else "")).findall
+        self.cut = re.compile(f"{SPACE}+[^{SPACE}{line}]*|[^{SPACE}{line}]+" + (f"|{line}" if line else ""))
         # merge order: pieces of better score merge first; single characters are given
         order = {s: r for r, s in enumerate(sorted(set(self.score.values()), reverse=True))}
         often = Counter(self.score[p] for p in self.id if len(p) > 1)
@@ -73,6 +80,12 @@ class PrefixTable:
         self.split: dict[int, tuple[int, int] | None] = {}
         self.fits: dict[int, bool] = {}
         self.cache: dict[str, str | tuple[str, str]] = {}
+        self.held = 0
+
+    def clear(self) -> None:
+        self.cache.clear()
+        self.fits.clear()
+        self.held = 0
 
     def merged(self, text: str) -> list[str]:
         """Pieces by the merge rule itself (best score first, then leftmost); for short texts in the tests of pairs."""
@@ -102,6 +115,8 @@ class PrefixTable:
         """
         key = (left + 1) << 20 | right
         if (known := self.fits.get(key)) is None:
+            if len(self.fits) >= PAIRS:
+                self.fits.clear()
             known = self.fits[key] = self._compatible(left, right)
         return known
 
@@ -155,26 +170,43 @@ class PrefixTable:
         """A word's ids as text; with the word decoded again, where that is not the word with spaces."""
         ids = self.word_ids(unit)
         text, plain = ",".join(map(str, ids)), self.plain(ids)
-        if len(self.cache) >= CACHE:
-            self.cache.clear()
-        found = self.cache[unit] = text if plain == unit.replace(SPACE, " ") else (text, plain)
+        found = text if plain == unit.replace(SPACE, " ") else (text, plain)
+        if len(unit) <= LONG:
+            if self.held >= CACHE:
+                self.cache.clear()
+                self.held = 0
+            self.cache[unit] = found
+            self.held += ENTRY + 2 * len(unit) + len(text)
         return found
 
     def units(self, text: str) -> list[str]:
         if not text:
             return []
-        return self.cut(SPACE + text.replace(" ", SPACE))
+        return self.cut.findall(SPACE + text.replace(" ", SPACE))
+
+    def parts(self, text: str | None) -> Iterator[tuple[str, str]]:
+        """The ids as text and what they decode to, of ``PART`` words at a time."""
+        units = self.cut.finditer(SPACE + text.replace(" ", SPACE)) if text else iter(())
+        first = True
+        while some := [m[0] for m in islice(units, PART)]:
+            ids, plain = self.joined(some)
+            yield ids, plain[1:] if first else plain
+            first = False
 
     def encoded(self, text: str | None) -> tuple[str, str]:
         """The ids as text, and the text decoded from them."""
-        units, get = self.units(text or ""), self.cache.get
+        ids, plain = self.joined(self.units(text or ""))
+        return ids, plain[1:]
+
+    def joined(self, units: list[str]) -> tuple[str, str]:
+        get = self.cache.get
         words = [get(u) or self.word(u) for u in units]
         if tuple in set(map(type, words)):
             plain = "".join(u.replace(SPACE, " ") if isinstance(w, str) else w[1] for u, w in zip(units, words, strict=True))
             words = [w if isinstance(w, str) else w[0] for w in words]
         else:
             plain = "".join(units).replace(SPACE, " ")
-        return ",".join(words), plain[1:]
+        return ",".join(words), plain
 
     def encode(self, text: str | None) -> list[int]:
         ids = self.encoded(text)[0]
@@ -229,17 +261,27 @@ def encode_texts(df: DataFrame, model_file: str, text_col: str = "text", keep_id
     added = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids]
     others = [c for c in df.columns if c != text_col and c not in added]
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = table(model_file)
-        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        for b in batches:
-            rows = []
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())]
+        for b in slices(batches):
+            rows, kept, ends = [], [], [0]
             for text in b.column(text_col).to_pylist():
-                ids, plain = t.encoded(text)
-                rows.append((ids.count(",") + 1 if ids else 0, sha(ids), sha(plain), *[list(map(int, ids.split(","))) if ids else []] * keep_ids))
-            cols = list(zip(*rows, strict=True)) if rows else [[] for _ in added]
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in others] + [pa.array(c, k) for c, k in zip(cols, kinds, strict=False)], [*others, *added])
+                n, of_ids, of_text = 0, hashlib.sha256(), hashlib.sha256()
+                for ids, plain in t.parts(text):
+                    of_ids.update(b"," * (n > 0) + ids.encode())
+                    of_text.update(plain.encode())
+                    n += ids.count(",") + 1
+                    if keep_ids:
+                        kept.append(np.array(ids.split(","), np.int32))
+                rows.append((n, of_ids.hexdigest(), of_text.hexdigest()))
+                ends.append(ends[-1] + n)
+            cols = list(zip(*rows, strict=True)) if rows else [[] for _ in range(3)]
+            if keep_ids:
+                cols.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *kept]))))
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in others] + [c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(cols, kinds, strict=False)], [*others, *added])
+        t.clear()
 
     ddl = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
     schema = extended(df.select(*[f"`{c}`" for c in others]).schema, ddl)
