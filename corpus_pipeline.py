@@ -12,9 +12,10 @@ from entitylink.llm import exact_dedup, minhash_dedup, mixing, quality, tokenize
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality model, learned from the labelled ones among them, does not reject."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
-    scored = quality.score_quality(packed, model)
-    return scored.where(F.col("score") >= quality.THRESHOLD).select("row.*")
+    others = [c for c in docs.columns if c != "text"]
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), F.col("text"))
+    scored = quality.score_quality(packed, model, keep_text=True)
+    return scored.where(F.col("score") >= quality.THRESHOLD).select(*[F.col(f"row.`{c}`") if c != "text" else F.col(c) for c in docs.columns])
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
