@@ -12,7 +12,8 @@ the number of languages, which must not exceed ``MAX_LANGUAGES``.
 
 Defined results: a null text, or one without any letter, gives ``und`` and score 0; so does every text
 if no training row has letters. Ties go to the language first in order. Null languages teach nothing;
-a null id counts as the empty string in the hold-out rule. Very long texts are read whole, in pieces.
+a null id counts as the empty string in the hold-out rule. Texts are read whole, ``PIECE`` characters at
+a time, which changes no count. Columns named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -25,13 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from entitylink.llm.common import crc_mod, extended
+from entitylink.llm.common import crc_mod, extended, slices
 
 BITS = 15
 MAX_LANGUAGES = 500
 SMOOTH = 0.1
 PENALTY = 3.0
 STEPS = 25
+PIECE = 500_000
 MARGIN = 1e-6
 
 
@@ -41,28 +43,41 @@ def _letters() -> np.ndarray:
     return np.frombuffer(bytes(chr(i).isalpha() for i in range(0x110000)), np.bool_)
 
 
-def trigrams(text: str | None) -> np.ndarray:
-    """Hashed trigrams of the lower-cased text; every run of other characters counts as one blank."""
-    code = np.frombuffer((text or "").lower().encode("utf-32-le"), np.uint32)
-    letter = _letters()[code]
-    if not letter.any():
-        return np.zeros(0, np.int64)
-    code = np.where(letter, code, 0).astype(np.uint64)
-    code = np.concatenate([[0], code[letter | np.concatenate([[True], letter[:-1]])], [0]]).astype(np.uint64)
+def trigrams(text: str | None, piece: int = PIECE) -> Iterator[np.ndarray]:
+    """Hashed trigrams of the lower-cased text, in pieces; every run of other characters counts as one blank."""
+    text, held, any_letter = (text or "").lower(), np.zeros(1, np.uint32), False
+    for i in range(0, len(text), piece):
+        code = np.frombuffer(text[i : i + piece].encode("utf-32-le", "surrogatepass"), np.uint32)
+        letter = _letters()[code]
+        any_letter |= bool(letter.any())
+        code = np.where(letter, code, 0)
+        code = np.concatenate([held, code[letter | np.concatenate([[held[-1] != 0], letter[:-1]])]])
+        yield _hashed(code)
+        held = code[-2:]
+    if any_letter and held[-1]:
+        yield _hashed(np.concatenate([held, [0]]))
+
+
+def _hashed(code: np.ndarray) -> np.ndarray:
+    code = code.astype(np.uint64)
     h = code[:-2] * np.uint64(0x9E3779B97F4A7C15) + code[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + code[2:] * np.uint64(0x165667B19E3779F9)
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     return (h >> np.uint64(64 - BITS)).astype(np.int64)
 
 
+def gram_counts(text: str | None) -> np.ndarray:
+    return sum((np.bincount(g, minlength=2**BITS) for g in trigrams(text)), np.zeros(2**BITS, np.int64))
+
+
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> tuple[list[str], np.ndarray]:
     """Learned languages in order, and log-free trigram probabilities (``2**BITS`` x languages)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
-        for b in batches:
+        for b in slices(batches):
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if len(g := trigrams(text)):
+                for g in trigrams(text):
                     if lang not in counts:
                         counts[lang] = np.zeros(2**BITS, np.int64)
                     counts[lang] += np.bincount(g, minlength=2**BITS)
@@ -98,9 +113,8 @@ def em(p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, float]:
     return share, float(n @ np.log(p @ share))
 
 
-def infer(grams: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Proportions of all languages; zero for those outside the selected set."""
-    counts = np.bincount(grams, minlength=len(p))
+def infer(counts: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Proportions of all languages from trigram counts; zero for those outside the selected set."""
     at = np.flatnonzero(counts)
     n, q = counts[at].astype(float), p[at]
     cost, total, langs = PENALTY * np.log(n.sum() + 1), n.sum(), range(p.shape[1])
@@ -135,24 +149,24 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
     """Adds ``lang_pred``, ``score`` and ``lang_set`` (the selected languages, largest share first)."""
     langs, p = model
     shared = docs.sparkSession.sparkContext.broadcast(p)
+    others = [c for c in docs.columns if c not in (text_col, "lang_pred", "score", "lang_set")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             pred, score, sets = [], [], []
             for text in b.column(text_col).to_pylist():
-                g = trigrams(text)
-                if not len(g) or not langs:
+                g = gram_counts(text)
+                if not langs or not g.any():
                     pred.append("und"), score.append(0.0), sets.append([])
                     continue
                 share = infer(g, shared.value)
                 top = int(share.argmax())
                 pred.append(langs[top]), score.append(min(1.0, float(share[top])))
                 sets.append([langs[i] for i in np.argsort(-share, kind="stable") if share[i] > 0])
-            kept = [(b.column(i), name) for i, name in enumerate(b.schema.names) if name != text_col]
-            yield pa.RecordBatch.from_arrays([c for c, _ in kept] + [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.list_(pa.string()))], [n for _, n in kept] + ["lang_pred", "score", "lang_set"])
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in others] + [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.list_(pa.string()))], [*others, "lang_pred", "score", "lang_set"])
 
-    schema = extended(docs.drop(text_col).schema, "lang_pred string, score double, lang_set array<string>")
-    return docs.mapInArrow(run, schema)
+    schema = extended(docs.select(*[f"`{c}`" for c in others]).schema, "lang_pred string, score double, lang_set array<string>")
+    return docs.select(*[f"`{c}`" for c in [*others, text_col]]).mapInArrow(run, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ for certain. Only likely pairs leave a block: first each member's best partners
 likely partners still in other components. So no candidate is left out and no group is unbounded. Components come from large-star / small-star rounds on the links.
 
 With 50 bands of 5 registers a pair at similarity 0.8 is missed with a probability below 1e-8. Classes
-are identified by a 64-bit sum of shingle hashes.
+are identified by their size and two 64-bit sums of shingle hashes, and numbered when they are written.
 
 Defined results: a null or empty text (no words) has an empty set, links with nothing and stays. A text
 with fewer words than a shingle has one shingle, all its words. Rows with equal id and text are copies of
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from entitylink.functions.storage import materialize
 from entitylink.llm import bloom
-from entitylink.llm.common import Words, mix64, rolling, row_key
+from entitylink.llm.common import Words, mix64, rolling, row_key, slices, trim
 from entitylink.llm.substring_dedup import pieces
 from entitylink.operators.graph import connected_components
 
@@ -49,6 +49,7 @@ LARGEST = 20.0
 TOP = 2**15 - 1
 SIGMAS = 6.0
 PARTS = 512
+FULL = 2**15 - 1  # a part's count that may be larger in truth, so that it bounds nothing
 #: After the round of heads: which of a member's likely partners, by estimate, each round verifies.
 WINDOWS = ((0, 2), (2, 2**40))
 MEMBERS = 512
@@ -120,7 +121,8 @@ def _regs(column) -> np.ndarray:
 
 def part_counts(sets: list[np.ndarray]) -> np.ndarray:
     """How many of a set's elements fall in each of ``PARTS`` parts; the smaller counts of two sets add up to at least their overlap."""
-    return np.stack([np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=PARTS) for s in sets]).astype(np.int16) if sets else np.zeros((0, PARTS), np.int16)
+    counts = [np.minimum(np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=PARTS), FULL) for s in sets]
+    return np.stack(counts).astype(np.int16) if sets else np.zeros((0, PARTS), np.int16)
 
 
 class Scan:
@@ -129,7 +131,7 @@ class Scan:
 
     def sketch(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """id, k1, k2, text -> id, k1, k2, n, s1, s2, regs."""
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(3).to_pylist()
             for i, j in pieces(texts, 1_000_000):
                 sets = shingle_sets(texts[i:j], self.words)
@@ -140,6 +142,7 @@ class Scan:
                 n = pa.array([len(s) for s in sets], pa.int64())
                 parts = pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * PARTS, pa.array(part_counts(sets).ravel()))
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in range(3)), n, *sums, regs, parts], ["id", "k1", "k2", "n", "s1", "s2", "regs", "parts"])
+        trim()
 
     def floor(self) -> float:
         """Estimates below this are ``SIGMAS`` standard errors under the threshold."""
@@ -151,6 +154,7 @@ class Scan:
         node, c, n, side, band = (block.column(x).to_numpy() for x in ("node", "c", "n", "side", "band"))
         regs, pairs = _regs(block.column("regs").combine_chunks()), []
         parts = block.column("parts").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, PARTS)
+        full = (parts == FULL).any(1) if len(parts) else np.zeros(0, bool)
         first, last = side.min(), side.max()
         right = np.flatnonzero(side == last)
         for i in np.flatnonzero(side == first):
@@ -164,6 +168,7 @@ class Scan:
             same = ~before.reshape(len(j), band[i], ROWS).all(2).any(1)  # no earlier band is shared
             j = j[same]
             overlap = np.minimum(parts[j], parts[i]).sum(1, dtype=np.int64)  # at most this many are shared
+            overlap = np.where(full[j] | full[i], np.minimum(n[j], n[i]), overlap)
             if len(j := j[100 * overlap >= self.threshold * (n[j] + n[i] - overlap)]):
                 pairs.append(np.stack([np.full(len(j), i), j, (regs[i] > regs[j]).sum(1), (regs[i] < regs[j]).sum(1)]))
         x, y, more, less = np.concatenate(pairs, 1) if pairs else np.zeros((4, 0), np.int64)
@@ -201,12 +206,12 @@ def _side(df: DataFrame, name: str, *cols: str) -> DataFrame:
 
 
 def links(sketched: DataFrame, keyed: DataFrame, scan: Scan) -> DataFrame | None:
-    """Components ``(node, component)`` of classes with at least one link; None if there is none.
+    """Components ``(n, s1, s2, component)`` of classes with at least one link; None if there is none.
 
     ``sketched``: id, k1, k2, n, s1, s2, regs, parts. ``keyed``: k1, k2, text.
     """
-    classes = sketched.where("n > 0").groupBy("s1", "s2").agg(F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("parts").alias("parts"), F.min(F.struct("k1", "k2")).alias("key"))
-    classes = materialize(classes.select(F.col("s1").alias("node"), "n", "regs", "parts", "key.k1", "key.k2"), "classes")
+    classes = sketched.where("n > 0").groupBy("n", "s1", "s2").agg(F.first("regs").alias("regs"), F.first("parts").alias("parts"), F.min(F.struct("k1", "k2")).alias("key"))
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("node"), "n", "s1", "s2", "regs", "parts", "key.k1", "key.k2"), "classes")
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.slice("regs", i * ROWS + 1, ROWS)))
     buckets = classes.select("node", F.posexplode(band).alias("band", "bh"))
     shared = materialize(buckets.groupBy("bh").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("bh"), "buckets")
@@ -244,7 +249,7 @@ def links(sketched: DataFrame, keyed: DataFrame, scan: Scan) -> DataFrame | None
         new = confirm(close)
         edges = new if edges is None else edges.union(new)
         component = materialize(connected_components(edges), "components")
-    return component
+    return component and component.join(classes.select("node", "n", "s1", "s2").hint("merge"), "node").select("n", "s1", "s2", "component")
 
 
 def across(members: DataFrame, known: DataFrame, scan: Scan) -> DataFrame:
@@ -264,11 +269,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kind = keyed.schema["id"].dataType.simpleString()
     sketched = materialize(keyed.mapInArrow(scan.sketch, f"id {kind}, k1 long, k2 long, n long, s1 long, s2 long, regs array<short>, parts array<short>"), "sketched")
     component = links(sketched, keyed.select("k1", "k2", "text"), scan)
-    rows = sketched.where("n > 0").select("id", "k1", "k2", "n", F.col("s1").alias("node"))
-    if component is not None:
-        rows = rows.join(component.hint("merge"), "node", "left").withColumn("node", F.coalesce("component", "node")).drop("component")
-    smallest = materialize(rows.groupBy("node").agg(F.min("id").alias("component_id")), "smallest")
-    linked = rows.join(smallest.hint("merge"), "node").select("id", "n", "component_id", "k1", "k2")
+    rows = sketched.where("n > 0").select("id", "k1", "k2", "n", "s1", "s2")
+    if component is None:
+        rows = rows.withColumn("component", F.lit(None).cast("long"))
+    else:
+        rows = rows.join(component.hint("merge"), ["n", "s1", "s2"], "left")
+    # a group is a component, or a class without links
+    one = F.col("component").isNull()
+    rows = rows.select("id", "k1", "k2", "n", one.alias("g0"), F.coalesce("component", "s1").alias("g1"), F.when(one, F.col("s2")).otherwise(0).alias("g2"), F.when(one, F.col("n")).otherwise(0).alias("g3"))
+    group = ["g0", "g1", "g2", "g3"]
+    rows = materialize(rows, "grouped")
+    smallest = materialize(rows.groupBy(*group).agg(F.min("id").alias("component_id")), "smallest")
+    linked = rows.join(smallest.hint("merge"), group).select("id", "n", "component_id", "k1", "k2")
     alone = sketched.where("n = 0").select("id", "n", F.col("id").alias("component_id"), "k1", "k2")
     return linked.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), "k1", "k2")
 

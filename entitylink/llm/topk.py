@@ -10,7 +10,7 @@ the exact result.
 
 Defined results: rows with a null id or vector, or with null or non-finite components, take no part. A
 shorter vector counts as padded with zeros. Equal queries (same id and vector) are one query; repeated
-candidates each take a place; rows with the query's id are never its candidates. Ties go to the smaller
+candidates each take a place and are spread over the shards; rows with the query's id are never its candidates. Ties go to the smaller
 id. An empty table gives no rows. Scores are exact up to 2**42 in size.
 """
 
@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 K = 20
 SCALE = 64
-QUERY_GROUP = 2048
-SHARD = 16_384
+QUERY_GROUP = 16_384
+SHARD = 32_768
+COMPONENTS = 4_000_000  # of the vectors of one group or shard, at most
 BLOCK = 256
 _SHIFT = 20
 
@@ -50,6 +51,8 @@ def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
 def prune_top_k(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int = K, block: int = BLOCK) -> tuple[np.ndarray, ...]:
     """For each query row its best k candidates: (query row, candidate id, score). ``ids`` must be sorted."""
     n, nq = len(ids), len(q_ids)
+    if n >= 1 << _SHIFT:
+        raise ValueError("too many rows for one shard")
     cuts = [(a, min(n, a + block)) for a in range(0, n, block)]
     high, low = np.stack([x[a:b].max(0) for a, b in cuts]), np.stack([x[a:b].min(0) for a, b in cuts])
     bound = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
@@ -81,10 +84,15 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_i
     """Each query's k best other rows: ``query_id, rank, vec_id, score``."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), integer_vector(F.col(vec_col), scale).alias("v"), is_query.alias("asks")).where("id is not null and v is not null")
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("q"), F.max(F.size("v")).alias("d")).first()
-    shards, groups, dims = max(1, -(-size["n"] // SHARD)), max(1, -(-size["q"] // QUERY_GROUP)), size["d"] or 1
-    deal = lambda col, seed, n: F.pmod(F.xxhash64(F.lit(seed), "id", "v"), F.lit(n)).cast("int").alias(col)
+    dims = size["d"] or 1
+    few = lambda most: max(BLOCK, min(most, COMPONENTS // dims))
+    groups = max(1, -(-size["q"] // few(QUERY_GROUP)))
+    idle = -(-vectors.sparkSession.sparkContext.defaultParallelism // groups)  # small inputs use all cores too
+    shards = max(1, -(-size["n"] // few(SHARD)), min(idle, size["n"] // (8 * BLOCK)))
+    # equal rows go to different shards, so that none grows beyond the places that a key can hold
+    deal = lambda col, seed, n: F.pmod(F.xxhash64(F.lit(seed), "id", F.monotonically_increasing_id()), F.lit(n)).cast("int").alias(col)
     every = lambda col, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(col)
-    asks = rows.where("asks").select("id", "v").distinct().select("id", "v", deal("g", 1, groups)).select("*", every("s", shards))
+    asks = rows.where("asks").select("id", "v").distinct().select("id", "v", F.pmod(F.xxhash64("id", "v"), F.lit(groups)).cast("int").alias("g")).select("*", every("s", shards))
     cands = rows.select("id", "v", deal("s", 2, shards)).select("*", every("g", groups))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -159,12 +159,23 @@ def test_language_id(spark, docs, empty):
     assert got[0]["score"] == 1.0 and got[3]["score"] == 0.0
     assert {r["lang_pred"] for r in language_id.identify(asked, language_id.train(train.limit(0))).collect()} == {"und"}
     # proportions by plain expectation-maximisation
-    g = language_id.trigrams(mixed)
+    g = np.concatenate(list(language_id.trigrams(mixed)))
     p, share = model[1][g], np.array([0.5, 0.5])
     for _ in range(200):
         r = share * p
         share = (r / r.sum(1, keepdims=True)).mean(0)
-    assert np.allclose(language_id.infer(g, model[1]), share, atol=1e-3)
+    assert np.allclose(language_id.infer(language_id.gram_counts(mixed), model[1]), share, atol=1e-3)
+    # pieces of any size give the same trigrams
+    for text in (mixed, " 12 a", "a-", "", None, "!?", "ab  -- cd 7é"):
+        whole = np.concatenate([np.zeros(0, np.int64), *language_id.trigrams(text)])
+        for size in (1, 2, 7):
+            assert np.array_equal(np.concatenate([np.zeros(0, np.int64), *language_id.trigrams(text, size)]), whole)
+    # clashing columns are replaced, other ones and null ids stay; an empty table has no rows
+    out = language_id.identify(docs.withColumn("lang_pred", F.lit(1)).withColumn("lang_set", F.lit(2)), model)
+    assert sorted(out.columns) == sorted(["doc_id", "lang", "source", "n_chars", "kept", "lang_pred", "score", "lang_set"])
+    assert sorted(r["doc_id"] is None for r in out.collect()) == sorted(d is None for d, *_ in ROWS)
+    assert language_id.identify(empty, model).count() == 0
+    assert language_id.train(empty)[0] == []
 
 
 def test_language_sets_beside_siblings(spark):
@@ -181,8 +192,7 @@ def test_language_sets_beside_siblings(spark):
             got = language_id.identify(spark.createDataFrame([(0, " ".join(text))], "doc_id long, text string"), model).first()
             assert got["lang_pred"] == "es" and got["lang_set"] == ["es", "zh"] and abs(got["score"] - share) < 0.08
         # the chosen set is the best of all sets by the penalised likelihood
-        g = language_id.trigrams(" ".join(make("es", 80) + make("zh", 40) + make("zz", 60)))
-        n = np.bincount(g, minlength=len(model[1]))
+        g = n = language_id.gram_counts(" ".join(make("es", 80) + make("zh", 40) + make("zz", 60)))
         at = np.flatnonzero(n)
         cost = language_id.PENALTY * np.log(n.sum() + 1)
         sets = [[i for i in range(4) if k >> i & 1] for k in range(1, 16)]
@@ -407,9 +417,17 @@ def test_topk(spark):
         near = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), i) for i, w in good if i != q)[:20]
         want += [(q, r, i, -s) for r, (s, i) in enumerate(near, 1)]
     old = topk.BLOCK, topk.SHARD, topk.QUERY_GROUP
-    for topk.SHARD, topk.QUERY_GROUP in ((16384, 2048), (50, 4)):
+    for topk.BLOCK, topk.SHARD, topk.QUERY_GROUP in ((256, 16384, 2048), (4, 50, 4)):
         same(topk.top_k(df, F.col("vec_id") % 20 == 0).collect(), want)
     topk.BLOCK, topk.SHARD, topk.QUERY_GROUP = old
+    # one row that holds most of the table is spread over the shards, and all its copies count
+    topk.BLOCK, topk.SHARD = 4, 64
+    hot = spark.createDataFrame([(7, [1.0, 1.0])] * 500 + [(i, [float(i % 3), 0.5]) for i in range(20, 60)], "vec_id long, embedding array<float>").repartition(4)
+    got = [(r["vec_id"], r["score"]) for r in topk.top_k(hot, F.col("vec_id") == 23).orderBy("rank").collect()]
+    vec = lambda i: [64, 64] if i == 7 else [64 * (i % 3), 32]
+    dots = sorted((-sum(a * b for a, b in zip(vec(23), vec(i), strict=True)), i) for i in [7] * 500 + [j for j in range(20, 60) if j != 23])
+    assert got == [(i, -s) for s, i in dots[:20]]
+    topk.BLOCK, topk.SHARD, topk.QUERY_GROUP = old
     few = topk.top_k(df.where("vec_id in (0, 1)"), F.col("vec_id") % 20 == 0)
     assert [r["vec_id"] for r in few.collect()] == [1]
     assert topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
@@ -420,6 +438,8 @@ def test_topk(spark):
         s = x @ x[i]
         best = sorted(zip(-s, range(10, 4010), strict=True))[:20]
         assert sorted(zip(-score[row == i], ids[row == i], strict=True)) == best
+    with pytest.raises(ValueError):
+        topk.prune_top_k(np.zeros(1), np.zeros((1, 1)), np.zeros(1 << 20), np.zeros((1 << 20, 1)))
 
 
 def test_pipeline(spark, docs, tmp_path):
