@@ -62,7 +62,7 @@ PIECE = 1 << 19  # bytes of running text that are looked at together
 UNITS = 1_500_000  # distinct units that a task gathers before it learns from them
 TASK = 2_000_000  # words of running text that one task gathers units from, at least
 TYPES = 500_000  # distinct words that a task gathers before it hands them on
-SHARD = 2_000_000  # distinct units whose bits one task adds up
+SHARD = 1_500_000  # distinct units whose bits one task adds up
 LESSON = 500_000  # distinct units that one task learns from
 BATCH = 4096
 CHUNK = 1 << 16
@@ -79,6 +79,7 @@ _ODD = 0x9E3779B97F4A7C15
 _END, _SPACE = 10, 32
 _BLANK = re.compile(b"[\x20\x09-\x0d]")
 _FLAT = _LOWER.translate(bytes(_SPACE if b in _SPACES else b for b in range(256)))
+_SHARED = np.array([8 - x.bit_length() for x in range(256)], np.int8)
 _LOG = np.log(np.arange(MOST + 1) + DELTA).astype(np.float32)
 
 
@@ -411,28 +412,29 @@ def averaged(place: np.ndarray, total: np.ndarray, n: np.ndarray) -> tuple[tuple
 
 def best_slots(units: np.ndarray, times: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
     """Slot, tag, zeros and ones of the most frequent context in every slot, one kind of context after another."""
-    codes, byte = contexts(units), units & np.uint64(255)
+    codes, byte = contexts(units), (units & np.uint64(255)).astype(np.uint8)
     for k in range(CONTEXTS):
-        order = np.argsort(codes[k] << np.uint64(8) | byte, kind="stable")
-        code, b, n = codes[k][order] & np.uint64((1 << 56) - 1), byte[order].astype(np.int32), times[order]
+        mine = codes.pop(0)
+        order = np.argsort(mine << np.uint64(8) | byte, kind="stable")
+        code, b, n = mine[order], byte[order], times[order]
+        del mine, order
         # how many bits of the byte a unit shares with the one before it in the same context
-        shared = 8 - np.ceil(np.log2((b[1:] ^ b[:-1]) + 1)).astype(np.int8)
-        shared = np.concatenate([[-1], np.where(code[1:] == code[:-1], shared, -1)]).astype(np.int8)
-        found = []
+        shared = np.where(code[1:] << np.uint64(8) == code[:-1] << np.uint64(8), _SHARED[b[1:] ^ b[:-1]], -1).astype(np.int8)
+        shared = np.concatenate([np.full(1, -1, np.int8), shared])
+        best, tags, zeros, ones = np.full(1 << SLOT_BITS, -1, np.int64), np.zeros(1 << SLOT_BITS, np.uint32), np.zeros(1 << SLOT_BITS, np.int64), np.zeros(1 << SLOT_BITS, np.int64)
         for i in range(8):
             first = np.flatnonzero(shared < i)
-            bit = b >> (7 - i) & 1
-            ones = np.add.reduceat(n * bit, first)
-            total = np.add.reduceat(n, first)
-            seen = (1 << i | b[first] >> (8 - i)).astype(np.uint64)
-            found.append(((codes[k][order[first]] + seen * np.uint64(0xD1B54A32D192ED03)) * np.uint64(_ODD), total - ones, ones))
-        h, zeros, ones = (np.concatenate(c) for c in zip(*found, strict=True))
-        at, tags = slot(h, k), tag(h)
-        rank = np.minimum(zeros + ones, 1 << 40) << 12 | tags
-        best = np.full(1 << SLOT_BITS, -1, np.int64)
-        np.maximum.at(best, at - (k << SLOT_BITS), rank)
-        won = best[at - (k << SLOT_BITS)] == rank
-        yield at[won], tags[won], zeros[won], ones[won]
+            one, total = np.add.reduceat(n * (b >> (7 - i) & 1), first), np.add.reduceat(n, first)
+            seen = (1 << i | b[first].astype(np.int32) >> (8 - i)).astype(np.uint64)
+            h = (code[first] + seen * np.uint64(0xD1B54A32D192ED03)) * np.uint64(_ODD)
+            at, mark = slot(h, 0), tag(h)
+            rank = np.minimum(total, 1 << 40) << 12 | mark
+            np.maximum.at(best, at, rank)
+            won = best[at] == rank
+            at = at[won]
+            tags[at], zeros[at], ones[at] = mark[won], (total - one)[won], one[won]
+        at = np.flatnonzero(best >= 0)
+        yield at + (k << SLOT_BITS), tags[at], zeros[at], ones[at]
 
 
 def gather(classes):
