@@ -90,7 +90,7 @@ def modify(col: Column, modifier: dict | Callable[[Column], Column] | None) -> C
 
 def clean_drug_list(col: Column) -> Column:
     """Remove brackets, split at ``;`` or ``,``."""
-    return F.split(F.regexp_replace(col, r"[\[\]]", ""), "[;,]", -1)
+    return F.split(F.translate(col, ";[]", ","), ",", -1)
 
 
 def strip_prefix(col: Column, prefix: str) -> Column:
@@ -99,7 +99,9 @@ def strip_prefix(col: Column, prefix: str) -> Column:
 
 def strip_transcript(col: Column) -> Column:
     """``SYMBOL_ENST...`` -> ``SYMBOL``."""
-    return F.regexp_replace(col, "^(.+)_ENST.+$", "$1")
+    mark, tail = "_ENST", F.substring_index(col, "_ENST", -1)
+    found = (F.instr(col, mark) > 1) & (F.length(tail) > 0)
+    return F.when(found, F.substr(col, F.lit(1), F.length(col) - F.length(tail) - len(mark))).otherwise(col)
 
 
 def prefix_id(col: Column, prefix: str) -> Column:
@@ -112,7 +114,15 @@ QUALIFIERS = ["BAN", "INN", "MI", "FDA", "JAN", "USAN", "USP", "DCF", "NF"]
 
 def strip_qualifiers(col: Column) -> Column:
     """Drop a bracketed list of naming authorities."""
-    return F.regexp_replace(col, rf" \((?:{'|'.join(QUALIFIERS)}|, )+\)", "")
+
+
+    def cleaned(part: Column) -> Column:
+        inside = F.split(F.substring_index(part, ")", 1), ", ", -1)
+        only = F.contains(part, F.lit(")")) & (F.size(F.array_except(inside, F.array(*map(F.lit, QUALIFIERS)))) == 0)
+        return F.when(only, F.substr(part, F.instr(part, ")") + 1)).otherwise(F.concat(F.lit(" ("), part))
+
+    parts = F.split(col, r" \(", -1)
+    return F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), cleaned), ""))
 
 
 def empty_to_null(col: Column) -> Column:

@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
-    """Shared folder of ``spark.checkpoint.dir``; a local one only where that setting is missing."""
+    """Shared folder of ``spark.checkpoint.dir``; a folder of this machine only on a local master without that setting."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not folder:
         folder = tempfile.mkdtemp(prefix="entitylink-")
         atexit.register(shutil.rmtree, folder, True)

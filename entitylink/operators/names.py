@@ -15,19 +15,21 @@ MATCH_TYPES = ("direct", "exact", "substring", "partial", "filtered_partial")
 #: Default cascades by kind of entity.
 DEFAULT_TYPES = {"gene": ("direct", "exact"), "drug": ("direct", "exact", "substring"), "cancer_type": ("direct", "exact", "substring")}
 
-#: A dictionary of at most this many bytes (as Spark estimates its plan) may be broadcast.
-BROADCAST_BYTES = 32 << 20
+#: A dictionary of at most this many bytes in memory may be broadcast. Spark's estimate of a plan over files
+#: counts compressed bytes, which ``EXPANSION`` turns into bytes in memory.
+BROADCAST_BYTES = 64 << 20
+EXPANSION = 8
 
 
 def normalize_name(col: Column) -> Column:
-    """Keep letters, digits and the marks between ``Z`` and ``a`` in the character table; lower-case."""
+    """Keep letters, digits and the marks between ``Z`` and ``a`` in the character table (a fixed range); lower-case."""
     return F.lower(F.regexp_replace(col, "[^a-zA-z0-9]+", ""))
 
 
 def small(df: DataFrame) -> DataFrame:
     """The frame, to be broadcast if its estimated size allows it; otherwise joins shuffle."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+    return F.broadcast(df) if size * EXPANSION <= BROADCAST_BYTES else df
 
 
 def fit_names(df: DataFrame, id_col: str = "id", name_col: str = "name", source_col: str | None = None, type_col: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -83,7 +85,8 @@ def partial_candidates(queries: DataFrame, names: DataFrame, threshold: float =
     """Pairs ``(query, q, name)`` that contain all pairs within the relative edit distance.
 
     A hit needs a distance of at most K = floor(len(name) * t / (1 - t)). A name cut into K + 1 segments
-    keeps one of them unedited, moved by K places at most, so pairs are found by equal segments.
+    keeps one of them unedited, moved by K places at most, so pairs are found by equal segments of names of
+    equal length.
     """
     per = threshold / (1 - threshold)
     cut = names.select(F.col("norm").alias("name")).distinct().withColumn("n", F.length("name")).withColumn("k", F.floor(F.col("n") * F.lit(per) + F.lit(1e-9)).cast("int"))
@@ -92,13 +95,26 @@ def partial_candidates(queries: DataFrame, names: DataFrame, threshold: float =
     asked = queries.select("query", normalize_name(F.col("query")).alias("q")).where("q <> ''").withColumn("m", F.length("q"))
     # segment lengths that occur at all for names of a fitting length (metadata of the index)
     sizes = index.select("n", F.length("text").alias("len")).distinct().withColumn("k", F.floor(F.col("n") * F.lit(per) + F.lit(1e-9)).cast("int"))
-    wanted = asked.select("q", "m").distinct().join(small(sizes), F.abs(F.col("m") - F.col("n")) <= F.col("k")).select("q", "m", "len").distinct()
-    pieces = wanted.where("m >= len").select("q", "m", F.explode(F.transform(F.sequence(F.lit(1), F.col("m") - F.col("len") + 1), lambda p: F.struct(p.alias("at"), F.substr("q", p, F.col("len")).alias("text")))).alias("s"))
-    pieces = pieces.select("q", "m", (F.col("s.at") - 1).alias("p"), F.col("s.text").alias("text"))
-    near = pieces.join(index, "text").where((F.abs(F.col("m") - F.col("n")) <= F.col("k")) & (F.abs(F.col("p") - F.col("at")) <= F.col("k")))
+    wanted = asked.select("q", "m").distinct().join(small(sizes), F.abs(F.col("m") - F.col("n")) <= F.col("k")).select("q", "m", "n", "len").distinct()
+    pieces = wanted.where("m >= len").select("q", "n", F.explode(F.transform(F.sequence(F.lit(1), F.col("m") - F.col("len") + 1), lambda p: F.struct(p.alias("at"), F.substr("q", p, F.col("len")).alias("text")))).alias("s"))
+    pieces = pieces.select("q", "n", (F.col("s.at") - 1).alias("p"), F.col("s.text").alias("text"))
+    near = pieces.join(index, ["n", "text"]).where(F.abs(F.col("p") - F.col("at")) <= F.col("k"))
     return asked.select("query", "q").join(near.select("q", "name", "k").distinct(), "q")
 
 
+def nearest_names(queries: DataFrame, names: DataFrame, block: int = 4096) -> DataFrame:
+    """``query, name, dist``: every query's names at the smallest edit distance, however large.
+
+    The query set meets all names in blocks of about ``block`` names, joined by block number.
+    """
+    known = names.select(F.col("norm").alias("name")).distinct()
+    blocks = max(1, -(-known.count() // block))
+    known = known.withColumn("b", F.pmod(F.xxhash64("name"), F.lit(blocks)).cast("int"))
+    asked = queries.select("query", normalize_name(F.col("query")).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
+    near = asked.join(small(known), "b").withColumn("dist", F.levenshtein("q", "name"))
+    return best_with_ties(near, "query", "dist").select("query", "name", "dist")
+
+
 def best_with_ties(candidates: DataFrame, key: str, value: str) -> DataFrame:
     """All candidates at the smallest value per key."""
     return candidates.withColumn("__r", F.rank().over(Window.partitionBy(key).orderBy(value))).where("__r = 1").drop("__r")

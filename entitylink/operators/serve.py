@@ -27,12 +27,14 @@ def filter_by_entities(raw: DataFrame, links: dict[str, DataFrame], values: dict
 
 
 def filter_by_hgvs(raw: DataFrame, link: DataFrame, queries: DataFrame, levels: tuple[str, ...] = ("RAW", "HGVS1"), flag_mask: int | None = None, key: str = "raw_id") -> DataFrame:
-    """Raw rows with a variant that agrees with a query on any of the levels: one semi join per level."""
+    """Raw rows with a variant that agrees with a query on any of the levels, in one pass over the variants."""
     if flag_mask is not None:
         link = link.where(F.col("modify_flags").bitwiseAND(flag_mask) != 0)
     parsed = queries.select("hgvs", hgvs_split(F.col("hgvs")).alias("p")).select("hgvs", "p.*").distinct()
-    hits = [link.join(small(parsed.select(*LEVELS[v]).distinct()), LEVELS[v], "left_semi").select(key) for v in levels]
-    return raw.join(reduce(DataFrame.union, hits).distinct(), key, "left_semi")
+    for v in levels:
+        link = link.join(small(parsed.select(*LEVELS[v], F.lit(True).alias(f"__{v}")).distinct()), LEVELS[v], "left")
+    hits = link.where(reduce(Column.__or__, [F.col(f"__{v}").isNotNull() for v in levels])).select(key)
+    return raw.join(hits, key, "left_semi")
 
 
 def search(raw: DataFrame, links: dict[str, DataFrame], values: dict, variants: DataFrame | None = None, hgvs: DataFrame | None = None, levels: tuple[str, ...] = ("RAW", "HGVS1"), key: str = "raw_id", exposed: dict | None = None) -> DataFrame:
@@ -130,7 +132,7 @@ def table_counts(tables: dict[str, DataFrame], recorded: dict[str, int] | None =
 def fingerprint(df: DataFrame) -> DataFrame:
     """Order-free content hash and row count; sums as well as xor, so that pairs of equal rows count."""
     h = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
-    return df.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("xor"), F.sum(F.shiftrightunsigned(h, 20)).alias("total"))
+    return df.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("xor"), F.sum(h.cast("decimal(20,0)")).alias("total"))
 
 
 def keyset_page(df: DataFrame, col: str, current, size: int) -> DataFrame:

@@ -84,9 +84,7 @@ def _(spark, d):
 def _(spark, d):
     t = Tables(spark, d)
     asked, (names, _) = _typos(t)
-    # a stated query set against the distinct part names, a product vocabulary that does not grow with rows
-    near = asked.join(F.broadcast(names.select(F.col("norm").alias("name")).distinct()), F.lit(True)).withColumn("dist", F.levenshtein(N.normalize_name(F.col("query")), F.col("name")))
-    return N.best_with_ties(near, "query", "dist").select("query", "name", "dist")
+    return N.nearest_names(asked, names)
 
 
 CASCADE = f"""di AS (SELECT query, 'direct' AS match_type, NULL AS matched_name, id AS target FROM asked JOIN (SELECT DISTINCT id FROM names) ON query = id WHERE {NORM.format('query')} <> ''),

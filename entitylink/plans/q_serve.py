@@ -124,13 +124,13 @@ def _(spark, d):
     return S.table_counts({"region": t.region, "nation": t.nation, "supplier": t.supplier}, {"region": 5, "nation": 25, "supplier": 1})
 
 
-@query("table_fingerprint", "SELECT 'orders' AS \"table\", count(*) AS n, true AS same, false AS changed FROM orders")
+@query("table_fingerprint", "SELECT 'orders' AS \"table\", count(*) AS n, true AS same, true AS changed FROM orders")
 def _(spark, d):
     o = Tables(spark, d).orders
     now, shuffled, other = S.fingerprint(o), S.fingerprint(o.repartition(3, "o_custkey")), S.fingerprint(o.withColumn("o_custkey", F.col("o_custkey") + 1))
     one = lambda df, p: df.select(*[F.col(c).alias(f"{p}_{c}") for c in df.columns])
     both = one(now, "a").join(one(shuffled, "b"), F.lit(True)).join(one(other, "c"), F.lit(True))  # one row each
-    return both.select(F.lit("orders").alias("table"), F.col("a_n").alias("n"), ((F.col("a_xor") == F.col("b_xor")) & (F.col("a_total") == F.col("b_total"))).alias("same"), (F.col("a_xor") == F.col("c_xor")).alias("changed"))
+    return both.select(F.lit("orders").alias("table"), F.col("a_n").alias("n"), ((F.col("a_xor") == F.col("b_xor")) & (F.col("a_total") == F.col("b_total"))).alias("same"), (F.col("a_xor") != F.col("c_xor")).alias("changed"))
 
 
 @query("keyset_page", "SELECT c_custkey, c_name FROM customer WHERE c_custkey > 20 ORDER BY c_custkey LIMIT 25")

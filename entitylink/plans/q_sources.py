@@ -124,10 +124,19 @@ def _(spark, d):
 
 @query("read_jdbc_table", "SELECT s_suppkey, s_name FROM supplier")
 def _(spark, d):
-    """Through a database in the driver's memory, so on a local master only; real ones are named by their url."""
-    url, driver = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true", "org.apache.derby.jdbc.EmbeddedDriver"
-    Tables(spark, d).supplier.select("s_suppkey", "s_name").write.jdbc(url, "supplier", properties={"driver": driver})
-    return normalize_columns(S.read_jdbc(spark, url, "supplier", "s_suppkey", 0, 1000, 4, driver=driver))
+    """Through the database of the setting ``spark.entitylink.jdbc.url``, which all executors must reach.
+
+    Without that setting, on a local master, a database in memory stands for it.
+    """
+    url = spark.conf.get("spark.entitylink.jdbc.url", None)
+    if not url and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.entitylink.jdbc.url to a database that all executors reach")
+    driver = {} if url else {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    url, table = url or f"jdbc:derby:memory:{uuid.uuid4().hex};create=true", f"supplier_{uuid.uuid4().hex}"
+    rows = Tables(spark, d).supplier.select("s_suppkey", "s_name")
+    rows.write.jdbc(url, table, properties=driver)
+    low, high = rows.agg(F.coalesce(F.min("s_suppkey"), F.lit(0)), F.coalesce(F.max("s_suppkey"), F.lit(0))).first()
+    return normalize_columns(S.read_jdbc(spark, url, table, "s_suppkey", low, high + 1, spark.sparkContext.defaultParallelism, **driver))
 
 
 @query("read_write_parquet", "SELECT o_orderkey, o_custkey FROM orders UNION ALL SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'P'")

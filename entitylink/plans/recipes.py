@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from entitylink.functions import columns as C
 from entitylink.functions import variants as V
+from entitylink.functions.storage import materialize
 from entitylink.operators.dictionary import numeric_suffix, union_parts
 from entitylink.operators.graph import closure
 from entitylink.operators.names import DEFAULT_TYPES, dedupe_links, fit_names, harmonize, split_harmonized
@@ -110,9 +111,14 @@ def vcf_frequencies(lines: DataFrame, header: list[str], a_cols: list[str], csq_
     return rows.withColumn(csq_col, V.filter_csq(F.col(csq_col), V.csq_allele(F.col("ref"), F.col("alt"))))
 
 
+def once(raw: DataFrame) -> DataFrame:
+    """The rows written, so that the entity types of a recipe do not each evaluate their source again."""
+    return materialize(raw, "raw")
+
+
 def biomarkers(raw: DataFrame, dictionaries: dict[str, DataFrame], key: str = "raw_id") -> dict[str, DataFrame]:
     """Multi-value individuals set apart; list columns split; a variant built from transcript and change."""
-    kept, _ = C.quarantine(raw, "individual_mutation", ",")
+    kept = once(C.quarantine(raw, "individual_mutation", ",")[0])
     recipe = Recipe(
         {"gene": ["gene"], "drug": ["drug"], "cancer_type": ["tumor"], "variant": ["individual_mutation", "built"]},
         {"gene": {"pat": ";"}, "drug": C.clean_drug_list, "tumor": {"pat": ";"}},
@@ -123,12 +129,14 @@ def biomarkers(raw: DataFrame, dictionaries: dict[str, DataFrame], key: str = "r
 
 def variant_summary(raw: DataFrame, dictionaries: dict[str, DataFrame], key: str = "raw_id") -> dict[str, DataFrame]:
     """Cleaned variant names; genes by symbol and id."""
+    raw = once(raw)
     recipe = Recipe({"variant": ["name"], "gene": ["gene_symbol", "hgnc_id"]}, {"name": V.clean_hgvs_name})
     return {kind: harmonize_part(raw, recipe, kind, dictionaries.get(kind), key)[0] for kind in recipe.entities}
 
 
 def mutations(raw: DataFrame, dictionaries: dict[str, DataFrame], key: str = "raw_id", prefix: str = "HGNC:") -> dict[str, DataFrame]:
     """Transcripts stripped off gene names, ids prefixed, three variant columns, four histology columns."""
+    raw = once(raw)
     recipe = Recipe(
         {"gene": ["gene_name", "hgnc_id"], "cancer_type": ["primary_histology", "subtype_1", "subtype_2", "subtype_3"], "variant": ["hgvsp", "hgvsc", "hgvsg"]},
         {"gene_name": C.strip_transcript, "hgnc_id": lambda c: C.prefix_id(c, prefix)},
@@ -144,5 +152,6 @@ def pathways(raw: DataFrame, dictionary: DataFrame, key: str = "raw_id", species
 
 def evidence(raw: DataFrame, dictionaries: dict[str, DataFrame], key: str = "raw_id") -> dict[str, DataFrame]:
     """Genes, diseases (name and id) and comma-separated drugs."""
+    raw = once(raw)
     recipe = Recipe({"gene": ["gene"], "cancer_type": ["disease", "doid"], "drug": ["drugs"]}, {"drugs": {"pat": ","}})
     return {kind: harmonize_part(raw, recipe, kind, dictionaries.get(kind), key)[0] for kind in recipe.entities}

@@ -3,26 +3,36 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from entitylink.functions.columns import empty_to_null, keep_declared
+from entitylink.operators.names import small
 from entitylink.operators.row_ids import row_ids
 
 
 def read_delimited(spark: SparkSession, path, sep: str = "\t", encoding: str = "UTF-8", comment: str | None = None, names: list[str] | None = None, skip: int = 0) -> DataFrame:
-    """Text tables, gz too: comment lines dropped, ``skip`` lines before the header, given names if headerless."""
+    """Text tables, gz too: comment lines dropped, ``skip`` lines before the header, given names if headerless.
+
+    With ``skip``, the first lines of each file are dropped where they repeat those of the first file.
+    """
     if not skip:
         reader = spark.read.option("sep", sep).option("encoding", encoding).option("inferSchema", False).option("escape", "\\" if sep == "\t" else '"')
         reader = reader.option("comment", comment) if comment else reader
         return reader.schema(", ".join(f"`{n}` string" for n in names)).csv(path) if names else reader.option("header", True).csv(path)
-    text = spark.read.option("encoding", encoding).csv(path, sep="\x01", quote="", schema="line string").where("line is not null")
-    first = spark.read.option("encoding", encoding).csv(min(text.inputFiles()), sep="\x01", quote="", schema="line string")
-    head = first.limit(skip + 1).collect()  # lines before and with the header
-    before = {r["line"] for r in head}
+    source = spark.read.option("encoding", encoding).schema("line string").options(sep="\x01", quote="").format("csv")
+    place = [F.monotonically_increasing_id().alias("at"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    text = source.load(path)
+    head = source.load(min(text.inputFiles())).limit(skip + 1).collect()  # lines before and with the header
     names = names or head[-1]["line"].split(sep)
-    body = text.where(~F.col("line").isin(*before))
+    # rows of a file's first block are numbered without gaps, so these are the places of its first lines
+    lines = text.select("line", *place)
+    begin = lines.where("block = 0").groupBy("file").agg(F.min("at").alias("begin"))
+    lines = lines.join(small(begin), "file", "left")
+    top = [(F.col("at") - F.col("begin") == i) & F.col("line").eqNullSafe(F.lit(r["line"])) for i, r in enumerate(head)]
+    body = lines.where(~F.coalesce(reduce(Column.__or__, top), F.lit(False)) & F.col("line").isNotNull())
     body = body if not comment else body.where(~F.startswith("line", F.lit(comment)))
     return body.select(F.from_csv("line", ", ".join(f"`{n}` string" for n in names), {"sep": sep}).alias("r")).select("r.*")
 

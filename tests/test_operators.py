@@ -224,3 +224,43 @@ def test_stream_links(spark, index, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert rows(spark.table("linked").select("raw_id", "target")) == [(1, "HGNC:2"), (2, "HGNC:1")]
+
+
+def test_fingerprint_of_many_rows(spark):
+    from entitylink.operators.serve import fingerprint
+
+    many = spark.range(3_000_000)
+    assert fingerprint(many).first()["total"] == fingerprint(many.repartition(3)).first()["total"] != fingerprint(many.limit(2_999_999)).first()["total"]
+
+
+def test_skipped_lines_go_by_position(spark, tmp_path):
+    from entitylink.sources.files import read_delimited
+
+    (tmp_path / "a.tsv").write_text("# made\na\tb\n1\t2\na\tb\n# made\n")
+    (tmp_path / "b.tsv").write_text("# made\na\tb\n3\t4\na\tb\n")
+    (tmp_path / "c.tsv").write_text("5\t6\n")
+    got = read_delimited(spark, str(tmp_path), skip=1).collect()
+    assert sorted((r["a"], r["b"]) for r in got) == sorted([("1", "2"), ("a", "b"), ("# made", None), ("3", "4"), ("a", "b"), ("5", "6")])
+
+
+def test_nearest_names_in_blocks(spark):
+    from entitylink.operators import names as N
+
+    words = ["abc", "abd", "xyz", "longer name", "a"]
+    names, _ = N.fit_names(spark.createDataFrame([(w, w) for w in words], "id string, name string"))
+    asked = spark.createDataFrame([("abe",), ("xy",), ("q",)], "query string")
+    want = sorted(map(tuple, N.nearest_names(asked, names).collect()))
+    assert want == sorted(map(tuple, N.nearest_names(asked, names, 1).collect()))
+    assert want[:2] == [("abe", "abc", 1), ("abe", "abd", 1)]
+
+
+def test_scratch_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from entitylink.functions.storage import scratch
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    with pytest.raises(RuntimeError):
+        scratch(SimpleNamespace(sparkContext=SimpleNamespace(master="spark://x", getConf=lambda: conf), conf=conf))
