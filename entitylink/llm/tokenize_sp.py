@@ -9,11 +9,11 @@ never merge and become byte pieces.
 
 No piece of the vocabulary holds the space mark after another character (checked when the model is
 loaded), so no merge crosses a word's start: texts are cut there, and each distinct word of a task is
-encoded once. What a worker keeps of words and pairs is bounded in bytes and dropped at the end of a task.
+encoded once. What a worker keeps of words and pairs is bounded in bytes.
 
 Defined results: a null text counts as empty, which has no ids and decodes to the empty text. Very long
-texts are encoded whole: their digests are taken in parts of ``PART`` words, and words longer than
-``LONG`` characters are not kept. Other columns are kept; columns named like the results are replaced.
+texts are encoded whole: beyond ``WHOLE`` characters their digests are taken in parts of ``PART`` words, and
+words longer than ``LONG`` characters are not kept. Other columns are kept; columns named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -31,7 +31,8 @@ from pyspark.sql import DataFrame
 from entitylink.llm.common import extended, slices, trimmed
 
 SPACE = "▁"
-CACHE = 24_000_000  # bytes of encoded words
+CACHE = 96_000_000  # bytes of encoded words
+WHOLE = 500_000
 PAIRS = 200_000  # tested pairs
 LONG = 64
 PART = 50_000
@@ -82,11 +83,6 @@ class PrefixTable:
         self.cache: dict[str, str | tuple[str, str]] = {}
         self.held = 0
 
-    def clear(self) -> None:
-        self.cache.clear()
-        self.fits.clear()
-        self.held = 0
-
     def merged(self, text: str) -> list[str]:
         """Pieces by the merge rule itself (best score first, then leftmost); for short texts in the tests of pairs."""
         return self._merge(list(text), 1)
@@ -185,7 +181,10 @@ class PrefixTable:
         return self.cut.findall(SPACE + text.replace(" ", SPACE))
 
     def parts(self, text: str | None) -> Iterator[tuple[str, str]]:
-        """The ids as text and what they decode to, of ``PART`` words at a time."""
+        """The ids as text and what they decode to; of a long text ``PART`` words at a time."""
+        if text and len(text) <= WHOLE:
+            yield self.encoded(text)
+            return
         units = self.cut.finditer(SPACE + text.replace(" ", SPACE)) if text else iter(())
         first = True
         while some := [m[0] for m in islice(units, PART)]:
@@ -281,7 +280,6 @@ def encode_texts(df: DataFrame, model_file: str, text_col: str = "text", keep_id
             if keep_ids:
                 cols.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *kept]))))
             yield pa.RecordBatch.from_arrays([b.column(c) for c in others] + [c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(cols, kinds, strict=False)], [*others, *added])
-        t.clear()
 
     ddl = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
     schema = extended(df.select(*[f"`{c}`" for c in others]).schema, ddl)

@@ -404,6 +404,14 @@ def test_sentencepiece(docs, empty):
         assert t.encode(text) == sp.encode(text), text
         assert t.decode(sp.encode(text)) == sp.decode(sp.encode(text)) == t.encoded(text)[1]
     assert tokenize_sp.encode_texts(empty, model).count() == 0
+    # long texts in parts, words that are not kept, and caches that run full change nothing
+    old = tokenize_sp.WHOLE, tokenize_sp.PART, tokenize_sp.CACHE, tokenize_sp.PAIRS, tokenize_sp.LONG
+    tokenize_sp.WHOLE, tokenize_sp.PART, tokenize_sp.CACHE, tokenize_sp.PAIRS, tokenize_sp.LONG = 0, 3, 500, 5, 6
+    for text in [t for _, t, *_ in ROWS[:30]] + ["x" * 5000, " a\n\n b" * 40]:
+        ids, plain = zip(*t.parts(text), strict=True) if text else ((), ())
+        assert [int(i) for part in ids for i in part.split(",")] == sp.encode(text or "")
+        assert "".join(plain) == sp.decode(sp.encode(text or ""))
+    tokenize_sp.WHOLE, tokenize_sp.PART, tokenize_sp.CACHE, tokenize_sp.PAIRS, tokenize_sp.LONG = old
 
 
 def test_topk(spark):
