@@ -213,11 +213,12 @@ class Tally:
 # ---- the model ---------------------------------------------------------------------------------
 
 
-def contexts(units: np.ndarray) -> list[np.ndarray]:
-    """Hash of every context of each unit's byte."""
+def contexts(units: np.ndarray) -> Iterator[np.ndarray]:
+    """Hash of every context of each unit's byte, one kind of context after another."""
     before = units >> np.uint64(8) & np.uint64((1 << 8 * REACH) - 1)
     low = lambda k: before & np.uint64((1 << 8 * k) - 1)
-    out = [low(k) | np.uint64(k << 56) for k in ORDERS]
+    for k in ORDERS:
+        yield mix64(low(k) | np.uint64(k << 56))
     word, inside, length = np.zeros_like(units), np.ones(len(units), bool), np.zeros_like(units)
     for k in range(1, REACH + 1):
         b = units >> np.uint64(8 * k) & np.uint64(255)
@@ -226,12 +227,13 @@ def contexts(units: np.ndarray) -> list[np.ndarray]:
         length += inside
     cls = units >> np.uint64(8 * (REACH + 1))
     word |= length << np.uint64(8 * REACH)
-    return [mix64(c) for c in [*out, word | np.uint64(1 << 60), word | cls << np.uint64(8 * REACH + 3)]]
+    yield mix64(word | np.uint64(1 << 60))
+    yield mix64(word | cls << np.uint64(8 * REACH + 3))
 
 
 def planes(units: np.ndarray) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
     """For bit 0 to 7: the bits, the hashes by context of what precedes them, and the bits so far after a one."""
-    codes, byte = contexts(units), (units & np.uint64(255)).astype(np.int32)
+    codes, byte = list(contexts(units)), (units & np.uint64(255)).astype(np.int32)
     seen = np.ones(len(units), np.int32)
     for i in range(8):
         step, bit = seen.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03), byte >> (7 - i) & 1
@@ -412,9 +414,8 @@ def averaged(place: np.ndarray, total: np.ndarray, n: np.ndarray) -> tuple[tuple
 
 def best_slots(units: np.ndarray, times: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
     """Slot, tag, zeros and ones of the most frequent context in every slot, one kind of context after another."""
-    codes, byte = contexts(units), (units & np.uint64(255)).astype(np.uint8)
-    for k in range(CONTEXTS):
-        mine = codes.pop(0)
+    byte = (units & np.uint64(255)).astype(np.uint8)
+    for k, mine in enumerate(contexts(units)):
         order = np.argsort(mine << np.uint64(8) | byte, kind="stable")
         code, b, n = mine[order], byte[order], times[order]
         del mine, order
@@ -464,7 +465,9 @@ def slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = [(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()) for b in batches]  # one shard
     if not held:
         return
-    for cols in best_slots(*(np.concatenate(c) for c in zip(*held, strict=True))):
+    units, times = (np.concatenate(c) for c in zip(*held, strict=True))
+    held.clear()
+    for cols in best_slots(units, times):
         for i in range(0, len(cols[0]), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000].astype(t)) for c, t in zip(cols, ("i4", "i4", "i8", "i8"), strict=True)], ["slot", "tag", "zeros", "ones"])
 
@@ -501,7 +504,9 @@ def score_units(shared):
 def train(texts: DataFrame, classes: np.ndarray) -> Model:
     """The model of all texts (one column)."""
     context = texts.sparkSession.sparkContext
-    units = texts.mapInArrow(gather(context.broadcast(classes)), "unit long, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    units = texts.mapInArrow(gather(context.broadcast(classes)), "unit long, n long")
+    # every task's rows are combined already, so nothing is gained by grouping them before the shuffle
+    units = units.repartition("unit").groupBy("unit").agg(F.sum("n").alias("n"))
     units = materialize(units, "units")
     n = units.count()
     slots = units.repartition(max(1, -(-n // SHARD)), "unit").mapInArrow(slot_counts, "slot int, tag int, zeros long, ones long")
@@ -567,7 +572,7 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     train_on = F.coalesce(crc_mod(id_col, 10) != 0 if train_on is None else train_on, F.lit(False))
     keys = [k.alias(c) for k, c in zip(row_key(id_col, text_col), ("k1", "k2"), strict=True)]
     docs = df.select(F.col(id_col).alias("id"), *keys, train_on.alias("train"), F.col(text_col).alias("text"))
-    figures = docs.select("text", "train").mapInArrow(count_tokens, "h long, n_all long, c long").groupBy("h").agg(F.sum("n_all").alias("n_all"), F.sum("c").alias("c"))
+    figures = docs.select("text", "train").mapInArrow(count_tokens, "h long, n_all long, c long").repartition("h").groupBy("h").agg(F.sum("n_all").alias("n_all"), F.sum("c").alias("c"))
     figures = materialize(figures, "tokens")
     texts = docs.where("train").count()
     every, n, v = figures.agg(F.coalesce(F.sum("n_all"), F.lit(0)), F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
