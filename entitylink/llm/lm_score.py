@@ -40,11 +40,12 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from math import log, log10
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -285,9 +286,9 @@ class Table:
 
 @dataclass
 class Model:
-    """Bit counts, gated weights and refinement table."""
+    """Bit counts, gated weights and refinement table; without the counts where those travel on their own."""
 
-    table: Table
+    table: Table | None
     weights: tuple[np.ndarray, np.ndarray]
     refine: np.ndarray
     classes: np.ndarray
@@ -489,20 +490,21 @@ def learn_online(shared):
     return run
 
 
-def score_units(shared):
+def score_units(shared, table):
     """Units and their occurrences -> the same with the place in the scorers' tables and the score."""
 
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = replace(shared.value, table=table.value)
         for b in batches:
             units = b.column(0).to_numpy().view(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(memo_place(units).astype(np.int32)), *b.columns, pa.array(shared.value.coded(units))], ["place", "unit", "n", "lp"])
+            yield pa.RecordBatch.from_arrays([pa.array(memo_place(units).astype(np.int32)), *b.columns, pa.array(model.coded(units))], ["place", "unit", "n", "lp"])
 
     return run
 
 
-def train(texts: DataFrame, classes: np.ndarray) -> Model:
-    """The model of all texts (one column)."""
+def train(texts: DataFrame, classes: np.ndarray) -> tuple[Model, Broadcast]:
+    """The model of all texts (one column), and its table where all tasks have it: that is sent only once."""
     context = texts.sparkSession.sparkContext
     units = texts.mapInArrow(gather(context.broadcast(classes)), "unit long, n long")
     # every task's rows are combined already, so nothing is gained by grouping them before the shuffle
@@ -523,17 +525,16 @@ def train(texts: DataFrame, classes: np.ndarray) -> Model:
         table.packed[b.column(0).to_numpy()] = b.column(1).to_numpy().astype(np.uint32)
     del got
     units = units.repartition(max(1, -(-n // LESSON)), "unit")
-    shared = context.broadcast(table)
-    learned = units.mapInArrow(learn_online(shared), "place long, total double, n double").groupBy("place").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).toArrow()
+    sent = context.broadcast(table)
+    learned = units.mapInArrow(learn_online(sent), "place long, total double, n double").groupBy("place").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).toArrow()
     model = Model(table, *averaged(*(learned.column(c).to_numpy() for c in ("place", "total", "n"))), classes)
-    shared.destroy()
-    shared = context.broadcast(model)
-    scored = units.mapInArrow(score_units(shared), "place int, unit long, n long, lp double")
+    shared = context.broadcast(replace(model, table=None))
+    scored = units.mapInArrow(score_units(shared, sent), "place int, unit long, n long, lp double")
     often = n // (1 << MEMO_BITS - 2)  # rarer units would not keep a place
     common = scored.where(F.col("n") > often).groupBy("place").agg(F.max_by("unit", "n").alias("unit"), F.max_by("lp", "n").alias("lp")).select("unit", F.col("lp").cast("float").alias("lp")).toArrow()
     shared.destroy()
     model.common = common.column("unit").to_numpy().view(np.uint64), common.column("lp").to_numpy()
-    return model
+    return model, sent
 
 
 # ---- token counts and the result ---------------------------------------------------------------
@@ -580,18 +581,19 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     common = figures.where("c > 0").orderBy(F.desc("c"), "h").limit(FREQUENT).toArrow()
     # small partitions are joined, so that a task meets the same units more often
     texts_of_task = docs.where("train").select("text").coalesce(max(spark.sparkContext.defaultParallelism, every // TASK))
-    model = train(texts_of_task, np.sort(common.column("h").to_numpy().view(np.uint64)))
+    model, sent = train(texts_of_task, np.sort(common.column("h").to_numpy().view(np.uint64)))
     top = figures.where(F.col("n_all") * HEAVY >= every).select("h", "c").toArrow()  # at most HEAVY rows
     hs, cs = top.column("h").to_numpy(), top.column("c").to_numpy()
     order = np.argsort(hs)
     base = lambda c: np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
-    shared = spark.sparkContext.broadcast((model, hs[order], cs[order] > 0, base(cs[order]), texts > 0, float(base(texts))))
+    shared = spark.sparkContext.broadcast((replace(model, table=None), hs[order], cs[order] > 0, base(cs[order]), texts > 0, float(base(texts))))
     kind = docs.schema["id"].dataType.simpleString()
 
     @trimmed
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One row per text with its score and the sums over its frequent words, and one per rare word of a text."""
         model, hs, knows, bases, end_known, end_base = shared.value
+        model.table = sent.value
         table = memo(model)
         for b in slices(batches):
             texts, k1, k2 = b.column("text").to_pylist(), b.column("k1").to_numpy(), b.column("k2").to_numpy()
