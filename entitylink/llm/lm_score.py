@@ -61,7 +61,8 @@ NEAR = 4
 HEAVY = 500_000
 PIECE = 1 << 19  # bytes of running text that are looked at together
 UNITS = 1_500_000  # distinct units that a task gathers before it learns from them
-TASK = 2_000_000  # words of running text that one task gathers units from, at least
+TASK = 2_000_000  # words of running text that one task gathers units from, at least, beyond FEW tasks
+FEW = 8
 TYPES = 500_000  # distinct words that a task gathers before it hands them on
 SHARD = 1_500_000  # distinct units whose bits one task adds up
 LESSON = 500_000  # distinct units that one task learns from
@@ -580,7 +581,7 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     n, v = n + texts, v + (texts > 0)
     common = figures.where("c > 0").orderBy(F.desc("c"), "h").limit(FREQUENT).toArrow()
     # small partitions are joined, so that a task meets the same units more often
-    texts_of_task = docs.where("train").select("text").coalesce(max(spark.sparkContext.defaultParallelism, every // TASK))
+    texts_of_task = docs.where("train").select("text").coalesce(max(FEW, every // TASK))
     model, sent = train(texts_of_task, np.sort(common.column("h").to_numpy().view(np.uint64)))
     top = figures.where(F.col("n_all") * HEAVY >= every).select("h", "c").toArrow()  # at most HEAVY rows
     hs, cs = top.column("h").to_numpy(), top.column("c").to_numpy()
