@@ -504,6 +504,16 @@ def score_units(shared, table):
     return run
 
 
+def dealt(units: DataFrame, n: int, most: int) -> DataFrame:
+    """``n`` distinct units dealt by hash to tasks of about ``most``.
+
+    No more tasks than that, even where a session deals to more partitions: a task's slots combine before they
+    travel, so the fewer the tasks the less is shuffled.
+    """
+    tasks = max(1, -(-n // most))
+    return units.repartition(tasks, "unit").coalesce(tasks)
+
+
 def train(texts: DataFrame, classes: np.ndarray) -> tuple[Model, Broadcast]:
     """The model of all texts (one column), and its table where all tasks have it: that is sent only once."""
     context = texts.sparkSession.sparkContext
@@ -512,7 +522,7 @@ def train(texts: DataFrame, classes: np.ndarray) -> tuple[Model, Broadcast]:
     units = units.repartition("unit").groupBy("unit").agg(F.sum("n").alias("n"))
     units = materialize(units, "units")
     n = units.count()
-    slots = units.repartition(max(1, -(-n // SHARD)), "unit").mapInArrow(slot_counts, "slot int, tag int, zeros long, ones long")
+    slots = dealt(units, n, SHARD).mapInArrow(slot_counts, "slot int, tag int, zeros long, ones long")
     # dealt by slot, so that both groupings need no other shuffle
     slots = slots.repartition("slot").groupBy("slot", "tag").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
     most = F.greatest("zeros", "ones", F.lit(MOST))
@@ -525,7 +535,7 @@ def train(texts: DataFrame, classes: np.ndarray) -> tuple[Model, Broadcast]:
     for b in got.to_batches():
         table.packed[b.column(0).to_numpy()] = b.column(1).to_numpy().astype(np.uint32)
     del got
-    units = units.repartition(max(1, -(-n // LESSON)), "unit")
+    units = dealt(units, n, LESSON)
     sent = context.broadcast(table)
     learned = units.mapInArrow(learn_online(sent), "place long, total double, n double").groupBy("place").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).toArrow()
     model = Model(table, *averaged(*(learned.column(c).to_numpy() for c in ("place", "total", "n"))), classes)
