@@ -86,10 +86,16 @@ def _(spark, d):
     return C.filter_too_long(Tables(spark, d).documents, "text", 2000).select("doc_id", F.length("text").cast("long").alias("n"))
 
 
-@query("filter_id_equals_name", "SELECT n_nationkey, n_name FROM nation WHERE NOT coalesce(n_name = 'NATION_' || n_regionkey, false)")
+@query("filter_id_equals_name", "SELECT p_partkey, p_brand FROM part WHERE NOT coalesce(p_brand = 'Brand#' || (p_size // 10), false)")
 def _(spark, d):
-    df = Tables(spark, d).nation.withColumn("id", F.concat(F.lit("NATION_"), F.col("n_regionkey").cast("string")))
-    return C.drop_id_names(df, "id", "n_name").select("n_nationkey", "n_name")
+    df = Tables(spark, d).part.withColumn("id", F.concat(F.lit("Brand#"), F.expr("p_size div 10").cast("string")))
+    return C.drop_id_names(df, "id", "p_brand").select("p_partkey", "p_brand")
+
+
+@query("format_columns", "SELECT p_partkey, p_name, 'size ' || p_size AS p_size, upper(p_brand) AS p_brand FROM part")
+def _(spark, d):
+    df = Tables(spark, d).part.select("p_partkey", "p_name", "p_size", "p_brand")
+    return C.display(df, {"p_size": lambda c: F.concat(F.lit("size "), c.cast("string")), "p_brand": F.upper})
 
 
 IDS = "SELECT CASE WHEN l_returnflag = 'R' THEN 'HGNC:' || l_partkey WHEN l_returnflag = 'A' THEN 'ENSG' || lpad(l_partkey::VARCHAR, 11, '0') WHEN l_linestatus = 'F' THEN 'rs' || l_partkey ELSE l_partkey::VARCHAR END AS v FROM lineitem"

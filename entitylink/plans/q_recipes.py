@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from entitylink.plans import recipes as R
 from entitylink.plans.q_columns import _nested
-from entitylink.plans.q_sources import HEADER, obo_stanzas, vcf_lines
+from entitylink.plans.q_sources import HEADER, PART_UP, obo_stanzas, vcf_lines
 from entitylink.plans.views import KEY, Tables, query
+from entitylink.sources.files import repair_ragged
 from entitylink.sources.ontology import parse_obo
 
 
@@ -54,13 +55,18 @@ def _ontology(t):
     return parse_obo(obo_stanzas(t))
 
 
-@query("recipe_ontology_names", "SELECT 'N:' || n_nationkey AS id, n_name AS name FROM nation UNION SELECT 'N:' || n_nationkey, 'nation ' || n_nationkey FROM nation UNION SELECT 'R:' || r_regionkey, r_name FROM region")
+OWN_NAMES = """own AS (SELECT 'N:' || n_nationkey AS id, n_name AS name FROM nation UNION SELECT 'N:' || n_nationkey, 'nation ' || n_nationkey FROM nation UNION SELECT 'R:' || r_regionkey, r_name FROM region
+  UNION SELECT 'P:' || p_partkey, p_name FROM part UNION SELECT 'P:' || p_partkey, p_brand FROM part)"""
+
+
+@query("recipe_ontology_names", f"WITH {OWN_NAMES} SELECT * FROM own")
 def _(spark, d):
     return R.ontology_names(*_ontology(Tables(spark, d)), "W:0")
 
 
-@query("recipe_ontology_names_expanded", """WITH own AS (SELECT 'N:' || n_nationkey AS id, 'R:' || n_regionkey AS up, n_name AS name FROM nation UNION SELECT 'N:' || n_nationkey, 'R:' || n_regionkey, 'nation ' || n_nationkey FROM nation)
-  SELECT id, name FROM own UNION SELECT up, name FROM own UNION SELECT 'R:' || r_regionkey, r_name FROM region UNION SELECT own.id, r_name FROM own JOIN region ON up = 'R:' || r_regionkey""")
+@query("recipe_ontology_names_expanded", f"""WITH RECURSIVE {OWN_NAMES}, edge AS (SELECT 'N:' || n_nationkey AS child, 'R:' || n_regionkey AS parent FROM nation UNION ALL SELECT 'R:' || r_regionkey, 'W:0' FROM region UNION ALL SELECT 'P:' || p_partkey, {PART_UP} FROM part),
+  pairs AS (SELECT child AS low, parent AS high FROM edge UNION SELECT low, parent FROM pairs JOIN edge ON high = child)
+  SELECT id, name FROM own UNION SELECT low, name FROM own JOIN pairs ON id = high UNION SELECT high, name FROM own JOIN pairs ON id = low WHERE high <> 'W:0'""")
 def _(spark, d):
     return R.ontology_names(*_ontology(Tables(spark, d)), "W:0", expand=True)
 
@@ -141,3 +147,82 @@ def _(spark, d):
     t = Tables(spark, d)
     raw = _source(t).select("raw_id", F.col("symbol").alias("gene"), F.when(F.col("l_returnflag") == "A", F.col("nation")).alias("disease"), F.concat(F.lit("DOID:"), "nation_no").alias("doid"), F.concat("s_name", F.lit(",unknown")).alias("drugs"))
     return _links(R.evidence(raw, _dictionaries(t)))
+
+
+CODING = "'NM_' || gene_no || '.' || line || ':c.' || n || 'G>T'"
+PROTEIN = "symbol || ':p.V' || n || 'E'"
+BUILT = "SELECT 'variant', raw_id, 'NM_' || gene_no || '.' || line || ':V' || n || 'E' FROM src WHERE l_returnflag <> 'N'"
+
+
+def _coding():
+    return F.concat(F.lit("NM_"), "gene_no", F.lit("."), "line", F.lit(":c."), "n", F.lit("G>T"))
+
+
+def _curated(spark, d, name, *cols):
+    """Links of a declared source whose columns are these expressions over the lineitem view."""
+    t = Tables(spark, d)
+    return _links(R.curated(_source(t).select("raw_id", *cols), R.source(name), _dictionaries(t)))
+
+
+def _known():
+    change = F.when(F.col("l_returnflag") == "N", "Fusion").otherwise(F.concat(F.lit("V"), "n", F.lit("E")))
+    return F.col("symbol").alias("hugo_symbol"), F.concat(F.lit("NM_"), "gene_no", F.lit("."), "line").alias("ref_seq"), change.alias("alteration")
+
+
+@query("recipe_actionable", f"WITH {SOURCE} {GENE_LINK} UNION {DRUG_LINK} UNION {CANCER_LINK} UNION {BUILT}")
+def _(spark, d):
+    return _curated(spark, d, "actionable", *_known(), F.col("nation").alias("cancer_type"), F.col("s_name").alias("drugs"))
+
+
+@query("recipe_annotated", f"WITH {SOURCE} {GENE_LINK} UNION {BUILT}")
+def _(spark, d):
+    return _curated(spark, d, "annotated", *_known())
+
+
+@query("recipe_curated_mutations", f"WITH {SOURCE} {GENE_LINK} UNION {CANCER_LINK} UNION SELECT 'variant', raw_id, {CODING} FROM src UNION SELECT 'variant', raw_id, {PROTEIN} FROM src")
+def _(spark, d):
+    return _curated(spark, d, "curated_mutations", _coding().alias("hgvs"), F.col("symbol").alias("gene"), F.concat(F.lit("p.V"), "n", F.lit("E")).alias("amino_acid"), F.concat("nation", F.lit(",other")).alias("diseases"))
+
+
+@query("recipe_census", f"WITH {SOURCE} {GENE_LINK} UNION {CANCER_LINK} WHERE l_returnflag <> 'N'")
+def _(spark, d):
+    germline = F.when(F.col("l_returnflag") == "R", F.concat(F.lit("none,"), "nation"))
+    return _curated(spark, d, "census", F.col("symbol").alias("gene_symbol"), F.when(F.col("l_returnflag") == "A", F.concat("nation", F.lit(",other"))).alias("tumour_types_somatic"), germline.alias("tumour_types_germline"))
+
+
+@query("recipe_interpretations", f"WITH {SOURCE} {GENE_LINK} UNION {CANCER_LINK}")
+def _(spark, d):
+    return _curated(spark, d, "interpretations", F.col("symbol").alias("gene"), F.concat(F.lit("other, "), "nation").alias("tumor_types"))
+
+
+@query("recipe_interactions", f"WITH {SOURCE} {GENE_LINK} UNION {DRUG_LINK}")
+def _(spark, d):
+    by_id = F.col("l_returnflag") == "R"
+    number = F.regexp_extract("s_name", "([1-9][0-9]*|0)$", 1)
+    return _curated(
+        spark, d, "interactions", F.col("symbol").alias("gene_name"), F.when(~by_id, F.col("s_name")).alias("drug_claim_name"), F.lit("none").alias("drug_claim_primary_name"),
+        F.lit(None).cast("string").alias("drug_name"), F.when(by_id, F.concat(F.lit("chembl:CHEMBL"), number)).alias("drug_concept_id"),
+    )
+
+
+@query("recipe_clinical_variants", f"WITH {SOURCE} {GENE_LINK} UNION SELECT 'variant', raw_id, {CODING} FROM src UNION SELECT 'variant', raw_id, {PROTEIN} FROM src WHERE l_returnflag <> 'N'")
+def _(spark, d):
+    t = Tables(spark, d)
+    protein = F.when(F.col("l_returnflag") == "N", "none").otherwise(F.concat("symbol", F.lit(":p.V"), "n", F.lit("E")))
+    ragged = F.when(F.col("l_returnflag") == "R", "7,9\tu1\tu2").otherwise("7\tu1")
+    lines = _source(t).select(F.concat_ws("\t", "raw_id", ragged, "symbol", F.concat(_coding(), F.lit(","), protein)).alias("line"))
+    raw = repair_ragged(lines, ["raw_id", "assertion_ids", "urls", "gene", "hgvs_expressions"], "assertion_ids")
+    return _links(R.curated(raw, R.source("clinical_variants"), _dictionaries(t)))
+
+
+@query("recipe_trial_conditions", f"WITH {SOURCE} SELECT 'cancer_type' AS kind, raw_id, 'DOID:' || s_nationkey AS target FROM src")
+def _(spark, d):
+    return _curated(spark, d, "trial_conditions", F.concat(F.lit("advanced "), "nation").alias("name"))
+
+
+@query("recipe_predictions", f"WITH {SOURCE} SELECT * FROM ({GENE_LINK} UNION SELECT 'variant', raw_id, {CODING} FROM src UNION SELECT 'variant', raw_id, {PROTEIN} FROM src) WHERE raw_id NOT IN (SELECT raw_id FROM src WHERE l_returnflag = 'N')")
+def _(spark, d):
+    return _curated(
+        spark, d, "predictions", F.col("symbol").alias("genename"), _coding().alias("hgvsc"), F.concat("symbol", F.lit(":p.V"), "n", F.lit("E")).alias("hgvsp"),
+        F.lit("V").alias("aaref"), F.when(F.col("l_returnflag") != "N", "E").alias("aaalt"),
+    )

@@ -104,16 +104,22 @@ def _(spark, d):
 
 
 def obo_stanzas(t):
-    """Nations and regions as ontology text."""
+    """Nations, regions and the tree of parts as ontology text."""
     s = lambda c: F.col(c).cast("string")
     nation = t.nation.select(F.concat(F.lit("[Term]\nid: N:"), s("n_nationkey"), F.lit("\nname: "), "n_name", F.lit('\nsynonym: "nation '), s("n_nationkey"), F.lit('" EXACT []\nsynonym: "broad" RELATED []\nis_a: R:'), s("n_regionkey"), F.lit(" ! region")).alias("stanza"))
     region = t.region.select(F.concat(F.lit("[Term]\nid: R:"), s("r_regionkey"), F.lit("\nname: "), "r_name", F.lit("\nis_a: W:0 ! world")).alias("stanza"))
-    return nation.union(region).union(t.region.limit(1).select(F.lit("[Typedef]\nid: part_of\nname: part of").alias("stanza")))
+    up = F.when(F.col("p_partkey") < 3, "W:0").otherwise(F.concat(F.lit("P:"), F.expr("p_partkey div 3").cast("string")))
+    part = t.part.select(F.concat(F.lit("[Term]\nid: P:"), s("p_partkey"), F.lit("\nname: "), "p_name", F.lit('\nsynonym: "'), "p_brand", F.lit('" EXACT []\nis_a: '), up, F.lit(" ! part")).alias("stanza"))
+    return nation.union(region).union(part).union(t.region.limit(1).select(F.lit("[Typedef]\nid: part_of\nname: part of").alias("stanza")))
 
 
-@query("parse_ontology", """SELECT 'term' AS kind, 'N:' || n_nationkey AS id, n_name AS value, '' AS more FROM nation UNION ALL SELECT 'term', 'R:' || r_regionkey, r_name, '' FROM region
+PART_UP = "CASE WHEN p_partkey < 3 THEN 'W:0' ELSE 'P:' || (p_partkey // 3) END"
+
+
+@query("parse_ontology", f"""SELECT 'term' AS kind, 'N:' || n_nationkey AS id, n_name AS value, '' AS more FROM nation UNION ALL SELECT 'term', 'R:' || r_regionkey, r_name, '' FROM region
   UNION ALL SELECT 'synonym', 'N:' || n_nationkey, 'nation ' || n_nationkey, 'EXACT' FROM nation UNION ALL SELECT 'synonym', 'N:' || n_nationkey, 'broad', 'RELATED' FROM nation
-  UNION ALL SELECT 'edge', 'N:' || n_nationkey, 'R:' || n_regionkey, '' FROM nation UNION ALL SELECT 'edge', 'R:' || r_regionkey, 'W:0', '' FROM region""")
+  UNION ALL SELECT 'edge', 'N:' || n_nationkey, 'R:' || n_regionkey, '' FROM nation UNION ALL SELECT 'edge', 'R:' || r_regionkey, 'W:0', '' FROM region
+  UNION ALL SELECT 'term', 'P:' || p_partkey, p_name, '' FROM part UNION ALL SELECT 'synonym', 'P:' || p_partkey, p_brand, 'EXACT' FROM part UNION ALL SELECT 'edge', 'P:' || p_partkey, {PART_UP}, '' FROM part""")
 def _(spark, d):
     path = _folder(spark, "obo")
     obo_stanzas(Tables(spark, d)).write.option("lineSep", "\n\n").text(path)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -111,6 +111,31 @@ def vcf_frequencies(lines: DataFrame, header: list[str], a_cols: list[str], csq_
     return rows.withColumn(csq_col, V.filter_csq(F.col(csq_col), V.csq_allele(F.col("ref"), F.col("alt"))))
 
 
+def curated(raw: DataFrame, recipe: Recipe, dictionaries: dict[str, DataFrame], key: str = "raw_id") -> dict[str, DataFrame]:
+    """Links of every entity type of a declared source."""
+    raw = once(C.process_hook(raw, recipe.task))
+    recipe = replace(recipe, task=None)
+    return {kind: harmonize_part(raw, recipe, kind, dictionaries.get(kind), key)[0] for kind in recipe.entities}
+
+
+def source(name: str) -> Recipe:
+    """Sources that need a declaration only."""
+    # a variant of a reference sequence and an alteration, where that is a change of an amino acid
+    known = {"built": V.make_hgvs_known(F.col("ref_seq"), F.col("alteration"))}
+    comma = {"pat": ","}
+    return {
+        "actionable": Recipe({"gene": ["hugo_symbol"], "cancer_type": ["cancer_type"], "drug": ["drugs"], "variant": ["built"]}, adds=known),
+        "annotated": Recipe({"gene": ["hugo_symbol"], "variant": ["built"]}, adds=known),
+        "curated_mutations": Recipe({"variant": ["hgvs", "built"], "gene": ["gene"], "cancer_type": ["diseases"]}, {"diseases": comma}, {"built": V.make_hgvs(F.col("gene"), F.col("amino_acid"))}),
+        "census": Recipe({"gene": ["gene_symbol"], "cancer_type": ["tumour_types_somatic", "tumour_types_germline"]}, {"tumour_types_somatic": comma, "tumour_types_germline": comma}),
+        "interpretations": Recipe({"gene": ["gene"], "cancer_type": ["tumor_types"]}, {"tumor_types": {"pat": ", "}}),
+        "interactions": Recipe({"gene": ["gene_name"], "drug": ["drug_claim_name", "drug_claim_primary_name", "drug_name", "drug_concept_id"]}, {"drug_concept_id": lambda c: C.strip_prefix(c, "chembl:")}),
+        "clinical_variants": Recipe({"variant": ["hgvs_expressions"], "gene": ["gene"]}, {"hgvs_expressions": comma}),
+        "trial_conditions": Recipe({"cancer_type": ["name"]}),
+        "predictions": Recipe({"gene": ["genename"], "variant": ["hgvsc", "hgvsp"]}, task=lambda df: df.na.drop(subset=["aaref", "aaalt"])),
+    }[name]
+
+
 def once(raw: DataFrame) -> DataFrame:
     """The rows written, so that the entity types of a recipe do not each evaluate their source again."""
     return materialize(raw, "raw")

@@ -254,6 +254,23 @@ def test_nearest_names_in_blocks(spark):
     assert want[:2] == [("abe", "abc", 1), ("abe", "abd", 1)]
 
 
+def test_declared_sources(spark):
+    from entitylink.plans.recipes import curated, source
+
+    genes = spark.createDataFrame([("HGNC:1", "KRAS")], "id string, name string")
+    raw = spark.createDataFrame([(1, "KRAS", "NM_1.2", "G12D"), (2, "kras", "NM_1.2", "Fusion"), (3, None, None, "G12D")], "raw_id long, hugo_symbol string, ref_seq string, alteration string")
+    got = curated(raw, source("annotated"), {"gene": genes})
+    assert rows(got["gene"]) == [(1, "HGNC:1"), (2, "HGNC:1")]
+    assert rows(got["variant"].select("raw_id", "hgvs")) == [(1, "NM_1.2:G12D")]
+    pairs = spark.createDataFrame([(1, "KRAS", "NM:c.1A>T", "A", None), (2, "KRAS", "NM:c.2A>T", "A", "T")], "raw_id long, genename string, hgvsc string, aaref string, aaalt string").withColumn("hgvsp", F.lit(None).cast("string"))
+    assert rows(curated(pairs, source("predictions"), {"gene": genes})["variant"].select("raw_id", "hgvs")) == [(2, "NM:c.2A>T")]
+
+
+def test_display(spark):
+    shown = C.display(spark.createDataFrame([(1, ["a", "b"])], "n long, l array<string>"), {"l": lambda c: F.array_join(c, ", "), "absent": F.upper})
+    assert rows(shown) == [(1, "a, b")]
+
+
 def test_scratch_needs_a_shared_folder():
     from types import SimpleNamespace
 
