@@ -12,6 +12,13 @@ from pyspark.sql import functions as F
 from entitylink.functions.storage import materialize
 
 FILTER_BITS = 2**27
+MAX_BITS = 2**31  # 256 MB, the largest filter that is broadcast
+WIDE = 2**40  # cells that are only counted by a grouping, never held as bits
+
+
+def bits_for(n: int) -> int:
+    """Bits of a filter of n cells: 16 bits a cell or more, up to ``MAX_BITS``."""
+    return min(MAX_BITS, max(2**20, 1 << (16 * n - 1).bit_length())) if n else 2**20
 
 
 def cells(key: Column, filter_bits: int = FILTER_BITS) -> list[Column]:

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from entitylink.llm import exact_dedup, language_id, lm_score, minhash_dedup, mixing, quality, substring_dedup, tokenize_sp, topk, url_filter
+from entitylink.llm import bloom, exact_dedup, language_id, lm_score, minhash_dedup, mixing, quality, substring_dedup, tokenize_sp, topk, url_filter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, score string"
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
@@ -69,6 +69,12 @@ def test_exact_dedup(docs, empty):
     want = [(d, best[t or ""], size[t or ""], d == best[t or ""], hashlib.sha256((t or "").encode()).hexdigest()) for d, t, *_ in ROWS]
     same(exact_dedup.exact_duplicates(docs).collect(), want)
     same(exact_dedup.exact_duplicates(docs, filter_bits=2**15).collect(), want)
+    # the filter grows with the repeated cells, and holds both cells of every repeated text
+    assert [bloom.bits_for(n) for n in (0, 1, 2**16, 2**16 + 1, 10**12)] == [2**20, 2**20, 2**20, 2**21, 2**31]
+    hashed = docs.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
+    twice = {r["sha"] for r in hashed.groupBy("sha").count().where("count > 1").collect()}
+    maybe = {r["sha"] for r in bloom.maybe(hashed, "sha", *exact_dedup.repeated_cells(hashed, "sha")).where("__maybe").collect()}
+    assert maybe == twice
     kept = exact_dedup.drop_exact_duplicates(docs)
     assert kept.columns == docs.columns
     same(kept.collect(), [r for r in ROWS if r[0] == best[r[1] or ""]])
