@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from entitylink.llm import exact_dedup, language_id, lm_score, minhash_dedup, mixing, quality, substring_dedup, tokenize_sp, topk, url_filter
+from entitylink.llm import divergence, exact_dedup, importance, language_id, lm_score, minhash_dedup, mixing, quality, secret_scan, substring_dedup, tokenize_sp, topk, url_filter
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_sentencepiece": tokenize_sp.query,
         "op9_topk": topk.query,
         "op10_mixing": mixing.query,
+        "op11_divergence": divergence.query,
+        "op12_importance": importance.query,
+        "op13_secret_scan": secret_scan.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.ORACLE, "op9_topk": topk.ORACLE, "op10_mixing": mixing.oracle()}
+    return {"op1_exact_dedup": exact_dedup.ORACLE, "op9_topk": topk.ORACLE, "op10_mixing": mixing.oracle(), "op11_divergence": divergence.ORACLE, "op12_importance": importance.ORACLE}
