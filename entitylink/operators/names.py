@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from functools import reduce
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,21 +44,6 @@ def fit_names(df: DataFrame, id_col: str = "id", name_col: str = "name", source_
     return names, df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("target")).distinct()
 
 
-def _result(df: DataFrame, kind: str, name: Column | None = None, distance: Column | None = None) -> DataFrame:
-    return df.select("query", F.lit(kind).alias("match_type"), (name if name is not None else F.lit(None).cast("string")).alias("matched_name"), "target", (distance if distance is not None else F.lit(None).cast("int")).alias("distance"))
-
-
-def match_direct(queries: DataFrame, ids: DataFrame) -> DataFrame:
-    """The raw query is a raw id."""
-    return _result(queries.join(small(ids), F.col("query") == F.col("target")), "direct")
-
-
-def match_exact(queries: DataFrame, names: DataFrame) -> DataFrame:
-    """The normalised query is a normalised name."""
-    keyed = queries.select("query", normalize_name(F.col("query")).alias("norm"))
-    return _result(keyed.join(small(names.select("norm", "target")), "norm"), "exact", F.col("norm"))
-
-
 def word_ngrams(col: Column, most: int = 1, sep: str = " ") -> Column:
     """Words of a text, and runs of up to ``most`` of them."""
     words = F.split(col, sep, -1)
@@ -73,84 +60,253 @@ def word_ngrams(col: Column, most: int = 1, sep: str = " ") -> Column:
     return F.concat(*[runs(n) for n in range(1, most + 1)])
 
 
+# ---- stages that look a key up -------------------------------------------------------------------
+
+#: Types of match whose queries become keys of one index: raw ids or normalised names.
+KEYED = ("direct", "exact", "substring")
+
+
+def name_index(names: DataFrame, ids: DataFrame, kind: str = "") -> DataFrame:
+    """``kind, is_id, key, target``: raw ids and normalised names as one table to look keys up in."""
+    one = lambda df, is_id, key: df.select(F.lit(kind).alias("kind"), F.lit(is_id).alias("is_id"), F.col(key).alias("key"), "target")
+    return one(ids, True, "target").unionByName(one(names, False, "norm"))
+
+
+def _keys(types: Iterable[str], first: int, n_grams: int, sep: str) -> Column:
+    """The keys of a query, tagged with the place of their type of match in the cascade."""
+    key = lambda stage, is_id, text: F.struct(F.lit(stage).alias("stage"), F.lit(is_id).alias("is_id"), text.alias("key"))
+
+    def keys(stage: int, kind: str) -> Column:
+        if kind == "substring":
+            # queries are distinct, so distinct tokens within a row are enough and long texts do not shuffle
+            tokens = F.array_distinct(F.transform(word_ngrams(F.col("query"), n_grams, sep), normalize_name))
+            return F.transform(tokens, lambda w: key(stage, False, w))
+        return F.array(key(stage, kind == "direct", F.col("query") if kind == "direct" else normalize_name(F.col("query"))))
+
+    return F.concat(*[keys(stage, kind) for stage, kind in enumerate(types, first)])
+
+
+def match_keyed(asked: DataFrame, index: DataFrame, types: dict[str, tuple[str, ...]], first: int = 0, n_grams: int = 1, sep: str = " ") -> DataFrame:
+    """Distinct ``kind, query`` looked up for all types of match in one join; the earliest type with a hit wins.
+
+    ``kind, query, match_type, matched_name, target, distance``.
+    """
+    kinds = [F.when(F.col("kind") == k, _keys(t, first, n_grams, sep)) for k, t in types.items() if t]
+    label = F.create_map(*[x for k, t in types.items() for i, kind in enumerate(t) for x in (F.lit(f"{k}/{first + i}"), F.lit(kind))])
+    keys = asked.select("kind", "query", F.explode(F.coalesce(*kinds)).alias("k")).select("kind", "query", "k.*").where("key is not null and (is_id or key <> '')")
+    hits = keys.join(small(index), ["kind", "is_id", "key"])
+    hits = best_with_ties(hits, ["kind", "query"], "stage") if any(len(t) > 1 for t in types.values()) else hits
+    name = F.when(~F.col("is_id"), F.col("key"))
+    return hits.select("kind", "query", F.try_element_at(label, F.concat_ws("/", "kind", F.col("stage").cast("string"))).alias("match_type"), name.alias("matched_name"), "target", F.lit(None).cast("int").alias("distance"))
+
+
+def _one(queries: DataFrame, index: DataFrame, kind: str, **options) -> DataFrame:
+    return match_keyed(queries.select(F.lit("").alias("kind"), "query"), index, {"": (kind,)}, **options).drop("kind")
+
+
+def match_direct(queries: DataFrame, ids: DataFrame) -> DataFrame:
+    """The raw query is a raw id."""
+    return _one(queries, ids.select(F.lit("").alias("kind"), F.lit(True).alias("is_id"), F.col("target").alias("key"), "target"), "direct")
+
+
+def match_exact(queries: DataFrame, names: DataFrame) -> DataFrame:
+    """The normalised query is a normalised name."""
+    return _one(queries, name_index(names, names.limit(0)), "exact")
+
+
 def match_substring(queries: DataFrame, names: DataFrame, n_grams: int = 1, sep: str = " ") -> DataFrame:
     """Every word (or run of words) of the raw query that is a name."""
-    # queries are distinct, so distinct tokens within a row are enough and long texts do not shuffle
-    each = F.array_distinct(F.transform(word_ngrams(F.col("query"), n_grams, sep), normalize_name))
-    tokens = queries.select("query", F.explode(each).alias("norm")).where("norm <> ''")
-    return _result(tokens.join(small(names.select("norm", "target")), "norm"), "substring", F.col("norm"))
+    return _one(queries, name_index(names, names.limit(0)), "substring", n_grams=n_grams, sep=sep)
+
+
+# ---- edit distance -------------------------------------------------------------------------------
+
+#: Normalised names use about forty characters, so there are at most 43**3 different grams of this length.
+GRAM = 3
+
 
+def _gram_size(length: Column, reach: Column) -> Column:
+    """Length of a name's grams: ``reach`` edits must leave one of them whole."""
+    return F.least(F.lit(GRAM), F.floor((length - reach) / (reach + 1)).cast("int"))
 
-def partial_candidates(queries: DataFrame, names: DataFrame, threshold: float = 0.2) -> DataFrame:
-    """Pairs ``(query, q, name)`` that contain all pairs within the relative edit distance.
 
-    A hit needs a distance of at most K = floor(len(name) * t / (1 - t)). A name cut into K + 1 segments
-    keeps one of them unedited, moved by K places at most, so pairs are found by equal segments of names of
-    equal length.
+def _grams(df: DataFrame, text: str, size: str) -> DataFrame:
+    """One row per place of a gram: ``gram, pos``."""
+    places = F.sequence(F.lit(0), F.length(text) - F.col(size))
+    each = F.transform(places, lambda p: F.struct(p.alias("pos"), F.substr(F.col(text), p + 1, F.col(size)).alias("gram")))
+    return df.where(F.col(size) >= 1).where(F.length(text) >= F.col(size)).select("*", F.explode(each).alias("__g")).select("*", "__g.*").drop("__g")
+
+
+def near_pairs(asked: DataFrame, known: DataFrame, bound: int, reach: Callable[[Column], Column]) -> DataFrame:
+    """``q, name, dist``: all pairs of ``asked.q`` and ``known.name`` within ``asked.reach`` edits, at most ``bound``.
+
+    A prefix filter on positional grams. d edits spoil at most d * g grams of length g, so of the d * g + 1
+    grams that are rarest among all names, one is left in both of two names within d edits, moved by no more
+    than the edits before it; the edits after it make up for the rest of the difference in length. Only
+    names that share a rare gram at such places meet: what many names have in common is no key.
+    ``reach`` gives the distance looked for around a name of a length.
     """
-    per = threshold / (1 - threshold)
-    cut = names.select(F.col("norm").alias("name")).distinct().withColumn("n", F.length("name")).withColumn("k", F.floor(F.col("n") * F.lit(per) + F.lit(1e-9)).cast("int"))
-    segment = F.transform(F.sequence(F.lit(0), F.col("k")), lambda i: F.struct(F.floor(i * F.col("n") / (F.col("k") + 1)).cast("int").alias("at"), F.substr("name", F.floor(i * F.col("n") / (F.col("k") + 1)).cast("int") + 1, (F.floor((i + 1) * F.col("n") / (F.col("k") + 1)) - F.floor(i * F.col("n") / (F.col("k") + 1))).cast("int")).alias("text")))
-    index = cut.select("name", "n", "k", F.explode(segment).alias("s")).select("name", "n", "k", F.col("s.at").alias("at"), F.col("s.text").alias("text")).where("text <> ''")
-    asked = queries.select("query", normalize_name(F.col("query")).alias("q")).where("q <> ''").withColumn("m", F.length("q"))
-    # segment lengths that occur at all for names of a fitting length (metadata of the index)
-    sizes = index.select("n", F.length("text").alias("len")).distinct().withColumn("k", F.floor(F.col("n") * F.lit(per) + F.lit(1e-9)).cast("int"))
-    wanted = asked.select("q", "m").distinct().join(small(sizes), F.abs(F.col("m") - F.col("n")) <= F.col("k")).select("q", "m", "n", "len").distinct()
-    pieces = wanted.where("m >= len").select("q", "n", F.explode(F.transform(F.sequence(F.lit(1), F.col("m") - F.col("len") + 1), lambda p: F.struct(p.alias("at"), F.substr("q", p, F.col("len")).alias("text")))).alias("s"))
-    pieces = pieces.select("q", "n", (F.col("s.at") - 1).alias("p"), F.col("s.text").alias("text"))
-    near = pieces.join(index, ["n", "text"]).where(F.abs(F.col("p") - F.col("at")) <= F.col("k"))
-    return asked.select("query", "q").join(near.select("q", "name", "k").distinct(), "q")
-
-
-def nearest_names(queries: DataFrame, names: DataFrame, block: int = 4096) -> DataFrame:
+    n, m = F.length("name"), F.length("q")
+    known = known.select("name", n.alias("n"), F.least(F.lit(bound), reach(n)).alias("r")).where("r >= 1").withColumn("g", _gram_size(F.col("n"), F.col("r")))
+    asked = asked.select("q", m.alias("m"), F.least(F.lit(bound), "reach").alias("r")).where("r >= 1").distinct()
+    lengths = F.sequence(F.greatest(F.col("m") - F.col("r"), F.lit(1)), F.col("m") + F.col("r"))
+    sizes = F.array_distinct(F.transform(lengths, lambda x: _gram_size(x, F.least(F.lit(bound), reach(x)))))
+    spelled = _grams(known, "name", "g")
+    often = F.broadcast(spelled.groupBy("gram").agg(F.count(F.lit(1)).alias("often")))  # bounded by the characters of names
+
+    def rare(df: DataFrame, text: str) -> DataFrame:
+        """A text's rarest grams (all places of the last one)."""
+        order = F.rank().over(Window.partitionBy(text, "g").orderBy(F.coalesce("often", F.lit(0)), "gram"))
+        return df.join(often, "gram", "left").withColumn("__r", order).where(F.col("__r") <= F.col("g") * F.col("r") + 1).where("often is not null").drop("__r", "often")
+
+    cell = lambda x: F.floor(x / bound).cast("int")
+    cells = lambda x: F.explode(F.sequence(cell(F.greatest(x - F.col("r"), F.lit(0))), cell(x + F.col("r"))))
+    left = rare(_grams(asked.withColumn("g", F.explode(sizes)), "q", "g"), "q").withColumn("at", cells(F.col("pos"))).withColumn("size", cells(F.col("m")))
+    left = left.select("gram", "at", "size", "q", "m", F.col("pos").alias("p"), F.col("r").alias("rq"))
+    right = rare(spelled, "name").select("gram", cell(F.col("pos")).alias("at"), cell(F.col("n")).alias("size"), "name", "n", "pos", "r")
+    moved = F.col("pos") - F.col("p")
+    met = left.join(right, ["gram", "at", "size"]).where(F.abs(moved) + F.abs(F.col("n") - F.col("m") - moved) <= F.least("r", "rq"))
+    pairs = met.select("q", "name", F.col("rq").alias("reach")).distinct()
+    return pairs.withColumn("dist", F.expr(f"levenshtein(q, name, {bound})")).where((F.col("dist") >= 0) & (F.col("dist") <= F.col("reach"))).drop("reach")
+
+
+def rising_search(asked: DataFrame, known: DataFrame, most: Callable[[Column], Column], reach: Callable[[Column], Column], by_ratio: bool) -> tuple[DataFrame, DataFrame]:
+    """(``q, name, dist`` of all names at the smallest value, texts without one) for distinct ``asked.q``.
+
+    The bound on the distance doubles from round to round, up to ``most`` of a text's length, and only texts
+    that a larger distance could still answer go on. The value is the distance, or (``by_ratio``) the distance
+    as a share of the longer length, where a larger distance to a longer name may be the smaller share.
+    """
+    same = asked.join(known.select(F.col("name").alias("q")), "q", "left_semi")
+    found = [same.select("q", F.col("q").alias("name"), F.lit(0).alias("dist"))]
+    active = materialize(asked.join(same, "q", "left_anti").withColumn("reach", most(F.length("q"))), "unanswered")
+    none, bound = [active.where("reach < 1").select("q")], 1
+    active = active.where("reach >= 1")
+    while not active.isEmpty():
+        near = materialize(near_pairs(active, known, bound, reach), "near")
+        m, seen = F.length("q"), F.least(F.lit(bound), "reach")
+        value = F.col("dist") / F.greatest(m, F.length("name")) if by_ratio else F.col("dist")
+        best = near.withColumn("value", value).groupBy("q").agg(F.min("value").alias("best"))
+        beaten = (seen + 1) / (m + seen + 1) if by_ratio else seen + 1  # the least value of a larger distance
+        state = materialize(active.join(best, "q", "left").withColumn("done", (F.col("reach") <= bound) | F.coalesce(F.col("best") < beaten, F.lit(False))), "unanswered")
+        hits = near.withColumn("value", value).join(state.where("done").select("q", "best"), "q").where("value = best")
+        found.append(hits.select("q", "name", "dist"))
+        none.append(state.where("done and best is null").select("q"))
+        active, bound = state.where("not done").select("q", "reach"), 2 * bound
+    return union_all(found), union_all(none)
+
+
+def union_all(dfs: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, dfs)
+
+
+#: Names that stand for all when no near one exists.
+PIVOTS = 16
+FIRST = 4  # names measured for the upper bound of each text
+
+
+def pivot_search(asked: DataFrame, known: DataFrame, allowed: Callable[[Column], Column] | None = None) -> DataFrame:
+    """``q, name, dist``: all names at the smallest distance of each ``asked.q``, by the triangle inequality.
+
+    Every name knows its distances to a few pivots. A text's distances to the pivots bound its smallest one
+    from above, and its distance to any name from below: a name stands in the ring of its nearest pivot, and
+    only rings that the bound reaches are met. Differing characters and lengths bound from below as well. The
+    names of smallest lower bound are measured first, which lowers the upper bound for the rest. With
+    ``allowed``, a distance for each length, what is smallest is the distance as a share of the longer length.
+    """
+    pivots = [r["name"] for r in known.orderBy(F.xxhash64("name"), "name").limit(PIVOTS).collect()]  # a fixed number
+    if not pivots:
+        return asked.select("q", F.lit("").alias("name"), F.lit(0).alias("dist")).limit(0)
+    to = lambda c: F.array(*[F.levenshtein(F.col(c), F.lit(p)) for p in pivots])
+    ring = F.array_min("there")
+    names = known.select("name", to("name").alias("there")).select("name", "there", (F.array_position("there", ring) - 1).cast("int").alias("pivot"), ring.alias("ring"), F.length("name").alias("n"))
+    names = materialize(names, "pivots")
+    m = F.length("q")
+    texts = asked.select("q", to("q").alias("here")).withColumn("high", allowed(m) if allowed else F.array_min("here"))
+    texts = texts.withColumn("n", F.explode(F.sequence(F.greatest(m - F.col("high"), F.lit(0)), m + F.col("high"))))
+    rings = names.select("pivot", "ring", "n").distinct()
+    texts = texts.join(rings, "n").where(F.abs(F.get("here", F.col("pivot")) - F.col("ring")) <= F.col("high"))
+    low = F.greatest(F.array_max(F.zip_with("here", "there", lambda x, y: F.abs(x - y))), bag_distance(F.col("q"), F.col("name")))
+    near = materialize(texts.join(names, ["pivot", "ring", "n"]).select("q", "name", "high", low.alias("low")).where("low <= high"), "bounded")
+    measured = F.levenshtein("q", "name")
+    if allowed:
+        rest = near.withColumn("dist", measured).where("dist <= high").withColumn("value", F.col("dist") / F.greatest(m, F.length("name")))
+        return best_with_ties(rest, ["q"], "value").select("q", "name", "dist")
+    place = F.row_number().over(Window.partitionBy("q").orderBy("low", "name"))
+    first = near.withColumn("__n", place).where(F.col("__n") <= FIRST).groupBy("q").agg(F.min(measured).alias("least"))
+    rest = near.join(first, "q").where(F.col("low") <= F.least("least", "high")).withColumn("dist", measured)
+    return best_with_ties(rest.select("q", "name", "dist"), ["q"], "dist")
+
+
+def bag_distance(a: Column, b: Column) -> Column:
+    """Least number of edits between two texts, whatever the order of their characters."""
+    held = lambda x, c: F.length(x) - F.length(F.replace(x, c))
+    extra = lambda x, y: F.aggregate(F.array_distinct(F.split(x, "")), F.lit(0), lambda s, c: s + F.greatest(held(x, c) - held(y, c), F.lit(0)))
+    return F.greatest(extra(a, b), extra(b, a))
+
+
+def nearest_names(queries: DataFrame, names: DataFrame) -> DataFrame:
     """``query, name, dist``: every query's names at the smallest edit distance, however large.
 
-    The query set meets all names in blocks of about ``block`` names, joined by block number.
+    By rising distance while grams can tell (a third of the length), by pivots for what is left.
     """
-    known = names.select(F.col("norm").alias("name")).distinct()
-    blocks = max(1, -(-known.count() // block))
-    known = known.withColumn("b", F.pmod(F.xxhash64("name"), F.lit(blocks)).cast("int"))
-    asked = queries.select("query", normalize_name(F.col("query")).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
-    near = asked.join(small(known), "b").withColumn("dist", F.levenshtein("q", "name"))
-    return best_with_ties(near, "query", "dist").select("query", "name", "dist")
+    known = materialize(names.select(F.col("norm").alias("name")).distinct(), "known")
+    asked = materialize(queries.select("query", normalize_name(F.col("query")).alias("q")).where("q is not null"), "asked")
+    third, half = lambda n: F.floor((n - 1) / 3).cast("int"), lambda n: F.floor((n - 1) / 2).cast("int")
+    near, rest = rising_search(asked.select("q").distinct(), known, third, half, by_ratio=False)
+    return asked.join(near.unionByName(pivot_search(rest, known)), "q").select("query", "name", "dist")
 
 
-def best_with_ties(candidates: DataFrame, key: str, value: str) -> DataFrame:
+def best_with_ties(candidates: DataFrame, key: list[str], value: str) -> DataFrame:
     """All candidates at the smallest value per key."""
-    return candidates.withColumn("__r", F.rank().over(Window.partitionBy(key).orderBy(value))).where("__r = 1").drop("__r")
+    return candidates.withColumn("__r", F.rank().over(Window.partitionBy(*key).orderBy(value))).where("__r = 1").drop("__r")
 
 
 def match_partial(queries: DataFrame, names: DataFrame, threshold: float = 0.2, kind: str = "partial") -> DataFrame:
     """All names at the smallest edit distance, if that is at most ``threshold`` of the longer length."""
-    near = partial_candidates(queries, names, threshold).withColumn("d", F.expr("levenshtein(q, name, k)")).where("d >= 0")
-    near = near.withColumn("ratio", F.col("d") / F.greatest(F.length("q"), F.length("name"))).where(F.col("ratio") <= threshold)
-    best = best_with_ties(near, "query", "ratio")
-    return _result(best.join(small(names.select(F.col("norm").alias("name"), "target")), "name"), kind, F.col("name"), F.col("d"))
+    per = threshold / (1 - threshold)
+    known = materialize(names.select(F.col("norm").alias("name")).distinct(), "known")
+    asked = materialize(queries.select("query", normalize_name(F.col("query")).alias("q")).where("q <> ''"), "asked")
+    allowed = lambda n: F.floor(n * F.lit(per) + F.lit(1e-9)).cast("int")
+    third, half = lambda n: F.floor((n - 1) / 3).cast("int"), lambda n: F.floor((n - 1) / 2).cast("int")
+    wide = allowed(F.length("q")) > third(F.length("q"))  # texts so short that near ones need not share a gram
+    texts = asked.select("q").distinct()
+    near = rising_search(texts.where(~wide), known, allowed, lambda n: F.least(allowed(n), half(n)), by_ratio=True)[0]
+    if threshold > 0.2:  # below, no length is wide
+        near = near.unionByName(pivot_search(texts.where(wide), known, allowed))
+    hits = asked.join(near.where(F.col("dist") / F.greatest(F.length("q"), F.length("name")) <= threshold), "q")
+    return _result(hits.join(small(names.select(F.col("norm").alias("name"), "target")), "name"), kind, F.col("name"), F.col("dist"))
 
 
 def match_filtered_partial(queries: DataFrame, names: DataFrame, threshold: float = 0.2) -> DataFrame:
-    """As partial, without queries that start like letters and a number."""
+    """As partial, without queries that start like letters and a number (a fixed rule)."""
     return match_partial(queries.where(~F.rlike("query", F.lit("^[a-zA-Z]*[0-9]+"))), names, threshold, "filtered_partial")
 
 
+# ---- the cascade ---------------------------------------------------------------------------------
+
+
+def _result(df: DataFrame, kind: str, name: Column, distance: Column) -> DataFrame:
+    return df.select("query", F.lit(kind).alias("match_type"), name.alias("matched_name"), "target", distance.alias("distance"))
+
+
 def match_cascade(queries: DataFrame, names: DataFrame, ids: DataFrame, types: Iterable[str] = ("direct", "exact"), threshold: float = 0.2, n_grams: int = 1, extended: bool = False) -> DataFrame:
     """Distinct queries through the match types in order; the first type with a hit wins for each query.
 
-    ``query, match_type, matched_name, target, distance``, with the names' sources and types if extended.
+    Types that look a key up and follow each other are one join. ``query, match_type, matched_name, target,
+    distance``, with the names' sources and types if extended.
     """
     left = queries.select("query").where(F.coalesce(normalize_name(F.col("query")) != "", F.lit(False))).distinct()
-    run = {
-        "direct": lambda q: match_direct(q, ids),
-        "exact": lambda q: match_exact(q, names),
-        "substring": lambda q: match_substring(q, names, n_grams),
-        "partial": lambda q: match_partial(q, names, threshold),
-        "filtered_partial": lambda q: match_filtered_partial(q, names, threshold),
-    }
-    out = None
-    for kind in types:
-        hits = run[kind](left)
-        out = hits if out is None else out.unionByName(hits)
-        left = left.join(hits.select("query").distinct(), "query", "left_anti")
+    index, out, types = name_index(names, ids), None, tuple(types)
+    for keyed, group in groupby(types, lambda t: t in KEYED):
+        for step in [tuple(group)] if keyed else [(t,) for t in group]:
+            if keyed:
+                hits = match_keyed(left.select(F.lit("").alias("kind"), "query"), index, {"": step}, n_grams=n_grams).drop("kind")
+            else:
+                hits = (match_partial if step == ("partial",) else match_filtered_partial)(left, names, threshold)
+            out = hits if out is None else out.unionByName(hits)
+            if step[-1] != types[-1]:
+                left = left.join(hits.select("query").distinct(), "query", "left_anti")
     if extended:
         known = names.select(F.col("norm").alias("__n"), F.col("target").alias("__t"), "sources", "types")
         same = (F.coalesce("matched_name", normalize_name(F.col("target"))) == F.col("__n")) & (F.col("target") == F.col("__t"))
@@ -163,14 +319,38 @@ def harmonize(df: DataFrame, key: str, cols: list[str], names: DataFrame, ids: D
 
     Values are distinct before they are matched, so popular names are matched once.
     """
-    is_list = {f.name: f.dataType.typeName() == "array" for f in df.schema}
-    values = F.concat(*[tagged(F.col(c), is_list[c], c, "column", "query") for c in cols])
-    rows = df.select(F.col(key), F.explode(values).alias("v")).select(key, "v.column", "v.query").where("query is not null")
+    rows = tagged_values(df, key, {"": cols}).drop("kind")
     found = materialize(match_cascade(rows.select("query"), names, ids, types, **options).groupBy("query").agg(F.first("match_type").alias("match_type"), F.array_sort(F.collect_set("target")).alias("targets")), "matches")
-    out = rows.join(small(found), "query", "left").select(key, "column", "query", "match_type", F.explode_outer("targets").alias("target"))
+    return _joined(rows, found, ["query"], key)
+
+
+def tagged_values(df: DataFrame, key: str, entities: dict[str, list[str]]) -> DataFrame:
+    """``key, kind, column, query``: the values of all columns of all entity types, in one pass."""
+    is_list = {f.name: f.dataType.typeName() == "array" for f in df.schema}
+    of_kind = lambda kind, values: F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v["column"].alias("column"), v["query"].alias("query")))
+    each = [of_kind(kind, tagged(F.col(c), is_list[c], c, "column", "query")) for kind, cols in entities.items() for c in cols]
+    return df.select(F.col(key), F.explode(F.concat(*each)).alias("v")).select(key, "v.*").where("query is not null")
+
+
+def _joined(rows: DataFrame, found: DataFrame, on: list[str], key: str) -> DataFrame:
+    out = rows.join(small(found), on, "left").select(*[c for c in on if c != "query"], key, "column", "query", "match_type", F.explode_outer("targets").alias("target"))
     return out.withColumn("harmonized", F.col("target").isNotNull())
 
 
+def harmonize_all(df: DataFrame, key: str, entities: dict[str, list[str]], dictionaries: dict[str, tuple[DataFrame, DataFrame]], types: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """``kind`` and what ``harmonize`` gives, for several entity types at once.
+
+    One pass over the rows, one distinct over all values, one look-up in all dictionaries, one join back.
+    Only types of match that look a key up.
+    """
+    types = types or {k: DEFAULT_TYPES[k] for k in entities}
+    rows = tagged_values(df, key, entities)
+    asked = rows.select("kind", "query").where(F.coalesce(normalize_name(F.col("query")) != "", F.lit(False))).distinct()
+    index = union_all([name_index(*dictionaries[k], k) for k in entities])
+    found = match_keyed(asked, index, types).groupBy("kind", "query").agg(F.first("match_type").alias("match_type"), F.array_sort(F.collect_set("target")).alias("targets"))
+    return _joined(rows, materialize(found, "matches"), ["kind", "query"], key)
+
+
 def split_harmonized(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.where("harmonized"), df.where("not harmonized")
 

@@ -13,7 +13,7 @@ from entitylink.functions import variants as V
 from entitylink.functions.storage import materialize
 from entitylink.operators.dictionary import numeric_suffix, union_parts
 from entitylink.operators.graph import closure
-from entitylink.operators.names import DEFAULT_TYPES, dedupe_links, fit_names, harmonize, split_harmonized
+from entitylink.operators.names import DEFAULT_TYPES, dedupe_links, fit_names, harmonize, harmonize_all, split_harmonized
 from entitylink.operators.row_ids import row_ids
 from entitylink.sources.vcf import explode_alt, parse_vcf
 
@@ -57,6 +57,21 @@ def harmonize_part(raw: DataFrame, recipe: Recipe, kind: str, dictionary: DataFr
     return dedupe_links(links, key, ["target"]), rest, queries
 
 
+def links_of(raw: DataFrame, recipe: Recipe, dictionaries: dict[str, DataFrame], key: str = "raw_id") -> dict[str, DataFrame]:
+    """Links of every entity type of a raw table; all types but variants are matched in one pass and written once."""
+    raw = materialize(C.process_hook(raw, recipe.task), "raw")
+    df = replace(recipe, task=None).prepare(raw)
+    named = {k: cols for k, cols in recipe.entities.items() if k != "variant"}
+    out = {}
+    if named:
+        found = harmonize_all(df, key, named, {k: fit_names(dictionaries[k]) for k in named})
+        found = materialize(found.where("harmonized").select("kind", key, "target").distinct(), "links")
+        out = {k: found.where(F.col("kind") == k).drop("kind") for k in named}
+    if "variant" in recipe.entities:
+        out["variant"] = V.harmonize_variants(df, key, recipe.entities["variant"]).where("harmonized").dropDuplicates([key, "hgvs"])
+    return out
+
+
 def gene_names_wide(df: DataFrame, id_col: str, source: str, prefix: str) -> DataFrame:
     """Wide gene table -> ``row_no, id, type, name, data_sources``: id and all name-like columns, melted."""
     long = C.melt_names(df, id_col, pattern="(_symbol|_name|_accession|_id)$").withColumn("data_sources", F.lit(source))
@@ -113,9 +128,7 @@ def vcf_frequencies(lines: DataFrame, header: list[str], a_cols: list[str], csq_
 
 def curated(raw: DataFrame, recipe: Recipe, dictionaries: dict[str, DataFrame], key: str = "raw_id") -> dict[str, DataFrame]:
     """Links of every entity type of a declared source."""
-    raw = once(C.process_hook(raw, recipe.task))
-    recipe = replace(recipe, task=None)
-    return {kind: harmonize_part(raw, recipe, kind, dictionaries.get(kind), key)[0] for kind in recipe.entities}
+    return links_of(raw, recipe, dictionaries, key)
 
 
 def source(name: str) -> Recipe:
@@ -136,37 +149,30 @@ def source(name: str) -> Recipe:
     }[name]
 
 
-def once(raw: DataFrame) -> DataFrame:
-    """The rows written, so that the entity types of a recipe do not each evaluate their source again."""
-    return materialize(raw, "raw")
-
-
 def biomarkers(raw: DataFrame, dictionaries: dict[str, DataFrame], key: str = "raw_id") -> dict[str, DataFrame]:
     """Multi-value individuals set apart; list columns split; a variant built from transcript and change."""
-    kept = once(C.quarantine(raw, "individual_mutation", ",")[0])
+    kept = C.quarantine(raw, "individual_mutation", ",")[0]
     recipe = Recipe(
         {"gene": ["gene"], "drug": ["drug"], "cancer_type": ["tumor"], "variant": ["individual_mutation", "built"]},
         {"gene": {"pat": ";"}, "drug": C.clean_drug_list, "tumor": {"pat": ";"}},
         {"built": V.make_hgvs(F.col("transcript"), F.col("c_dna"))},
     )
-    return {kind: harmonize_part(kept, recipe, kind, dictionaries.get(kind), key)[0] for kind in recipe.entities}
+    return links_of(kept, recipe, dictionaries, key)
 
 
 def variant_summary(raw: DataFrame, dictionaries: dict[str, DataFrame], key: str = "raw_id") -> dict[str, DataFrame]:
     """Cleaned variant names; genes by symbol and id."""
-    raw = once(raw)
     recipe = Recipe({"variant": ["name"], "gene": ["gene_symbol", "hgnc_id"]}, {"name": V.clean_hgvs_name})
-    return {kind: harmonize_part(raw, recipe, kind, dictionaries.get(kind), key)[0] for kind in recipe.entities}
+    return links_of(raw, recipe, dictionaries, key)
 
 
 def mutations(raw: DataFrame, dictionaries: dict[str, DataFrame], key: str = "raw_id", prefix: str = "HGNC:") -> dict[str, DataFrame]:
     """Transcripts stripped off gene names, ids prefixed, three variant columns, four histology columns."""
-    raw = once(raw)
     recipe = Recipe(
         {"gene": ["gene_name", "hgnc_id"], "cancer_type": ["primary_histology", "subtype_1", "subtype_2", "subtype_3"], "variant": ["hgvsp", "hgvsc", "hgvsg"]},
         {"gene_name": C.strip_transcript, "hgnc_id": lambda c: C.prefix_id(c, prefix)},
     )
-    return {kind: harmonize_part(raw, recipe, kind, dictionaries.get(kind), key)[0] for kind in recipe.entities}
+    return links_of(raw, recipe, dictionaries, key)
 
 
 def pathways(raw: DataFrame, dictionary: DataFrame, key: str = "raw_id", species: str = "Homo sapiens") -> DataFrame:
@@ -177,6 +183,5 @@ def pathways(raw: DataFrame, dictionary: DataFrame, key: str = "raw_id", species
 
 def evidence(raw: DataFrame, dictionaries: dict[str, DataFrame], key: str = "raw_id") -> dict[str, DataFrame]:
     """Genes, diseases (name and id) and comma-separated drugs."""
-    raw = once(raw)
     recipe = Recipe({"gene": ["gene"], "cancer_type": ["disease", "doid"], "drug": ["drugs"]}, {"drugs": {"pat": ","}})
-    return {kind: harmonize_part(raw, recipe, kind, dictionaries.get(kind), key)[0] for kind in recipe.entities}
+    return links_of(raw, recipe, dictionaries, key)
