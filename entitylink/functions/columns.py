@@ -97,11 +97,13 @@ def strip_prefix(col: Column, prefix: str) -> Column:
     return F.when(F.startswith(col, F.lit(prefix)), F.substring(col, len(prefix) + 1, 2**31 - 1)).otherwise(col)
 
 
+#: Fixed value: a gene symbol with a transcript.
+TRANSCRIPT = r"^(.+)_ENST.+"
+
+
 def strip_transcript(col: Column) -> Column:
-    """``SYMBOL_ENST...`` -> ``SYMBOL``."""
-    mark, tail = "_ENST", F.substring_index(col, "_ENST", -1)
-    found = (F.instr(col, mark) > 1) & (F.length(tail) > 0)
-    return F.when(found, F.substr(col, F.lit(1), F.length(col) - F.length(tail) - len(mark))).otherwise(col)
+    """``SYMBOL_ENST...`` -> ``SYMBOL``, at the last mark with text after it."""
+    return F.regexp_replace(col, TRANSCRIPT, "$1")
 
 
 def prefix_id(col: Column, prefix: str) -> Column:
@@ -115,7 +117,6 @@ QUALIFIERS = ["BAN", "INN", "MI", "FDA", "JAN", "USAN", "USP", "DCF", "NF"]
 def strip_qualifiers(col: Column) -> Column:
     """Drop a bracketed list of naming authorities."""
 
-
     def cleaned(part: Column) -> Column:
         inside = F.split(F.substring_index(part, ")", 1), ", ", -1)
         only = F.contains(part, F.lit(")")) & (F.size(F.array_except(inside, F.array(*map(F.lit, QUALIFIERS)))) == 0)

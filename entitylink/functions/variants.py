@@ -22,12 +22,6 @@ AMINO_ACIDS = {
     "N": "Asn", "P": "Pro", "Q": "Gln", "R": "Arg", "S": "Ser", "T": "Thr", "V": "Val", "W": "Trp", "Y": "Tyr", "X": "Xaa", "*": "Ter",
 }
 
-#: The start of an amino-acid change: ``p.`` or not, up to three other characters, a number, another character.
-CHANGE = "^(?:p[.])?[^0-9]{1,3}[0-9]+[^0-9]"
-
-AA1_CHANGE = r"^(p\.)?([A-Z*]?)([0-9]+)([A-Z*])"
-
-
 def hgvs_like(col: Column) -> Column:
     """Exactly one colon with text on both sides."""
     return F.coalesce(F.rlike(col, F.lit("^[^:]+:[^:]+$")), F.lit(False))
@@ -51,16 +45,40 @@ def hgvs_length_ok(whole: Column, ref: Column, desc: Column) -> Column:
     return (F.length(whole) <= MAX_HGVS) & (F.length(ref) <= MAX_REF) & (F.length(desc) <= MAX_DESC)
 
 
+def _change(col: Column) -> Column:
+    """Struct of the start of a change: ``mark`` (``p.`` or nothing), ``before`` the number, ``number``, ``after`` (one character)."""
+    mark = F.when(F.startswith(col, F.lit("p.")), "p.").otherwise("")
+    body = F.substr(col, F.length(mark) + 1)
+    digits = F.translate(body, "123456789", "000000000")
+    first = F.instr(digits, "0")
+    tail = F.substr(body, first)
+    number = F.substr(tail, F.lit(1), F.length(tail) - F.length(F.ltrim(F.substr(digits, first), F.lit("0"))))
+    return F.when(first > 0, F.struct(mark.alias("mark"), F.substr(body, F.lit(1), first - 1).alias("before"), number.alias("number"), F.substr(tail, F.length(number) + 1, F.lit(1)).alias("after")))
+
+
+def _aa3(change: Column) -> Column:
+    names = F.create_map(*[F.lit(x) for pair in AMINO_ACIDS.items() for x in pair])
+    letter = lambda c: F.coalesce(F.try_element_at(names, c), F.lit(""))
+    return F.concat(change["mark"], letter(change["before"]), change["number"], letter(change["after"]))
+
+
+def _is_aa1(change: Column) -> Column:
+    code = lambda c: (F.length(c) == 1) & F.contains(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ*"), c)
+    return F.coalesce(((change["before"] == "") | code(change["before"])) & code(change["after"]), F.lit(False))
+
+
+def _is_change(change: Column) -> Column:
+    return F.coalesce(F.length(change["before"]).between(1, 3) & (change["after"] != ""), F.lit(False))
+
+
 def aa1_to_aa3(col: Column) -> Column:
     """One-letter protein change -> three letters; text after the change is dropped, others unchanged."""
-    names = F.create_map(*[F.lit(x) for pair in AMINO_ACIDS.items() for x in pair])
-    letter = lambda k: F.coalesce(F.try_element_at(names, F.regexp_extract(col, AA1_CHANGE, k)), F.lit(""))
-    return F.when(aa1_like(col), F.concat(F.regexp_extract(col, AA1_CHANGE, 1), letter(2), F.regexp_extract(col, AA1_CHANGE, 3), letter(4))).otherwise(col)
+    return F.when(aa1_like(col), _aa3(_change(col))).otherwise(col)
 
 
 def aa1_like(col: Column) -> Column:
-    """Starts like a one-letter change: at most one letter, a number, a letter."""
-    return F.rlike(col, F.lit(AA1_CHANGE))
+    """Starts like a one-letter change: at most one letter (or star), a number, a letter (or star)."""
+    return _is_aa1(_change(col))
 
 
 def guess_desc_type(desc_type: Column, desc: Column) -> Column:
@@ -69,8 +87,8 @@ def guess_desc_type(desc_type: Column, desc: Column) -> Column:
 
 
 def guessed(desc_type: Column, desc: Column) -> Column:
-    """No type, and a description that starts like a change."""
-    return (desc_type == "") & F.rlike(desc, F.lit(CHANGE))
+    """No type, and a description that starts like a change: up to three characters, a number, one more character."""
+    return (desc_type == "") & _is_change(_change(desc))
 
 
 def modify_flags(guessed_type: Column, recoded: Column, mapped_ref: Column) -> Column:
@@ -84,14 +102,13 @@ def hgvs_format(ref: Column, version: Column, desc_type: Column, desc: Column) -
     return F.concat(ref, F.when(has(version), F.concat(F.lit("."), version)).otherwise(""), F.lit(":"), F.when(has(desc_type), F.concat(desc_type, F.lit("."))).otherwise(""), desc)
 
 
+#: Brackets that are removed, at the end of a reference and after a description.
+GENE_BRACKET, NOTE_BRACKET = r"\([^)]+\):", r"([^:]+):([^ ]+) \(([^)]+)\)"
+
+
 def clean_hgvs_name(col: Column) -> Column:
-    """Remove a bracketed gene before the colon and what is bracketed after the description."""
-    ref, desc = F.substring_index(col, ":", 1), F.substr(col, F.instr(col, ":") + 1)
-    gene = F.endswith(ref, F.lit(")")) & F.contains(ref, F.lit("("))
-    note = F.endswith(desc, F.lit(")")) & F.contains(desc, F.lit(" ("))
-    ref = F.when(gene, F.substring_index(ref, "(", 1)).otherwise(ref)
-    desc = F.when(note, F.substring_index(desc, " (", 1)).otherwise(desc)
-    return F.when(F.contains(col, F.lit(":")), F.concat(ref, F.lit(":"), desc)).otherwise(col)
+    """Remove the bracket before the colon (a gene), and a bracketed note after the description."""
+    return F.regexp_replace(F.regexp_replace(col, GENE_BRACKET, ":"), NOTE_BRACKET, "$1:$2")
 
 
 def make_hgvs(ref: Column, desc: Column) -> Column:
@@ -114,9 +131,10 @@ def harmonize_variants(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
     rows = df.select(F.col(key), F.explode(values).alias("v")).select(key, "v.column", "v.hgvs").where("hgvs is not null")
     rows = rows.withColumn("like", hgvs_like(F.col("hgvs"))).withColumn("p", F.when(F.col("like"), hgvs_split(F.col("hgvs"))))
     rows = rows.where(~F.col("like") | hgvs_length_ok(F.col("hgvs"), F.col("p.ref"), F.col("p.desc")))
-    recode = F.coalesce((F.col("p.desc_type") == "p") & aa1_like(F.col("p.desc")), F.lit(False))
-    rows = rows.withColumn("recoded", recode).withColumn("desc", F.when(F.col("recoded"), aa1_to_aa3(F.col("p.desc"))).otherwise(F.col("p.desc")))
-    rows = rows.withColumn("guessed", F.coalesce(guessed(F.col("p.desc_type"), F.col("desc")), F.lit(False)))
+    rows = rows.withColumn("change", F.when(F.col("p.desc_type").isin("p", ""), _change(F.col("p.desc"))))
+    # only descriptions with a type are recoded, and only those without one are guessed
+    rows = rows.withColumn("recoded", F.coalesce((F.col("p.desc_type") == "p") & _is_aa1(F.col("change")), F.lit(False))).withColumn("desc", F.when(F.col("recoded"), _aa3(F.col("change"))).otherwise(F.col("p.desc")))
+    rows = rows.withColumn("guessed", F.coalesce((F.col("p.desc_type") == "") & _is_change(F.col("change")), F.lit(False)))
     kind = F.when(F.col("guessed"), "p").otherwise(F.col("p.desc_type"))
     unmapped = F.when(~F.col("like"), "not_hgvs").when(kind == "", "unknown_desc_type").otherwise("")
     blank = lambda c: F.coalesce(c, F.lit(""))

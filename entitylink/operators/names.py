@@ -137,8 +137,32 @@ def _grams(df: DataFrame, text: str, size: str) -> DataFrame:
     return df.where(F.col(size) >= 1).where(F.length(text) >= F.col(size)).select("*", F.explode(each).alias("__g")).select("*", "__g.*").drop("__g")
 
 
+def _rare(df: DataFrame, often: DataFrame, text: str) -> DataFrame:
+    """A text's ``g * r + 1`` rarest grams (with all places of the last one) that occur in names at all."""
+    order = F.rank().over(Window.partitionBy(text, "g").orderBy(F.coalesce("often", F.lit(0)), "gram"))
+    ranked = df.join(often, "gram", "left").withColumn("__r", order)
+    return ranked.where((F.col("__r") <= F.col("g") * F.col("r") + 1) & F.col("often").isNotNull()).drop("__r", "often")
+
+
+def _cell(x: Column, bound: int) -> Column:
+    return F.floor(x / bound).cast("int")
+
+
+def spelled_names(known: DataFrame, bound: int, reach: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
+    """All grams of names, and how often each occurs; a table bounded by the characters of normalised names."""
+    n = F.length("name")
+    known = known.select("name", n.alias("n"), F.least(F.lit(bound), reach(n)).alias("r")).where("r >= 1")
+    spelled = _grams(known.withColumn("g", _gram_size(F.col("n"), F.col("r"))), "name", "g")
+    return spelled, F.broadcast(spelled.groupBy("gram").agg(F.count(F.lit(1)).alias("often")))
+
+
+def name_keys(spelled: DataFrame, often: DataFrame, bound: int) -> DataFrame:
+    """The keys of names: a rare gram, its place and the name's length in steps of the bound."""
+    return _rare(spelled, often, "name").select("gram", _cell(F.col("pos"), bound).alias("at"), _cell(F.col("n"), bound).alias("size"), "name", "n", "pos", "r")
+
+
 def near_pairs(asked: DataFrame, known: DataFrame, bound: int, reach: Callable[[Column], Column]) -> DataFrame:
-    """``q, name, dist``: all pairs of ``asked.q`` and ``known.name`` within ``asked.reach`` edits, at most ``bound``.
+    """``q, name``: pairs that may lie within ``asked.reach`` edits, at most ``bound``, and all that do.
 
     A prefix filter on positional grams. d edits spoil at most d * g grams of length g, so of the d * g + 1
     grams that are rarest among all names, one is left in both of two names within d edits, moved by no more
@@ -146,28 +170,23 @@ def near_pairs(asked: DataFrame, known: DataFrame, bound: int, reach: Callable[[
     names that share a rare gram at such places meet: what many names have in common is no key.
     ``reach`` gives the distance looked for around a name of a length.
     """
-    n, m = F.length("name"), F.length("q")
-    known = known.select("name", n.alias("n"), F.least(F.lit(bound), reach(n)).alias("r")).where("r >= 1").withColumn("g", _gram_size(F.col("n"), F.col("r")))
+    m = F.length("q")
     asked = asked.select("q", m.alias("m"), F.least(F.lit(bound), "reach").alias("r")).where("r >= 1").distinct()
     lengths = F.sequence(F.greatest(F.col("m") - F.col("r"), F.lit(1)), F.col("m") + F.col("r"))
     sizes = F.array_distinct(F.transform(lengths, lambda x: _gram_size(x, F.least(F.lit(bound), reach(x)))))
-    spelled = _grams(known, "name", "g")
-    often = F.broadcast(spelled.groupBy("gram").agg(F.count(F.lit(1)).alias("often")))  # bounded by the characters of names
-
-    def rare(df: DataFrame, text: str) -> DataFrame:
-        """A text's rarest grams (all places of the last one)."""
-        order = F.rank().over(Window.partitionBy(text, "g").orderBy(F.coalesce("often", F.lit(0)), "gram"))
-        return df.join(often, "gram", "left").withColumn("__r", order).where(F.col("__r") <= F.col("g") * F.col("r") + 1).where("often is not null").drop("__r", "often")
-
-    cell = lambda x: F.floor(x / bound).cast("int")
-    cells = lambda x: F.explode(F.sequence(cell(F.greatest(x - F.col("r"), F.lit(0))), cell(x + F.col("r"))))
-    left = rare(_grams(asked.withColumn("g", F.explode(sizes)), "q", "g"), "q").withColumn("at", cells(F.col("pos"))).withColumn("size", cells(F.col("m")))
+    spelled, often = spelled_names(known, bound, reach)
+    cells = lambda x: F.explode(F.sequence(_cell(F.greatest(x - F.col("r"), F.lit(0)), bound), _cell(x + F.col("r"), bound)))
+    left = _rare(_grams(asked.withColumn("g", F.explode(sizes)), "q", "g"), often, "q").withColumn("at", cells(F.col("pos"))).withColumn("size", cells(F.col("m")))
     left = left.select("gram", "at", "size", "q", "m", F.col("pos").alias("p"), F.col("r").alias("rq"))
-    right = rare(spelled, "name").select("gram", cell(F.col("pos")).alias("at"), cell(F.col("n")).alias("size"), "name", "n", "pos", "r")
     moved = F.col("pos") - F.col("p")
-    met = left.join(right, ["gram", "at", "size"]).where(F.abs(moved) + F.abs(F.col("n") - F.col("m") - moved) <= F.least("r", "rq"))
-    pairs = met.select("q", "name", F.col("rq").alias("reach")).distinct()
-    return pairs.withColumn("dist", F.expr(f"levenshtein(q, name, {bound})")).where((F.col("dist") >= 0) & (F.col("dist") <= F.col("reach"))).drop("reach")
+    met = left.join(name_keys(spelled, often, bound), ["gram", "at", "size"])
+    return met.where(F.abs(moved) + F.abs(F.col("n") - F.col("m") - moved) <= F.least("r", "rq")).select("q", "name").distinct()
+
+
+def near_distances(asked: DataFrame, known: DataFrame, bound: int, reach: Callable[[Column], Column]) -> DataFrame:
+    """``q, name, dist`` of all pairs within ``asked.reach`` edits, at most ``bound``."""
+    measured = near_pairs(asked, known, bound, reach).withColumn("dist", F.expr(f"levenshtein(q, name, {bound})")).where("dist >= 0")
+    return measured.join(asked.select("q", "reach"), "q").where("dist <= reach").drop("reach")
 
 
 def rising_search(asked: DataFrame, known: DataFrame, most: Callable[[Column], Column], reach: Callable[[Column], Column], by_ratio: bool) -> tuple[DataFrame, DataFrame]:
@@ -183,7 +202,7 @@ def rising_search(asked: DataFrame, known: DataFrame, most: Callable[[Column], C
     none, bound = [active.where("reach < 1").select("q")], 1
     active = active.where("reach >= 1")
     while not active.isEmpty():
-        near = materialize(near_pairs(active, known, bound, reach), "near")
+        near = materialize(near_distances(active, known, bound, reach), "near")
         m, seen = F.length("q"), F.least(F.lit(bound), "reach")
         value = F.col("dist") / F.greatest(m, F.length("name")) if by_ratio else F.col("dist")
         best = near.withColumn("value", value).groupBy("q").agg(F.min("value").alias("best"))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from entitylink.functions.storage import materialize
 from entitylink.functions.variants import hgvs_split
 from entitylink.operators.dictionary import union_parts
 from entitylink.operators.names import small
@@ -27,14 +28,21 @@ def filter_by_entities(raw: DataFrame, links: dict[str, DataFrame], values: dict
 
 
 def filter_by_hgvs(raw: DataFrame, link: DataFrame, queries: DataFrame, levels: tuple[str, ...] = ("RAW", "HGVS1"), flag_mask: int | None = None, key: str = "raw_id") -> DataFrame:
-    """Raw rows with a variant that agrees with a query on any of the levels, in one pass over the variants."""
+    """Raw rows with a variant that agrees with a query on any of the levels.
+
+    The keys of all levels are one table of tagged texts, and a variant's keys are one short list, so the
+    variants meet the queries in one semi join whatever the number of levels. Unknown parts agree with nothing.
+    """
     if flag_mask is not None:
         link = link.where(F.col("modify_flags").bitwiseAND(flag_mask) != 0)
-    parsed = queries.select("hgvs", hgvs_split(F.col("hgvs")).alias("p")).select("hgvs", "p.*").distinct()
-    for v in levels:
-        link = link.join(small(parsed.select(*LEVELS[v], F.lit(True).alias(f"__{v}")).distinct()), LEVELS[v], "left")
-    hits = link.where(reduce(Column.__or__, [F.col(f"__{v}").isNotNull() for v in levels])).select(key)
-    return raw.join(hits, key, "left_semi")
+
+    part = lambda c: F.concat(F.lit(";"), F.length(c).cast("string"), F.lit(":"), c)
+    keys = lambda cols: F.filter(F.array(*[F.concat(F.lit(v), *[part(cols[c]) for c in LEVELS[v]]) for v in levels]), lambda k: k.isNotNull())
+    parsed = queries.select("hgvs", hgvs_split(F.col("hgvs")).alias("p")).select("hgvs", "p.*")
+    columns = {c: F.col(c) for v in levels for c in LEVELS[v]}
+    asked = parsed.select(F.explode(keys(columns)).alias("k")).distinct()
+    own = link.select(key, F.explode(keys(columns)).alias("k"))
+    return raw.join(own.join(small(asked), "k", "left_semi").select(key), key, "left_semi")
 
 
 def search(raw: DataFrame, links: dict[str, DataFrame], values: dict, variants: DataFrame | None = None, hgvs: DataFrame | None = None, levels: tuple[str, ...] = ("RAW", "HGVS1"), key: str = "raw_id", exposed: dict | None = None) -> DataFrame:
@@ -135,6 +143,41 @@ def fingerprint(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("xor"), F.sum(h.cast("decimal(20,0)")).alias("total"))
 
 
+def range_fingerprints(df: DataFrame, key: str, width: int, fan: int = 16, levels: int = 4) -> DataFrame:
+    """A tree of fingerprints over ranges of a whole-number key: ``level, bucket, n, xor, total``.
+
+    Level 0 has ranges of ``width`` keys; a range of the next level is ``fan`` of the one below. One pass over
+    the rows makes the leaves, the levels above come from the leaves.
+    """
+    h = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    leaf = F.floor(F.col(f"`{key}`") / F.lit(width)).cast("long") if width & (width - 1) else F.shiftright(F.col(f"`{key}`").cast("long"), width.bit_length() - 1)
+    at = materialize(df.groupBy(leaf.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("xor"), F.sum(h.cast("decimal(20,0)")).alias("total")), "fingerprints")
+    each = at.select("*", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("level"))
+    up = F.element_at(F.array(*[F.floor(F.col("bucket") / F.lit(fan**k)).cast("long") for k in range(levels)]), F.col("level") + 1)
+    return each.select("level", up.alias("bucket"), "n", "xor", "total").groupBy("level", "bucket").agg(F.sum("n").alias("n"), F.bit_xor("xor").alias("xor"), F.sum("total").alias("total"))
+
+
+def changed_ranges(old: DataFrame, new: DataFrame, key: str, width: int, fan: int = 16, levels: int = 4) -> DataFrame:
+    """``low, high, n_old, n_new``: the key ranges of ``width`` whose rows differ between two states of a table.
+
+    The two trees are compared from the top; only ranges below a difference are compared further. Rows with
+    a null key are one range of their own, with null limits.
+    """
+    a, b = (materialize(range_fingerprints(df, key, width, fan, levels), "tree") for df in (old, new))
+    differ, wanted = None, None
+    for level in reversed(range(levels)):
+        one, two = (t.where(F.col("level") == level).drop("level") for t in (a, b))
+        if wanted is not None:
+            within = lambda t, wanted=wanted: t.join(wanted, F.floor(F.col("bucket") / F.lit(fan)).cast("long").eqNullSafe(F.col("up")), "left_semi")
+            one, two = within(one), within(two)
+        side = lambda t, s: t.select(*[F.col(c).alias(f"{c}_{s}") for c in t.columns])
+        same = F.col("n_a").eqNullSafe(F.col("n_b")) & F.col("xor_a").eqNullSafe(F.col("xor_b")) & F.col("total_a").eqNullSafe(F.col("total_b"))
+        met = side(one, "a").join(side(two, "b"), F.col("bucket_a").eqNullSafe(F.col("bucket_b")), "full").where(~same)
+        differ = met.select(F.coalesce("bucket_a", "bucket_b").alias("bucket"), F.coalesce("n_a", F.lit(0)).alias("n_old"), F.coalesce("n_b", F.lit(0)).alias("n_new"))
+        wanted = small(differ.select(F.col("bucket").alias("up")))
+    return differ.select((F.col("bucket") * width).alias("low"), (F.col("bucket") * width + (width - 1)).alias("high"), "n_old", "n_new")
+
+
 def keyset_page(df: DataFrame, col: str, current, size: int) -> DataFrame:
     """The next page: keys after the current one, ascending, of a limited size."""
     return (df if current is None else df.where(F.col(col) > current)).orderBy(col).limit(size)

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from entitylink.functions import columns as C
 from entitylink.operators import dictionary as D
+from entitylink.operators.mapping import propose_mapping
+from entitylink.operators.names import normalize_name
 from entitylink.operators.row_ids import row_ids
-from entitylink.plans.views import NAMES, Tables, query
+from entitylink.plans.views import NAMES, NORM, RAW, Tables, query
 
 
 @query("normalize_columns", 'SELECT c_custkey AS customer_id, c_name AS full_names, c_mktsegment AS market_segment, c_nationkey AS nation_hgvs FROM customer')
@@ -118,6 +120,19 @@ def _(spark, d):
     return C.profile_terms(Tables(spark, d).orders, ["o_orderkey", "o_orderpriority", "o_custkey"], ("entrez", "hgnc"))
 
 
+MAPPED = f"""{RAW}, vals AS (SELECT DISTINCT c, norm FROM (SELECT 'said' AS c, {NORM.format('said')} AS norm FROM raw UNION ALL SELECT 'item', {NORM.format('item')} FROM raw UNION ALL SELECT 'l_returnflag', {NORM.format('l_returnflag')} FROM raw) WHERE norm <> ''),
+  dict AS (SELECT DISTINCT 'supplier' AS kind, {NORM.format('s_name')} AS norm FROM supplier UNION SELECT DISTINCT 'part', {NORM.format('p_name')} FROM part UNION SELECT DISTINCT 'nation', {NORM.format('n_name')} FROM nation),
+  pairs AS (SELECT c, kind FROM (SELECT DISTINCT c FROM vals), (SELECT DISTINCT kind FROM dict)),
+  shares AS (SELECT c, kind, (SELECT count(*) FROM vals v WHERE v.c = pairs.c) AS n, (SELECT count(*) FROM vals v JOIN dict d USING (norm) WHERE v.c = pairs.c AND d.kind = pairs.kind) AS hits FROM pairs)"""
+
+
+@query("propose_mapping", f"""WITH {MAPPED} SELECT c AS "column", kind, n, hits, hits / n AS share, hits / n >= 0.5 AND rank() OVER (PARTITION BY c ORDER BY hits / n DESC) = 1 AND rank() OVER (PARTITION BY kind ORDER BY hits / n DESC) = 1 AS chosen FROM shares""")
+def _(spark, d):
+    t = Tables(spark, d)
+    names = lambda df, c: df.select(normalize_name(F.col(c)).alias("norm"))
+    return propose_mapping(t.raw(), {"supplier": names(t.supplier, "s_name"), "part": names(t.part, "p_name"), "nation": names(t.nation, "n_name")}, ["said", "item", "l_returnflag"], exact=True)
+
+
 @query("validate_targets", f"SELECT v, regexp_matches(v, '^HGNC:') AS gene, regexp_matches(v, '^[^:]+:[^:]+$') AS variant FROM ({IDS})")
 def _(spark, d):
     return _ids(Tables(spark, d)).select("v", C.valid_target(F.col("v"), "gene").alias("gene"), C.valid_target(F.col("v"), "variant").alias("variant"))

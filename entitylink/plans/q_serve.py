@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from entitylink.functions import variants as V
+from entitylink.operators import bitmap as B
 from entitylink.operators import serve as S
 from entitylink.plans.q_variants import HARMONIZED
 from entitylink.plans.views import LINKS, ORDER_LINKS, RAW, Tables, query
@@ -104,7 +105,13 @@ def _(spark, d):
 @query("explore_entities_filtered", f"{EXPLORE} SELECT part, target, n FROM n")
 def _(spark, d):
     t = Tables(spark, d)
-    return S.explore({"lines": t.links(), "orders": t.order_links()}, "supplier", {"part": PARTS})
+    return B.explore_index(B.link_index({"lines": t.links(), "orders": t.order_links()}), "supplier", {"part": PARTS})
+
+
+@query("explore_cooccurrence", f"WITH {LINKS} SELECT 'lines' AS part, sl.target AS target_a, pl.target AS target_b, count(DISTINCT raw_id) AS n FROM sl JOIN pl USING (raw_id) GROUP BY ALL")
+def _(spark, d):
+    t = Tables(spark, d)
+    return B.co_occurring(B.link_index({"lines": t.links(), "orders": t.order_links()}), "supplier", "part")
 
 
 @query("entity_stats", f"WITH {LINKS}, {ORDER_LINKS} SELECT 'lines' AS part, count(*) AS n_rows, count(DISTINCT target) AS n_targets FROM sl UNION ALL SELECT 'orders', count(*), count(DISTINCT target) FROM os")
@@ -127,13 +134,29 @@ def _(spark, d):
     return S.table_counts({name: getattr(t, name) for name in RECORDED}, RECORDED)
 
 
-@query("table_fingerprint", "SELECT 'orders' AS \"table\", count(*) AS n, true AS same, true AS changed FROM orders")
+@query("table_fingerprint", """SELECT 'orders' AS "table", count(*) AS n, NOT EXISTS (SELECT * FROM orders EXCEPT ALL (SELECT * FROM orders ORDER BY o_custkey)) AS same,
+  EXISTS (SELECT * FROM orders EXCEPT ALL SELECT * REPLACE (o_custkey + 1 AS o_custkey) FROM orders) AS changed FROM orders""")
 def _(spark, d):
     o = Tables(spark, d).orders
     now, shuffled, other = S.fingerprint(o), S.fingerprint(o.repartition(3, "o_custkey")), S.fingerprint(o.withColumn("o_custkey", F.col("o_custkey") + 1))
     one = lambda df, p: df.select(*[F.col(c).alias(f"{p}_{c}") for c in df.columns])
     both = one(now, "a").join(one(shuffled, "b"), F.lit(True)).join(one(other, "c"), F.lit(True))  # one row each
-    return both.select(F.lit("orders").alias("table"), F.col("a_n").alias("n"), ((F.col("a_xor") == F.col("b_xor")) & (F.col("a_total") == F.col("b_total"))).alias("same"), (F.col("a_xor") != F.col("c_xor")).alias("changed"))
+    equal = lambda p: F.forall(F.array(*[F.col(f"a_{c}").eqNullSafe(F.col(f"{p}_{c}")) for c in now.columns]), lambda x: x)
+    return both.select(F.lit("orders").alias("table"), F.col("a_n").alias("n"), equal("b").alias("same"), (~equal("c")).alias("changed"))
+
+
+#: A later state of the orders: some rows changed, some gone, some new.
+LATER = """later AS (SELECT o_orderkey, CASE WHEN o_orderkey % 1009 = 5 THEN o_custkey + 1 ELSE o_custkey END AS o_custkey, o_orderstatus FROM orders WHERE o_orderkey % 997 <> 0
+  UNION ALL SELECT o_orderkey + 1000000, o_custkey, o_orderstatus FROM orders WHERE o_orderkey % 2003 = 7), now AS (SELECT o_orderkey, o_custkey, o_orderstatus FROM orders)"""
+
+
+@query("table_changes", f"""WITH {LATER}, differ AS (SELECT DISTINCT o_orderkey // 64 AS b FROM ((SELECT * FROM now EXCEPT ALL SELECT * FROM later) UNION ALL (SELECT * FROM later EXCEPT ALL SELECT * FROM now)))
+  SELECT b * 64 AS low, b * 64 + 63 AS high, (SELECT count(*) FROM now WHERE o_orderkey // 64 = b) AS n_old, (SELECT count(*) FROM later WHERE o_orderkey // 64 = b) AS n_new FROM differ""")
+def _(spark, d):
+    now = Tables(spark, d).orders.select("o_orderkey", "o_custkey", "o_orderstatus")
+    later = now.where("o_orderkey % 997 <> 0").withColumn("o_custkey", F.when(F.col("o_orderkey") % 1009 == 5, F.col("o_custkey") + 1).otherwise(F.col("o_custkey")))
+    later = later.union(now.where("o_orderkey % 2003 = 7").withColumn("o_orderkey", F.col("o_orderkey") + 1_000_000))
+    return S.changed_ranges(now, later, "o_orderkey", 64)
 
 
 @query("keyset_page", "SELECT c_custkey, c_name FROM customer WHERE c_custkey > 20 ORDER BY c_custkey LIMIT 25")

@@ -106,6 +106,22 @@ def _(spark, d):
     return G.merge_variant_sets([t.supplier.select(F.col("s_suppkey").alias("variant_id"), name("s_nationkey")), t.customer.select(F.col("c_custkey").alias("variant_id"), name("c_nationkey"))])
 
 
+@query("extend_variant_sets", """WITH kn AS (SELECT s_nationkey AS n, dense_rank() OVER (ORDER BY min(s_suppkey)) AS num FROM supplier GROUP BY 1),
+  link AS (SELECT c_custkey, c_nationkey AS n, CASE WHEN c_custkey % 3 = 0 THEN c_nationkey - c_nationkey % 2 ELSE c_nationkey END AS m FROM customer),
+  names AS (SELECT n FROM kn UNION SELECT n FROM link UNION SELECT m FROM link),
+  g AS (SELECT n, CASE WHEN n % 2 = 1 AND n IN (SELECT n FROM link WHERE m <> n) THEN n - 1 ELSE n END AS g FROM names),
+  old AS (SELECT g, min(num) AS num FROM g JOIN kn USING (n) GROUP BY g),
+  fresh AS (SELECT g, (SELECT max(num) FROM kn) + row_number() OVER (ORDER BY min(c_custkey)) AS num FROM g JOIN (SELECT c_custkey, n FROM link UNION ALL SELECT c_custkey, m FROM link) USING (n) WHERE g NOT IN (SELECT g FROM old) GROUP BY g)
+  SELECT 'N' || n AS name, num AS variant_id FROM g JOIN (SELECT * FROM old UNION ALL SELECT * FROM fresh) USING (g)""")
+def _(spark, d):
+    t = Tables(spark, d)
+    name = lambda c: F.concat(F.lit("N"), F.col(c).cast("string")).alias("hgvs")
+    known = G.cluster_variants(t.supplier.select(F.col("s_suppkey").alias("variant_id"), name("s_nationkey")))
+    even = t.customer.where("c_custkey % 3 = 0").select("c_custkey", (F.col("c_nationkey") - F.col("c_nationkey") % 2).alias("c_nationkey"))
+    new = t.customer.select("c_custkey", "c_nationkey").union(even).select(F.col("c_custkey").alias("variant_id"), name("c_nationkey"))
+    return G.extend_variant_sets(known, new)[0]
+
+
 @query("ontology_closure", f"WITH RECURSIVE {TREE}, up AS (SELECT child AS descendant, parent AS ancestor FROM tree UNION SELECT up.descendant, tree.parent FROM up JOIN tree ON up.ancestor = tree.child) SELECT * FROM up")
 def _(spark, d):
     return G.closure(Tables(spark, d).tree())

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from entitylink.functions.columns import empty_to_null, keep_declared
@@ -16,23 +17,23 @@ from entitylink.operators.row_ids import row_ids
 def read_delimited(spark: SparkSession, path, sep: str = "\t", encoding: str = "UTF-8", comment: str | None = None, names: list[str] | None = None, skip: int = 0) -> DataFrame:
     """Text tables, gz too: comment lines dropped, ``skip`` lines before the header, given names if headerless.
 
-    With ``skip``, the first lines of each file are dropped where they repeat those of the first file.
+    With ``skip``, lines count as they stand in the file, empty ones too, and the first lines of each file are
+    dropped where they repeat those of the first file. Empty lines of the body are no rows.
     """
     if not skip:
         reader = spark.read.option("sep", sep).option("encoding", encoding).option("inferSchema", False).option("escape", "\\" if sep == "\t" else '"')
         reader = reader.option("comment", comment) if comment else reader
         return reader.schema(", ".join(f"`{n}` string" for n in names)).csv(path) if names else reader.option("header", True).csv(path)
-    source = spark.read.option("encoding", encoding).schema("line string").options(sep="\x01", quote="").format("csv")
-    place = [F.monotonically_increasing_id().alias("at"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
-    text = source.load(path)
-    head = source.load(min(text.inputFiles())).limit(skip + 1).collect()  # lines before and with the header
-    names = names or head[-1]["line"].split(sep)
+    text = spark.read.text(path)  # keeps empty lines, so that places are line numbers
+    line = F.decode(F.col("value").cast("binary"), encoding) if encoding.upper() != "UTF-8" else F.col("value")
+    head = [r["value"] for r in spark.read.text(min(text.inputFiles())).limit(skip + 1).select(line.alias("value")).collect()]  # lines before and with the header
+    names = names or head[-1].split(sep)
     # rows of a file's first block are numbered without gaps, so these are the places of its first lines
-    lines = text.select("line", *place)
+    lines = text.select(line.alias("line"), F.monotonically_increasing_id().alias("at"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     begin = lines.where("block = 0").groupBy("file").agg(F.min("at").alias("begin"))
     lines = lines.join(small(begin), "file", "left")
-    top = [(F.col("at") - F.col("begin") == i) & F.col("line").eqNullSafe(F.lit(r["line"])) for i, r in enumerate(head)]
-    body = lines.where(~F.coalesce(reduce(Column.__or__, top), F.lit(False)) & F.col("line").isNotNull())
+    top = [(F.col("at") - F.col("begin") == i) & (F.col("line") == F.lit(text)) for i, text in enumerate(head)]
+    body = lines.where(~F.coalesce(reduce(Column.__or__, top), F.lit(False)) & (F.col("line") != ""))
     body = body if not comment else body.where(~F.startswith("line", F.lit(comment)))
     return body.select(F.from_csv("line", ", ".join(f"`{n}` string" for n in names), {"sep": sep}).alias("r")).select("r.*")
 
@@ -74,13 +75,27 @@ def write_delimited(df: DataFrame, path: str, sep: str = "\t", mode: str = "over
     df.write.mode(mode).options(sep=sep, header=True, escape="\\", compression=compression, emptyValue="").csv(path)
 
 
-def load_table(df: DataFrame, target: str, nullable: list[str] = ()) -> int:
-    """Replace a serving table: empty text of nullable columns as null; the row count must agree."""
-    out = df.select(*[empty_to_null(F.col(c)).alias(c) if c in nullable else F.col(c) for c in df.columns])
-    out.write.mode("overwrite").saveAsTable(target)
-    wrote, there = df.count(), df.sparkSession.table(target).count()
-    if wrote != there:
-        raise RuntimeError(f"{target}: {there} rows of {wrote}")
+def load_table(df: DataFrame, target: str, nullable: list[str] = (), check: Callable[[DataFrame], bool] | None = None) -> int:
+    """Replace a serving table: empty text of nullable columns as null.
+
+    Rows are counted while they are written to a staging table, which takes the place of the old one only
+    after it has as many rows and passes the caller's check; otherwise the old table stays as it was.
+    """
+    spark, staging, old = df.sparkSession, f"{target}__staging", f"{target}__old"
+    out = df.select(*[empty_to_null(F.col(f"`{c}`")).alias(c) if c in nullable else F.col(f"`{c}`") for c in df.columns])
+    seen = Observation()
+    spark.sql(f"drop table if exists {staging}")
+    out.observe(seen, F.count(F.lit(1)).alias("n")).write.saveAsTable(staging)
+    staged = spark.table(staging)
+    there = staged.count()
+    if there != seen.get["n"] or (check and not check(staged)):
+        spark.sql(f"drop table {staging}")
+        raise RuntimeError(f"{target}: staged {there} rows of {seen.get['n']}, or the check failed; the table is unchanged")
+    spark.sql(f"drop table if exists {old}")
+    if spark.catalog.tableExists(target):
+        spark.sql(f"alter table {target} rename to {old}")
+    spark.sql(f"alter table {staging} rename to {target}")
+    spark.sql(f"drop table if exists {old}")
     return there
 
 
