@@ -52,29 +52,91 @@ def test_cascade(spark, index, query, types, want):
     assert rows(got.select("match_type", "matched_name", "target")) == sorted(want, key=repr)
 
 
-def test_partial_is_the_same_blocked_and_unblocked(spark):
-    rnd = random.Random(3)
-    word = lambda: "".join(rnd.choice("abc") for _ in range(rnd.randint(1, 14)))
-    names, asked = {word() for _ in range(120)}, {word() for _ in range(120)}
-    index = N.fit_names(spark.createDataFrame([(f"#{n}", n) for n in names], "id string, name string"))[0].where("target = '#' || norm")
-
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def some_names(seed, letters, most, n):
+    rnd = random.Random(seed)
+    return {"".join(rnd.choice(letters) for _ in range(rnd.randint(1, most))) for _ in range(n)}
+
+
+def edited(name, edits, rnd):
+    for _ in range(edits):
+        i = rnd.randrange(len(name) + 1)
+        name = rnd.choice([name[:i] + rnd.choice("ab9") + name[i:], name[:i] + name[i + 1 :], name[:i] + rnd.choice("ab9") + name[i + 1 :]])
+    return name
+
 
+def norm_index(spark, names):
+    return spark.createDataFrame([(n, n) for n in names], "norm string, target string")
+
+
+@pytest.mark.parametrize(("letters", "most", "threshold"), [("abc", 14, 0.2), ("ab", 30, 0.2), ("abcdefgh", 9, 0.4), ("ab", 5, 0.6)])
+def test_partial_equals_all_pairs(spark, letters, most, threshold):
+    rnd = random.Random(3)
+    names = some_names(1, letters, most, 110)
+    asked = some_names(2, letters, most, 60) | {edited(n, rnd.randint(0, 7), rnd) for n in sorted(names)[:60]} - {""}
     want = []
     for q in asked:
         near = [(distance(q, n) / max(len(q), len(n)), n) for n in names]
         best = min(near)[0]
-        want += [(q, n) for r, n in near if r == best and r <= 0.2]
-    got = N.match_partial(spark.createDataFrame([(q,) for q in asked], "query string"), index)
+        want += [(q, n) for r, n in near if r == best and r <= threshold]
+    got = N.match_partial(spark.createDataFrame([(q,) for q in asked], "query string"), norm_index(spark, names), threshold)
     assert rows(got.select("query", "matched_name")) == sorted(want)
 
 
+def test_nearest_names_equal_all_pairs(spark):
+    rnd = random.Random(4)
+    names = some_names(5, "abcdef", 12, 150)
+    asked = some_names(6, "abcdefxyz", 16, 50) | {edited(n, rnd.randint(0, 5), rnd) for n in sorted(names)[:50]} | {"z" * 40, "--"}
+    want = []
+    for q in asked:
+        near = [(distance(q.replace("-", ""), n), n) for n in names]
+        want += [(q, n, d) for d, n in near if d == min(near)[0]]
+    queries = spark.createDataFrame([(q,) for q in asked], "query string")
+    assert rows(N.nearest_names(queries, norm_index(spark, names))) == sorted(want)
+    assert rows(N.nearest_names(queries, norm_index(spark, names).limit(0))) == []
+
+
+def test_common_prefix_is_no_hot_key(spark):
+    """Names that begin alike meet by what tells them apart, and few pairs are measured."""
+    rnd = random.Random(8)
+    names = sorted({f"customer{rnd.randrange(10**8):08d}" for _ in range(3000)})
+    known = norm_index(spark, names).select(F.col("norm").alias("name"))
+    asked = spark.createDataFrame([(edited(n, 1, rnd),) for n in rnd.sample(names, 200)], "q string").distinct().withColumn("reach", F.lit(4))
+    for bound, share in ((1, 0.01), (2, 0.02)):
+        reach = lambda n: F.floor(n / 4).cast("int")
+        keys = N.name_keys(*N.spelled_names(known, bound, reach), bound)
+        assert keys.groupBy("gram", "at", "size").count().agg(F.max("count")).first()[0] <= share * len(names)
+    assert N.near_pairs(asked, known, 1, reach).count() < 0.05 * 200 * len(names)
+
+
+def test_keyed_stages_are_one_join(spark, index):
+    asked = spark.createDataFrame([("HGNC:1",), ("a2m",), ("A2M antibody",)], "query string")
+    plan = N.match_cascade(asked, *index, ("direct", "exact", "substring"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
+    # a query whose raw text is an id and whose name is another's keeps the earlier type
+    names = N.fit_names(spark.createDataFrame([("a1", "x"), ("b", "A-1")], "id string, name string"))
+    got = N.match_cascade(spark.createDataFrame([("a1",), ("A1",), ("x y",)], "query string"), *names, ("direct", "exact", "substring"))
+    assert rows(got.select("query", "match_type", "target")) == [("A1", "exact", "a1"), ("A1", "exact", "b"), ("a1", "direct", "a1"), ("x y", "substring", "a1")]
+
+
+def test_harmonize_all_equals_one_by_one(spark):
+    raw = spark.createDataFrame([(1, "KRAS", ["brca", None], "lung x"), (2, "kras", None, "none"), (3, None, ["D1"], "Lung")], "raw_id long, g string, d array<string>, c string")
+    given = {k: N.fit_names(spark.createDataFrame(v, "id string, name string")) for k, v in {"gene": [("G1", "KRAS")], "drug": [("D1", "brca"), ("D2", "kras")], "cancer_type": [("C1", "lung")]}.items()}
+    cols = {"gene": ["g"], "drug": ["d", "g"], "cancer_type": ["c"]}
+    got = N.harmonize_all(raw, "raw_id", cols, given)
+    for kind in cols:
+        want = N.harmonize(raw, "raw_id", cols[kind], *given[kind], N.DEFAULT_TYPES[kind])
+        assert rows(got.where(F.col("kind") == kind).drop("kind").select(want.columns)) == rows(want)
+
+
 def test_harmonize_keeps_one_null_row(spark, index):
     raw = spark.createDataFrame([(7, ["A1BG", "zzz", None]), (8, None)], "raw_id long, genes array<string>")
     out = N.harmonize(raw, "raw_id", ["genes"], *index)
@@ -119,6 +181,16 @@ def test_amino_acids(spark, text, want):
     assert one(spark, V.aa1_to_aa3, text) == want
 
 
+@pytest.mark.parametrize(("kind", "desc", "want"), [("", "V600E", "p"), ("", "Val600Glu", "p"), ("", "Valu600Glu", ""), ("", "600E", ""), ("", "V600", ""), ("", "p.V6x", "p"), ("c", "V600E", "c"), ("", "", ""), ("", "*1*", "p")])
+def test_guess_desc_type(spark, kind, desc, want):
+    assert spark.createDataFrame([(kind, desc)], "a string, b string").select(V.guess_desc_type(F.col("a"), F.col("b"))).first()[0] == want
+
+
+@pytest.mark.parametrize(("text", "want"), [("p.*1X", "p.Ter1Xaa"), ("12A", "12Ala"), ("AB1C", "AB1C"), ("A1b", "A1b"), ("A10020P", "Ala10020Pro"), ("", ""), (None, None), ("B1Z", "1")])
+def test_amino_acid_edges(spark, text, want):
+    assert one(spark, V.aa1_to_aa3, text) == want
+
+
 @pytest.mark.parametrize(("ref", "alt", "want"), [("A", "T", "T"), ("AC", "A", "-"), ("A", "ATG", "TG"), ("AC", "GT", "GT"), ("ACG", "ATG", "T")])
 def test_csq_allele(spark, ref, alt, want):
     assert spark.createDataFrame([(ref, alt)], "a string, b string").select(V.csq_allele(F.col("a"), F.col("b"))).first()[0] == want
@@ -126,6 +198,9 @@ def test_csq_allele(spark, ref, alt, want):
 
 def test_clean_names(spark):
     assert one(spark, V.clean_hgvs_name, "NM_000410.3(HFE):c.989G>T (p.Arg330Met)") == "NM_000410.3:c.989G>T"
+    assert one(spark, V.clean_hgvs_name, "NM_1(A)x(B):c.1") == "NM_1(A)x:c.1"
+    assert one(spark, V.clean_hgvs_name, "NM_1:c.1 (a) (b)") == "NM_1:c.1 (b)"
+    assert [one(spark, C.strip_transcript, x) for x in ("A_ENST1", "A_ENST1_ENST", "A_ENST1_ENST2", "_ENST1", "A_ENST", None)] == ["A", "A", "A_ENST1", "_ENST1", "A_ENST", None]
     assert one(spark, C.strip_qualifiers, "aspirin (USAN, INN)") == "aspirin"
     assert [C.normalize_column(c) for c in ("Gene name(s)", "Chromosome/Position", "proteinHGVS", "Start (GRCh38)", "IDs")] == ["gene_names", "chromosome_position", "protein_hgvs", "start_grch38", "ids"]
 
@@ -159,6 +234,128 @@ def test_closure_survives_cycles(spark):
     assert rows(G.closure(edges, root="a").select("descendant").distinct()) == [("a",), ("b",), ("c",), ("d",)]
 
 
+def test_closure_doubles_paths(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(G, "materialize", lambda df, tag, f=G.materialize: (rounds.append(tag), f(df, tag))[1])
+    edges = spark.createDataFrame([(i, i + 1) for i in range(1000)] + [(2000, 2001), (2001, 2000)], "child long, parent long")
+    got = G.closure(edges)
+    assert got.count() == 1000 * 1001 // 2 + 4 and rounds.count("closure") <= 12
+    assert rows(G.closure(edges, root=1000)) == sorted(((i, 1000) for i in range(1000)), key=repr)
+    assert rows(G.closure(edges, root=2000)) == [(2000, 2000), (2001, 2000)]
+    assert rows(G.closure(edges.limit(0))) == []
+
+
+def test_extended_clusters_equal_clusters_from_scratch(spark):
+    rnd = random.Random(9)
+    sets = [[(rnd.randint(0, 30), f"n{rnd.randint(0, 45)}") for _ in range(n)] for n in (25, 12, 30)]
+    frames = [spark.createDataFrame(s, "variant_id long, hgvs string") for s in sets]
+    known = G.cluster_variants(frames[0])
+    for i in (1, 2):
+        before = known
+        known, changed = G.extend_variant_sets(known, frames[i])
+        moved = dict(rows(changed))
+        old = {n: moved.get(v, v) for n, v in before.collect()}
+        now = dict(known.collect())
+        assert all(now[n] == v for n, v in old.items()) and known.count() == len(now)
+        order = {v: k + 1 for k, v in enumerate(sorted(set(now.values())))}
+        assert sorted((n, order[v]) for n, v in now.items()) == rows(G.merge_variant_sets(frames[: i + 1]))
+    again, changed = G.extend_variant_sets(known, frames[0].limit(0))
+    assert rows(again) == rows(known) and rows(changed) == []
+
+
+def test_link_index(spark):
+    from entitylink.operators import bitmap as B
+
+    rnd = random.Random(2)
+    link = lambda n, rows_, targets: [(rnd.randrange(rows_), f"T{rnd.randrange(targets)}") for _ in range(n)]
+    given = {"P": {"gene": link(400, 300, 5), "drug": link(300, 300, 40)}, "Q": {"gene": link(50, 20, 3)}, "R": {"drug": link(9, 9, 2), "gene": [(1, "T0"), (None, "T0"), (2, None)]}}
+    index = B.link_index({p: {k: spark.createDataFrame(v, "raw_id long, target string") for k, v in kinds.items()} for p, kinds in given.items()})
+    assert index.where("kind = 'gene' and part = 'P'").count() < 60  # words, not links
+
+    def want(core, values):
+        out = {}
+        for p, kinds in given.items():
+            held = [{r for r, t in kinds.get(k, []) if t in v and r is not None} for k, v in values.items()]
+            for r, t in {x for x in kinds.get(core, []) if None not in x and all(x[0] in h for h in held)}:
+                out[p, t] = out.get((p, t), 0) + 1
+        return sorted(((p, t, n) for (p, t), n in out.items()), key=repr)
+
+    for values in ({}, {"drug": ["T1", "T2", "T30"]}, {"drug": ["T1", "T2"], "gene": ["T0"]}, {"drug": ["absent"]}, {"drug": []}):
+        assert rows(B.explore_index(index, "gene", values)) == want("gene", values)
+    pairs = {}
+    for p, kinds in given.items():
+        for r, a in {x for x in kinds["gene"] if None not in x}:
+            for s, b in set(kinds.get("drug", [])):
+                if r == s:
+                    pairs[p, a, b] = pairs.get((p, a, b), 0) + 1
+    assert rows(B.co_occurring(index, "gene", "drug")) == sorted(((*k, n) for k, n in pairs.items()), key=repr)
+
+
+def test_changed_ranges(spark):
+    old = spark.range(0, 5000).select("id", (F.col("id") * 7 % 11).alias("v"))
+    new = old.where("id <> 77 and id <> 4999").withColumn("v", F.when(F.col("id") == 1234, 99).otherwise(F.col("v"))).union(spark.createDataFrame([(-3, 1), (9_000, 1)], "id long, v long"))
+    for width, levels in ((10, 4), (16, 3), (1, 5)):
+        low = lambda k, width=width: k // width * width
+        got = {r["low"]: (r["high"], r["n_old"], r["n_new"]) for r in S.changed_ranges(old, new, "id", width, levels=levels).collect()}
+        assert set(got) == {low(k) for k in (77, 4999, 1234, -3, 9_000)}
+        assert got[low(9_000)] == (low(9_000) + width - 1, 0, 1)
+    assert S.changed_ranges(old, old.repartition(7), "id", 64).count() == 0
+    null = spark.createDataFrame([(None, 1)], "id long, v long")
+    assert rows(S.changed_ranges(old, old.union(null), "id", 64)) == [(None, None, 0, 1)]
+    # equal rows that come in pairs do not cancel out
+    assert S.changed_ranges(old, old.union(old.where("id = 5")).union(old.where("id = 5")), "id", 64).count() == 1
+
+
+def test_failed_load_keeps_the_table(spark):
+    good = spark.createDataFrame([(1, "a"), (2, "")], "k long, v string")
+    assert files.load_table(good, "loaded", ["v"]) == 2
+    with pytest.raises(RuntimeError, match="unchanged"):
+        files.load_table(good.limit(1), "loaded", check=lambda df: df.count() > 1)
+    assert rows(spark.table("loaded")) == [(1, "a"), (2, None)] and not spark.catalog.tableExists("loaded__staging")
+    assert files.load_table(spark.table("loaded").where("k = 2"), "loaded") == 1
+    assert rows(spark.table("loaded")) == [(2, None)] and not spark.catalog.tableExists("loaded__old")
+
+
+def test_mapping(spark):
+    from entitylink.operators import mapping as M
+
+    df = spark.createDataFrame([(f"Gene-{i}", [f"drug {i}", None], "x" if i % 2 else f"gene{i}") for i in range(300)], "a string, b array<string>, c string")
+    names = {"gene": [f"gene{i}" for i in range(0, 300)], "drug": [f"drug{i}" for i in range(0, 300, 2)], "cancer": ["y"]}
+    known = {k: spark.createDataFrame([(x,) for x in v], "norm string") for k, v in names.items()}
+    exact = {(r["column"], r["kind"]): r for r in M.propose_mapping(df, known, exact=True).collect()}
+    assert len(exact) == 9 and (exact["a", "gene"]["share"], exact["b", "drug"]["share"], exact["c", "gene"]["n"]) == (1.0, 0.5, 151)
+    assert {k for k, r in exact.items() if r["chosen"]} == {("a", "gene"), ("b", "drug")}
+    values = M.column_values(df, df.columns)
+    sketch = {(r["column"], r["kind"]): r["share"] for r in M.containment(M.value_sketch(values, 100), known).collect()}
+    assert all(abs(sketch[k] - r["share"]) <= 4 * 0.5 / 10 for k, r in exact.items())
+    halves = [M.column_values(df.where(f"c {op} 'x'"), ["a"]) for op in ("=", "<>")]
+    united = M.value_sketch(M.value_sketch(halves[0], 50).union(M.value_sketch(halves[1], 50)), 50)
+    assert rows(united) == rows(M.value_sketch(M.column_values(df, ["a"]), 50))
+
+
+def test_assignment_is_the_best_one_to_one():
+    from itertools import permutations
+
+    from entitylink.operators.mapping import assign
+
+    rnd = random.Random(4)
+    for _ in range(30):
+        shares = {(f"c{i}", f"k{j}"): rnd.choice([0.0, 0.4, 0.5, 0.7, 0.9, 1.0]) for i in range(4) for j in range(3)}
+        got = assign(shares)
+        assert len(set(got.values())) == len(got) and all(shares[c, k] >= 0.5 for k, c in got.items())
+        best = max(sum(x for k, c in zip("012", order, strict=True) if (x := shares[f"c{c}", f"k{k}"]) >= 0.5) for order in permutations(range(4), 3))
+        assert abs(sum(shares[c, k] for k, c in got.items()) - best) < 1e-9
+    assert assign({}) == {}
+
+
+def test_filter_by_hgvs_levels(spark):
+    link = spark.createDataFrame([(1, "A:c.1", "A", "1", "", "c", 0), (2, "A.2:c.1", "A", "1", "2", "c", 4), (3, "B:g.7", "B", "7", "", "g", 0), (4, None, None, None, None, None, 0)], "raw_id long, hgvs string, ref string, desc string, ref_version string, desc_type string, modify_flags int")
+    raw, asked = link.select("raw_id"), spark.createDataFrame([("A:c.1",), ("B:7",), (None,), ("nothing",)], "hgvs string")
+    found = lambda *levels, **o: [r[0] for r in rows(S.filter_by_hgvs(raw, link, asked, levels, **o))]
+    assert (found("RAW"), found("HGVS1"), found("HGVS2"), found("HGVS3"), found("RAW", "HGVS1")) == ([1], [1, 2, 3], [1, 3], [1], [1, 2, 3])
+    assert found("HGVS1", flag_mask=4) == [2]
+
+
 def test_row_ids(spark):
     df = spark.range(1000).select((1000 - F.col("id")).alias("x"))
     assert sorted(rows(row_ids(df, "n", ["x"], start=5))) == [(i + 4, i) for i in range(1, 1001)]
@@ -243,15 +440,13 @@ def test_skipped_lines_go_by_position(spark, tmp_path):
     assert sorted((r["a"], r["b"]) for r in got) == sorted([("1", "2"), ("a", "b"), ("# made", None), ("3", "4"), ("a", "b"), ("5", "6")])
 
 
-def test_nearest_names_in_blocks(spark):
-    from entitylink.operators import names as N
-
-    words = ["abc", "abd", "xyz", "longer name", "a"]
-    names, _ = N.fit_names(spark.createDataFrame([(w, w) for w in words], "id string, name string"))
-    asked = spark.createDataFrame([("abe",), ("xy",), ("q",)], "query string")
-    want = sorted(map(tuple, N.nearest_names(asked, names).collect()))
-    assert want == sorted(map(tuple, N.nearest_names(asked, names, 1).collect()))
-    assert want[:2] == [("abe", "abc", 1), ("abe", "abd", 1)]
+def test_skipped_lines_may_be_empty(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text("#made\n\nc1\tc2\n1\ta\n\n2\tb\n")
+    (tmp_path / "b.tsv").write_text("\n\n3\tc\n#made\td\n")
+    got = files.read_delimited(spark, str(tmp_path), skip=2)
+    # the second file's first two lines are empty too: the second repeats the preamble's second line
+    assert (got.columns, rows(got)) == (["c1", "c2"], [("#made", "d"), ("1", "a"), ("2", "b"), ("3", "c")])
+    assert rows(files.read_delimited(spark, str(tmp_path), skip=2, comment="#")) == [("1", "a"), ("2", "b"), ("3", "c")]
 
 
 def test_declared_sources(spark):
