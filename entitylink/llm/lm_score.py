@@ -17,7 +17,10 @@ the class of the word before. So the work is done once per distinct unit, exactl
   grow with the corpus.
 - The bits of the counted units make a table of ``CONTEXTS * 2**SLOT_BITS`` slots, a fixed size that may be
   broadcast. A slot belongs to the most frequent of the contexts that share it, told apart by a tag; the
-  others count as unseen there, so that they lend no false counts and shorter contexts speak for them.
+  others count as unseen there, so that they lend no false counts and shorter contexts speak for them. Units
+  are dealt by the last bytes before theirs, so a task has every context of at least that length whole;
+  shorter ones (the start of a word, endings that very many units share) are added up by context first. So
+  the table does not depend on the number of tasks.
 - Weights and refinement are learned online over the counted units: a batch, each unit weighing as often as
   it occurs, is predicted with one occurrence of its own taken out of the counts, then the weights are
   corrected before the next batch. Tasks start alike and are averaged by the occurrences they saw.
@@ -64,7 +67,8 @@ UNITS = 1_500_000  # distinct units that a task gathers before it learns from th
 TASK = 2_000_000  # words of running text that one task gathers units from, at least, beyond FEW tasks
 FEW = 8
 TYPES = 500_000  # distinct words that a task gathers before it hands them on
-SHARD = 1_500_000  # distinct units whose bits one task adds up
+SHARD = 1_500_000  # distinct units whose bits one task adds up, on average
+NEAREST = min(ORDERS)  # bytes before a unit that it is dealt by, at least
 LESSON = 500_000  # distinct units that one task learns from
 BATCH = 4096
 CHUNK = 1 << 16
@@ -414,30 +418,57 @@ def averaged(place: np.ndarray, total: np.ndarray, n: np.ndarray) -> tuple[tuple
     return (flat[:cut].reshape(-1, CONTEXTS), flat[cut:].reshape(-1, CONTEXTS)), refine
 
 
-def best_slots(units: np.ndarray, times: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """Slot, tag, zeros and ones of the most frequent context in every slot, one kind of context after another."""
-    byte = (units & np.uint64(255)).astype(np.uint8)
-    for k, mine in enumerate(contexts(units)):
-        order = np.argsort(mine << np.uint64(8) | byte, kind="stable")
-        code, b, n = mine[order], byte[order], times[order]
-        del mine, order
-        # how many bits of the byte a unit shares with the one before it in the same context
-        shared = np.where(code[1:] << np.uint64(8) == code[:-1] << np.uint64(8), _SHARED[b[1:] ^ b[:-1]], -1).astype(np.int8)
-        shared = np.concatenate([np.full(1, -1, np.int8), shared])
-        best, tags, zeros, ones = np.full(1 << SLOT_BITS, -1, np.int64), np.zeros(1 << SLOT_BITS, np.uint32), np.zeros(1 << SLOT_BITS, np.int64), np.zeros(1 << SLOT_BITS, np.int64)
-        for i in range(8):
-            first = np.flatnonzero(shared < i)
-            one, total = np.add.reduceat(n * (b >> (7 - i) & 1), first), np.add.reduceat(n, first)
-            seen = (1 << i | b[first].astype(np.int32) >> (8 - i)).astype(np.uint64)
-            h = (code[first] + seen * np.uint64(0xD1B54A32D192ED03)) * np.uint64(_ODD)
-            at, mark = slot(h, 0), tag(h)
-            rank = np.minimum(total, 1 << 40) << 12 | mark
-            np.maximum.at(best, at, rank)
-            won = best[at] == rank
-            at = at[won]
-            tags[at], zeros[at], ones[at] = mark[won], (total - one)[won], one[won]
-        at = np.flatnonzero(best >= 0)
-        yield at + (k << SLOT_BITS), tags[at], zeros[at], ones[at]
+def suffix(units, length: int):
+    """The last ``length`` bytes before each unit's byte, as a number."""
+    return units >> np.uint64(8) & np.uint64((1 << 8 * length) - 1)
+
+
+def levels(units: np.ndarray, crowded: dict[int, np.ndarray]) -> np.ndarray:
+    """How many bytes before its own a unit is dealt by: as few as are not crowded, two at least."""
+    out = np.full(len(units), NEAREST, np.int8)
+    for length in sorted(crowded):
+        here = out == length
+        out[here] += np.isin(suffix(units[here], length), crowded[length])
+    return out
+
+
+def word_length(units: np.ndarray) -> np.ndarray:
+    """Bytes of the word so far, ``REACH`` at most."""
+    inside, length = np.ones(len(units), bool), np.zeros(len(units), np.int8)
+    for k in range(1, REACH + 1):
+        b = units >> np.uint64(8 * k) & np.uint64(255)
+        inside &= (b != _SPACE) & (b != _END)
+        length += inside
+    return length
+
+
+def best_slots(mine: np.ndarray, byte: np.ndarray, times: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """Slot, rank and counts of the most frequent context in every slot, among whole contexts of one kind.
+
+    A slot's contexts are ranked by how often they occur, then by tag and ones, so whichever tasks they come
+    from the same one stays.
+    """
+    order = np.argsort(mine << np.uint64(8) | byte, kind="stable")
+    code, b, n = mine[order], byte[order], times[order]
+    del order
+    # how many bits of the byte a unit shares with the one before it in the same context
+    shared = np.where(code[1:] == code[:-1], _SHARED[b[1:] ^ b[:-1]], -1).astype(np.int8)
+    shared = np.concatenate([np.full(min(1, len(code)), -1, np.int8), shared])
+    best, counts = np.full(1 << SLOT_BITS, -1, np.int64), np.zeros(1 << SLOT_BITS, np.int32)
+    for i in range(8 if len(code) else 0):
+        first = np.flatnonzero(shared < i)
+        one, total = np.add.reduceat(n * (b >> (7 - i) & 1), first), np.add.reduceat(n, first)
+        seen = (1 << i | b[first].astype(np.int32) >> (8 - i)).astype(np.uint64)
+        h = (code[first] + seen * np.uint64(0xD1B54A32D192ED03)) * np.uint64(_ODD)
+        at = slot(h, 0)
+        rank = np.minimum(total, 1 << 40) << 22 | tag(h).astype(np.int64) << 10 | np.minimum(one, MOST)
+        np.maximum.at(best, at, rank)
+        won = best[at] == rank
+        at, one, total = at[won], one[won], total[won]
+        most = np.maximum(np.maximum(one, total - one), MOST)
+        counts[at] = -(-(total - one) * MOST // most) << 10 | -(-one * MOST // most)
+    at = np.flatnonzero(best >= 0)
+    return (at + (k << SLOT_BITS)).astype(np.int32), best[at], counts[at]
 
 
 def gather(classes):
@@ -461,17 +492,59 @@ def gather(classes):
     return run
 
 
+def _slots(found: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(found[0]), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000]) for c in found], names=["slot", "rank", "counts"])
+
+
+def _shares(batches: Iterator[pa.RecordBatch], crowded: dict[int, np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per kind of context of all units of a task: code, byte, occurrences, and is the context whole here."""
+    held = [(b.column("unit").to_numpy().view(np.uint64), b.column("n").to_numpy()) for b in batches]
+    if held:
+        units, times = (np.concatenate(c) for c in zip(*held, strict=True))
+        held.clear()
+        byte, level, length = (units & np.uint64(255)).astype(np.uint8), levels(units, crowded), word_length(units)
+        for k, code in enumerate(contexts(units)):
+            yield k, code, byte, times, (ORDERS[k] if k < len(ORDERS) else length) >= level
+
+
+def slot_counts(crowded):
+    """Units and their occurrences, dealt by the bytes before -> winners of slots among the task's whole contexts."""
+
+    @trimmed
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, code, byte, times, whole in _shares(batches, crowded.value):
+            yield from _slots(best_slots(code[whole], byte[whole], times[whole], k))
+
+    return run
+
+
+def short_counts(crowded):
+    """The same units -> ``kind, code, byte, n`` of contexts shorter than what the unit was dealt by; partial."""
+
+    @trimmed
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, code, byte, times, whole in _shares(batches, crowded.value):
+            code, b, n = code[~whole], byte[~whole], times[~whole]
+            order = np.lexsort((b, code))
+            code, b, n = code[order], b[order], n[order]
+            first = np.flatnonzero(np.concatenate([np.full(min(1, len(code)), True), (code[1:] != code[:-1]) | (b[1:] != b[:-1])]))
+            if rows := len(first):
+                cols = [pa.array(np.full(rows, k, np.int32)), pa.array(code[first].view(np.int64)), pa.array(b[first].astype(np.int32)), pa.array(np.add.reduceat(n, first))]
+                yield pa.RecordBatch.from_arrays(cols, names=["kind", "code", "byte", "n"])
+
+    return run
+
+
 @trimmed
-def slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Units and their occurrences -> slot, tag, zeros, ones."""
-    held = [(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()) for b in batches]  # one shard
-    if not held:
-        return
-    units, times = (np.concatenate(c) for c in zip(*held, strict=True))
-    held.clear()
-    for cols in best_slots(units, times):
-        for i in range(0, len(cols[0]), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000].astype(t)) for c, t in zip(cols, ("i4", "i4", "i8", "i8"), strict=True)], ["slot", "tag", "zeros", "ones"])
+def summed_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole contexts as ``kind, code, byte, n`` -> winners of slots."""
+    held = [[b.column(c).to_numpy() for c in ("kind", "code", "byte", "n")] for b in batches]
+    if held:
+        kind, code, byte, n = (np.concatenate(c) for c in zip(*held, strict=True))
+        for k in np.unique(kind).tolist():
+            at = kind == k
+            yield from _slots(best_slots(code[at].view(np.uint64), byte[at].astype(np.uint8), n[at], k))
 
 
 def learn_online(shared):
@@ -504,14 +577,27 @@ def score_units(shared, table):
     return run
 
 
-def dealt(units: DataFrame, n: int, most: int) -> DataFrame:
-    """``n`` distinct units dealt by hash to tasks of about ``most``.
+def crowds(units: DataFrame, most: int) -> dict[int, np.ndarray]:
+    """Per length the endings that more than ``most`` distinct units share, to be dealt by one byte more; no more than units / most a length."""
+    out: dict[int, np.ndarray] = {}
+    for length in range(NEAREST, REACH):
+        cut = F.expr(f"shiftright(unit, 8) & {(1 << 8 * length) - 1}L").alias("ending")
+        shorter = F.expr(f"shiftright(unit, 8) & {(1 << 8 * (length - 1)) - 1}L")
+        rows = units.where(shorter.isin(out[length - 1].tolist())) if length > NEAREST else units
+        found = rows.groupBy(cut).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).toArrow()
+        out[length] = np.sort(found.column("ending").to_numpy().astype(np.uint64))
+        if not len(out[length]):
+            break
+    return out
 
-    No more tasks than that, even where a session deals to more partitions: a task's slots combine before they
-    travel, so the fewer the tasks the less is shuffled.
-    """
-    tasks = max(1, -(-n // most))
-    return units.repartition(tasks, "unit").coalesce(tasks)
+
+def deal_key(crowded: dict[int, np.ndarray]):
+    """The ending that a unit is dealt by, with its length."""
+    key = F.expr(f"shiftright(unit, 8) & {(1 << 8 * REACH) - 1}L")
+    for length in sorted(crowded, reverse=True):
+        ending = F.expr(f"shiftright(unit, 8) & {(1 << 8 * length) - 1}L")
+        key = F.when(ending.isin(crowded[length].tolist()), key).otherwise(ending + F.lit(length << 56))
+    return key
 
 
 def train(texts: DataFrame, classes: np.ndarray) -> tuple[Model, Broadcast]:
@@ -522,20 +608,20 @@ def train(texts: DataFrame, classes: np.ndarray) -> tuple[Model, Broadcast]:
     units = units.repartition("unit").groupBy("unit").agg(F.sum("n").alias("n"))
     units = materialize(units, "units")
     n = units.count()
-    slots = dealt(units, n, SHARD).mapInArrow(slot_counts, "slot int, tag int, zeros long, ones long")
-    # dealt by slot, so that both groupings need no other shuffle
-    slots = slots.repartition("slot").groupBy("slot", "tag").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
-    most = F.greatest("zeros", "ones", F.lit(MOST))
-    zeros, ones = (F.ceil(F.col(c) * MOST / most).cast("long") for c in ("zeros", "ones"))
-    # one number a slot: the logarithm of its count, then what the table holds
-    rank = F.floor(F.log2(F.col("zeros") + F.col("ones")) * 512).cast("long")
-    packed = F.shiftleft(rank, 32) + F.shiftleft(F.col("tag").cast("long"), 20) + F.shiftleft(zeros, 10) + ones
-    got = slots.groupBy("slot").agg(F.max(packed).alias("c")).toArrow()  # at most CONTEXTS * 2**SLOT_BITS rows of 12 bytes
+    tasks = lambda most: max(1, -(-n // most))
+    crowded = crowds(units, SHARD // 4)
+    dealt = units.withColumn("key", deal_key(crowded)).repartition(tasks(SHARD), "key").drop("key")
+    sent, row = context.broadcast(crowded), "slot int, rank long, counts int"
+    short = dealt.mapInArrow(short_counts(sent), "kind int, code long, byte int, n long").repartition(tasks(SHARD), "kind", "code").groupBy("kind", "code", "byte").agg(F.sum("n").alias("n"))
+    found = dealt.mapInArrow(slot_counts(sent), row).unionByName(short.mapInArrow(summed_slots, row))
+    got = found.groupBy("slot").agg(F.max("rank").alias("rank"), F.max_by("counts", "rank").alias("counts"))
+    # the tag and the counts; at most CONTEXTS * 2**SLOT_BITS rows of 12 bytes
+    got = got.select("slot", (F.shiftleft(F.shiftright("rank", 10).bitwiseAND(4095), 20) + F.col("counts").cast("long")).alias("c")).toArrow()
     table = Table()
     for b in got.to_batches():
         table.packed[b.column(0).to_numpy()] = b.column(1).to_numpy().astype(np.uint32)
     del got
-    units = dealt(units, n, LESSON)
+    units = units.repartition(tasks(LESSON), "unit")
     sent = context.broadcast(table)
     learned = units.mapInArrow(learn_online(sent), "place long, total double, n double").groupBy("place").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).toArrow()
     model = Model(table, *averaged(*(learned.column(c).to_numpy() for c in ("place", "total", "n"))), classes)
