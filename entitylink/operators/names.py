@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from entitylink.functions.columns import tagged
 from entitylink.functions.storage import materialize
+from entitylink.operators.semi import key_filter, may_be_in
 
 MATCH_TYPES = ("direct", "exact", "substring", "partial", "filtered_partial")
 
@@ -28,10 +29,13 @@ def normalize_name(col: Column) -> Column:
     return F.lower(F.regexp_replace(col, "[^a-zA-z0-9]+", ""))
 
 
+def is_small(df: DataFrame) -> bool:
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) * EXPANSION <= BROADCAST_BYTES
+
+
 def small(df: DataFrame) -> DataFrame:
     """The frame, to be broadcast if its estimated size allows it; otherwise joins shuffle."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return F.broadcast(df) if size * EXPANSION <= BROADCAST_BYTES else df
+    return F.broadcast(df) if is_small(df) else df
 
 
 def fit_names(df: DataFrame, id_col: str = "id", name_col: str = "name", source_col: str | None = None, type_col: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -89,12 +93,18 @@ def _keys(types: Iterable[str], first: int, n_grams: int, sep: str) -> Column:
 def match_keyed(asked: DataFrame, index: DataFrame, types: dict[str, tuple[str, ...]], first: int = 0, n_grams: int = 1, sep: str = " ") -> DataFrame:
     """Distinct ``kind, query`` looked up for all types of match in one join; the earliest type with a hit wins.
 
+    An index too large to broadcast is met by shuffle, but only by keys that pass a bitmap of its keys.
     ``kind, query, match_type, matched_name, target, distance``.
     """
     kinds = [F.when(F.col("kind") == k, _keys(t, first, n_grams, sep)) for k, t in types.items() if t]
     label = F.create_map(*[x for k, t in types.items() for i, kind in enumerate(t) for x in (F.lit(f"{k}/{first + i}"), F.lit(kind))])
     keys = asked.select("kind", "query", F.explode(F.coalesce(*kinds)).alias("k")).select("kind", "query", "k.*").where("key is not null and (is_id or key <> '')")
-    hits = keys.join(small(index), ["kind", "is_id", "key"])
+    on = ["kind", "is_id", "key"]
+    if is_small(index):
+        hits = keys.join(F.broadcast(index), on)
+    else:  # most words of a text are no names, so a filter of the names spares their shuffle
+        index = materialize(index, "index")
+        hits = may_be_in(keys, on, *key_filter(index, on)).join(index, on)
     hits = best_with_ties(hits, ["kind", "query"], "stage") if any(len(t) > 1 for t in types.values()) else hits
     name = F.when(~F.col("is_id"), F.col("key"))
     return hits.select("kind", "query", F.try_element_at(label, F.concat_ws("/", "kind", F.col("stage").cast("string"))).alias("match_type"), name.alias("matched_name"), "target", F.lit(None).cast("int").alias("distance"))

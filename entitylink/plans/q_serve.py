@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from entitylink.functions import variants as V
@@ -21,6 +23,13 @@ def _(spark, d):
     return S.filter_by_entities(t.raw(), t.links(), {"supplier": SUPPLIERS, "part": PARTS}, exposed={"l_returnflag": "R"}).select("raw_id", "said", "item")
 
 
+@query("filter_by_stored_links", f"WITH {LINKS} SELECT raw_id, said, item FROM raw WHERE raw_id IN (SELECT raw_id FROM sl WHERE target IN ({IN_S})) AND raw_id IN (SELECT raw_id FROM pl WHERE target IN ({IN_P}))")
+def _(spark, d):
+    t, name = Tables(spark, d), uuid.uuid4().hex
+    stored = {k: S.store_links(df, f"links_{k}_{name}") for k, df in t.links().items()}
+    return S.filter_by_entities(S.store_links(t.raw().select("raw_id", "said", "item"), f"raw_{name}"), stored, {"supplier": SUPPLIERS, "part": PARTS})
+
+
 def _asked(t):
     texts = [F.concat(F.lit("GENE"), F.col("p_partkey").cast("string"), F.lit(":p.Val10Glu")), F.concat(F.lit("GENE"), F.col("p_partkey").cast("string"), F.lit(":p.V20E")), F.concat(F.lit("NM_"), F.lpad(F.col("p_partkey").cast("string"), 6, "0"), F.lit(".9:c.5G>T"))]
     return t.part.select(F.explode(F.array(*texts)).alias("hgvs"))
@@ -120,6 +129,12 @@ def _(spark, d):
     return S.entity_stats({"lines": t.links()["supplier"], "orders": t.order_links()["supplier"]}, ["target"])
 
 
+@query("entity_stats_merged", f"WITH {LINKS}, {ORDER_LINKS}, u AS (SELECT target FROM sl UNION ALL SELECT target FROM os) SELECT count(*) AS n_rows, count(DISTINCT target) AS n_targets FROM u")
+def _(spark, d):
+    t = Tables(spark, d)
+    return S.merged_stats(S.stats_sketches({"lines": t.links()["supplier"], "orders": t.order_links()["supplier"]}, ["target"]))
+
+
 @query("harmonization_rate", "SELECT count(*) FILTER (l_returnflag = 'R') AS kept, count(*) FILTER (l_returnflag <> 'R') AS removed, count(*) AS total FROM lineitem")
 def _(spark, d):
     return S.rate(Tables(spark, d).lineitem, F.col("l_returnflag") == "R")

@@ -306,6 +306,45 @@ def test_changed_ranges(spark):
     assert S.changed_ranges(old, old.union(old.where("id = 5")).union(old.where("id = 5")), "id", 64).count() == 1
 
 
+def test_large_dictionary_is_met_by_likely_tokens_only(spark, index, monkeypatch):
+    from entitylink.operators import semi
+
+    asked = spark.createDataFrame([(f"word{i} a2m text{i} HGNC:1",) for i in range(200)] + [("HGNC:2",), ("a1bg",), (None,)], "query string")
+    want = rows(N.match_cascade(asked, *index, ("direct", "exact", "substring")))
+    monkeypatch.setattr(N, "BROADCAST_BYTES", -1)
+    assert rows(N.match_cascade(asked, *index, ("direct", "exact", "substring"))) == want
+    names = spark.range(3000).select(F.concat(F.lit("n"), "id").alias("key"))
+    tokens = spark.range(20_000).select(F.concat(F.lit("n"), "id").alias("key"), F.col("id").alias("__cell"))
+    passed = semi.may_be_in(tokens.withColumnRenamed("__cell", "x"), ["key"], *semi.key_filter(names, ["key"]))
+    assert passed.where("x < 3000").count() == 3000 and passed.count() < 3000 + 17_000 * 0.1
+    assert semi.may_be_in(names, ["key"], *semi.key_filter(names.limit(0), ["key"])).count() == 0
+
+
+def test_stored_links_join_without_exchange(spark, monkeypatch):
+    monkeypatch.setattr(N, "BROADCAST_BYTES", -1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        raw = S.store_links(spark.range(500).select(F.col("id").alias("raw_id"), (F.col("id") * 3).alias("v")), "stored_raw", buckets=4)
+        link = S.store_links(spark.range(1000).select((F.col("id") % 500).alias("raw_id"), F.concat(F.lit("T"), F.col("id") % 7).alias("target")), "stored_link", buckets=4)
+        got = S.filter_by_entities(raw, {"gene": link}, {"gene": ["T1", "T2"]})
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+        assert got.count() == link.where("target in ('T1', 'T2')").select("raw_id").distinct().count()
+        found = S.rows_by_ids(raw, S.store_links(spark.range(9).select(F.col("id").alias("raw_id")), "stored_ids", buckets=4))
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString() and found.count() == 9
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_merged_statistics(spark):
+    link = lambda a, b: spark.range(a, b).select(F.concat(F.lit("T"), "id").alias("target"))
+    parts = {"a": link(0, 60_000), "b": link(40_000, 100_000), "c": link(0, 10)}
+    stored = S.stats_sketches(parts, ["target"])
+    whole = S.merged_stats(stored).first()
+    assert whole["n_rows"] == 120_010 and abs(whole["n_targets"] / 100_000 - 1) < 3 * 0.0082
+    exact = {r["part"]: r["n_targets"] for r in S.entity_stats(parts, ["target"]).collect()}
+    assert all(abs(r["n_targets"] / exact[r["part"]] - 1) < 3 * 0.0082 for r in S.merged_stats(stored, ["part"]).collect())
+
+
 def test_failed_load_keeps_the_table(spark):
     good = spark.createDataFrame([(1, "a"), (2, "")], "k long, v string")
     assert files.load_table(good, "loaded", ["v"]) == 2
