@@ -600,6 +600,12 @@ def deal_key(crowded: dict[int, np.ndarray]):
     return key
 
 
+def by_bucket(df: DataFrame, key: list, tasks: int) -> DataFrame:
+    """Rows with equal keys in one task, in so many tasks as memory needs: the more contexts a task has, the fewer winners it sends."""
+    bucket = F.pmod(F.xxhash64(*key), F.lit(tasks)).cast("int").alias("bucket")
+    return df.select("*", bucket).repartitionByRange(tasks, "bucket").drop("bucket")
+
+
 def train(texts: DataFrame, classes: np.ndarray) -> tuple[Model, Broadcast]:
     """The model of all texts (one column), and its table where all tasks have it: that is sent only once."""
     context = texts.sparkSession.sparkContext
@@ -610,9 +616,10 @@ def train(texts: DataFrame, classes: np.ndarray) -> tuple[Model, Broadcast]:
     n = units.count()
     tasks = lambda most: max(1, -(-n // most))
     crowded = crowds(units, SHARD // 4)
-    dealt = units.withColumn("key", deal_key(crowded)).repartition(tasks(SHARD), "key").drop("key")
+    dealt = by_bucket(units, [deal_key(crowded)], tasks(SHARD))
     sent, row = context.broadcast(crowded), "slot int, rank long, counts int"
-    short = dealt.mapInArrow(short_counts(sent), "kind int, code long, byte int, n long").repartition(tasks(SHARD), "kind", "code").groupBy("kind", "code", "byte").agg(F.sum("n").alias("n"))
+    short = dealt.mapInArrow(short_counts(sent), "kind int, code long, byte int, n long")
+    short = by_bucket(short.groupBy("kind", "code", "byte").agg(F.sum("n").alias("n")), [F.col("kind"), F.col("code")], tasks(SHARD))
     found = dealt.mapInArrow(slot_counts(sent), row).unionByName(short.mapInArrow(summed_slots, row))
     got = found.groupBy("slot").agg(F.max("rank").alias("rank"), F.max_by("counts", "rank").alias("counts"))
     # the tag and the counts; at most CONTEXTS * 2**SLOT_BITS rows of 12 bytes
