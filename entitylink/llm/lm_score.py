@@ -79,7 +79,7 @@ GATES = (len(ORDERS) + 1) * STEPS * (STEPS + 1)
 MOST = 1023  # larger counts of zeros and ones are scaled down together
 BINS = 33
 LIMIT = 11.0
-MEMO_BITS = 21
+MEMO_BITS = 22  # places of scored units in a worker
 
 _ODD = 0x9E3779B97F4A7C15
 _END, _SPACE = 10, 32
@@ -634,7 +634,7 @@ def train(texts: DataFrame, classes: np.ndarray) -> tuple[Model, Broadcast]:
     model = Model(table, *averaged(*(learned.column(c).to_numpy() for c in ("place", "total", "n"))), classes)
     shared = context.broadcast(replace(model, table=None))
     scored = units.mapInArrow(score_units(shared, sent), "place int, unit long, n long, lp double")
-    often = n // (1 << MEMO_BITS - 2)  # rarer units would not keep a place
+    often = n // (1 << MEMO_BITS - 3)  # rarer units are scored when they are met
     common = scored.where(F.col("n") > often).groupBy("place").agg(F.max_by("unit", "n").alias("unit"), F.max_by("lp", "n").alias("lp")).select("unit", F.col("lp").cast("float").alias("lp")).toArrow()
     shared.destroy()
     model.common = common.column("unit").to_numpy().view(np.uint64), common.column("lp").to_numpy()
