@@ -45,40 +45,54 @@ def hgvs_length_ok(whole: Column, ref: Column, desc: Column) -> Column:
     return (F.length(whole) <= MAX_HGVS) & (F.length(ref) <= MAX_REF) & (F.length(desc) <= MAX_DESC)
 
 
-def _change(col: Column) -> Column:
-    """Struct of the start of a change: ``mark`` (``p.`` or nothing), ``before`` the number, ``number``, ``after`` (one character)."""
-    mark = F.when(F.startswith(col, F.lit("p.")), "p.").otherwise("")
-    body = F.substr(col, F.length(mark) + 1)
-    digits = F.translate(body, "123456789", "000000000")
-    first = F.instr(digits, "0")
-    tail = F.substr(body, first)
-    number = F.substr(tail, F.lit(1), F.length(tail) - F.length(F.ltrim(F.substr(digits, first), F.lit("0"))))
-    return F.when(first > 0, F.struct(mark.alias("mark"), F.substr(body, F.lit(1), first - 1).alias("before"), number.alias("number"), F.substr(tail, F.length(number) + 1, F.lit(1)).alias("after")))
+def _body(col: Column) -> Column:
+    """A description without the mark ``p.``."""
+    return F.when(F.startswith(col, F.lit("p.")), F.substr(col, F.lit(3))).otherwise(col)
+
+
+def _number(body: Column) -> Column:
+    return F.regexp_extract(body, "[0-9]+", 0)
+
 
+def _before(body: Column, number: Column) -> Column:
+    return F.call_function("substring_index", body, number, F.lit(1))
 
-def _aa3(change: Column) -> Column:
+
+def _after(body: Column, number: Column) -> Column:
+    """The character behind the first number."""
+    return F.substr(body, F.length(_before(body, number)) + F.length(number) + 1, F.lit(1))
+
+
+def _aa3(mark: Column, before: Column, number: Column, after: Column) -> Column:
     names = F.create_map(*[F.lit(x) for pair in AMINO_ACIDS.items() for x in pair])
     letter = lambda c: F.coalesce(F.try_element_at(names, c), F.lit(""))
-    return F.concat(change["mark"], letter(change["before"]), change["number"], letter(change["after"]))
+    return F.concat(mark, letter(before), number, letter(after))
 
 
-def _is_aa1(change: Column) -> Column:
+def _is_aa1(before: Column, number: Column, after: Column) -> Column:
+    """At most one letter (or star), a number, a letter (or star)."""
     code = lambda c: (F.length(c) == 1) & F.contains(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ*"), c)
-    return F.coalesce(((change["before"] == "") | code(change["before"])) & code(change["after"]), F.lit(False))
+    return F.coalesce((number != "") & ((before == "") | code(before)) & code(after), F.lit(False))
 
 
-def _is_change(change: Column) -> Column:
-    return F.coalesce(F.length(change["before"]).between(1, 3) & (change["after"] != ""), F.lit(False))
+def _is_change(before: Column, number: Column, after: Column) -> Column:
+    """Up to three characters, a number, one more character."""
+    return F.coalesce((number != "") & F.length(before).between(1, 3) & (after != ""), F.lit(False))
 
 
 def aa1_to_aa3(col: Column) -> Column:
     """One-letter protein change -> three letters; text after the change is dropped, others unchanged."""
-    return F.when(aa1_like(col), _aa3(_change(col))).otherwise(col)
+    body = _body(col)
+    number = _number(body)
+    mark = F.when(F.startswith(col, F.lit("p.")), "p.").otherwise("")
+    return F.when(aa1_like(col), _aa3(mark, _before(body, number), number, _after(body, number))).otherwise(col)
 
 
 def aa1_like(col: Column) -> Column:
-    """Starts like a one-letter change: at most one letter (or star), a number, a letter (or star)."""
-    return _is_aa1(_change(col))
+    """Starts like a one-letter change."""
+    body = _body(col)
+    number = _number(body)
+    return _is_aa1(_before(body, number), number, _after(body, number))
 
 
 def guess_desc_type(desc_type: Column, desc: Column) -> Column:
@@ -87,8 +101,10 @@ def guess_desc_type(desc_type: Column, desc: Column) -> Column:
 
 
 def guessed(desc_type: Column, desc: Column) -> Column:
-    """No type, and a description that starts like a change: up to three characters, a number, one more character."""
-    return (desc_type == "") & _is_change(_change(desc))
+    """No type, and a description that starts like a change."""
+    body = _body(desc)
+    number = _number(body)
+    return (desc_type == "") & _is_change(_before(body, number), number, _after(body, number))
 
 
 def modify_flags(guessed_type: Column, recoded: Column, mapped_ref: Column) -> Column:
@@ -129,16 +145,23 @@ def harmonize_variants(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
     is_list = {f.name: f.dataType.typeName() == "array" for f in df.schema}
     values = F.concat(*[tagged(F.col(c), is_list[c], c, "column", "hgvs") for c in cols])
     rows = df.select(F.col(key), F.explode(values).alias("v")).select(key, "v.column", "v.hgvs").where("hgvs is not null")
-    rows = rows.withColumn("like", hgvs_like(F.col("hgvs"))).withColumn("p", F.when(F.col("like"), hgvs_split(F.col("hgvs"))))
+    # lists of one are exploded, so that a later filter on what was parsed does not parse once more below
+    rows = rows.withColumn("like", hgvs_like(F.col("hgvs")))
+    rows = rows.select("*", F.explode(F.array(F.when(F.col("like"), hgvs_split(F.col("hgvs"))))).alias("p"))
     rows = rows.where(~F.col("like") | hgvs_length_ok(F.col("hgvs"), F.col("p.ref"), F.col("p.desc")))
-    rows = rows.withColumn("change", F.when(F.col("p.desc_type").isin("p", ""), _change(F.col("p.desc"))))
+    # parts of the change as columns of their own, so that each is found once
+    rows = rows.withColumn("body", F.when(F.col("p.desc_type").isin("p", ""), _body(F.col("p.desc")))).withColumn("number", _number(F.col("body")))
+    rows = rows.withColumns({"before": _before(F.col("body"), F.col("number")), "after": _after(F.col("body"), F.col("number"))})
+    change = F.col("before"), F.col("number"), F.col("after")
     # only descriptions with a type are recoded, and only those without one are guessed
-    rows = rows.withColumn("recoded", F.coalesce((F.col("p.desc_type") == "p") & _is_aa1(F.col("change")), F.lit(False))).withColumn("desc", F.when(F.col("recoded"), _aa3(F.col("change"))).otherwise(F.col("p.desc")))
-    rows = rows.withColumn("guessed", F.coalesce((F.col("p.desc_type") == "") & _is_change(F.col("change")), F.lit(False)))
+    rows = rows.withColumns({"recoded": F.coalesce((F.col("p.desc_type") == "p") & _is_aa1(*change), F.lit(False)), "guessed": F.coalesce((F.col("p.desc_type") == "") & _is_change(*change), F.lit(False))})
+    mark = F.when(F.startswith(F.col("p.desc"), F.lit("p.")), "p.").otherwise("")
+    rows = rows.withColumn("desc", F.when(F.col("recoded"), _aa3(mark, *change)).otherwise(F.col("p.desc")))
     kind = F.when(F.col("guessed"), "p").otherwise(F.col("p.desc_type"))
     unmapped = F.when(~F.col("like"), "not_hgvs").when(kind == "", "unknown_desc_type").otherwise("")
     blank = lambda c: F.coalesce(c, F.lit(""))
-    out = rows.select(key, "column", "hgvs", blank(F.col("p.ref")).alias("ref"), blank(F.col("p.ref_version")).alias("ref_version"), blank(F.col("desc")).alias("desc"), blank(kind).alias("desc_type"), modify_flags(F.col("guessed"), F.col("recoded"), F.lit(False)).alias("modify_flags"), unmapped.alias("unmapped_type"))
+    parsed = F.struct(blank(F.col("p.ref")).alias("ref"), blank(F.col("p.ref_version")).alias("ref_version"), blank(F.col("desc")).alias("desc"), blank(kind).alias("desc_type"), modify_flags(F.col("guessed"), F.col("recoded"), F.lit(False)).alias("modify_flags"), unmapped.alias("unmapped_type"))
+    out = rows.select(key, "column", "hgvs", F.explode(F.array(parsed)).alias("v")).select(key, "column", "hgvs", "v.*")
     return out.withColumn("harmonized", F.col("unmapped_type") == "")
 
 
