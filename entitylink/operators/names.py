@@ -9,7 +9,6 @@ from itertools import groupby
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from entitylink.functions.columns import tagged
 from entitylink.functions.storage import materialize
 from entitylink.operators.semi import key_filter, may_be_in
 
@@ -77,7 +76,10 @@ def name_index(names: DataFrame, ids: DataFrame, kind: str = "") -> DataFrame:
 
 
 def _keys(types: Iterable[str], first: int, n_grams: int, sep: str) -> Column:
-    """The keys of a query, tagged with the place of their type of match in the cascade."""
+    """The keys of a query, tagged with the place of their type of match in the cascade.
+
+    A query without letters and digits has none, not even as an id. This is tested here, on distinct queries.
+    """
     key = lambda stage, is_id, text: F.struct(F.lit(stage).alias("stage"), F.lit(is_id).alias("is_id"), text.alias("key"))
 
     def keys(stage: int, kind: str) -> Column:
@@ -85,7 +87,8 @@ def _keys(types: Iterable[str], first: int, n_grams: int, sep: str) -> Column:
             # queries are distinct, so distinct tokens within a row are enough and long texts do not shuffle
             tokens = F.array_distinct(F.transform(word_ngrams(F.col("query"), n_grams, sep), normalize_name))
             return F.transform(tokens, lambda w: key(stage, False, w))
-        return F.array(key(stage, kind == "direct", F.col("query") if kind == "direct" else normalize_name(F.col("query"))))
+        norm = normalize_name(F.col("query"))
+        return F.array(key(stage, kind == "direct", F.when(norm != "", F.col("query")) if kind == "direct" else norm))
 
     return F.concat(*[keys(stage, kind) for stage, kind in enumerate(types, first)])
 
@@ -325,7 +328,7 @@ def match_cascade(queries: DataFrame, names: DataFrame, ids: DataFrame, types: I
     Types that look a key up and follow each other are one join. ``query, match_type, matched_name, target,
     distance``, with the names' sources and types if extended.
     """
-    left = queries.select("query").where(F.coalesce(normalize_name(F.col("query")) != "", F.lit(False))).distinct()
+    left = queries.select("query").where("query is not null").distinct()
     index, out, types = name_index(names, ids), None, tuple(types)
     for keyed, group in groupby(types, lambda t: t in KEYED):
         for step in [tuple(group)] if keyed else [(t,) for t in group]:
@@ -356,28 +359,31 @@ def harmonize(df: DataFrame, key: str, cols: list[str], names: DataFrame, ids: D
 def tagged_values(df: DataFrame, key: str, entities: dict[str, list[str]]) -> DataFrame:
     """``key, kind, column, query``: the values of all columns of all entity types, in one pass."""
     is_list = {f.name: f.dataType.typeName() == "array" for f in df.schema}
-    of_kind = lambda kind, values: F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v["column"].alias("column"), v["query"].alias("query")))
-    each = [of_kind(kind, tagged(F.col(c), is_list[c], c, "column", "query")) for kind, cols in entities.items() for c in cols]
+    item = lambda kind, c, value: F.struct(F.lit(kind).alias("kind"), F.lit(c).alias("column"), value.cast("string").alias("query"))
+    of_list = lambda kind, c: F.coalesce(F.transform(F.col(c), lambda v: item(kind, c, v)), F.array().cast("array<struct<kind:string,column:string,query:string>>"))
+    pairs = [(kind, c) for kind, cols in entities.items() for c in cols]
+    plain = [item(kind, c, F.col(c)) for kind, c in pairs if not is_list[c]]
+    each = ([F.array(*plain)] if plain else []) + [of_list(kind, c) for kind, c in pairs if is_list[c]]
     return df.select(F.col(key), F.explode(F.concat(*each)).alias("v")).select(key, "v.*").where("query is not null")
 
 
-def _joined(rows: DataFrame, found: DataFrame, on: list[str], key: str) -> DataFrame:
-    out = rows.join(small(found), on, "left").select(*[c for c in on if c != "query"], key, "column", "query", "match_type", F.explode_outer("targets").alias("target"))
+def _joined(rows: DataFrame, found: DataFrame, on: list[str], key: str, how: str = "left") -> DataFrame:
+    out = rows.join(small(found), on, how).select(*[c for c in on if c != "query"], key, "column", "query", "match_type", F.explode_outer("targets").alias("target"))
     return out.withColumn("harmonized", F.col("target").isNotNull())
 
 
-def harmonize_all(df: DataFrame, key: str, entities: dict[str, list[str]], dictionaries: dict[str, tuple[DataFrame, DataFrame]], types: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
-    """``kind`` and what ``harmonize`` gives, for several entity types at once.
+def harmonize_all(df: DataFrame, key: str, entities: dict[str, list[str]], dictionaries: dict[str, tuple[DataFrame, DataFrame]], types: dict[str, tuple[str, ...]] | None = None, matched_only: bool = False) -> DataFrame:
+    """``kind`` and what ``harmonize`` gives, for several entity types at once (``matched_only``: without rows without id).
 
     One pass over the rows, one distinct over all values, one look-up in all dictionaries, one join back.
     Only types of match that look a key up.
     """
     types = types or {k: DEFAULT_TYPES[k] for k in entities}
     rows = tagged_values(df, key, entities)
-    asked = rows.select("kind", "query").where(F.coalesce(normalize_name(F.col("query")) != "", F.lit(False))).distinct()
+    asked = rows.select("kind", "query").distinct()
     index = union_all([name_index(*dictionaries[k], k) for k in entities])
     found = match_keyed(asked, index, types).groupBy("kind", "query").agg(F.first("match_type").alias("match_type"), F.array_sort(F.collect_set("target")).alias("targets"))
-    return _joined(rows, materialize(found, "matches"), ["kind", "query"], key)
+    return _joined(rows, materialize(found, "matches"), ["kind", "query"], key, "inner" if matched_only else "left")
 
 
 def split_harmonized(df: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -64,8 +64,8 @@ def links_of(raw: DataFrame, recipe: Recipe, dictionaries: dict[str, DataFrame],
     named = {k: cols for k, cols in recipe.entities.items() if k != "variant"}
     out = {}
     if named:
-        found = harmonize_all(df, key, named, {k: fit_names(dictionaries[k]) for k in named})
-        found = materialize(found.where("harmonized").select("kind", key, "target").distinct(), "links")
+        found = harmonize_all(df, key, named, {k: fit_names(dictionaries[k]) for k in named}, matched_only=True)
+        found = materialize(found.select("kind", key, "target").distinct(), "links")
         out = {k: found.where(F.col("kind") == k).drop("kind") for k in named}
     if "variant" in recipe.entities:
         out["variant"] = V.harmonize_variants(df, key, recipe.entities["variant"]).where("harmonized").dropDuplicates([key, "hgvs"])
