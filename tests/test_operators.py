@@ -119,7 +119,8 @@ def test_common_prefix_is_no_hot_key(spark):
 
 def test_keyed_stages_are_one_join(spark, index):
     asked = spark.createDataFrame([("HGNC:1",), ("a2m",), ("A2M antibody",)], "query string")
-    plan = N.match_cascade(asked, *index, ("direct", "exact", "substring"))._jdf.queryExecution().optimizedPlan().toString()
+    known = [N.materialize(x, "known") for x in index]  # of a known size
+    plan = N.match_cascade(asked, *known, ("direct", "exact", "substring"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1
     # a query whose raw text is an id and whose name is another's keeps the earlier type
     names = N.fit_names(spark.createDataFrame([("a1", "x"), ("b", "A-1")], "id string, name string"))
