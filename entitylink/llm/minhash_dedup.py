@@ -13,7 +13,9 @@ a band's bucket are not paired with each other: each is compared with one head o
 classes into components, and buckets inside one component are done. What is left is compared by sketch, in
 blocks of at most ``MEMBERS`` members, each pair in the first band that it shares; counts of shingles in
 ``PARTS`` parts bound the overlap of a pair from above and rule out most of those just below the threshold
-for certain. Only likely pairs leave a block: first each member's best partners in other components, then, when those have merged, all
+for certain. Sets of more than ``LONG`` shingles also carry a bitmap of ``MARKS`` bits: the bits set in two
+bitmaps together count the union, which settles pairs of long texts below about 0.75 without their texts
+(again ``SIGMAS`` standard errors). Only likely pairs leave a block: first each member's best partners in other components, then, when those have merged, all
 likely partners still in other components. So no candidate is left out and no group is unbounded. Components come from large-star / small-star rounds on the links.
 
 With 50 bands of 5 registers a pair at similarity 0.8 is missed with a probability below 1e-8. Classes
@@ -53,6 +55,8 @@ FULL = 2**15 - 1  # a part's count that may be larger in truth, so that it bound
 #: After the round of heads: which of a member's likely partners, by estimate, each round verifies.
 WINDOWS = ((0, 2), (2, 2**40))
 MEMBERS = 512
+LONG = 1000
+MARKS = 2**16
 
 
 def shingle_sets(texts: list[str | None], words: int = SHINGLE) -> list[np.ndarray]:
@@ -125,6 +129,23 @@ def part_counts(sets: list[np.ndarray]) -> np.ndarray:
     return np.stack(counts).astype(np.int16) if sets else np.zeros((0, PARTS), np.int16)
 
 
+def bitmap(elements: np.ndarray) -> bytes:
+    """One bit for each element's hash modulo ``MARKS``."""
+    marks = np.zeros(MARKS, np.uint8)
+    marks[mix64(elements ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(MARKS - 1)] = 1
+    return np.packbits(marks).tobytes()
+
+
+def most_marks(n: np.ndarray, threshold: int) -> np.ndarray:
+    """Bits that two sets of n elements in sum set together at most, when they are as similar as the threshold asks.
+
+    The union then has at most ``n / (1 + threshold)`` elements; mean and variance are those of occupied cells.
+    """
+    load = n / (1 + threshold / 100) / MARKS
+    free = np.exp(-load)
+    return MARKS * (1 - free) + SIGMAS * np.sqrt(MARKS * free * np.maximum(1 - (1 + load) * free, 0))
+
+
 class Scan:
     def __init__(self, words: int, threshold: int, low: int = 0, high: int = 2**40) -> None:
         self.words, self.threshold, self.low, self.high = words, threshold, low, high
@@ -174,6 +195,8 @@ class Scan:
         x, y, more, less = np.concatenate(pairs, 1) if pairs else np.zeros((4, 0), np.int64)
         guess = joint_estimate(n[x].astype(float), n[y].astype(float), more, less) if len(x) else np.zeros(0)
         x, y, guess = (v[guess >= self.floor()] for v in (x, y, guess))
+        fits = self.fit(block.column("marks"), n, x, y)
+        x, y, guess = x[fits], y[fits], guess[fits]
         order = np.lexsort((node[y], -guess, x))
         x, y = x[order], y[order]
         rank = np.arange(len(x)) - np.searchsorted(x, x)  # of a partner among all of a member's likely ones
@@ -181,6 +204,28 @@ class Scan:
         a, b = node[x[take]], node[y[take]]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
+    def fit(self, column: pa.ChunkedArray, n: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Pairs that their bitmaps do not rule out."""
+        has = ~column.is_null().to_numpy()
+        place = np.cumsum(has) - 1
+        marks = np.frombuffer(b"".join(column.drop_null().to_pylist()), np.uint64).reshape(-1, MARKS // 64)
+        out = np.ones(len(x), bool)
+        both = np.flatnonzero(has[x] & has[y])
+        most = most_marks((n[x] + n[y]).astype(float), self.threshold)
+        for i in range(0, len(both), 1000):
+            k = both[i : i + 1000]
+            out[k] = np.bitwise_count(marks[place[x[k]]] | marks[place[y[k]]]).sum(1, dtype=np.int64) <= most[k]
+        return out
+
+    def mark(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """node, text -> node, marks."""
+        for b in slices(batches):
+            texts = b.column(1).to_pylist()
+            for i, j in pieces(texts):
+                marks = [bitmap(s) for s in shingle_sets(texts[i:j], self.words)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(marks, pa.binary())], ["node", "marks"])
+        trim()
+
     def likely(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pairs whose estimate is not far below the threshold."""
         for b in batches:
@@ -230,7 +275,7 @@ def links(sketched: DataFrame, keyed: DataFrame, scan: Scan) -> DataFrame | None
         both = close.join(_side(texts, "b", "text").hint("merge"), "b").join(_side(texts, "a", "text").hint("merge"), "a")
         return materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(scan.verify, "a long, b long"), "links")
 
-    edges = tested = component = None
+    edges = tested = component = marks = None
     for turn in range(1 + len(WINDOWS)):
         labelled = live.withColumn("c", F.col("node")) if component is None else live.join(component.hint("merge"), "node", "left").select("bh", "band", "node", F.coalesce("component", "node").alias("c"))
         order = F.xxhash64(F.lit(turn), "node")
@@ -241,7 +286,10 @@ def links(sketched: DataFrame, keyed: DataFrame, scan: Scan) -> DataFrame | None
             tested = materialize(members.where("c <> hc").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct(), "pairs")
             close = likely(tested)
         else:
-            close = across(members, known, Scan(scan.words, scan.threshold, *WINDOWS[turn - 1])).join(tested.hint("merge"), ["a", "b"], "left_anti")
+            if marks is None:
+                asked = members.select("node").join(known.where(f"n > {LONG}").select("node").hint("merge"), "node").distinct()
+                marks = materialize(texts.join(asked.hint("merge"), "node").select("node", "text").mapInArrow(scan.mark, "node long, marks binary"), "marks")
+            close = across(members, known, marks, Scan(scan.words, scan.threshold, *WINDOWS[turn - 1])).join(tested.hint("merge"), ["a", "b"], "left_anti")
         live = members.select("bh", "band", "node")
         close = materialize(close, "likely")
         if close.isEmpty():
@@ -252,13 +300,13 @@ def links(sketched: DataFrame, keyed: DataFrame, scan: Scan) -> DataFrame | None
     return component and component.join(classes.select("node", "n", "s1", "s2").hint("merge"), "node").select("n", "s1", "s2", "component")
 
 
-def across(members: DataFrame, known: DataFrame, scan: Scan) -> DataFrame:
+def across(members: DataFrame, known: DataFrame, marks: DataFrame, scan: Scan) -> DataFrame:
     """Likely pairs across components: every bucket's members in blocks, each pair of blocks in one group."""
-    rows = members.join(known.select("node", "n", "regs", "parts").hint("merge"), "node")
+    rows = members.join(known.select("node", "n", "regs", "parts").hint("merge"), "node").join(marks.hint("merge"), "node", "left")
     blocks = F.ceil(F.col("k") / MEMBERS).cast("int")
     mine = F.pmod(F.xxhash64(F.lit(7), "node"), blocks).cast("int")
     rows = rows.withColumn("side", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("bh", F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q"), "side", "band", "node", "c", "n", "regs", "parts")
+    rows = rows.select("bh", F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q"), "side", "band", "node", "c", "n", "regs", "parts", "marks")
     return rows.groupBy("bh", "p", "q").applyInArrow(lambda block: scan.across(block), "a long, b long")
 
 

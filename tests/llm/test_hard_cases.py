@@ -4,6 +4,8 @@ import random
 import re
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,6 +71,51 @@ def test_near_duplicates_of_families(spark, words):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want))
 
 
+def members_of(similarity, k, n):
+    """k sets of n elements, every two of them with about this similarity."""
+    rng = np.random.default_rng(3)
+    core = rng.integers(0, 2**63, int(n * 2 * similarity / (1 + similarity)), dtype=np.uint64)
+    return [np.unique(np.concatenate([core, rng.integers(0, 2**63, n - len(core), dtype=np.uint64)])) for _ in range(k)]
+
+
+def block_of(sets, marked=True):
+    k = len(sets)
+    return pa.table({
+        "node": list(range(k)), "c": list(range(k)), "n": [len(s) for s in sets], "side": [0] * k, "band": [0] * k,
+        "regs": list(minhash_dedup.registers(sets)), "parts": list(minhash_dedup.part_counts(sets)),
+        "marks": pa.array([minhash_dedup.bitmap(s) if marked and i % 10 else None for i, s in enumerate(sets)], pa.binary()),
+    })
+
+
+@pytest.mark.parametrize(("similarity", "n"), [(0.72, 4000), (0.74, 1500), (0.74, 30_000)])
+def test_bitmaps_settle_families_below_the_threshold(similarity, n):
+    scan, sets = minhash_dedup.Scan(5, 80), members_of(similarity, 40, n)
+    without = scan.across(block_of(sets, marked=False))
+    pairs = scan.across(block_of(sets)).to_pylist()
+    assert without.num_rows > 300
+    assert all(p["a"] % 10 == 0 or p["b"] % 10 == 0 for p in pairs)  # only those that lack a bitmap
+
+
+@pytest.mark.parametrize("n", [1001, 4000, 60_000])
+def test_bitmaps_lose_no_link(n):
+    scan, sets = minhash_dedup.Scan(5, 80), members_of(0.803, 30, n)
+    linked = {(a, b) for b in range(30) for a in range(b) if 1.8 * len(np.intersect1d(sets[a], sets[b])) >= 0.8 * (len(sets[a]) + len(sets[b]))}
+    assert len(linked) > 400
+    assert linked <= {(p["a"], p["b"]) for p in scan.across(block_of(sets)).to_pylist()}
+
+
+def test_near_duplicates_of_a_family_of_long_texts(spark):
+    """Texts of over ``LONG`` shingles around 0.7, a few pairs of them above the threshold, beside short ones."""
+    base, short = prose(1600), prose(300)
+    texts = [changed(base, RND.sample(range(1600), 60)) for _ in range(24)] + [changed(short, RND.sample(range(300), 8)) for _ in range(12)]
+    texts += [changed(texts[i], RND.sample(range(1600), 12)) for i in (2, 3, 3, 11)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    want, near = components(rows, 5)
+    assert near > 200 and 20 < len(set(want)) < len(rows)
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).select("doc_id", "component_id").collect()
+    assert sorted(map(tuple, got)) == list(enumerate(want))
+
+
 def test_substrings_of_long_texts(spark, tmp_path):
     long = prose(20_000)
     texts = [long, prose(300) + long[4_000:4_120] + prose(200), prose(50) + long[19_990:], long[:34], long[10:45] + prose(3)]
