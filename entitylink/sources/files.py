@@ -26,7 +26,7 @@ def read_delimited(spark: SparkSession, path, sep: str = "\t", encoding: str = "
         return reader.schema(", ".join(f"`{n}` string" for n in names)).csv(path) if names else reader.option("header", True).csv(path)
     text = spark.read.text(path)  # keeps empty lines, so that places are line numbers
     line = F.decode(F.col("value").cast("binary"), encoding) if encoding.upper() != "UTF-8" else F.col("value")
-    head = [r["value"] for r in spark.read.text(min(text.inputFiles())).limit(skip + 1).select(line.alias("value")).collect()]  # lines before and with the header
+    head = [r["value"] for r in spark.read.text(min(text.inputFiles())).limit(skip + (not names)).select(line.alias("value")).collect()]  # lines before the header, and it unless names are given
     names = names or head[-1].split(sep)
     # rows of a file's first block are numbered without gaps, so these are the places of its first lines
     lines = text.select(line.alias("line"), F.monotonically_increasing_id().alias("at"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))

@@ -489,6 +489,12 @@ def test_skipped_lines_may_be_empty(spark, tmp_path):
     assert rows(files.read_delimited(spark, str(tmp_path), skip=2, comment="#")) == [("1", "a"), ("2", "b"), ("3", "c")]
 
 
+def test_skipped_lines_of_headerless_files(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text("#made\n\n1\ta\n2\tb\n")
+    got = files.read_delimited(spark, str(tmp_path), skip=2, names=["k", "v"])
+    assert (got.columns, rows(got)) == (["k", "v"], [("1", "a"), ("2", "b")])
+
+
 def test_declared_sources(spark):
     from entitylink.plans.recipes import curated, source
 
