@@ -37,6 +37,16 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if is_small(df) else df
 
 
+def row_bytes(cols: list[str]) -> Column:
+    """About what a row takes in a broadcast table."""
+    return F.octet_length(F.concat_ws("", *[F.col(c).cast("string") for c in cols])) + (48 + 16 * len(cols))
+
+
+def fits(df: DataFrame) -> bool:
+    """As ``is_small``, but what passes that is measured: an estimate knows neither lists nor made-up text."""
+    return is_small(df) and (df.agg(F.sum(row_bytes(df.columns))).first()[0] or 0) <= BROADCAST_BYTES
+
+
 def fit_names(df: DataFrame, id_col: str = "id", name_col: str = "name", source_col: str | None = None, type_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Index ``(norm, target, sources, types)`` of names and of the ids themselves, and the raw ids."""
     source = F.col(source_col) if source_col else F.lit(None).cast("string")
@@ -386,6 +396,73 @@ def harmonize_all(df: DataFrame, key: str, entities: dict[str, list[str]], dicti
     return _joined(rows, materialize(found, "matches"), ["kind", "query"], key, "inner" if matched_only else "left")
 
 
+#: Places of a list column that are looked up within their row; the keys of longer lists go the general way.
+PLACES = 3
+
+
+def unusual_keys(df: DataFrame, key: str, entities: dict[str, list[str]]) -> DataFrame:
+    """``__h``: hashes of keys that stand in several rows or in a row with a long list, and so need a distinct over all rows."""
+    lists = [f.name for f in df.schema if f.dataType.typeName() == "array" and any(f.name in cols for cols in entities.values())]
+    long = reduce(Column.__or__, [F.coalesce(F.size(c) > PLACES, F.lit(False)) for c in lists], F.lit(False))
+    each = df.select(F.xxhash64(key).alias("__h"), long.alias("long")).groupBy("__h").agg(F.count(F.lit(1)).alias("n"), *([F.bool_or("long").alias("long")] if lists else []))
+    return materialize(each.where("n > 1 or long" if lists else "n > 1").select("__h"), "unusual-keys")
+
+
+def by_keys(df: DataFrame, key: str, unusual: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+    """(Rows whose links need no distinct over all rows, the others); unusual keys too many to broadcast are all rows'."""
+    if unusual.isEmpty():
+        return df, None
+    if not fits(unusual):
+        return None, df
+    marked = df.join(F.broadcast(unusual.withColumn("__more", F.lit(True))), F.xxhash64(key) == F.col("__h"), "left")
+    return marked.where("__more is null").drop("__h", "__more"), marked.where("__more").drop("__h", "__more")
+
+
+def link_all(df: DataFrame, key: str, entities: dict[str, list[str]], dictionaries: dict[str, tuple[DataFrame, DataFrame]], unusual: DataFrame) -> dict[str, DataFrame]:
+    """Distinct ``key, target`` of several entity types.
+
+    Values are matched once, as in ``harmonize_all``. Where a key stands in one row, its links meet within that
+    row, value by value, so only unusual keys take a distinct over all rows. Matches that may be broadcast move
+    no rows; others move a row's key once per plain column, or the list values that pass a bitmap of the matches.
+    """
+    asked = tagged_values(df, key, entities).select("kind", "query").distinct()
+    index = union_all([name_index(*dictionaries[k], k) for k in entities])
+    found = match_keyed(asked, index, {k: DEFAULT_TYPES[k] for k in entities}).groupBy("kind", "query").agg(F.array_sort(F.collect_set("target")).alias("targets"))
+    found = materialize(found, "matches")
+    size = {r["kind"]: r["n"] for r in found.groupBy("kind").agg(F.sum(row_bytes(["query", "targets"])).alias("n")).collect()}
+    alone, rest = by_keys(df, key, unusual)
+    out = {}
+    for kind, cols in entities.items():
+        known, broadcast = found.where(F.col("kind") == kind).drop("kind"), size.get(kind, 0) <= BROADCAST_BYTES
+        parts = [] if alone is None else [_links_in_rows(alone, key, cols, known, broadcast)]
+        parts += [] if rest is None else [_links_over_rows(rest, key, cols, known, broadcast)]
+        out[kind] = union_all(parts)
+    return out
+
+
+def _links_over_rows(df: DataFrame, key: str, cols: list[str], known: DataFrame, broadcast: bool) -> DataFrame:
+    values = tagged_values(df, key, {"": cols}).select(key, "query")
+    if broadcast:
+        met = values.join(F.broadcast(known), "query")
+    else:
+        met = may_be_in(values, ["query"], *key_filter(known, ["query"])).join(known.hint("shuffle_hash"), "query")
+    return met.select(key, F.explode("targets").alias("target")).distinct()
+
+
+def _links_in_rows(df: DataFrame, key: str, cols: list[str], known: DataFrame, broadcast: bool) -> DataFrame:
+    is_list = {f.name: f.dataType.typeName() == "array" for f in df.schema}
+    places = [x.cast("string") for c in cols for x in ([F.get(c, F.lit(i)) for i in range(PLACES)] if is_list[c] else [F.col(c)])]
+    if not broadcast and len(places) > 2:
+        return _links_over_rows(df, key, cols, known, broadcast)
+    row = df.select(key, *[x.alias(f"__q{i}") for i, x in enumerate(places)])
+    for i in range(len(places)):
+        side = known.select(F.col("query").alias(f"__q{i}"), F.col("targets").alias(f"__t{i}"))
+        row = row.join(F.broadcast(side) if broadcast else side.hint("shuffle_hash"), f"__q{i}", "left" if len(places) > 1 else "inner").drop(f"__q{i}")
+    none = F.array().cast("array<string>")
+    targets = F.array_distinct(F.concat(*[F.coalesce(f"__t{i}", none) for i in range(len(places))])) if len(places) > 1 else F.col("__t0")
+    return row.select(key, F.explode(targets).alias("target"))
+
+
 def split_harmonized(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.where("harmonized"), df.where("not harmonized")
 

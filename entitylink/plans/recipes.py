@@ -13,7 +13,7 @@ from entitylink.functions import variants as V
 from entitylink.functions.storage import materialize
 from entitylink.operators.dictionary import numeric_suffix, union_parts
 from entitylink.operators.graph import closure
-from entitylink.operators.names import DEFAULT_TYPES, dedupe_links, fit_names, harmonize, harmonize_all, split_harmonized
+from entitylink.operators.names import DEFAULT_TYPES, by_keys, dedupe_links, fit_names, harmonize, link_all, split_harmonized, unusual_keys, union_all
 from entitylink.operators.row_ids import row_ids
 from entitylink.sources.vcf import explode_alt, parse_vcf
 
@@ -58,17 +58,21 @@ def harmonize_part(raw: DataFrame, recipe: Recipe, kind: str, dictionary: DataFr
 
 
 def links_of(raw: DataFrame, recipe: Recipe, dictionaries: dict[str, DataFrame], key: str = "raw_id") -> dict[str, DataFrame]:
-    """Links of every entity type of a raw table; all types but variants are matched in one pass and written once."""
+    """Links of every entity type of a raw table; the values of all types but variants are matched in one pass.
+
+    Only keys that stand in several rows, or in rows with long lists, take a distinct over all rows.
+    """
     raw = materialize(C.process_hook(raw, recipe.task), "raw")
     df = replace(recipe, task=None).prepare(raw)
     named = {k: cols for k, cols in recipe.entities.items() if k != "variant"}
-    out = {}
-    if named:
-        found = harmonize_all(df, key, named, {k: fit_names(dictionaries[k]) for k in named}, matched_only=True)
-        found = materialize(found.select("kind", key, "target").distinct(), "links")
-        out = {k: found.where(F.col("kind") == k).drop("kind") for k in named}
+    unusual = unusual_keys(df, key, named)
+    out = link_all(df, key, named, {k: fit_names(dictionaries[k]) for k in named}, unusual) if named else {}
     if "variant" in recipe.entities:
-        out["variant"] = V.harmonize_variants(df, key, recipe.entities["variant"]).where("harmonized").dropDuplicates([key, "hgvs"])
+        cols = recipe.entities["variant"]
+        alone, rest = by_keys(df, key, unusual)
+        parts = [] if alone is None else [V.harmonize_variants(C.first_of_each(alone, cols), key, cols).where("harmonized")]
+        parts += [] if rest is None else [V.harmonize_variants(rest, key, cols).where("harmonized").dropDuplicates([key, "hgvs"])]
+        out["variant"] = union_all(parts)
     return out
 
 

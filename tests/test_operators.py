@@ -366,6 +366,44 @@ def test_merged_statistics_query(spark, tmp_path):
     assert rows(queries()["entity_stats_merged"](spark, str(tmp_path))) == [(40_000, 20_000)]
 
 
+LINK_RECIPE = Recipe({"gene": ["symbol", "number"], "drug": ["drugs"], "cancer_type": ["tumor", "more"], "variant": ["texts", "built"]})
+
+
+def link_rows(spark, extra=()):
+    plain = [(f"r{i}", f"GENE{i % 5}", f"HGNC:{(i + i % 2) % 5}", [f"drug{i % 3}", "none", f"CHEMBL{i % 3}"], "tumor1", f"DOID:{i % 2}", [f"G{i}:p.V1E", "x", f"G{i}:p.V1E"], f"G{i}:p.V{1 + i % 2}E") for i in range(40)]
+    return spark.createDataFrame([*plain, *extra], "raw_id string, symbol string, number string, drugs array<string>, tumor string, more string, texts array<string>, built string")
+
+
+def link_dictionaries(spark):
+    one = lambda p, q, n: spark.range(n).select(F.concat(F.lit(p), "id").alias("id"), F.concat(F.lit(q), "id").alias("name"))
+    return {"gene": one("HGNC:", "GENE", 5), "drug": one("CHEMBL", "drug", 9), "cancer_type": one("DOID:", "tumor", 2)}
+
+
+@pytest.mark.parametrize("limit", [64 << 20, 1500, 0])
+def test_links_are_distinct_whatever_the_rows(spark, monkeypatch, limit):
+    from entitylink.plans.recipes import links_of
+
+    monkeypatch.setattr(N, "BROADCAST_BYTES", limit)
+    long = [f"drug{i}" for i in range(8)]
+    extra = [
+        ("r1", "GENE1", "GENE4", ["drug1"], None, "tumor1", ["G1:p.V1E"], "G9:p.V9E"), ("r1", "GENE1", "GENE4", ["drug1"], None, "tumor1", ["G1:p.V1E"], "G9:p.V9E"),
+        ("long", None, None, long + long, "tumor0", "tumor0", None, None), (None, "GENE2", "GENE2", None, None, None, [None, "G2:p.V1E"], "G2:p.V1E"), (None, "GENE2", "GENE2", None, None, None, None, "G2:p.V1E"),
+    ]
+    raw, given = link_rows(spark, extra), link_dictionaries(spark)
+    got = links_of(raw, LINK_RECIPE, given)
+    for kind, df in got.items():
+        target = "hgvs" if kind == "variant" else "target"
+        want = harmonize_part(raw, LINK_RECIPE, kind, given.get(kind))[0].select("raw_id", target)
+        assert rows(df.select("raw_id", target)) == rows(want), kind
+
+
+def test_links_of_single_rows_take_no_distinct(spark):
+    from entitylink.plans.recipes import links_of
+
+    got = links_of(link_rows(spark), LINK_RECIPE, link_dictionaries(spark))
+    assert all("Aggregate" not in df._jdf.queryExecution().toString() for df in got.values())
+
+
 def test_failed_load_keeps_the_table(spark):
     good = spark.createDataFrame([(1, "a"), (2, "")], "k long, v string")
     assert files.load_table(good, "loaded", ["v"]) == 2
