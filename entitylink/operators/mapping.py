@@ -15,10 +15,15 @@ LEAST_SHARE = 0.5
 
 
 def column_values(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Distinct ``column, norm``: the normalised values of the columns (lists value by value)."""
+    """Distinct ``column, norm``: the normalised values of the columns (lists value by value).
+
+    Texts are made distinct first, so that each is normalised once and not once a row. They are written, as a
+    distinct below another one would be dropped from the plan.
+    """
     lists = {f.name for f in df.schema if f.dataType.typeName() == "array"}
     pairs = F.concat(*[_named(c, F.col(f"`{c}`") if c in lists else F.array(F.col(f"`{c}`").cast("string"))) for c in cols])
-    rows = df.select(F.explode(pairs).alias("v")).select("v.column", normalize_name(F.col("v.value")).alias("norm"))
+    texts = df.select(F.explode(pairs).alias("v")).select("v.column", "v.value").where("value is not null").distinct()
+    rows = materialize(texts, "texts").select("column", normalize_name(F.col("value")).alias("norm"))
     return rows.where("norm is not null and norm <> ''").distinct()
 
 
@@ -66,7 +71,8 @@ def assign(shares: dict[tuple[str, str], float], least: float = LEAST_SHARE) ->
 def propose_mapping(df: DataFrame, dictionaries: dict[str, DataFrame], cols: list[str] | None = None, exact: bool = False, least: float = LEAST_SHARE) -> DataFrame:
     """``containment`` of a source's columns in dictionaries of ``norm``, and which are ``chosen`` for a recipe."""
     values = column_values(df, cols or df.columns)
-    table = materialize(containment(values if exact else value_sketch(values), dictionaries), "containment")  # columns x kinds rows
+    values = materialize(values if exact else value_sketch(values), "values")
+    table = materialize(containment(values, dictionaries), "containment")  # columns x kinds rows
     chosen = assign({(r["column"], r["kind"]): r["share"] for r in table.collect()}, least)
     picked = [(F.col("kind") == k) & (F.col("column") == c) for k, c in chosen.items()]
     test = F.lit(False)

@@ -404,6 +404,44 @@ def test_links_of_single_rows_take_no_distinct(spark):
     assert all("Aggregate" not in df._jdf.queryExecution().toString() for df in got.values())
 
 
+def test_pair_counts_make_only_pairs_that_stand_together(spark):
+    link = lambda *x: spark.createDataFrame(list(x), "raw_id long, target string")
+    parts = {"P": {"gene": link((1, "G1"), (1, "G1"), (1, "G2"), (2, "G1"), (None, "G3"), (4, None)), "drug": link((1, "D1"), (2, "D1"), (3, "D2"), (4, "D4"))}, "Q": {"drug": link((5, "D1"))}}
+    assert rows(S.pair_counts(parts, "gene", "drug")) == [("P", "G1", "D1", 2), ("P", "G2", "D1", 1)]
+
+
+def test_stored_buckets_grow_with_the_rows():
+    assert [S.buckets_for(n) for n in (0, 1, 8 << 19, (8 << 19) + 1, 216_000_000)] == [8, 8, 8, 16, 512]
+
+
+@pytest.mark.parametrize("limit", [64 << 20, 100])
+def test_hgvs_search_measures_its_keys(spark, monkeypatch, limit):
+    monkeypatch.setattr(N, "BROADCAST_BYTES", limit)
+    raw = spark.range(50).select(F.col("id").alias("raw_id"), F.concat(F.lit("G"), F.col("id") % 7, F.lit(":p.V1E")).alias("hgvs"))
+    link = V.harmonize_variants(raw, "raw_id", ["hgvs"]).where("harmonized")
+    asked = spark.createDataFrame([("G3:p.V1E",), ("G5:p.Val1Glu",), ("G9:p.V1E",)], "hgvs string")
+    got = S.filter_by_hgvs(raw.select("raw_id"), link, asked)
+    assert rows(got) == sorted([(i,) for i in range(50) if i % 7 in (3, 5)], key=repr)
+    assert not N.fits(spark.range(1).select(F.explode(F.sequence(F.lit(1), F.lit(1_000_000))).alias("k")).select(F.col("k").cast("string")))
+
+
+def test_mapping_normalises_distinct_texts(spark):
+    from entitylink.operators import mapping as M
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def norm(col):
+        return F.udf(lambda x: calls.add(1) or x.lower())(col)
+
+    plain, M.normalize_name = M.normalize_name, norm
+    try:
+        values = M.column_values(spark.range(100).select(F.concat(F.lit("A"), F.col("id") % 2).alias("c")), ["c"])
+        assert rows(values) == [("c", "a0"), ("c", "a1")]
+    finally:
+        M.normalize_name = plain
+    assert calls.value < 20  # once a distinct text (and filter), not once a row
+
+
 def test_failed_load_keeps_the_table(spark):
     good = spark.createDataFrame([(1, "a"), (2, "")], "k long, v string")
     assert files.load_table(good, "loaded", ["v"]) == 2
