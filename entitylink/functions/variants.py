@@ -27,20 +27,43 @@ def hgvs_like(col: Column) -> Column:
     return F.coalesce(F.rlike(col, F.lit("^[^:]+:[^:]+$")), F.lit(False))
 
 
-def hgvs_split(col: Column) -> Column:
-    """Struct ``ref, ref_version, desc_type, desc``; the dot after the type letter is optional."""
-    ref, desc = F.substring_index(col, ":", 1), F.substring_index(col, ":", -1)
-    versioned = F.rlike(ref, F.lit(r".+\.[0-9]+$"))
-    parts = F.split(ref, r"\.", -1)
-    kind = F.regexp_extract(desc, f"^[{DESC_TYPES}](?=.)", 0)
+def _goes_on(col: Column) -> Column:
+    """A second character that ends no line."""
+    second = F.substr(col, F.lit(2), F.lit(1))
+    return (second != "") & ~second.isin("\n", "\r", "\x85", "\u2028", "\u2029")
+
+
+def _versioned(ref: Column) -> Column:
+    """Ends with a dot and digits; only a reference with a dot takes a regular expression."""
+    return F.contains(ref, F.lit(".")) & F.rlike(ref, F.lit(r".+\.[0-9]+$"))
+
+
+def _kind(desc: Column) -> Column:
+    """The type letter, if more follows it."""
+    first = F.substr(desc, F.lit(1), F.lit(1))
+    return F.when(F.contains(F.lit(DESC_TYPES), first) & _goes_on(desc), first).when(desc.isNotNull(), F.lit(""))
+
+
+def _untyped(desc: Column, kind: Column) -> Column:
+    return F.when(kind != "", F.substr(desc, F.lit(2))).otherwise(desc)
+
+
+def _split_of(ref: Column, versioned: Column, kind: Column, rest: Column) -> Column:
+    """Struct of the parts of a name; ``rest`` is what follows the type letter."""
     return F.struct(
-        F.when(versioned, F.get(parts, F.lit(0))).otherwise(ref).alias("ref"),
-        F.when(versioned, F.get(parts, F.lit(1))).otherwise(F.lit("")).alias("ref_version"),
+        F.when(versioned, F.substring_index(ref, ".", 1)).otherwise(ref).alias("ref"),
+        F.when(versioned, F.substring_index(F.substring_index(ref, ".", 2), ".", -1)).otherwise(F.lit("")).alias("ref_version"),
         kind.alias("desc_type"),
-        F.regexp_replace(F.substr(desc, F.length(kind) + 1), "^[.](?=.)", "").alias("desc"),
+        F.when(F.startswith(rest, F.lit(".")) & _goes_on(rest), F.substr(rest, F.lit(2))).otherwise(rest).alias("desc"),
     )
 
 
+def hgvs_split(col: Column) -> Column:
+    """Struct ``ref, ref_version, desc_type, desc``; the dot after the type letter is optional."""
+    ref, desc = F.substring_index(col, ":", 1), F.substring_index(col, ":", -1)
+    return _split_of(ref, _versioned(ref), _kind(desc), _untyped(desc, _kind(desc)))
+
+
 def hgvs_length_ok(whole: Column, ref: Column, desc: Column) -> Column:
     return (F.length(whole) <= MAX_HGVS) & (F.length(ref) <= MAX_REF) & (F.length(desc) <= MAX_DESC)
 
@@ -145,9 +168,14 @@ def harmonize_variants(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
     is_list = {f.name: f.dataType.typeName() == "array" for f in df.schema}
     values = F.concat(*[tagged(F.col(c), is_list[c], c, "column", "hgvs") for c in cols])
     rows = df.select(F.col(key), F.explode(values).alias("v")).select(key, "v.column", "v.hgvs").where("hgvs is not null")
-    # lists of one are exploded, so that a later filter on what was parsed does not parse once more below
+    # in steps of columns: each part is found once, and the code of a step stays small enough to be compiled by the JVM
     rows = rows.withColumn("like", hgvs_like(F.col("hgvs")))
-    rows = rows.select("*", F.explode(F.array(F.when(F.col("like"), hgvs_split(F.col("hgvs"))))).alias("p"))
+    rows = rows.withColumns({f"__{c}": F.when(F.col("like"), F.substring_index("hgvs", ":", i)) for c, i in (("ref", 1), ("desc", -1))})
+    rows = rows.withColumns({"__versioned": _versioned(F.col("__ref")), "__kind": _kind(F.col("__desc"))})
+    rows = rows.withColumn("__rest", _untyped(F.col("__desc"), F.col("__kind")))
+    # lists of one are exploded, so that a later filter on what was parsed does not parse once more below
+    parts = F.when(F.col("like"), _split_of(*[F.col(f"__{c}") for c in ("ref", "versioned", "kind", "rest")]))
+    rows = rows.select(key, "column", "hgvs", "like", F.explode(F.array(parts)).alias("p"))
     rows = rows.where(~F.col("like") | hgvs_length_ok(F.col("hgvs"), F.col("p.ref"), F.col("p.desc")))
     # parts of the change as columns of their own, so that each is found once
     rows = rows.withColumn("body", F.when(F.col("p.desc_type").isin("p", ""), _body(F.col("p.desc")))).withColumn("number", _number(F.col("body")))
@@ -165,6 +193,17 @@ def harmonize_variants(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
     return out.withColumn("harmonized", F.col("unmapped_type") == "")
 
 
+def references(df: DataFrame, col: str, name: str = "query") -> DataFrame:
+    """The references alone of a column's variant names, null for other text: what a dictionary is asked for.
+
+    Descriptions are not parsed, so references of names that are not harmonised are among them.
+    """
+    ref = F.col("__ref")
+    rows = df.select(F.when(hgvs_like(F.col(col)), F.substring_index(col, ":", 1)).alias("__ref"))
+    # a list of one is exploded, so that a later filter does not build and split the text once more below
+    return rows.select(F.explode(F.array(F.when(_versioned(ref), F.substring_index(ref, ".", 1)).otherwise(ref))).alias(name))
+
+
 # ---- alleles and consequences --------------------------------------------------------------------
 
 

@@ -62,7 +62,8 @@ def _(spark, d):
     t = Tables(spark, d)
     genes = t.part.select(F.concat(F.lit("HGNC:"), F.col("p_partkey").cast("string")).alias("id"), F.concat(F.lit("GENE"), F.col("p_partkey").cast("string")).alias("name"))
     variants = V.harmonize_variants(t.hgvs(), "raw_id", ["hgvs"]).where("harmonized")
-    matches = match_cascade(variants.select(F.col("ref").alias("query")), *fit_names(genes))
+    # references of changes that are not harmonised are asked for as well, and meet no variant
+    matches = match_cascade(V.references(t.hgvs(), "hgvs"), *fit_names(genes))
     return map_ref_to_gene(variants, matches).select("raw_id", "ref", "modify_flags")
 
 

@@ -618,3 +618,35 @@ def test_scratch_needs_a_shared_folder():
     conf = SimpleNamespace(get=lambda *a: None)
     with pytest.raises(RuntimeError):
         scratch(SimpleNamespace(sparkContext=SimpleNamespace(master="spark://x", getConf=lambda: conf), conf=conf))
+
+
+def test_hgvs_split_is_the_patterns(spark):
+    import re
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("cgpN.:..12V9E*\n\r\x85\u2028é") for _ in range(rng.randint(0, 9))) for _ in range(3000)]
+    end = "\n\r\x85\u2028\u2029"
+
+    def split(x):
+        ref, desc = x.partition(":")[0], x.rpartition(":")[2]
+        versioned = re.search(rf"[^{end}]+\.[0-9]+(?:\r\n|[{end}])?\Z", ref)
+        kind = re.match(rf"[cgmnopr](?=[^{end}])", desc)
+        kind = kind[0] if kind else ""
+        return (ref.split(".")[0] if versioned else ref, ref.split(".")[1] if versioned else "", kind, re.sub(rf"\A\.(?=[^{end}])", "", desc[len(kind) :]))
+
+    got = spark.createDataFrame([(x,) for x in texts], "x string").select("x", V.hgvs_split(F.col("x")).alias("p")).collect()
+    assert {r.x: tuple(r.p) for r in got} == {x: split(x) for x in texts}
+    assert tuple(spark.sql("select cast(null as string) x").select(V.hgvs_split(F.col("x"))).first()[0]) == (None, "", None, None)
+
+
+def test_references_are_asked_for_without_parsing_changes(spark, tmp_path):
+    from entitylink.plans import registry
+
+    raw = spark.createDataFrame([(1, "NM_1.2:c.5G>T"), (2, "GENE7:Loss"), (3, "no variant"), (4, None), (5, "A.B:p.V600E")], "raw_id long, hgvs string")
+    assert rows(V.references(raw, "hgvs")) == sorted([("NM_1",), ("GENE7",), (None,), (None,), ("A.B",)], key=repr)
+    spark.createDataFrame([(1, 2, 3, 1, 5.0, "R", "F"), (2, 2, 3, 5, 5.0, "A", "F"), (3, 9, 3, 1, 7.0, "R", "F"), (4, 2, 3, 1, 5.0, "R", "O")], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(2,)], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    out = registry.queries()["map_ref_to_gene"](spark, str(tmp_path))
+    assert rows(out) == sorted([("1-1-2-3", "HGNC:2", 6), ("3-1-9-3", "GENE9", 2)], key=repr)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(", [0-9]+, 0)") == 1  # changes are parsed for the variants only
