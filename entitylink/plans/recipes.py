@@ -13,7 +13,7 @@ from entitylink.functions import variants as V
 from entitylink.functions.storage import materialize
 from entitylink.operators.dictionary import numeric_suffix, union_parts
 from entitylink.operators.graph import closure
-from entitylink.operators.names import DEFAULT_TYPES, by_keys, dedupe_links, fit_names, harmonize, link_all, split_harmonized, unusual_keys, union_all
+from entitylink.operators.names import DEFAULT_TYPES, by_keys, dedupe_links, fit_names, harmonize, link_all, small, split_harmonized, unusual_keys, union_all
 from entitylink.operators.row_ids import row_ids
 from entitylink.sources.vcf import explode_alt, parse_vcf
 
@@ -112,15 +112,20 @@ def ontology_names(terms: DataFrame, synonyms: DataFrame, edges: DataFrame, root
 
     With ``expand`` a term's names also count for all its descendants and ancestors under the root.
     """
-    below = closure(edges, root=root).select(F.col("descendant").alias("id")).distinct()
     names = union_parts([terms.select("id", "name"), synonyms.where("scope = 'EXACT'").select("id", F.col("text").alias("name"))]).where("name <> ''").distinct()
-    own = names.join(below, "id", "left_semi")
     if not expand:
-        return own
+        below = closure(edges, root=root).select(F.col("descendant").alias("id")).distinct()
+        return names.join(below, "id", "left_semi")
+    edges = materialize(edges, "edges")
     pairs = closure(edges)
+    below = materialize(pairs.where(F.col("ancestor") == root).select(F.col("descendant").alias("id")), "below")
+    own = materialize(names.join(below, "id", "left_semi"), "own")
+    # what is below a term under the root is itself under the root; above it may stand few others, as the root
+    others = edges.select(F.col("parent").alias("ancestor")).where("ancestor is not null").distinct().join(below.withColumnRenamed("id", "ancestor"), "ancestor", "left_anti")
+    pairs = pairs.join(small(materialize(others, "others")), "ancestor", "left_anti")
     down = pairs.select(F.col("ancestor").alias("id"), F.col("descendant").alias("other"))
     up = pairs.select(F.col("descendant").alias("id"), F.col("ancestor").alias("other"))
-    more = own.join(down.union(up), "id").select(F.col("other").alias("id"), "name").join(below, "id", "left_semi")
+    more = own.join(down.union(up), "id").select(F.col("other").alias("id"), "name")
     return own.union(more).distinct()
 
 

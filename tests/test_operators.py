@@ -650,3 +650,26 @@ def test_references_are_asked_for_without_parsing_changes(spark, tmp_path):
     assert rows(out) == sorted([("1-1-2-3", "HGNC:2", 6), ("3-1-9-3", "GENE9", 2)], key=repr)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(", [0-9]+, 0)") == 1  # changes are parsed for the variants only
+
+
+def test_names_expand_over_one_closure(spark, monkeypatch):
+    from entitylink.plans import recipes as R
+
+    rng = random.Random(8)
+    # terms with several parents, a cycle under the root, terms beside the root and above it
+    edges = [(f"t{i}", f"t{rng.randrange(i)}") for i in range(1, 60) for _ in range(1 + i % 2)] + [("t7", "t50"), ("t50", "t7"), ("t0", "top"), ("t9", "side"), ("side", "top"), ("low", "side")]
+    terms = [(f"t{i}", f"name {i % 20}") for i in range(60)] + [("side", "side"), ("top", "top"), ("low", "low"), ("t3", "")]
+    synonyms = [("t5", "five", "EXACT"), ("t5", "vague", "RELATED")]
+    made = []
+    monkeypatch.setattr(G, "materialize", lambda df, tag, f=G.materialize: (made.append(tag), f(df, tag))[1])
+    got = R.ontology_names(spark.createDataFrame(terms, "id string, name string"), spark.createDataFrame(synonyms, "id string, text string, scope string"), spark.createDataFrame(edges, "child string, parent string"), "t0", expand=True)
+    above = {}
+    for c, p in edges:
+        above.setdefault(c, set()).add(p)
+    while any([len(above[c]) < len(above[c].update(*[above.get(p, ()) for p in list(above[c])]) or above[c]) for c in above]):
+        pass
+    below = {c for c in above if "t0" in above[c]}
+    own = {(i, n) for i, n in terms + [("t5", "five")] if n and i in below}
+    want = own | {(c, n) for c in above for i, n in own if i in above[c]} | {(p, n) for i, n in own for p in above[i] if p in below}
+    assert set(map(tuple, got.collect())) == want and got.count() == len(want)
+    assert made.count("edges") == 1  # one closure tells what is under the root as well
